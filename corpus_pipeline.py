@@ -1,8 +1,60 @@
-"""A corpus through five stages: classifier, rules, near-duplicates, personal data, packing."""
+"""A corpus through five stages: classifier, rules, near-duplicates, personal data, packing.
 
-STAGES = []
+Every stage is written as Parquet to the shared folder and read again by the next one.
+The stages before the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from wayline.llm import packing, pii, quality_classifier, quality_rules, simhash
+from wayline.plans.storage import load_table, materialize
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores below 0.7 go."""
+    return quality_classifier.keep_good(docs, load_table(spark, sf_dir, "labels"))
+
+
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rule, or that boilerplate lines make up, go."""
+    return quality_rules.keep_good(docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays; ids are unique here."""
+    groups = simhash.near_duplicate_groups(docs)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data are replaced; n_chars follows the new text."""
+    done = pii.pseudonymize(docs, found_col=None)
+    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 4096 tokens, in the sources' proportions."""
+    import public_tokenizers
+
+    return packing.digest(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("quality rules", clean_lines),
+    ("SimHash near-dedup", one_of_each),
+    ("PII", pseudonymized),
+    ("packing", packed),
+]
+#: The classifier and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return docs

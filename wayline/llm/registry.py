@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from wayline.llm import quality_rules, simhash
+from wayline.llm import bpe, packing, pii, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES = {
+    "op1_byte_level_bpe": bpe.op1,
+    "op3_packing": packing.op3,
     "op4_simhash_near_dedup": simhash.op4,
+    "op5_pii_pseudonyms": pii.op5,
+    "op6_token_files": token_files.op6,
     "op8_quality_rules": quality_rules.op8,
+    "op9_quality_classifier": quality_classifier.op9,
 }
 ORACLE_SQL: dict[str, str] = {}
