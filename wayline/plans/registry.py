@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from wayline.plans import trace_queries
+
+_MODULES = [trace_queries]
+QUERIES: dict = {n: q for m in _MODULES for n, q in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {n: q for m in _MODULES for n, q in m.ORACLE_SQL.items()}
