@@ -110,3 +110,41 @@ TX_DUCK = TX_LINES + ", tx AS (SELECT concat('t', CAST(conv_id AS string)) AS tr
 def cs(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir, "documents", "labels")
     return spark.sql(f"WITH {CS} SELECT * FROM cs")
+
+
+#: A user's events as the actions of an episode: reads, writes (some to bad paths), test runs and submissions.
+AC = """
+ac AS (
+  SELECT concat('ep', CAST(user_id AS string)) AS episode_id, concat('task-', CAST(user_id % 3 AS string)) AS task_id, concat('policy-', CAST(user_id % 4 AS string)) AS policy_id, event_id AS source_id,
+    CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS bigint) AS step,
+    CASE event_type WHEN 'view' THEN 'read_file' WHEN 'click' THEN 'write_file' WHEN 'error' THEN 'write_file' WHEN 'purchase' THEN 'run_tests' ELSE CASE WHEN event_id % 4 = 0 THEN 'submit' ELSE 'run_tests' END END AS type,
+    CASE event_type WHEN 'view' THEN CASE event_id % 4 WHEN 0 THEN 'a.txt' WHEN 1 THEN 'out.txt' WHEN 2 THEN '../x' ELSE 'none.txt' END
+      WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'cfg.json' ELSE 'out.txt' END WHEN 'error' THEN CASE event_id % 2 WHEN 0 THEN 'a//b' ELSE '/abs' END END AS path,
+    CASE event_type WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN '{"b":1,"a":2}' ELSE concat('v', CAST(event_id % 2 AS string)) END WHEN 'error' THEN 'bad' END AS content,
+    CASE event_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'partial' ELSE 'blocked' END AS report_status,
+    CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS report_tests,
+    CASE event_id % 7 WHEN 0 THEN 'ghost.txt' ELSE 'a.txt' END AS report_artifact
+  FROM events)"""
+
+
+def ac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    register(spark, sf_dir, "events")
+    rows = spark.sql(f"WITH {AC} SELECT * FROM ac")
+    report = F.struct(F.col("report_status").alias("status"), F.col("report_tests").alias("tests_passed"), F.array("report_artifact").alias("artifacts"), F.lit("s").alias("summary"))
+    return rows.withColumn("report", F.when(F.col("type") == "submit", report)).drop("report_status", "report_tests", "report_artifact")
+
+
+#: Fixture rows of the tasks.
+TASK_FILES = [(f"task-{t}", "a.txt", "old") for t in range(3)]
+ASSERTIONS = [(f"task-{t}", n, k, p, e) for t in range(3) for n, k, p, e in [("exists", "file_exists", "a.txt", None), ("out", "file_equals", "out.txt", "v1"), ("cfg", "json_equals", "cfg.json", '{"a":2,"b":1}')][: 3 if t else 1]]
+TASKS = [(f"task-{t}", f"Do task {t}", 8 + 2 * t) for t in range(3)]
+
+
+def task_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        spark.createDataFrame(TASK_FILES, "task_id string, path string, content string"),
+        spark.createDataFrame(ASSERTIONS, "task_id string, assertion_id string, type string, path string, expected string"),
+        spark.createDataFrame(TASKS, "task_id string, instruction string, max_steps long"),
+    )
