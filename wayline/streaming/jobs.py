@@ -50,8 +50,11 @@ def admit_batch(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_
     return requests.select("client_id", "ts", "request_id").groupBy("client_id").applyInPandas(run, ADMITTED)
 
 
-def admit_stream(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_S) -> DataFrame:
-    """The same on a stream: the state of a client is its window's start and count, and goes when the window is over."""
+def admit_stream(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW_S, late: str = "10 minutes") -> DataFrame:
+    """The same on a stream: a client's state is its window's start and count, and goes once the watermark is past the window.
+
+    Requests of a client arrive in order of time across micro-batches, or up to ``late`` late.
+    """
 
     def run(key, frames, state: GroupState):
         if state.hasTimedOut:
@@ -61,10 +64,11 @@ def admit_stream(requests: DataFrame, limit: int = LIMIT, window: float = WINDOW
         pdf = pd.concat(list(frames)).sort_values(["ts", "request_id"]).reset_index(drop=True)
         got, start, used = _admit_rows([t.timestamp() for t in pdf["ts"]], start, used, limit, window)
         state.update((start, used))
-        state.setTimeoutDuration(int(window * 1000) * 10)
+        state.setTimeoutTimestamp(max(int((start + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield _frame(pdf, got)
 
-    return requests.select("client_id", "ts", "request_id").groupBy("client_id").applyInPandasWithState(run, ADMITTED, "start double, used bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = requests.select("client_id", "ts", "request_id").withWatermark("ts", late)
+    return rows.groupBy("client_id").applyInPandasWithState(run, ADMITTED, "start double, used bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def fold_progress(messages: DataFrame) -> DataFrame:
