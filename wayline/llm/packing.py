@@ -18,7 +18,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayline.llm.running import running_sum
-from wayline.llm.tokens import encode_texts
+from wayline.llm.tokens import encode_texts, vocabulary_size
 from wayline.plans.storage import materialize
 
 WINDOW = 4096
@@ -86,7 +86,9 @@ def pack(
     if not 0 < turn <= window:
         raise ValueError("a turn has 1 to window tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
-    tokens = materialize(encode_texts(rows, tokenizer_path, end_id, "text", ("uid", "doc_id", "source")), "tokens")
+    narrow = vocabulary_size(tokenizer_path) <= 65536
+    width = 2 if narrow else 4
+    tokens = materialize(encode_texts(rows, tokenizer_path, end_id, "text", ("uid", "doc_id", "source"), narrow), "tokens")
     lengths = tokens.select("uid", "doc_id", F.coalesce("source", F.lit(_NO_SOURCE)).alias("queue"), "n_tokens")
     pieces = plan_pieces(lengths, window, turn, weights, temperature).groupBy("uid").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
     both = tokens.join(pieces, "uid").select("doc_id", "source", "n_tokens", "ids", F.col("pieces.start").alias("s"), F.col("pieces.length").alias("l"), F.col("pieces.sequence_id").alias("w"), F.col("pieces.offset").alias("o"))
@@ -99,7 +101,9 @@ def pack(
                 owner = np.repeat(np.arange(b.num_rows), counts)
                 flat = [pa.compute.list_flatten(b.column(k)) for k in (4, 5, 6, 7)]
                 ids = b.column(3).to_pylist()
-                cut = [ids[d][4 * s : 4 * (s + n)] for d, s, n in zip(owner.tolist(), flat[0].to_pylist(), flat[1].to_pylist())]
+                cut = [ids[d][width * s : width * (s + n)] for d, s, n in zip(owner.tolist(), flat[0].to_pylist(), flat[1].to_pylist())]
+                if narrow:
+                    cut = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in cut]
                 take = pa.array(owner)
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(take), b.column(1).take(take), flat[0], flat[1], b.column(2).take(take), flat[2], flat[3], pa.array(cut, pa.binary())],

@@ -9,8 +9,10 @@ for the others.  Texts for which a cut would not be safe go to the library whole
 
 from __future__ import annotations
 
+import array
 import json
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -18,21 +20,21 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 #: Text bytes that one step of a worker holds at a time; a single longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 3 << 20
 #: Pieces of which a worker keeps the ids, twice at most.
-RECENT = 120_000
+RECENT = 160_000
 #: Longer pieces aren't kept.
 LONGEST_KEPT = 200
 
 SPACED_SPACE = re.compile(r"\s ")
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 class Recent:
-    """Results of recent keys, in two generations; ``now`` holds at least the keys of the last :meth:`ensure`."""
+    """Results of recent keys, in two generations; what :meth:`ensure` returns holds at least its keys."""
 
     def __init__(self, most: int = RECENT):
-        self.most, self.now, self.old = most, {}, {}
+        self.most, self.now, self.old, self.long = most, {}, {}, []
 
     def ensure(self, keys, compute) -> dict:
         if len(self.now) > self.most:
@@ -46,11 +48,13 @@ class Recent:
                     now[k] = v
         if missing:
             now.update(zip(missing, compute(missing), strict=True))
+            self.long = [k for k in missing if len(k) > LONGEST_KEPT]
         return now
 
-    def forget_long(self, longest: int = LONGEST_KEPT) -> None:
-        for k in [k for k in self.now if len(k) > longest]:
-            del self.now[k]
+    def forget_long(self) -> None:
+        for k in self.long:
+            self.now.pop(k, None)
+        self.long = []
 
 
 def steps(batches, column: int):
@@ -66,10 +70,24 @@ def steps(batches, column: int):
             at = to
 
 
+def byte_symbols() -> dict[int, str]:
+    """The characters by which byte-level vocabularies spell bytes: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(other)}
+
+
 class TextEncoder:
-    """Ids of whole texts by one tokenizer file of the tokenizers library, without special tokens."""
+    """Ids of whole texts by one tokenizer file of the tokenizers library, without special tokens.
+
+    A piece of letters, perhaps with sentence marks at its end, is one pre-token, or two:
+    those go to the library's model at once, all others through its whole chain.
+    ``narrow``: ids as 16-bit numbers (for vocabularies of at most 65,536).
+    """
+
+    MARKS = ".,;:!?"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, narrow: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
@@ -82,6 +100,10 @@ class TextEncoder:
         elif pre.get("type") == "Sequence" and '\\s+' in json.dumps(spec.get("normalizer") or {}).replace("\\\\", "\\") and pre["pretokenizers"][0].get("behavior") == "Removed":
             self.kind = "split"
         size = self.lib.get_vocab_size()
+        if narrow and size > 65536:
+            raise ValueError("the vocabulary is too large for 16-bit ids")
+        self.dtype, self.letter = ("<u2", "H") if narrow else ("<u4", "I")
+        self.spell, self.lower = byte_symbols(), bool(self.kind == "split")
         names = [self.lib.id_to_token(i) or "" for i in range(size)]
         self.starts = np.array([n.startswith("Ġ") for n in names])
         self.mark = None
@@ -90,13 +112,46 @@ class TextEncoder:
         self.after_space, self.bare = Recent(), Recent(RECENT // 2)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joint(self, pieces: list[str], text: str, cuts) -> list[bytes] | None:
-        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
         parts = cuts(ids)
         return parts if len(parts) == len(pieces) else None
 
+    def _plain(self, piece: str) -> bytes | None:
+        """Ids of a piece of letters, which a space precedes in spaced texts; None if it needs the whole chain."""
+        if not piece.isalpha():
+            return None
+        if self.lower:
+            if not piece.isascii() and ("\u03a3" in piece or not unicodedata.is_normalized("NFC", piece)):
+                return None
+            piece = piece.lower()
+            if not piece.isalpha():
+                return None
+        else:
+            piece = " " + piece
+        if not piece.isascii() or not self.lower:
+            piece = piece.encode().decode("latin-1").translate(self.spell)
+        return array.array(self.letter, [t.id for t in self.lib.model.tokenize(piece)]).tobytes()
+
+    def _quick(self, pieces: list[str], rest) -> list[bytes]:
+        """Ids of pieces, by the model where that does and else by ``rest``."""
+        out: list[bytes | None] = []
+        now, old, other = self.after_space.now, self.after_space.old, []
+        for k, p in enumerate(pieces):
+            ids = self._plain(p)
+            if ids is None and p and p[-1] in self.MARKS and (base := p.rstrip(self.MARKS)).isalpha():
+                ids = now.get(base) or old.get(base) or self._plain(base)
+                if ids is not None:
+                    ids += array.array(self.letter, [t.id for t in self.lib.model.tokenize(p[len(base) :])]).tobytes()
+            out.append(ids)
+            if ids is None:
+                other.append(k)
+        for k, ids in zip(other, rest([pieces[k] for k in other])):
+            out[k] = ids
+        return out
+
     def _spaced(self, pieces: list[str]) -> list[bytes]:
         """Ids of ' ' + piece: only the first token of each holds its space."""
 
@@ -126,14 +181,13 @@ class TextEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+        """Little-endian ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
         if self.kind == "whole":
             return self._whole(texts)
         pieces, whole = {}, []
-        odd = SPACED_SPACE if self.kind == "spaced" else ODD_SPACE
         for n, t in enumerate(texts):
-            if odd.search(t):
+            if SPACED_SPACE.search(t) if self.kind == "spaced" else any(c in t for c in ODD_SPACE):
                 whole.append(n)
             else:
                 pieces[n] = t.split(" ") if self.kind == "spaced" else t.split()
@@ -144,14 +198,14 @@ class TextEncoder:
             rest = set()
             for p in pieces.values():
                 rest.update(p[1:])
-            get = self.after_space.ensure(rest, self._spaced).__getitem__
+            get = self.after_space.ensure(rest, lambda p: self._quick(p, self._spaced)).__getitem__
             for n, p in pieces.items():
                 out[n] = first[p[0]] + b"".join(map(get, p[1:]))
         else:
             every = set()
             for p in pieces.values():
                 every.update(p)
-            get = self.after_space.ensure(every, self._split).__getitem__
+            get = self.after_space.ensure(every, lambda p: self._quick(p, self._split)).__getitem__
             for n, p in pieces.items():
                 out[n] = b"".join(map(get, p))
         self.bare.forget_long()
@@ -159,30 +213,37 @@ class TextEncoder:
         return out
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, narrow: bool = False) -> TextEncoder:
     """The encoder of this Python worker for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    if (path, narrow) not in _ENCODERS:
+        _ENCODERS[path, narrow] = TextEncoder(path, narrow)
+    return _ENCODERS[path, narrow]
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), narrow: bool = False) -> DataFrame:
     """``keep`` columns, n_tokens and ids (binary, little-endian unsigned 32-bit) of each row's whole text.
 
-    A null text is empty; ``end_id`` is appended to every text if given.
+    A null text is empty; ``end_id`` is appended to every text if given; ``narrow`` makes the ids 16-bit.
     """
     kept = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
+    width = 2 if narrow else 4
+    end = b"" if end_id is None else end_id.to_bytes(width, "little")
     last = len(keep)
 
     def run(batches):
-        lib = encoder(tokenizer_path)
+        lib = encoder(tokenizer_path, narrow)
         for b in steps(batches, last):
             ids = [x + end for x in lib.encode(b.column(last).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "ids"])
 
     schema = kept.drop("_text").schema.add("n_tokens", "long").add("ids", "binary")
     return kept.mapInArrow(run, schema)
