@@ -18,27 +18,31 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from wayline.llm.tokens import RECENT, SPACED_SPACE, Recent, steps
+from wayline.llm.tokens import SPACED_SPACE, Recent, steps
 
 #: Sum over a query's words of (bytes squared / 2), which bounds the rows of its recursion.
-QUERY_ROWS = 1_500_000
+QUERY_ROWS = 3_000_000
 #: Words of more bytes (unbroken runs of one character class) are contracted by the same rule with a heap:
 #: one pair per recursion over all positions of such a word would be quadratic.
 LONG_WORD = 400
 DUCKDB_MEMORY = "200MB"
+#: Pieces, pre-tokens and runs of which a worker keeps the results.
+PIECES = 200_000
 IDS = T.ArrayType(T.IntegerType())
 
+#: The state of a word is the list of its tokens; its (position, token, next token) rows meet the merges in every step.
 CONTRACT = """
 WITH RECURSIVE s AS (
-  SELECT word, pos, tok, 0 AS n FROM start_rows
+  SELECT word, toks FROM start_rows
   UNION ALL
-  SELECT word, pos, CASE WHEN pos = best % 65536 THEN merged ELSE tok END, n + 1
-  FROM (SELECT p.word, p.pos, p.tok, p.n, p.prev, m.merged, min(m.merged::BIGINT * 65536 + p.pos) OVER (PARTITION BY p.word) AS best
-        FROM (SELECT word, pos, tok, n, lead(tok) OVER w AS nxt, lag(pos) OVER w AS prev FROM s WINDOW w AS (PARTITION BY word ORDER BY pos)) p
-        LEFT JOIN merges m ON m.pair = p.tok::BIGINT * 4294967296 + p.nxt)
-  WHERE best IS NOT NULL AND (prev IS NULL OR prev <> best % 65536)
+  SELECT s.word, s.toks[:b.best % 1024 - 1] || [(b.best // 1024)::INTEGER] || s.toks[b.best % 1024 + 2:]
+  FROM s JOIN (
+    SELECT p.word, min(m.merged * 1024 + p.pos) AS best
+    FROM (SELECT word, unnest(toks[:-2]) AS tok, unnest(toks[2:]) AS nxt, unnest(range(1, len(toks))) AS pos FROM s WHERE len(toks) > 1) p
+    JOIN merges m ON m.pair = p.tok::BIGINT * 4294967296 + p.nxt
+    GROUP BY p.word) b ON s.word = b.word
 )
-SELECT word, pos, tok FROM (SELECT *, max(n) OVER (PARTITION BY word) AS last FROM s) WHERE n = last ORDER BY word, pos
+SELECT word, arg_min(toks, len(toks)) AS toks FROM s GROUP BY word ORDER BY word
 """
 DECODE = """
 SELECT run, string_agg(coalesce(piece, 'efbfbd'), '' ORDER BY pos) AS bytes
@@ -54,6 +58,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RelationalBpe:
     """One per Python worker and vocabulary."""
 
+    MARKS = ".,;:!?"
+
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
 
@@ -71,22 +77,21 @@ class RelationalBpe:
         self.merge_of = None
         self.opens = np.zeros(max(ranks.values()) + 2, dtype=bool)  # tokens with a space in front; the last place: unknown ids
         self.opens[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.pieces, self.firsts, self.words, self.runs = Recent(), Recent(RECENT // 4), Recent(), Recent()
+        self.pieces, self.firsts, self.words, self.runs = Recent(PIECES), Recent(PIECES // 4), Recent(PIECES), Recent(PIECES)
 
     # -- encoding
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each word, by the recursive query."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        rows = pa.table({"word": np.repeat(np.arange(len(words)), lengths), "pos": np.arange(len(flat)) - np.repeat(starts, lengths), "tok": self.byte_ids[flat]})
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        toks = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)].astype(np.int32)
+        rows = pa.table({"word": np.arange(len(words)), "toks": pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(toks))})
         self.db.register("start_rows", rows)
-        got = self.db.sql(CONTRACT).to_arrow_table()
+        got = self.db.sql(CONTRACT).to_arrow_table().column("toks").combine_chunks()
         self.db.unregister("start_rows")
-        word, tok = got.column("word").to_numpy(), got.column("tok").to_numpy().astype("<i4")
-        at = np.searchsorted(word, np.arange(len(words) + 1)).tolist()
-        return [tok[a:b].tobytes() for a, b in zip(at, at[1:])]
+        flat = got.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes()
+        at = (np.concatenate(([0], np.cumsum(got.value_lengths().to_numpy(zero_copy_only=False)))) * 4).tolist()
+        return [flat[a:b] for a, b in zip(at, at[1:])]
 
     def _contract_long(self, word: bytes) -> bytes:
         """The same contraction of one long word: a heap of (rank, position) over linked positions."""
@@ -134,8 +139,17 @@ class RelationalBpe:
             at = to
         return out
 
+    def _pretokens(self, text: str) -> list[str]:
+        """Matches of the pattern; a space and letters, perhaps with sentence marks behind, need no search."""
+        bare = text[1:]
+        if bare.isalpha() and text[0] == " ":
+            return [text]
+        if text[:1] == " " and text[-1] in self.MARKS and (n := len(bare.rstrip(self.MARKS))) and bare[:n].isalpha():
+            return [text[: n + 1], text[n + 1 :]]
+        return self.pattern.findall(text)
+
     def _cut(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pattern.findall(t) for t in texts]
+        cut = [self._pretokens(t) for t in texts]
         every = set()
         for c in cut:
             every.update(c)
@@ -211,7 +225,7 @@ def _lists(rows: list[bytes]) -> pa.Array:
 
 
 def _rows(ids: pa.Array) -> list[bytes]:
-    return [b"" if x is None else x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() for x in ids]
+    return [b"" if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() for x in ids]
 
 
 def _encode_step(model, b, text_at):
