@@ -12,7 +12,10 @@ from __future__ import annotations
 import array
 import json
 import re
+import threading
+import time
 import unicodedata
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +28,43 @@ STEP_BYTES = 3 << 20
 RECENT = 160_000
 #: Longer pieces aren't kept.
 LONGEST_KEPT = 200
+#: Seconds without use after which an idle worker gives its recent results back.
+IDLE_SECONDS = 4.0
 
 SPACED_SPACE = re.compile(r"\s ")
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
 
+_IN_USE: weakref.WeakSet = weakref.WeakSet()
+
+
+def _release_idle() -> None:
+    while True:
+        time.sleep(IDLE_SECONDS / 2)
+        for r in list(_IN_USE):
+            if time.monotonic() - r.used > IDLE_SECONDS:
+                r.now, r.old = {}, {}  # a step under way keeps the dictionary it was given
+                _IN_USE.discard(r)
+
+
 class Recent:
-    """Results of recent keys, in two generations; what :meth:`ensure` returns holds at least its keys."""
+    """Results of recent keys, in two generations; what :meth:`ensure` returns holds at least its keys.
+
+    Workers stay alive between tasks, often of other operators: results that haven't been
+    used for a while are dropped.
+    """
+
+    watched = False
 
     def __init__(self, most: int = RECENT):
-        self.most, self.now, self.old, self.long = most, {}, {}, []
+        self.most, self.now, self.old, self.long, self.used = most, {}, {}, [], 0.0
 
     def ensure(self, keys, compute) -> dict:
+        self.used = time.monotonic()
+        _IN_USE.add(self)
+        if not Recent.watched:
+            Recent.watched = True
+            threading.Thread(target=_release_idle, daemon=True).start()
         if len(self.now) > self.most:
             self.old, self.now = self.now, {}
         now, old, missing = self.now, self.old, []
@@ -52,6 +80,7 @@ class Recent:
         return now
 
     def forget_long(self) -> None:
+        self.used = time.monotonic()
         for k in self.long:
             self.now.pop(k, None)
         self.long = []
