@@ -318,6 +318,15 @@ def test_quality_rules(spark, odd, empty):
     assert cut[100] == "\n".join(own(0)) and cut[300] == "\n".join(menu) and cut[None] is None and cut[0] == docs[0][1].split("\n")[-1]
 
 
+def test_frequent_lines_count_every_distinct_document(spark):
+    menu = [f"shared line {'abcdefghij'[k]} of the site" for k in range(9)]
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    docs = [(i, "\n".join([*menu, f"own {name(i)}"]), "a") for i in range(60)]
+    docs += [(100 + i, "\n".join(x + " copied" for x in menu), "a") for i in range(60)]
+    counts = quality_rules.document_counts(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert sorted(r.documents for r in quality_rules.frequent_lines(counts).collect()) == [60] * 9
+
+
 def test_quality_classifier(spark, odd, empty):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "river", "stone", "walks", "under", "light", "of", "a"]) + ("." if k % 9 == 8 else "") for k in range(rng.randrange(40, 200)))

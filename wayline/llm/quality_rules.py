@@ -67,28 +67,19 @@ def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _line_rows(counts: DataFrame) -> DataFrame:
-    """A row per document and distinct line: its key on its host, characters, and the smallest hash of the document's other lines."""
+    """A row per document and line: its key on its host, characters, and the digest of the document's whole set of lines."""
     hashes = F.array_sort(F.array_distinct(F.transform("lines", lambda x: x["h"])))
-    rows = counts.select("k1", "k2", "host", "lines", hashes.alias("hs")).select("k1", "k2", "host", "lines", F.get("hs", F.lit(0)).alias("m1"), F.get("hs", F.lit(1)).alias("m2"), F.explode("lines").alias("x"))
-    return rows.select(
-        "k1",
-        "k2",
-        F.xxhash64("host", "x.h").alias("line"),
-        F.col("x.h").alias("h"),
-        F.col("x.n").cast("long").alias("chars"),
-        F.coalesce(F.when(F.col("x.h") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0)).alias("other"),
-    )
+    rows = counts.select("k1", "k2", "host", F.xxhash64(hashes).alias("content"), F.explode("lines").alias("x"))
+    return rows.select("k1", "k2", F.xxhash64("host", "x.h").alias("line"), F.col("x.h").alias("h"), F.col("x.n").cast("long").alias("chars"), "content")
 
 
 def frequent_lines(counts: DataFrame, max_docs_per_host: int = MAX_DOCS_PER_HOST) -> DataFrame:
     """(line, documents): lines, by host, that more than ``max_docs_per_host`` distinct documents hold.
 
-    Documents that agree in the smallest hash of their other lines count once: copies and
-    near copies of one text are one document here (near-duplicate removal is their place).
-    A line is thus boilerplate because pages of different contents hold it; pages that
-    hold little else are then depleted by it.
+    Documents with the same set of normalised lines are copies and count once; documents
+    that differ in any line count each.
     """
-    return _line_rows(counts).groupBy("line").agg(F.countDistinct("other").alias("documents")).where(F.col("documents") > max_docs_per_host)
+    return _line_rows(counts).groupBy("line").agg(F.countDistinct("content").alias("documents")).where(F.col("documents") > max_docs_per_host)
 
 
 def verdicts(
