@@ -12,14 +12,18 @@ from wayline.llm import packing, pii, quality_classifier, quality_rules, simhash
 from wayline.plans.storage import load_table, materialize
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores below 0.7 go."""
     return quality_classifier.keep_good(docs, load_table(spark, sf_dir, "labels"))
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rule, or that boilerplate lines make up, go."""
-    return quality_rules.keep_good(docs)
+    """Documents that fail the base rule, or that boilerplate lines make up, go; the others lose these lines."""
+    return _counted(quality_rules.keep_clean(docs))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +35,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced; n_chars follows the new text."""
-    done = pii.pseudonymize(docs, found_col=None)
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done
+    return _counted(pii.pseudonymize(docs, found_col=None))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

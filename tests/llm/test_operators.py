@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -327,6 +328,17 @@ def test_frequent_lines_count_every_distinct_document(spark):
     assert sorted(r.documents for r in quality_rules.frequent_lines(counts).collect()) == [60] * 9
 
 
+def test_lines_above_limits_count_whatever_their_number(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    notice = "We use cookies to make this site work as well as it can for all of you"
+    docs = [(i, f"{notice}\n{name(i)}", "a") for i in range(30)]  # one line of boilerplate and next to nothing
+    docs += [(100 + i, "\n".join([notice, *(" ".join(f"w{name(i)}{name(j)}x{name(k)}" for k in range(12)) for j in range(5)), f"{i} {i + 7}"]), "a") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("n_chars", F.char_length("text").cast("long"))
+    got = {r.doc_id: r for r in corpus_pipeline.clean_lines(spark, df, "").collect()}
+    assert set(got) == {100 + i for i in range(30)}
+    assert all(got[i].text == t.removeprefix(notice + "\n") and got[i].n_chars == len(got[i].text) for i, t, _ in docs[30:])
+
+
 def test_quality_classifier(spark, odd, empty):
     rng = random.Random(2)
     good = lambda: " ".join(rng.choice(["the", "river", "stone", "walks", "under", "light", "of", "a"]) + ("." if k % 9 == 8 else "") for k in range(rng.randrange(40, 200)))

@@ -17,8 +17,6 @@ _WORD_GAP = r"[ \x09-\x0D]+"
 MAX_DOCS_PER_HOST = 20
 #: A document goes if less than this share of its line characters is left.
 LEAST_LEFT = 0.2
-#: Documents with fewer distinct lines show no pattern of boilerplate and stay.
-LEAST_LINES = 4
 
 
 def _blank(c: Column) -> Column:
@@ -26,8 +24,8 @@ def _blank(c: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    """Lower case; every run of other than letters is one space."""
-    return F.lower(F.regexp_replace(line, r"[^\p{L}]+", " "))
+    """Lower case; every run of other than letters is one space.  Lines without letters keep their characters, with single spaces."""
+    return F.when(line.rlike(r"\p{L}"), F.lower(F.regexp_replace(line, r"[^\p{L}]+", " "))).otherwise(F.btrim(F.regexp_replace(line, _WORD_GAP, " ")))
 
 
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -82,6 +80,28 @@ def frequent_lines(counts: DataFrame, max_docs_per_host: int = MAX_DOCS_PER_HOST
     return _line_rows(counts).groupBy("line").agg(F.countDistinct("content").alias("documents")).where(F.col("documents") > max_docs_per_host)
 
 
+def _key(id_col: str, text_col: str, host_col: str) -> list[Column]:
+    return [F.xxhash64(F.col(id_col).cast("long"), F.col(host_col).cast("string")), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs_per_host: int, least_left: float) -> DataFrame:
+    """:func:`verdicts` with ``gone``, the hashes of the document's lines above the limit (null if it has none)."""
+    counts = materialize(document_counts(docs, id_col, text_col, host_col), "counts")
+    frequent = frequent_lines(counts, max_docs_per_host).select("line")
+    # A line that occurs several times in a text is removed each time; repeated rows of one document are counted once.
+    each = _line_rows(counts).join(frequent, "line", "left_semi").groupBy("k1", "k2", "h").agg(F.sum("chars").alias("chars"))
+    copies = counts.groupBy("k1", "k2").agg(F.count("*").alias("rows"))
+    removed = each.groupBy("k1", "k2").agg(F.sum("chars").alias("removed_chars"), F.collect_list("h").alias("gone"))
+    per_key = copies.join(removed, ["k1", "k2"], "left").select("k1", "k2", (F.coalesce("removed_chars", F.lit(0)) / F.col("rows")).cast("long").alias("removed_chars"), "gone")
+    out = counts.select(
+        *["doc_id", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
+        ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
+        F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("line_chars"),
+    ).join(per_key, ["k1", "k2"])
+    depleted = F.col("line_chars") - F.col("removed_chars") < least_left * F.col("line_chars")
+    return out.withColumn("kept", ~(F.col("base_failed") | depleted))
+
+
 def verdicts(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -89,7 +109,6 @@ def verdicts(
     host_col: str = "source",
     max_docs_per_host: int = MAX_DOCS_PER_HOST,
     least_left: float = LEAST_LEFT,
-    least_lines: int = LEAST_LINES,
 ) -> DataFrame:
     """A row per input row: doc_id, keys k1 and k2, base counts, base_failed, line_chars, removed_chars, kept.
 
@@ -97,39 +116,42 @@ def verdicts(
     of its own; repeated rows get equal verdicts; an empty table gives an empty table;
     further columns are ignored.  Ties play no part: every rule is a count.
     """
-    counts = materialize(document_counts(docs, id_col, text_col, host_col), "counts")
-    frequent = frequent_lines(counts, max_docs_per_host).select("line")
-    # A line that occurs several times in a text is removed each time; repeated rows of one document are counted once.
-    each = _line_rows(counts).join(frequent, "line", "left_semi").groupBy("k1", "k2", "line").agg(F.sum("chars").alias("chars"), F.count("*").alias("n"))
-    copies = counts.groupBy("k1", "k2").agg(F.count("*").alias("rows"))
-    removed = each.groupBy("k1", "k2").agg(F.sum("chars").alias("removed_chars"), F.count("*").alias("removed_lines"))
-    per_key = copies.join(removed, ["k1", "k2"], "left").select("k1", "k2", (F.coalesce("removed_chars", F.lit(0)) / F.col("rows")).cast("long").alias("removed_chars"), F.coalesce("removed_lines", F.lit(0)).alias("removed_lines"))
-    out = counts.select(
-        *["doc_id", "k1", "k2", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"],
-        ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
-        F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"]).alias("line_chars"),
-    ).join(per_key, ["k1", "k2"])
-    depleted = (F.col("removed_lines") >= least_lines) & (F.col("line_chars") - F.col("removed_chars") < least_left * F.col("line_chars"))
-    return out.withColumn("kept", ~(F.col("base_failed") | depleted))
+    return _judged(docs, id_col, text_col, host_col, max_docs_per_host, least_left).drop("gone")
+
+
+def _without(text_col: str, gone: str) -> Column:
+    """The text without the lines whose hashes are in ``gone``; as it is where that is null."""
+    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: _blank(x) | ~F.array_contains(gone, F.xxhash64(_normal(x)))), "\n")
+    return F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(left)
 
 
 def remove_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs_per_host: int = MAX_DOCS_PER_HOST) -> DataFrame:
     """``docs`` with the lines above the limit taken out of the text; other columns and rows as they were (a null text stays null)."""
     counts = materialize(document_counts(docs, id_col, text_col, host_col), "counts")
     hits = _line_rows(counts).join(frequent_lines(counts, max_docs_per_host).select("line"), "line", "left_semi").groupBy("k1", "k2").agg(F.collect_set("h").alias("_gone"))
-    keyed = docs.withColumn("_k1", F.xxhash64(F.col(id_col).cast("long"), F.col(host_col).cast("string"))).withColumn("_k2", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    k1, k2 = _key(id_col, text_col, host_col)
+    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
     joined = keyed.join(hits, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
-    left = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: _blank(x) | ~F.array_contains("_gone", F.xxhash64(_normal(x)))), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)).select(*docs.columns)
+    return joined.withColumn(text_col, _without(text_col, "_gone")).select(*docs.columns)
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """The rows of ``docs`` that :func:`verdicts` keeps, with their columns."""
     bad = verdicts(docs, id_col, text_col, host_col, **limits).where(~F.col("kept")).select("k1", "k2").distinct()
-    k1, k2 = F.xxhash64(F.col(id_col).cast("long"), F.col(host_col).cast("string")), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    k1, k2 = _key(id_col, text_col, host_col)
     return docs.withColumn("_k1", k1).withColumn("_k2", k2).join(bad, (F.col("_k1") == bad.k1) & (F.col("_k2") == bad.k2), "left_anti").select(*docs.columns)
 
 
+def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs_per_host: int = MAX_DOCS_PER_HOST, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The rows that :func:`verdicts` keeps, with the lines above the limit taken out of their texts."""
+    judged = _judged(docs, id_col, text_col, host_col, max_docs_per_host, least_left).where(~F.col("kept") | F.col("gone").isNotNull())
+    # Rows of one key have equal verdicts and lines.
+    marks = judged.groupBy("k1", "k2").agg(F.bool_and("kept").alias("_kept"), F.first("gone").alias("_gone"))
+    k1, k2 = _key(id_col, text_col, host_col)
+    joined = docs.withColumn("_k1", k1).withColumn("_k2", k2).join(marks, (F.col("_k1") == marks.k1) & (F.col("_k2") == marks.k2), "left")
+    return joined.where(F.coalesce("_kept", F.lit(True))).withColumn(text_col, _without(text_col, "_gone")).select(*docs.columns)
+
+
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
