@@ -242,6 +242,21 @@ def test_pii(spark):
     assert pii.pseudonymize(docs.limit(0)).count() == 0
 
 
+def test_pii_beside_other_words(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    key_ = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab3/" * 5000 + "\n-----END RSA PRIVATE KEY-----"
+    cases = [
+        (f"{card} 12/25", "card", " 12/25"), (f"{card} 123", "card", " 123"), (f"{card} 123 212 555-0100", "card,phone", " 123 "), (f"no 12 {card} end", "card", " end"), (f"{iban} BIC", "iban", " BIC"),
+        (f"{iban} 7034 I", "iban", " 7034 I"), (f"AB12 {iban} X", "iban", " X"), (f"AB12 {card} X", "card", " X"), (f"{card} 212.555.0100", "card,phone", " "), ("on 25/12/2020 ok", "date", " ok"),
+        (f"a {key_} b", "private_key", " b"), (f"\ufdd0\ufdd1\ufdd3 {card} \ufdd2\ufdd1 5", "card", " \ufdd2\ufdd1 5"), (f"{card} {card}", "card,card", " "), ("1 2 3 4 5 6 7 8 9 " * 2000, "", ""), (f"+44 {card}", "card", ""),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    for i, (t, kinds, rest) in enumerate(cases):
+        assert ",".join(x.kind for x in got[i].pii) == kinds, t[:80]
+        assert rest in got[i].text and card not in got[i].text and iban not in got[i].text and "Ab3/" not in got[i].text
+    assert re.fullmatch(r"on \d\d/\d\d/\d{4} ok", got[9].text) and got[13].text == cases[13][0] and got[11].text.startswith("\ufdd0\ufdd1\ufdd3 4")
+
+
 def test_feistel_is_a_permutation(spark):
     for a, b in ((189, 773), (1, 97), (10, 10), (100, 1000)):
         n = a * b

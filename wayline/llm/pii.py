@@ -1,7 +1,9 @@
 """Personal data: validated numbers and dates become keyed permutations of their own format.
 
 One alternation finds candidates; each is validated by its kind's rules (check digits,
-ranges, calendar) and left alone if it fails.  The digits of a valid one name a number of
+ranges, calendar) and left alone if it fails.  Cards and IBANs have other digits or words
+beside them, so runs of words are searched for the valid ones and these are marked first.
+The digits of a valid one name a number of
 a domain Z_a x Z_b (all valid dates of 400 years, all North American phone numbers, ...),
 which an unbalanced Feistel network with a keyed round function permutes; the result is
 written in the same format, with check digits renewed.  Equal values thus have equal
@@ -22,7 +24,7 @@ DEFAULT_KEY = "wayline-example-key"
 _L, _R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Kinds in the order in which the alternation tries them.
 PATTERNS = {
-    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[\s\S]{0,8000}?-----END [A-Z ]{0,30}PRIVATE KEY-----",
+    "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^\-]++|-(?!----END [A-Z ]{0,30}PRIVATE KEY-----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{8,}",
     "token": _L + r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_\-]{12,}|xox[a-z]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})" + _R,
@@ -34,7 +36,24 @@ PATTERNS = {
     "intl_phone": r"(?<![\p{L}\p{N}+])\+[1-9]\d{0,2}(?:[ .\-]?\(?\d{2,4}\)?){2,5}(?![\p{L}\p{N}]|-\d)",
     "card": r"(?<![\p{L}\p{N}\-])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}]|-\d)",
 }
-ANY = "|".join(PATTERNS.values())
+#: Words of digits, or from the start of an IBAN on, with single separators: cards and IBANs are windows of them.
+_END = r"(?![\p{L}\p{N}])"
+RUNS = {
+    "iban": _L + rf"[A-Z]{{2}}\d{{2}}[A-Z0-9]*+{_END}(?:[ \-][A-Z0-9]++{_END})*+",
+    "card": rf"(?<![\p{{L}}\p{{N}}\-])(?=\d(?:[ \-]?\d){{12}})\d++{_END}(?:[ \-]\d++{_END})*+",
+}
+#: Stands before and after each card and IBAN found in a run; a noncharacter, and escaped where a text holds it.
+MARK, _ESCAPE, _SELF, _MARKED = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3"
+FIRST = "|".join((PATTERNS | RUNS).values())
+ANY = "|".join([f"{MARK}[A-Z0-9 \\-]+{MARK}", *[p for k, p in PATTERNS.items() if k not in RUNS]])
+_CARD, _IBAN = r"^\d(?:[ \-]?\d){12,18}$", r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"
+#: Printed cards have words of four digits or more, but for the last.
+_PRINTED = r"^(?:\d{4,}[ \-])*\d+$"
+#: Other kinds that a run's words can form; cards don't start within them.
+_OTHER = r"^(?:\d{4}-\d{2}-\d{2}|\d{3}-\d{2}-\d{4}|[2-9]\d{2}[ \-][2-9]\d{2}[ \-]\d{4})$"
+_MOST_WORDS = 19
+#: A match of the first search that may hold cards or IBANs among other words.
+_IN_RUN = r"^(?=[\s\S]{13})(?=(?:\D{0,3}\d){13}|[A-Z]{2}\d{2})\+?[A-Z0-9]+(?:[ .\-]?[A-Z0-9()]+)*+$"
 #: A text without any of these holds no candidate.
 HINT = r"[0-9@]|PRIVATE KEY|(?i:passw|pwd|secret|token|api|access)"
 _DAYS_A, _DAYS_B, _EPOCH = 189, 773, "1800-01-01"  # 189 * 773 days are the 400 years from then
@@ -98,34 +117,82 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.filter(F.split(s, ""), lambda c: c != ""), F.lit(0), lambda r, c: F.when(value(c) > 9, (r * 100 + value(c)) % 97).otherwise((r * 10 + value(c)) % 97))
 
 
+def _month_first(m: Column) -> Column:
+    return F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)).try_cast("date")
+
+
 def _date_of(m: Column) -> Column:
+    """Slashes are read month first and, if that is no date, day first."""
     iso = F.when(m.rlike(r"^\d{4}"), F.concat_ws("-", F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2)))
-    us = F.when(m.contains("/"), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)))
-    return F.coalesce(iso, us, F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2))).try_cast("date")
+    us = F.when(m.contains("/"), _month_first(m))
+    day_first = F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)).try_cast("date")
+    return F.when(iso.isNotNull(), iso.try_cast("date")).otherwise(F.coalesce(us, day_first))
 
 
 def _whole(pattern: str) -> str:
     return rf"^(?:{pattern})$"
 
 
+def _valid_iban(m: Column) -> Column:
+    letters = F.regexp_replace(m, " ", "")
+    return _mod97(F.concat(F.substr(letters, F.lit(5)), F.substring(letters, 1, 4))) == 1
+
+
+def _valid_card(m: Column) -> Column:
+    d = _digits(m)
+    return (_luhn_sum(d, False) % 10 == 0) & ~d.rlike("^0+$")
+
+
+def _mark(x: Column) -> Column:
+    """A run with marks around its valid cards and IBANs: at each word the longest, else the next word is tried.
+
+    Of cards, all windows of words that a card may be printed in count, and the longest
+    window from where the last one failed, however its digits are grouped.
+    """
+    words = F.split(x, r"(?<=[ \-])")
+
+    def step(s: Column, i: Column) -> Column:
+        def window(j: Column) -> Column:
+            return F.regexp_replace(F.array_join(F.slice(s["w"], i + 1, j - i + 1), ""), r"[ \-]$", "")
+
+        start = F.get(s["w"], i)
+        ends = F.transform(F.sequence(i, F.least(i + _MOST_WORDS - 1, F.size(s["w"]) - 1)), lambda j: F.struct(j.alias("j"), window(j).alias("t")))
+        fits = F.filter(ends, lambda e: e["t"].rlike(_IBAN) | e["t"].rlike(_CARD) | e["t"].rlike(_OTHER))
+        longest = F.array_max(F.transform(F.filter(fits, lambda e: e["t"].rlike(_CARD)), lambda e: e["j"]))
+        good = F.filter(
+            fits,
+            lambda e: F.when(e["t"].rlike(_OTHER), True).when(e["t"].rlike(_CARD), (e["t"].rlike(_PRINTED) | ((i >= s["chunk"]) & (e["j"] == longest))) & _valid_card(e["t"])).otherwise(_valid_iban(e["t"])),
+        )
+        best = F.element_at(good, -1)
+        chunk = F.when(i >= s["chunk"], F.coalesce(longest + 1, i + 1)).otherwise(s["chunk"])
+        plain = F.struct(s["w"].alias("w"), F.concat(s["out"], start).alias("out"), (i + 1).alias("next"), chunk.alias("chunk"))
+        taken = F.array_join(F.slice(s["w"], i + 1, best["j"] - i + 1), "")
+        gap = F.substr(taken, F.length(best["t"]) + 1)
+        whole = F.when(best["t"].rlike(_OTHER), taken).otherwise(F.concat(F.lit(MARK), best["t"], F.lit(MARK), gap))
+        found = F.struct(s["w"].alias("w"), F.concat(s["out"], whole).alias("out"), (best["j"] + 1).alias("next"), (best["j"] + 1).alias("chunk"))
+        return F.when(i < s["next"], s).when(~start.rlike(r"^(?:\d|[A-Z]{2}\d{2})") | (F.size(good) == 0), plain).otherwise(found)
+
+    begin = F.struct(words.alias("w"), F.lit("").alias("out"), F.lit(0).alias("next"), F.lit(0).alias("chunk"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), begin, step, lambda s: s["out"])
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a candidate that is valid, else null."""
     d = _digits(m)
     octets = F.transform(F.split(m, r"\."), lambda o: o.cast("int"))
-    letters = F.regexp_replace(m, " ", "")
     day = F.datediff(_date_of(m), F.lit(_EPOCH).cast("date"))
     return (
         F.when(m.startswith("-----BEGIN"), "private_key")
         .when(m.contains("@") & m.rlike(_whole(PATTERNS["email"])), "email")
         .when(m.rlike(_whole(PATTERNS["secret"])), "secret")
         .when(m.rlike(_whole(PATTERNS["token"])), "token")
-        .when(m.rlike(_whole(PATTERNS["iban"])), F.when(_mod97(F.concat(F.substr(letters, F.lit(5)), F.substring(letters, 1, 4))) == 1, "iban"))
+        .when(m.rlike(_whole(PATTERNS["iban"])), F.when(_valid_iban(m), "iban"))
         .when(m.rlike(_whole(PATTERNS["date"])), F.when((day >= 0) & (day < _DAYS_A * _DAYS_B), "date"))
         .when(m.rlike(_whole(PATTERNS["ip"])), F.when(F.forall(octets, lambda o: o <= 255), "ip"))
         .when(m.rlike(_whole(PATTERNS["ssn"])), F.when(~d.rlike(r"^(?:000|666|9)|^\d{3}00|0000$"), "ssn"))
         .when(m.rlike(_whole(PATTERNS["phone"])), "phone")
         .when(m.rlike(_whole(PATTERNS["intl_phone"])), F.when(F.length(d).between(8, 15), "intl_phone"))
-        .when(m.rlike(_whole(PATTERNS["card"])), F.when((_luhn_sum(d, False) % 10 == 0) & ~d.rlike("^0+$"), "card"))
+        .when(m.rlike(_whole(PATTERNS["card"])), F.when(_valid_card(m), "card"))
     )
 
 
@@ -152,7 +219,7 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
     ip = F.concat_ws(".", *[(F.floor(i / 256**k) % 256).cast("string") for k in (3, 2, 1, 0)])
     day = F.date_add(F.lit(_EPOCH).cast("date"), feistel(key, "date", F.datediff(_date_of(m), F.lit(_EPOCH).cast("date")).cast("long"), _DAYS_A, _DAYS_B).cast("int"))
     y, mo, da = F.lpad(F.year(day).cast("string"), 4, "0"), F.lpad(F.month(day).cast("string"), 2, "0"), F.lpad(F.day(day).cast("string"), 2, "0")
-    date = F.when(m.rlike(r"^\d{4}-"), F.concat_ws("-", y, mo, da)).when(m.rlike(r"^\d{4}/"), F.concat_ws("/", y, mo, da)).when(m.contains("/"), F.concat_ws("/", mo, da, y)).otherwise(F.concat_ws(".", da, mo, y))
+    date = F.when(m.rlike(r"^\d{4}-"), F.concat_ws("-", y, mo, da)).when(m.rlike(r"^\d{4}/"), F.concat_ws("/", y, mo, da)).when(m.contains("/"), F.when(_month_first(m).isNotNull(), F.concat_ws("/", mo, da, y)).otherwise(F.concat_ws("/", da, mo, y))).otherwise(F.concat_ws(".", da, mo, y))
     # IBANs: the last digits of the account, 18 at most, are permuted; letters and bank stay; check digits are renewed.
     plain = F.regexp_replace(m, " ", "")
     account = F.substr(plain, F.lit(5))
@@ -195,12 +262,21 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     if found_col in docs.columns:
         raise ValueError(f"{found_col} is a column already")
     t, m, f = "_wl_text", "_wl_found", "_wl_pairs"
-    hit = docs.withColumn(t, F.col(text_col).cast("string")).withColumn(m, F.when(F.col(t).rlike(HINT), F.regexp_extract_all(t, F.lit(ANY), 0)))
-    named = hit.withColumn(f, F.when(F.size(m) > 0, F.transform(m, lambda x: F.struct(x.alias("m"), kind_of(x).alias("kind")))))
+    text = F.col(text_col).cast("string")
+    swap = lambda c, *pairs: swap(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else c
+    hit = docs.withColumn(t, F.when(text.rlike(f"[{MARK}{_ESCAPE}]"), swap(text, (_ESCAPE, _ESCAPE + _SELF), (MARK, _ESCAPE + _MARKED))).otherwise(text))
+    runs = hit.withColumn(m, F.when(F.col(t).rlike(HINT), F.regexp_extract_all(t, F.lit(FIRST), 0)))
+    runs = runs.withColumn("_wl_parts", F.when(F.exists(m, lambda x: x.rlike(_IN_RUN)), F.split(t, FIRST, -1)))
+    marked = F.concat(F.array_join(F.zip_with(F.slice("_wl_parts", 1, F.size(m)), m, lambda p, x: F.concat(p, F.when(x.rlike(_IN_RUN), _mark(x)).otherwise(x))), ""), F.element_at("_wl_parts", -1))
+    runs = runs.withColumn(t, F.when(F.col("_wl_parts").isNotNull(), marked).otherwise(F.col(t)))
+    hit = runs.withColumn(m, F.when(F.size(m) > 0, F.regexp_extract_all(t, F.lit(ANY), 0)))
+    clean = lambda x: F.replace(x, F.lit(MARK), F.lit(""))
+    named = hit.withColumn(f, F.when(F.size(m) > 0, F.transform(F.transform(m, clean), lambda x: F.struct(x.alias("m"), kind_of(x).alias("kind")))))
     valued = named.withColumn(f, F.transform(f, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["m"]).otherwise(pseudonym(key, x["m"], x["kind"])).alias("pseudonym"))))
     parts = valued.withColumn("_wl_parts", F.when(F.col(f).isNotNull(), F.split(t, ANY, -1)))
     joined = F.concat(F.array_join(F.zip_with(F.slice("_wl_parts", 1, F.size(f)), f, lambda p, x: F.concat(p, x["pseudonym"])), ""), F.element_at("_wl_parts", -1))
-    out = parts.withColumn(text_col, F.when(F.col(f).isNull(), F.col(text_col)).otherwise(joined))
+    back = F.when(joined.contains(_ESCAPE), swap(clean(joined), (_ESCAPE + _MARKED, MARK), (_ESCAPE + _SELF, _ESCAPE))).otherwise(clean(joined))
+    out = parts.withColumn(text_col, F.when(F.col(f).isNull(), F.col(text_col)).otherwise(back))
     if found_col:
         out = out.withColumn(found_col, F.coalesce(F.filter(f, lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,pseudonym:string>>")))
     return out.drop(t, m, f, "_wl_parts")
