@@ -27,10 +27,12 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; ids are unique here."""
-    groups = simhash.near_duplicate_groups(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates one row stays, that of the smallest id (null ids last); rows that tie are told apart by a number."""
+    rows = materialize(docs.withColumn("_uid", F.monotonically_increasing_id()), "numbered")
+    groups = simhash.near_duplicate_groups(rows, id_col="_uid").select(F.col("doc_id").alias("_uid"), "component_id")
+    ids = rows.select("_uid", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_uid").alias("place"))
+    kept = groups.join(ids, "_uid").groupBy("component_id").agg(F.min("place").alias("place")).select("place._uid")
+    return rows.join(kept, "_uid", "left_semi").select(*docs.columns)
 
 
 def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

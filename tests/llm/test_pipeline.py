@@ -31,3 +31,13 @@ def test_stages(spark, tmp_path):
     assert all(last[i] == clean[i] for i in range(120)) and "some.one@mail3" not in str(last.values())
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p.doc_id for p in pieces} == set(last) and all(p.length > 0 for p in pieces)
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(3)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(90))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (7, b), (5, b), (9, c), (9, c), (9, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (5, b), (9, c), (9, d)], key=str)
