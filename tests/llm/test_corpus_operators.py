@@ -385,62 +385,72 @@ def test_pool_violators():
     assert quality_classifier.pool_violators(np.array([0.0, 1.0, 0.0, 1.0]), np.array([1, 1, 1, 2])).tolist() == [0, 0.5, 0.5, 1]
 
 
-def brute_ppm(train, words):
-    """log10 probabilities by the definition: whole word so far (to DEPTH), two, one, none, even."""
-    S, counts = language_model.S, [collections.defaultdict(collections.Counter) for _ in range(4)]
-    sym = lambda w: [language_model.END] if w == b"\n" else [*w, language_model.SPACE]
-    for w, n in train.items():
-        past = [language_model.SPACE] * 2
-        for d, x in enumerate(sym(w)):
-            if d <= language_model.DEPTH:
-                counts[0][tuple(past[2:])][x] += n
-            for k in (2, 1, 0):
-                counts[3 - k][tuple(past[len(past) - k :])][x] += n
-            past.append(x)
-    out = {}
-    for w in words:
-        total, past = 0.0, [language_model.SPACE] * 2
-        for d, x in enumerate(sym(w)):
-            p, reach, gone = 0.0, 1.0, set()
-            chain = ([counts[0].get(tuple(past[2:]))] if d <= language_model.DEPTH else []) + [counts[3 - k].get(tuple(past[len(past) - k :])) for k in (2, 1, 0)]
-            for c in chain:
-                c = {s: n for s, n in (c or {}).items() if s not in gone}
-                if not c:
-                    continue
-                n, full = sum(c.values()), len(c) + len(gone) == S
-                if x in c:
-                    p, reach = reach * (c[x] - (0 if full else 0.5)) / n, 0.0
+def brute_ppm(train, texts, order):
+    """log10 probabilities of whole texts by the definition: escapes of method D from the longest context down, with exclusion."""
+    counts = collections.defaultdict(collections.Counter)
+    stream = lambda t: ["start"] * order + [*(t or "").encode().lower(), "end"]
+    for t in train:
+        s = stream(t)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[tuple(s[i - k : i])][s[i]] += 1
+    out = []
+    for t in texts:
+        s, total = stream(t), 0.0
+        for i in range(order, len(s)):
+            p, gone = 1.0, set()
+            for k in range(order, -1, -1):
+                c = {x: n for x, n in counts.get(tuple(s[i - k : i]), {}).items() if x not in gone}
+                n, full = sum(c.values()), len(c) + len(gone) == 257
+                if s[i] in c:
+                    p *= (c[s[i]] - (0 if full else 0.5)) / n
                     break
-                reach *= 0 if full else len(c) / (2 * n)
-                gone |= set(c)
-            total += math.log10(p or reach / (S - len(gone)))
-            past.append(x)
-        out[w] = total
+                if c:
+                    p *= len(c) / (2 * n)
+                    gone |= set(c)
+            else:
+                p /= 257 - len(gone)
+            total += math.log10(p)
+        out.append(total)
     return out
 
 
-@pytest.mark.parametrize("block,hot", [(20_000, 1 << 17), (3, 2)])
-def test_language_model(spark, odd, empty, monkeypatch, block, hot):
+@pytest.mark.parametrize("order,block,hot", [(5, 500_000, 1 << 17), (5, 300, 40), (3, 1, 0), (6, 1000, 1000)])
+def test_language_model(spark, odd, empty, monkeypatch, order, block, hot):
     monkeypatch.setattr(language_model, "BLOCK", block)
-    texts = [t for t in ODD if t != LONG] + ["The cat sat on the mat and the cart", "a longerthantwelvesymbols longerthantwelvesymbolz", "zebra"] * 4
+    monkeypatch.setattr(language_model, "RUN", block)
+    texts = [t for t in ODD if t != LONG] + ["The cat sat on the mat and the cart", "a longerthantwelvesymbols longerthantwelvesymbolz", "zebra", "\x00\x01 the cat"] * 4
     data = rows(texts)
-    got = language_model.score_documents(spark.createDataFrame(data, COLUMNS), hot_words=hot).collect()
+    got = language_model.score_documents(spark.createDataFrame(data, COLUMNS), order=order, hot_words=hot, hot_strings=hot).collect()
     split = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     train = collections.Counter(w for x in data if not out(x[0]) for w in split(x[1]))
     n, v = sum(train.values()), len(train)
-    logp = brute_ppm(train, {w for x in data for w in split(x[1])})
+    logp = brute_ppm([x[1] for x in data if not out(x[0])], [x[1] for x in data], order)
     expected = []
-    for x in data:
+    for x, p in zip(data, logp):
         w = split(x[1])
-        expected.append((x[0], out(x[0]), len(w), sum(train[t] > 0 for t in w), n, round(sum(math.log10((train[t] + 0.5) / (n + 0.5 * (v + 1))) for t in w), 6), round(sum(logp[t] for t in w), 3)))
-    same([(*r[:5], round(r.base_score, 6), round(r.score, 3)) for r in got], expected)
+        expected.append((x[0], out(x[0]), len(w), sum(train[t] > 0 for t in w), n, round(sum(math.log10((train[t] + 0.5) / (n + 0.5 * (v + 1))) for t in w), 6), round(p, 5)))
+    same([(*r[:5], round(r.base_score, 6), round(r.score, 5)) for r in got], expected)
     assert language_model.score_documents(empty).count() == 0
 
 
+def test_language_model_knows_the_order_of_words(spark):
+    docs = [(i, "the cat sat on the mat") for i in range(60)] + [(100, "the mat on sat cat the"), (101, None)]
+    got = {r.doc_id: r.score for r in language_model.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] > got[100] + 5
+    alone = language_model.score_documents(spark.createDataFrame([(1, "ab")], "doc_id long, text string"), held_out=zlib.crc32(b"1") % 5).first()
+    assert abs(alone.score + 3 * math.log10(257)) < 1e-9 and alone.train_tokens == 0
+
+
 def test_symbols_sum_to_one():
+    """Over all symbols that can follow, in contexts met and not met, also where all 257 symbols have been."""
     rng = np.random.default_rng(1)
-    codes = np.unique(rng.integers(97, 103, (300, 3)) @ np.array([257 * 257, 257, 1]))
-    short = language_model.ShortContexts(codes, np.ones(len(codes)) * 3)
-    for context in (97 * 257 + 98, 5 * 257 + 97, 0):
-        assert abs((10 ** short.log10(np.full(257, context), np.arange(257))).sum() - 1) < 1e-6
+    for low, high, n in ((97, 103, 3000), (0, 257, 60_000)):
+        x = rng.integers(low, high, n)
+        code = language_model.strings(x, 3)
+        keys, counts = np.unique(code, return_counts=True)
+        trie = language_model.levels(keys, counts, 3, 0)
+        for context in [*(keys[::997] >> 9), 5 << 18 | 97 << 9 | 98, 300]:
+            p = language_model.log10_probabilities((int(context) << 9) + np.arange(257), 3, trie)
+            assert abs((10**p).sum() - 1) < 1e-9

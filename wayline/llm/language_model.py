@@ -1,19 +1,23 @@
 """Language-model scores: prediction by partial matching over bytes, and a word-count base.
 
-A text is a sequence of words and one end.  The byte model is a context trie, learned from
-the words of all training texts and their counts: every symbol of a word (its bytes, then
-a space; the end is a symbol of its own) is predicted from the whole word so far, up to
-DEPTH symbols.  A symbol that this context has not seen is reached by an escape (method D:
-half a count of every distinct symbol) to the context of the last two symbols, then one, then none,
-and last an even share; the symbols of each longer context are excluded from the shorter
-ones.  Code lengths add up over the words of a document.
-
-The trie grows with the corpus, so it is never in one place.  Distinct words are sorted
-over the cluster into blocks of neighbours; a block holds all counts of the contexts that
-begin only its words, and is joined with those of the few it shares with other blocks.
-Only the contexts of two symbols (at most 257 ** 3 counts) and a fixed number of most
-frequent words are sent to all tasks; the other words of a document meet their counts and
-code lengths in a join.
+The byte model reads a whole text as a stream of symbols: its lower-cased bytes and one end.
+ORDER symbols in front of the text stand for its start.  Each symbol is predicted from the
+last ORDER symbols; if that context has not been followed by it in training, an escape
+leads to the context without its farthest symbol, and so on down to none and to an even
+share of the symbols never met.  Escapes are estimated by method D (each distinct symbol
+that can still occur gives up half a count); symbols of a longer context are excluded from
+the shorter ones.
+
+Whatever follows a context also follows its suffixes, so the symbols excluded at a context
+are just those of the context one longer.  A symbol's probability thus depends on counts of
+its context and suffixes alone, and each distinct string of ORDER + 1 symbols is scored
+once.  Strings are numbers whose leading digits are the nearest symbols: sorted, they are
+the leaves of the context trie.  They are counted over the cluster and dealt by the three
+nearest symbols, so that a task holds every context of three symbols or more that it needs
+(at most 257 ** 3 strings share three symbols); contexts of up to two symbols have at most
+258 ** 2 * 257 counts together and are sent to all tasks.  The most frequent strings, a
+fixed number, are scored from tables that all tasks hold; the others meet their scores in
+a shuffle by the string's hash, in packed runs of many strings a row.
 """
 
 from __future__ import annotations
@@ -22,38 +26,67 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wayline.llm.quality_classifier import fold
 from wayline.llm.tokens import steps
 from wayline.plans.storage import materialize
 
-S = 257
-SPACE, END = 32, 256
+#: Symbols of the longest contexts; 6 at most, as a string of order + 1 symbols is one 64-bit number.
+ORDER = 5
+BITS = 9
+SYMBOLS = 257  # bytes and the end; the start is never predicted
+END, START = 256, 257
 #: The end of a text as an entry among the words; no word holds white space.
 END_WORD = b"\n"
-#: Symbols of a word so far that can be a context; later symbols of longer words start at two symbols.
-DEPTH = 12
-#: Neighbouring words of a block.
-BLOCK = 20_000
-#: Most frequent words whose counts and code lengths all tasks hold; the others are joined.
+#: Most frequent words and strings of symbols that all tasks hold; the others are joined.
 HOT_WORDS = 1 << 17
-#: Distinct words that a task counts before it hands them on.
+HOT_STRINGS = 1 << 20
+#: Distinct words, and strings, that a task counts before it hands them on.
 FLUSH = 150_000
+FLUSH_STRINGS = 3_000_000
+#: Strings scored at once (whole contexts of three symbols), strings of a lookup bucket, and of a packed row.
+BLOCK = 500_000
+BUCKET = 1_000_000
+RUN = 4096
 
 
-def _words(text: str | None) -> Counter:
+# -- symbols and strings
+
+
+def symbol_rows(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as one stream of symbols, each behind ``order`` starts, and where each begins (at its first start)."""
+    lower = [(t or b"").lower() for t in texts]
+    gap = bytes(order)
+    x = np.frombuffer(gap + (b"\0" + gap).join(lower) + b"\0", np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, lower), np.int64, len(lower)) + order + 1
+    begin = np.cumsum(size) - size
+    x[begin + size - 1] = END
+    x[(begin[:, None] + np.arange(order)).ravel()] = START
+    return x, begin
+
+
+def strings(x: np.ndarray, order: int) -> np.ndarray:
+    """The string that ends at each symbol from the ``order``-th on: nearest symbol of the context first, the symbol itself last."""
+    n = len(x) - order
+    code = x[order - 1 : order - 1 + n] << BITS * order
+    for j in range(2, order + 1):
+        code |= x[order - j : order - j + n] << BITS * (order + 1 - j)
+    code |= x[order:]
+    return code
+
+
+# -- words
+
+
+def _words(text: bytes | None) -> Counter:
     """The lower-cased words of a text, and its end, with their counts."""
-    c = Counter((text or "").encode("utf-8", "surrogatepass").lower().split())
+    c = Counter((text or b"").lower().split())
     c[END_WORD] = 1
     return c
 
 
-def _symbols(word: bytes) -> np.ndarray:
-    return np.array([END], np.int64) if word == END_WORD else np.append(np.frombuffer(word, np.uint8).astype(np.int64), SPACE)
-
-
 def count_words(docs: DataFrame) -> DataFrame:
     """``docs``: (text, learn).  (word, n, n_all): its count in texts to learn from, and in all."""
 
@@ -79,168 +112,284 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word binary, n long, n_all long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
-def count_triples(words: DataFrame) -> DataFrame:
-    """(code, n): how often a symbol follows two others (spaces stand before a word), over all training words."""
+# -- counts of strings
+
+
+def _add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    at = np.argsort(keys, kind="stable")
+    keys, counts = keys[at], counts[at]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(counts, first)
+
+
+def _near(code: Column, order: int, symbols: int) -> Column:
+    """The nearest symbols of a string's context, as a number."""
+    return F.shiftright(code, BITS * (order + 1 - symbols))
+
+
+def count_strings(docs: DataFrame, order: int) -> DataFrame:
+    """``docs``: (text binary, learn).  (near, code, n, n_all) of every distinct string of order + 1 symbols; near: its three nearest."""
 
     def run(batches):
-        for b in batches:
-            words, counts = b.column(0).to_pylist(), b.column(1).to_numpy()
-            flat = [_symbols(w) for w in words]
-            code = np.concatenate([_triples(x) for x in flat]) if flat else np.zeros(0, np.int64)
-            n = np.repeat(counts, [len(x) for x in flat])
-            keys, at = np.unique(code, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, weights=n).astype(np.int64))], names=["code", "n"])
-
-    return words.where("n > 0").select("word", "n").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def _triples(symbols: np.ndarray) -> np.ndarray:
-    x = np.concatenate(([SPACE, SPACE], symbols))
-    return (x[:-2] * S + x[1:-1]) * S + x[2:]
-
-
-class ShortContexts:
-    """Probabilities after the last two symbols, by escapes and exclusion down to an even share."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        context, symbol = codes // S, codes % S
-        self.seen = np.unique(context)
-        self.counts = np.zeros((len(self.seen) + 1, S), np.float32)  # the last row: a context not seen
-        self.counts[np.searchsorted(self.seen, context), symbol] = counts
-        self.one = np.zeros((S, S))
-        np.add.at(self.one, (context % S, symbol), counts)
-        self.zero = self.one.sum(axis=0)
-
-    def log10(self, context: np.ndarray, symbol: np.ndarray, excluded: list[list[int]] | None = None) -> np.ndarray:
-        """For each place: its context of two as a number, its symbol, and symbols that can't occur there."""
-        out = np.empty(len(context))
-        for at in range(0, len(context), 1024):
-            c, rows = context[at : at + 1024], np.arange(len(context[at : at + 1024]))
-            open_ = np.ones((len(c), S), bool)
-            if excluded is not None:
-                for r, e in enumerate(excluded[at : at + 1024]):
-                    open_[r, e] = False
-            place = np.searchsorted(self.seen, c)
-            place = np.where((place < len(self.seen)) & (self.seen[np.minimum(place, len(self.seen) - 1)] == c) if len(self.seen) else np.zeros(len(c), bool), place, len(self.seen))
-            p = self._mix([self.counts[place].astype(np.float64), self.one[c % S], np.broadcast_to(self.zero, (len(c), S))], open_)
-            out[at : at + len(c)] = np.log10(p[rows, symbol[at : at + 1024]])
-        return out
-
-    @staticmethod
-    def _mix(levels: list[np.ndarray], open_: np.ndarray) -> np.ndarray:
-        """Rows of contexts, longest first; ``open_``: the symbols that can occur."""
-        p, reach = np.zeros(open_.shape), np.ones((len(open_), 1))
-        for counts in levels:
-            c = np.where(open_, counts, 0.0)
-            n, q = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-            left = open_.sum(axis=1, keepdims=True) - q
-            # A context without open counts passes on; one that has seen all open symbols has nothing to escape to.
-            least = np.where(left > 0, 0.5, 0.0)
-            p += np.where(c > 0, reach * (c - least) / np.maximum(n, 1), 0.0)
-            reach = reach * np.where(n > 0, least * q / np.maximum(n, 1), 1.0)
-            open_ = open_ & (c == 0)
-        return p + np.where(open_, reach / np.maximum(open_.sum(axis=1, keepdims=True), 1), 0.0)
-
-
-def _contexts(word: bytes):
-    """(context, symbol) of the places of a word that the trie covers."""
-    if word == END_WORD:
-        return [(b"", END)]
-    return [(word[:d], word[d] if d < len(word) else SPACE) for d in range(min(len(word), DEPTH) + 1)]
-
-
-def _shared(words: list[bytes]) -> set[bytes]:
-    """Contexts that a block can share with its neighbours: those of its first and last word."""
-    return {b""} | {w[:d] for w in (words[0], words[-1]) if w != END_WORD for d in range(min(len(w), DEPTH) + 1)}
-
-
-def _count_contexts(words, counts, only: set[bytes] | None = None) -> dict[bytes, dict[int, int]]:
-    found: dict[bytes, dict[int, int]] = {}
-    for w, n in zip(words, counts):
-        if n:
-            for c, x in _contexts(w):
-                if only is None or c in only:
-                    at = found.setdefault(c, {})
-                    at[x] = at.get(x, 0) + n
-    return found
-
-
-def score_block(words: list[bytes], counts: list[int], shared: dict[bytes, dict[int, int]], short: ShortContexts) -> np.ndarray:
-    """log10 probability of each word and its space; ``shared``: whole counts of the contexts shared with other blocks."""
-    trie = _count_contexts(words, counts) | shared
-    sums = {c: (sum(x.values()), len(x)) for c, x in trie.items()}
-    out = np.zeros(len(words))
-    owner, context, symbol, excluded = [], [], [], []
-    for k, w in enumerate(words):
-        places = _contexts(w)
-        for c, x in places:
-            at = trie.get(c)
-            if at is not None:
-                n, q = sums[c]
-                if (m := at.get(x)) is not None:
-                    out[k] += np.log10((2 * m - 1) / (2 * n) if q < S else m / n)
+        held = {True: [], False: []}
+
+        def merged(learn):
+            keys, counts = _add_up(*map(np.concatenate, zip(*held[learn])))
+            held[learn] = [(keys, counts)]
+            return keys, counts
+
+        def rows(learn):
+            keys, counts = merged(learn)
+            held[learn] = []
+            for at in range(0, len(keys), 100_000):
+                n = pa.array(counts[at : at + 100_000])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), n if learn else pa.array(np.zeros(len(n), np.int64)), n], names=["code", "n", "n_all"])
+
+        for b in steps(batches, 0):
+            learns = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = b.column(0).to_pylist()
+            for learn in (True, False):
+                mine = [t for t, y in zip(texts, learns.tolist()) if y == learn]
+                if not mine:
                     continue
-                out[k] += np.log10(q / (2 * n))
-            two = (b"  " + c)[-2:]
-            owner.append(k), context.append(two[0] * S + two[1]), symbol.append(x), excluded.append(list(at) if at is not None else [])
-        if len(w) > DEPTH and w != END_WORD:
-            rest = _triples(_symbols(w))[len(places) :]
-            for code in rest.tolist():
-                owner.append(k), context.append(code // S), symbol.append(code % S), excluded.append([])
-    if owner:
-        np.add.at(out, np.array(owner), short.log10(np.array(context), np.array(symbol), excluded))
+                x, _ = symbol_rows(mine, order)
+                code = strings(x, order)
+                keys, counts = np.unique(code[x[order:] != START], return_counts=True)
+                held[learn].append((keys, counts.astype(np.int64)))
+                if len(held[learn]) > 1 and sum(len(k) for k, _ in held[learn][1:]) > FLUSH_STRINGS and len(merged(learn)[0]) > FLUSH_STRINGS:
+                    yield from rows(learn)
+        for learn in (True, False):
+            if held[learn]:
+                yield from rows(learn)
+
+    counted = docs.mapInArrow(run, "code long, n long, n_all long").withColumn("near", _near(F.col("code"), order, 3))
+    return counted.repartition("near").groupBy("near", "code").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+
+
+# -- the context trie
+
+
+class Level:
+    """All contexts of one length in some part of the trie, and what followed them in training."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, parent: "Level | None"):
+        """``grams``: sorted strings of a context and a symbol."""
+        self.grams, self.counts = grams, counts
+        context = grams >> BITS
+        first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(grams) else np.zeros(0, np.int64)
+        self.contexts = context[first]
+        self.total = np.add.reduceat(counts, first) if len(grams) else counts
+        self.distinct = np.diff(np.append(first, len(grams)))
+        #: Counts in the context one shorter of the symbols seen here.
+        self.above = np.zeros(len(first), np.int64)
+        if parent is not None and len(grams):
+            same = (context >> BITS) << BITS | grams & 511
+            self.above = np.add.reduceat(parent.counts[np.searchsorted(parent.grams, same)], first)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in sorted ``keys``, -1 where absent."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def levels(codes: np.ndarray, counts: np.ndarray, longest: int, shortest: int, parent: Level | None = None) -> dict[int, Level]:
+    """Levels from strings with contexts of ``longest`` symbols (sorted); ``parent``: the level below ``shortest``."""
+    out = {}
+    grams = {longest: (codes, counts)}
+    for k in range(longest - 1, shortest - 1, -1):
+        longer, n = grams[k + 1]
+        grams[k] = _add_up((longer >> 2 * BITS) << BITS | longer & 511, n)
+    for k in range(shortest, longest + 1):
+        parent = out[k] = Level(*grams[k], parent)
     return out
 
 
-def score_words(words: DataFrame) -> DataFrame:
-    """``words``: (word, n, n_all).  Adds logp, the log10 probability of the word by partial matching."""
+def log10_probabilities(codes: np.ndarray, order: int, trie: dict[int, Level]) -> np.ndarray:
+    """log10 of the probability of each string's symbol after its context."""
+    out = np.zeros(len(codes))
+    live = np.arange(len(codes))
+    seen, kinds = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)  # of the context one longer: counts here, and number, of its symbols
+    for k in range(order, -1, -1):
+        level, context, symbol = trie[k], codes[live] >> BITS * (order + 1 - k), codes[live] & 511
+        at = _find(level.contexts, context)
+        met = at >= 0
+        if not len(level.contexts):
+            continue
+        total, distinct = level.total[at] - seen, level.distinct[at] - kinds
+        gram = _find(level.grams, context << BITS | symbol)
+        hit, full = met & (gram >= 0), level.distinct[at] == SYMBOLS
+        half = np.where(full, 0, 1)  # a context that all symbols have followed has nothing to escape to
+        out[live[hit]] += np.log10((2 * level.counts[gram[hit]] - half[hit]) / (2 * total[hit]))
+        miss = met & ~hit & (total > 0)
+        out[live[miss]] += np.log10(distinct[miss] / (2 * total[miss]))
+        go = ~hit
+        seen = np.where(met, level.above[at], 0)[go]
+        kinds = np.where(met, level.distinct[at], 0)[go]
+        live = live[go]
+    if len(live):
+        out[live] -= np.log10(SYMBOLS - int(trie[0].distinct.sum()))  # the only context of no symbols, if any
+    return out
 
-    def cut(batches):
-        part, block, held = TaskContext.get().partitionId(), 0, []
 
-        def row():
-            w, n, a = zip(*held)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "words": pa.array([w], pa.list_(pa.binary())), "n": pa.array([n], pa.list_(pa.int64())), "n_all": pa.array([a], pa.list_(pa.int64()))})
+def score_strings(counted: DataFrame, order: int) -> DataFrame:
+    """(code, slot, n_all, logp) of every string of a written table of :func:`count_strings`; slot: a hash of the code."""
+    gram = F.shiftleft(_near(F.col("code"), order, 2), BITS).bitwiseOR(F.col("code").bitwiseAND(F.lit(511).cast("long")))
+    table = counted.where("n > 0").groupBy(gram.alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # columns of at most 258 ** 2 * 257 numbers
+    grams, n = _add_up(table.column("gram").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.int64))
+    sent = counted.sparkSession.sparkContext.broadcast(levels(grams, n, 2, 0))
 
+    def run(batches):
+        low = sent.value
+
+        def block(code, n):
+            known = n > 0
+            trie = low | levels(code[known], n[known], order, 3, low[2])
+            return log10_probabilities(code, order, trie)
+
+        def rows(held, cut):
+            """Scores the strings before the cut; the others stay."""
+            code, n, n_all = (np.concatenate(c) for c in zip(*held))
+            cut = len(code) if cut is None else cut
+            logp = block(code[:cut], n[:cut])
+            held[:] = [(code[cut:], n[cut:], n_all[cut:])]
+            for at in range(0, cut, 100_000):
+                to = min(cut, at + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(code[at:to]), pa.array(slots(code[at:to])), pa.array(n_all[at:to]), pa.array(logp[at:to])], names=["code", "slot", "n_all", "logp"])
+
+        held = []
         for b in batches:
-            for x in zip(*(b.column(k).to_pylist() for k in range(3))):
-                held.append(x)
-                if len(held) == BLOCK:
-                    yield row()
-                    block, held = block + 1, []
+            held.append(tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)))
+            if sum(len(h[0]) for h in held) >= BLOCK:
+                near = np.concatenate([h[0] for h in held]) >> BITS * (order - 2)
+                cut = int(np.searchsorted(near, near[-1]))  # the last group may go on
+                if cut:
+                    yield from rows(held, cut)
         if held:
-            yield row()
-
-    ordered = words.select("word", "n", "n_all").repartitionByRange("word").sortWithinPartitions("word")
-    blocks = materialize(ordered.mapInArrow(cut, "part int, block int, words array<binary>, n array<long>, n_all array<long>"), "word-blocks")
+            yield from rows(held, None)
+
+    ordered = counted.repartition("near").sortWithinPartitions("code").select("code", "n", "n_all")
+    return ordered.mapInArrow(run, "code long, slot long, n_all long, logp double")
+
+
+def slots(codes: np.ndarray, bits: int = 31) -> np.ndarray:
+    """A multiplicative hash of strings, of so many bits."""
+    return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+
+class HotTables:
+    """Scores of a fixed set of strings, in a few directly mapped tables: what finds its place taken goes to the next."""
+
+    def __init__(self, codes: np.ndarray, logp: np.ndarray):
+        self.tables = []
+        for _ in range(4):
+            if not len(codes):
+                break
+            bits = max(4, int(2 * len(codes)).bit_length())
+            keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+            at = slots(codes, bits)
+            keys[at[::-1]], values[at[::-1]] = codes[::-1], logp[::-1]  # the first of those that share a place gets it
+            self.tables.append((bits, keys, values))
+            out = keys[at] != codes
+            codes, logp = codes[out], logp[out]
+
+    def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (0 where not held) and the places of strings that aren't held."""
+        out, left = np.zeros(len(codes)), np.arange(len(codes))
+        for k, (bits, keys, values) in enumerate(self.tables):
+            c = codes if k == 0 else codes[left]
+            at = slots(c, bits)
+            hit = keys[at] == c
+            if k == 0:
+                out = np.where(hit, values[at], 0.0)
+            else:
+                out[left[hit]] = values[at[hit]]
+            left = left[~hit]
+        return out, left
+
+
+def most_frequent(counted: DataFrame, most: int) -> pa.Table:
+    """The rows of the words or strings above the least count that at most ``most`` of them exceed; a histogram finds it."""
+    size = F.floor(F.log2(F.col("n_all").cast("double")) * 16).cast("int")
+    bins = sorted(((r["bin"], r["n"]) for r in counted.groupBy(size.alias("bin")).agg(F.count("*").alias("n")).collect()), reverse=True)  # 16 bins a doubling
+    least, total = None, 0
+    for b, n in bins:
+        if (total := total + n) > most:
+            break
+        least = b
+    if least is None:
+        return counted.limit(0).toArrow()
+    return counted.where(size >= least).toArrow()
+
+
+# -- documents
+
+EACH = "uid long, doc_id long, n_tokens long, known long, base double, score double, word binary, tf long, bucket int, uids binary, lengths binary, codes binary"
+
+
+_COLUMNS = [(f, {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "int": pa.int32()}[t]) for f, t in (c.split() for c in EACH.split(", "))]
+
+
+def _rows(**columns) -> pa.RecordBatch:
+    """A batch of document parts; columns not given are null."""
+    n = len(next(iter(columns.values())))
+    made = [pa.array(c, t) if (c := columns.get(f)) is not None and not isinstance(c, pa.Array) else c if c is not None else pa.nulls(n, t) for f, t in _COLUMNS]
+    return pa.RecordBatch.from_arrays(made, names=[f for f, _ in _COLUMNS])
+
+
+def _packed(uids: np.ndarray, owner: np.ndarray, codes: np.ndarray, buckets: int):
+    """Rows (bucket, uids, lengths, codes) of strings to look up: runs of one bucket, in order of document."""
+    bucket = slots(codes) % buckets
+    at = np.lexsort((owner, bucket))
+    bucket, owner, codes = bucket[at], owner[at], codes[at]
+    edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))).tolist() + [len(codes)]
+    for a, z in zip(edges, edges[1:]):
+        for s in range(a, z, RUN):
+            e = min(z, s + RUN)
+            own = owner[s:e]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            yield int(bucket[s]), uids[own[first]].astype("<i8").tobytes(), np.diff(np.append(first, e - s)).astype("<i4").tobytes(), codes[s:e].astype("<i8").tobytes()
+
+
+def look_up(each: DataFrame, scored: DataFrame, buckets: int) -> DataFrame:
+    """(uid, score) partial sums of the packed strings of ``each``, from the table of scores, bucket by bucket."""
+    table = scored.select((F.col("slot") % buckets).cast("int").alias("bucket"), F.lit(0).alias("kind"), "code", "logp")
+    both = table.unionByName(each.where("codes is not null").select("bucket", F.lit(1).alias("kind"), "uids", "lengths", "codes"), allowMissingColumns=True)
 
-    def edges(batches):
-        for b in batches:
-            for part, block, words, n in zip(*(b.column(k).to_pylist() for k in range(4))):
-                shared = _shared(words)
-                found = _count_contexts(words, n, shared)
-                keys = [c for c in shared for _ in found.get(c, {0: 0})]
-                syms = [x for c in shared for x in found.get(c, {0: 0})]
-                sums = [m for c in shared for m in found.get(c, {0: 0}).values()]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(keys), pa.int32()), pa.array([block] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(syms, pa.int32()), pa.array(sums, pa.int64())], names=["part", "block", "context", "symbol", "m"])
-
-    partial = materialize(blocks.select("part", "block", "words", "n").mapInArrow(edges, "part int, block int, context binary, symbol int, m long"), "shared-contexts")
-    whole = partial.groupBy("context", "symbol").agg(F.sum("m").alias("m")).where("m > 0").groupBy("context").agg(F.collect_list(F.struct("symbol", "m")).alias("next"))
-    known = partial.select("part", "block", "context").distinct().join(whole, "context").groupBy("part", "block").agg(F.collect_list(F.struct("context", "next")).alias("shared"))
-    triples = count_triples(words).collect()  # at most 257 ** 3 rows
-    sent = words.sparkSession.sparkContext.broadcast(ShortContexts(np.array([r["code"] for r in triples], np.int64), np.array([r["n"] for r in triples], np.float64)))
-
-    def score(batches):
+    def run(batches):
+        now, held, keys, values = None, [], None, None
         for b in batches:
-            for words, n, n_all, shared in zip(*(b.column(k).to_pylist() for k in range(4))):
-                counts = {x["context"]: {y["symbol"]: y["m"] for y in x["next"]} for x in shared or []}
-                logp = score_block(words, n, counts, sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(n_all, pa.int64()), pa.array(logp)], names=["word", "n", "n_all", "logp"])
-
-    return blocks.join(known, ["part", "block"], "left").select("words", "n", "n_all", "shared").mapInArrow(score, "word binary, n long, n_all long, logp double")
-
-
-def score_documents(docs: DataFrame, held_out: int = 1, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
+            bucket, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
+            turn = bucket.astype(np.int64) * 2 + kind
+            edges = np.flatnonzero(np.concatenate(([True], turn[1:] != turn[:-1]))).tolist() + [b.num_rows]
+            for s, e in zip(edges, edges[1:]):
+                part = b.slice(s, e - s)
+                if bucket[s] != now:
+                    now, held, keys = int(bucket[s]), [], None
+                if kind[s] == 0:
+                    held.append((part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(zero_copy_only=False)))
+                    continue
+                if keys is None:
+                    keys, values = (np.concatenate(c) for c in zip(*held))
+                    order = np.argsort(keys)
+                    keys, values, held = keys[order], values[order], []
+                uids, lengths, codes = (np.frombuffer(b"".join(part.column(k).to_pylist()), d) for k, d in ((4, "<i8"), (5, "<i4"), (6, "<i8")))
+                found = values[np.searchsorted(keys, codes)]
+                sums = np.add.reduceat(found, np.cumsum(lengths) - lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(uids), pa.array(sums)], names=["uid", "score"])
+
+    parts = both.select("bucket", "kind", "code", "logp", "uids", "lengths", "codes").repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return parts.mapInArrow(run, "uid long, score double")
+
+
+def score_documents(
+    docs: DataFrame, held_out: int = 1, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, hot_words: int = HOT_WORDS, hot_strings: int = HOT_STRINGS
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row, learned from the other folds.
 
     A null or empty text is its end alone.  A null id is in no fold and learned from.
@@ -248,51 +397,66 @@ def score_documents(docs: DataFrame, held_out: int = 1, folds: int = 5, id_col:
     is even and every base count 0; an empty table gives an empty table.  Further columns
     are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    learn = fold("doc_id", folds) != held_out
-    words = materialize(score_words(materialize(count_words(rows.select("text", learn.alias("learn"))), "words")), "scored-words")
+    if not 3 <= order <= 6:
+        raise ValueError("contexts have 3 to 6 symbols")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    taught = rows.select("text", (F.coalesce(fold("doc_id", folds), F.lit(-1)) != held_out).alias("learn"))
+    words = materialize(count_words(taught), "words")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
-    hot = {bytes(r["word"]): (r["n"], r["logp"]) for r in words.orderBy(F.desc("n_all"), "word").limit(hot_words).collect()}  # a fixed number
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    hot = most_frequent(words, hot_words)
+    scored = materialize(score_strings(materialize(count_strings(taught, order), "strings"), order), "scored-strings")
+    top = most_frequent(scored.select("code", "n_all", "logp"), hot_strings)
+    buckets = 8 + scored.count() // BUCKET
+    by_count = np.argsort(-top.column("n_all").to_numpy(), kind="stable")
+    tables = HotTables(top.column("code").to_numpy()[by_count].astype(np.int64), top.column("logp").to_numpy()[by_count])
+    sent = spark.sparkContext.broadcast((tables, hot.column("word").combine_chunks(), hot.column("n").to_numpy()))
 
     def run(batches):
-        known = {w: (n > 0, float(np.log10(n + 0.5)), p) for w, (n, p) in sent.value.items()}
+        strings_of, hot_list, hot_counts = sent.value
+        known = dict(zip(hot_list.to_pylist(), zip((hot_counts > 0).tolist(), np.log10(hot_counts + 0.5).tolist())))
         for b in steps(batches, 2):
+            uids, ids, texts = b.column(0).to_numpy(), b.column(1), b.column(2).to_pylist()
+            x, begin = symbol_rows(texts, order)
+            code = strings(x, order)
+            real = np.flatnonzero(x[order:] != START)
+            code = code[real]
+            value, cold = strings_of.find(code)
+            first = begin - order * np.arange(len(begin))  # the place of each text's first string among the real ones
+            score = np.add.reduceat(value, first)
+            packed = list(_packed(uids, np.searchsorted(first, cold, side="right") - 1, code[cold], buckets)) if len(cold) else []
             own, each = [], []
-            for u, d, t in zip(*(b.column(k).to_pylist() for k in range(3))):
-                tokens, found, base, score = 0, 0, 0.0, 0.0
+            for u, t in zip(uids.tolist(), texts):
+                tokens, found, base = 0, 0, 0.0
                 for w, m in _words(t).items():
                     tokens += m
                     if (g := known.get(w)) is not None:
                         found += m * g[0]
                         base += m * g[1]
-                        score += m * g[2]
                     else:
                         each.append((u, w, m))
-                own.append((u, d, tokens, found, base, score, b"\n%d" % u))  # no word: a document's own row meets none
-            u, d, tokens, found, base, score, key = zip(*own)
-            z = [0] * len(each)
-            eu, ew, em = zip(*each) if each else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*u, *eu], pa.int64()), pa.array([*d, *[None] * len(each)], pa.int64()), pa.array([*tokens, *z], pa.int64()), pa.array([*found, *z], pa.int64()), pa.array([*base, *z], pa.float64()), pa.array([*score, *z], pa.float64()), pa.array([*key, *ew], pa.binary()), pa.array([*[0] * len(own), *em], pa.int64())],
-                names=["uid", "doc_id", "n_tokens", "known", "base", "score", "word", "tf"],
-            )
-
-    each = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, "uid long, doc_id long, n_tokens long, known long, base double, score double, word binary, tf long")
-    met = each.join(words.select("word", "n", "logp"), "word", "left")
-    summed = met.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("tf") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("base"),
-        F.sum(F.col("score") + F.col("tf") * F.coalesce("logp", F.lit(0.0))).alias("score"),
-    )
+                own.append((tokens, found, base))
+            yield _rows(uid=pa.array(uids), doc_id=ids, n_tokens=[o[0] for o in own], known=[o[1] for o in own], base=[o[2] for o in own], score=pa.array(score))
+            if each:
+                yield _rows(uid=[e[0] for e in each], word=[e[1] for e in each], tf=[e[2] for e in each])
+            if packed:
+                yield _rows(bucket=[p[0] for p in packed], uids=[p[1] for p in packed], lengths=[p[2] for p in packed], codes=[p[3] for p in packed])
+
+    # Both lookups read one written table: a row's number can't change between them.
+    each = materialize(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, EACH), "document-parts")
+    met = each.where("word is not null").select("uid", "word", "tf").join(words.select("word", "n"), "word")
+    parts = (
+        each.where("n_tokens is not null").select("uid", "doc_id", "n_tokens", "known", "base", "score")
+        .unionByName(met.select("uid", F.when(F.col("n") > 0, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * F.log10(F.col("n") + 0.5)).alias("base")), allowMissingColumns=True)
+        .unionByName(look_up(each, scored, buckets), allowMissingColumns=True)
+    )
+    summed = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "known", "base", "score")))
     whole = float(np.log10(total["n"] + 0.5 * (total["v"] + 1)))
     return summed.select(
         "doc_id",
         F.coalesce(fold("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),
         "n_tokens",
-        "n_known",
+        F.col("known").alias("n_known"),
         F.lit(total["n"]).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * whole).alias("base_score"),
         "score",
