@@ -10,6 +10,7 @@ import zlib
 import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -68,28 +69,45 @@ def test_bpe(spark, odd, empty):
     assert {r.doc_id: bytes(r.decoded) for r in bpe.decode(strange, RANKS, P.PATTERN).collect()} == {1: "�!".encode(), 2: b""}
 
 
+SPECIAL = ["a <|endoftext|> b", "a<|ENDOFTEXT|>b, c", "<|startoftext|>  x <|endoftext|>", "le%%% de,, été!? U.S. 3.14. don't."]
+
+
 @pytest.mark.parametrize("path", [BYTE_JSON, WORD_JSON])
-def test_text_encoder(path):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_text_encoder(path, special_as_text):
+    """As the library encodes whole texts, as it is read from the file or with special tokens' strings as text."""
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    texts = [t or "" for t in ODD]
+    if special_as_text:
+        lib.encode_special_tokens = True
+    texts = [t or "" for t in ODD] + SPECIAL
     for narrow in (False, True):
-        got = tokens.TextEncoder(path, narrow).encode(texts)
-        assert [np.frombuffer(g, "<u2" if narrow else "<u4").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        encoder = tokens.TextEncoder(path, narrow, special_as_text)
+        for _ in range(2):  # the second time from recent results
+            got = encoder.encode(texts)
+            assert [np.frombuffer(g, "<u2" if narrow else "<u4").tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_text_encoder_on_random_texts():
+    rng, parts = random.Random(4), ["the", "The", "quick", "ß", "Straße", "İ", "Σ", "日本", "'s", "x" * 300, "12", "3.5", "%%", "...", ",", "!?", "\n", "\t", "  ", " ", "\u00a0", "\u3000", "e\u0301", "\x1f", "<|endoftext|>", "★"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "."]) for _ in range(rng.randrange(60))) for _ in range(400)]
+    for path in (BYTE_JSON, WORD_JSON):
+        lib = Tokenizer.from_file(path)
+        assert [np.frombuffer(g, "<u4").tolist() for g in tokens.TextEncoder(path).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    tik, model = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks(), special_tokens={}), bpe.RelationalBpe(RANKS, P.PATTERN)
+    ids = model.encode(texts)
+    assert [np.frombuffer(i, "<i4").tolist() for i in ids] == [tik.encode_ordinary(t) for t in texts] and model.decode(ids) == [t.encode() for t in texts]
 
 
-def test_recent_keeps_what_a_step_needs():
-    r, asked = tokens.Recent(3), []
-    for step in (["a", "b"], ["b", "c", "d", "e"], ["a", "b"], ["f"]):
-        now = r.ensure(step, lambda ks: asked.extend(ks) or [k.upper() for k in ks])
-        assert all(now[k] == k.upper() for k in step)
-        r.forget_long()
-    assert asked.count("b") == 1
+def test_recent_results_are_bounded():
+    r, asked = tokens.Recent(200), []
+    for step in (["a", "b"], ["b", "c", "d" * 300, "e"], [f"k{i}" for i in range(20)], ["a", "k19"]):
+        out = r.values(pa.array(step), lambda ks: asked.extend(ks) or [k.upper().encode() for k in ks])
+        assert out.to_pylist() == [k.upper().encode() for k in step] and r.keys.nbytes + r.results.nbytes <= 600
+    assert asked.count("b") == 1 and asked.count("k19") == 1
 
 
 def test_packing(spark, odd, empty):
     lib = Tokenizer.from_file(WORD_JSON)
-    lib.encode_special_tokens = True
     whole = [np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for t in ODD]
     for window, turn, temperature in ((4096, 256, 1.0), (64, 64, 0.5), (50, 7, 1.0)):
         got = packing.pack(odd, WORD_JSON, 2, window, turn, temperature=temperature).collect()
@@ -265,7 +283,6 @@ def test_feistel_is_a_permutation(spark):
 
 def test_token_files(spark, odd, empty, monkeypatch):
     lib = Tokenizer.from_file(BYTE_JSON)
-    lib.encode_special_tokens = True
     monkeypatch.setattr(token_files, "IMAGE_TOKENS", 50)
     files = token_files.write_token_files(odd, BYTE_JSON)
     back = token_files.with_starts(token_files.read_token_files(files), files).collect()

@@ -133,7 +133,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int | None =
             )
 
         for b in steps(batches, 1):
-            for d, x in zip(b.column(0).to_pylist(), lib.encode(b.column(1).to_pylist())):
+            for d, x in zip(b.column(0).to_pylist(), lib.encode(b.column(1))):
                 names.append(d)
                 ids.append(np.frombuffer(x + end, dtype="<u4"))
                 n += len(ids[-1])

@@ -3,98 +3,120 @@
 A text is cut before each space that follows a character other than white space: no
 pre-token of a byte-level tokenizer spans such a place, so a text's ids are the ids of its
 pieces in order.  (For tokenizers that drop white space, every white-space run is a cut.)
-Pieces repeat a lot; each worker keeps the ids of recent ones and asks the library only
-for the others.  Texts for which a cut would not be safe go to the library whole.
+Pieces repeat a lot: Arrow numbers the distinct pieces of a step, each worker keeps the ids
+of recent ones in packed arrays of bounded size, asks the library only for the others, and
+Arrow puts the ids of all pieces in order.  Texts for which a cut would not be safe go to the library
+whole.
 """
 
 from __future__ import annotations
 
-import array
 import json
-import re
-import threading
-import time
 import unicodedata
-import weakref
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Text bytes that one step of a worker holds at a time; a single longer text is a step of its own.
-STEP_BYTES = 3 << 20
-#: Pieces of which a worker keeps the ids, twice at most.
-RECENT = 160_000
+STEP_BYTES = 8 << 20
+#: Bytes of recent results that a worker keeps.
+RECENT_BYTES = 32 << 20
 #: Longer pieces aren't kept.
 LONGEST_KEPT = 200
-#: Seconds without use after which an idle worker gives its recent results back.
-IDLE_SECONDS = 4.0
 
-SPACED_SPACE = re.compile(r"\s ")
-ODD_SPACE = "\x1c\x1d\x1e\x1f"
-
-
-_IN_USE: weakref.WeakSet = weakref.WeakSet()
-
-
-def _release_idle() -> None:
-    while True:
-        time.sleep(IDLE_SECONDS / 2)
-        for r in list(_IN_USE):
-            if time.monotonic() - r.used > IDLE_SECONDS:
-                r.now, r.old = {}, {}  # a step under way keeps the dictionary it was given
-                _IN_USE.discard(r)
+_SPACES = r"\t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: A space behind white space, and separators that splitting takes for white space but tokenizers don't.
+SPACED_SPACE = f"[{_SPACES} ] "
+ODD_SPACE = r"[\x1c-\x1f]"
 
 
 class Recent:
-    """Results of recent keys, in two generations; what :meth:`ensure` returns holds at least its keys.
+    """Results of recent keys as two packed arrays; when these exceed ``most`` bytes, the older half goes."""
+
+    def __init__(self, most: int | None = None, key: pa.DataType = pa.string()):
+        self.most, self.keys, self.results = RECENT_BYTES if most is None else most, pa.array([], key), pa.array([], pa.large_binary())
+
+    def values(self, keys: pa.Array, compute) -> pa.Array:
+        """The results of distinct ``keys``; ``compute`` gives those of a list of keys not met lately, as a list of bytes."""
+        at = pc.index_in(keys, value_set=self.keys)
+        if not at.null_count:
+            return self.results.take(at)
+        unknown = pc.is_null(at)
+        new = keys.filter(unknown)
+        results = pa.array(compute(new.to_pylist()), pa.large_binary())
+        place, mask = pc.fill_null(at, 0).to_numpy().astype(np.int64), unknown.to_numpy(zero_copy_only=False)
+        place[mask] = len(self.keys) + np.arange(len(new))
+        both = pa.concat_arrays([self.results, results])
+        short = pc.less_equal(pc.binary_length(new), LONGEST_KEPT)
+        self.keys, self.results = pa.concat_arrays([self.keys, new.filter(short)]), pa.concat_arrays([self.results, results.filter(short)])
+        if self.keys.nbytes + self.results.nbytes > self.most:
+            later = pa.array(np.arange(len(self.keys) // 2, len(self.keys)))
+            self.keys, self.results = self.keys.take(later), self.results.take(later)
+        return both.take(pa.array(place))
+
+
+def in_order(values: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Values one behind the other: their ends (with a leading 0) and bytes."""
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int64, len(values) + 1, 8 * values.offset) if len(values) else np.zeros(1, np.int64)
+    return ends, memoryview(data or b"")
+
+
+class Pieces:
+    """Results of the pieces of texts.  A piece of letters with sentence marks behind has the results of both, one behind the other."""
 
-    Workers stay alive between tasks, often of other operators: results that haven't been
-    used for a while are dropped.
-    """
+    MARKS = ".,;:!?"
 
-    watched = False
-
-    def __init__(self, most: int = RECENT):
-        self.most, self.now, self.old, self.long, self.used = most, {}, {}, [], 0.0
-
-    def ensure(self, keys, compute) -> dict:
-        self.used = time.monotonic()
-        _IN_USE.add(self)
-        if not Recent.watched:
-            Recent.watched = True
-            threading.Thread(target=_release_idle, daemon=True).start()
-        if len(self.now) > self.most:
-            self.old, self.now = self.now, {}
-        now, old, missing = self.now, self.old, []
-        for k in keys:
-            if k not in now:
-                if (v := old.get(k)) is None:
-                    missing.append(k)
-                else:
-                    now[k] = v
-        if missing:
-            now.update(zip(missing, compute(missing), strict=True))
-            self.long = [k for k in missing if len(k) > LONGEST_KEPT]
-        return now
-
-    def forget_long(self) -> None:
-        self.used = time.monotonic()
-        for k in self.long:
-            self.now.pop(k, None)
-        self.long = []
-
-
-def steps(batches, column: int):
-    """Cut record batches into runs of rows with about STEP_BYTES of the text (or binary) column."""
+    def __init__(self, results_of, results_of_marks):
+        """``results_of`` computes results of pieces, ``results_of_marks`` of marks that follow letters; both of a list."""
+        self.recent, self.results_of, self.results_of_marks, self.marks = Recent(), results_of, results_of_marks, {"": b""}
+
+    def values(self, pieces: pa.Array) -> pa.Array:
+        bare = pc.utf8_rtrim(pieces, self.MARKS)
+        letters = pc.and_(pc.utf8_is_alpha(bare), pc.utf8_is_alpha(pc.utf8_lower(pc.utf8_normalize(bare, "NFC"))))  # and stay so in normal form
+        marked = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(pieces)), letters)
+        keys = pc.if_else(marked, bare, pieces).dictionary_encode()
+        values = self.recent.values(keys.dictionary, self.results_of).take(keys.indices)
+        behind = [p[len(b) :] for p, b in zip(pieces.filter(marked).to_pylist(), bare.filter(marked).to_pylist())]
+        if not behind:
+            return values
+        known = self.marks if len(self.marks) < 10_000 else {"": b""}
+        if new := [m for m in dict.fromkeys(behind) if m not in known]:
+            known.update(zip(new, self.results_of_marks(new), strict=True))
+        self.marks = known
+        tails = pa.array([known[m] for m in behind], pa.large_binary())
+        place = np.zeros(len(pieces), np.int64)
+        place[marked.to_numpy(zero_copy_only=False)] = 1 + np.arange(len(behind))
+        tails = pa.concat_arrays([pa.array([b""], pa.large_binary()), tails]).take(pa.array(place))
+        return pc.binary_join_element_wise(values, tails, pa.scalar(b"", pa.large_binary()))
+
+
+def whole_ids(texts: pa.Array, spaced: bool, first: Pieces | None, rest: Pieces) -> list[bytes]:
+    """Results of texts that may be cut: before single spaces (their first pieces have results of their own), or at all white space."""
+    lists = pc.split_pattern(texts, " ") if spaced else pc.utf8_split_whitespace(texts)
+    at, flat = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))), lists.flatten().dictionary_encode()
+    values, place = rest.values(flat.dictionary), flat.indices.to_numpy()
+    if spaced:
+        begin = flat.dictionary.take(flat.indices.take(pa.array(at[:-1]))).dictionary_encode()
+        place = place.astype(np.int64)
+        place[at[:-1]] = begin.indices.to_numpy().astype(np.int64) + len(values)
+        values = pa.concat_arrays([values, first.values(begin.dictionary)])
+    ends, data = in_order(values.take(pa.array(place)))
+    places = ends[at].tolist()
+    return [bytes(data[a:b]) for a, b in zip(places, places[1:])]
+
+
+def steps(batches, column: int, size: int = STEP_BYTES):
+    """Cut record batches into runs of rows with about ``size`` bytes of the text (or binary) column."""
     for b in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < len(sizes):
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + STEP_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield b.slice(at, to - at)
             at = to
 
@@ -107,20 +129,19 @@ def byte_symbols() -> dict[int, str]:
 
 
 class TextEncoder:
-    """Ids of whole texts by one tokenizer file of the tokenizers library, without special tokens.
+    """Ids of whole texts by one tokenizer file of the tokenizers library, as ``encode(text, add_special_tokens=False)``.
 
-    A piece of letters, perhaps with sentence marks at its end, is one pre-token, or two:
-    those go to the library's model at once, all others through its whole chain.
-    ``narrow``: ids as 16-bit numbers (for vocabularies of at most 65,536).
+    Strings of special tokens in a text become those tokens, as is the library's rule, or with
+    ``special_as_text`` ordinary text.  For tokenizers with word ends, pieces of letters
+    go to the library's model without its slower front part.  ``narrow``: ids as 16-bit numbers (for
+    vocabularies of at most 65,536).
     """
 
-    MARKS = ".,;:!?"
-
-    def __init__(self, path: str, narrow: bool = False):
+    def __init__(self, path: str, narrow: bool = False, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lib.encode_special_tokens = special_as_text
         spec = json.load(open(path))
         pre = spec.get("pre_tokenizer") or {}
         self.kind = "whole"
@@ -131,125 +152,113 @@ class TextEncoder:
         size = self.lib.get_vocab_size()
         if narrow and size > 65536:
             raise ValueError("the vocabulary is too large for 16-bit ids")
-        self.dtype, self.letter = ("<u2", "H") if narrow else ("<u4", "I")
-        self.spell, self.lower = byte_symbols(), bool(self.kind == "split")
+        self.dtype = "<u2" if narrow else "<u4"
+        self.spell = byte_symbols()
         names = [self.lib.id_to_token(i) or "" for i in range(size)]
-        self.starts = np.array([n.startswith("Ġ") for n in names])
-        self.mark = None
+        self.starts = np.array([n.startswith("\u0120") for n in names])
+        self.mark = self.ends = None
         if self.kind == "split":  # a symbol that is one token on its own parts the pieces of a joint text
             self.mark = next((c, i[0]) for c in "★☆♠♣♥♦♪|" if len(i := self.lib.encode(c, add_special_tokens=False).ids) == 1)
-        self.after_space, self.bare = Recent(), Recent(RECENT // 2)
+            if suffix := spec["model"].get("end_of_word_suffix"):
+                self.ends, self.bare = np.array([n.endswith(suffix) for n in names]), Tokenizer(self.lib.model)
+        #: Texts that hold a special token's string, in any case, go to the library whole.
+        self.special = [] if special_as_text else [t["content"] for t in spec.get("added_tokens") or []]
+        self.first, self.rest = None, Pieces(self._ended if self.ends is not None else self._split, self._whole)
+        if self.kind == "spaced":
+            self.first, self.rest = Pieces(self._whole, self._whole), Pieces(self._spaced, self._whole)
+
+    def _ids(self, text, **how) -> np.ndarray:
+        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False, **how)[0].ids, dtype=self.dtype)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joint(self, pieces: list[str], text: str, cuts) -> list[bytes] | None:
-        ids = np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        parts = cuts(ids)
-        return parts if len(parts) == len(pieces) else None
-
-    def _plain(self, piece: str) -> bytes | None:
-        """Ids of a piece of letters, which a space precedes in spaced texts; None if it needs the whole chain."""
-        if not piece.isalpha():
-            return None
-        if self.lower:
-            if not piece.isascii() and ("\u03a3" in piece or not unicodedata.is_normalized("NFC", piece)):
-                return None
-            piece = piece.lower()
-            if not piece.isalpha():
-                return None
-        else:
-            piece = " " + piece
-        if not piece.isascii() or not self.lower:
-            piece = piece.encode().decode("latin-1").translate(self.spell)
-        return array.array(self.letter, [t.id for t in self.lib.model.tokenize(piece)]).tobytes()
-
-    def _quick(self, pieces: list[str], rest) -> list[bytes]:
-        """Ids of pieces, by the model where that does and else by ``rest``."""
-        out: list[bytes | None] = []
-        now, old, other = self.after_space.now, self.after_space.old, []
-        for k, p in enumerate(pieces):
-            ids = self._plain(p)
-            if ids is None and p and p[-1] in self.MARKS and (base := p.rstrip(self.MARKS)).isalpha():
-                ids = now.get(base) or old.get(base) or self._plain(base)
-                if ids is not None:
-                    ids += array.array(self.letter, [t.id for t in self.lib.model.tokenize(p[len(base) :])]).tobytes()
-            out.append(ids)
-            if ids is None:
-                other.append(k)
-        for k, ids in zip(other, rest([pieces[k] for k in other])):
-            out[k] = ids
-        return out
-
     def _spaced(self, pieces: list[str]) -> list[bytes]:
         """Ids of ' ' + piece: only the first token of each holds its space."""
-
-        def cuts(ids):
-            at = np.append(np.flatnonzero(self.starts[ids]), len(ids)).tolist()
-            return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
-
         out = []
         for k in range(0, len(pieces), 512):
             part = pieces[k : k + 512]
-            got = None if "" in part else self._joint(part, " " + " ".join(part), cuts)
-            out += got if got is not None else self._whole([" " + p for p in part])
+            ids = np.zeros(0, self.dtype) if "" in part else self._ids(" " + " ".join(part))
+            at = np.append(np.flatnonzero(self.starts[ids]), len(ids)).tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(at, at[1:])] if len(at) == len(part) + 1 else self._whole([" " + p for p in part])
         return out
 
     def _split(self, pieces: list[str]) -> list[bytes]:
         mark, mark_id = self.mark
-
-        def cuts(ids):
-            at = [-1, *np.flatnonzero(ids == mark_id).tolist(), len(ids)]
-            return [ids[a + 1 : b].tobytes() for a, b in zip(at, at[1:])]
-
         out = []
         for k in range(0, len(pieces), 512):
             part = pieces[k : k + 512]
-            got = None if any(mark in p for p in part) else self._joint(part, f" {mark} ".join(part), cuts)
-            out += got if got is not None else self._whole(part)
+            at = None
+            if not any(mark in p for p in part):
+                ids = self._ids(f" {mark} ".join(part))
+                at = [-1, *np.flatnonzero(ids == mark_id).tolist(), len(ids)]
+            out += [ids[a + 1 : b].tobytes() for a, b in zip(at, at[1:])] if at and len(at) == len(part) + 1 else self._whole(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        if self.kind == "whole":
-            return self._whole(texts)
-        pieces, whole = {}, []
-        for n, t in enumerate(texts):
-            if SPACED_SPACE.search(t) if self.kind == "spaced" else any(c in t for c in ODD_SPACE):
-                whole.append(n)
+    def _word(self, letters: str) -> str | None:
+        """A piece of letters as the model spells it; None if it needs the whole chain."""
+        if letters.isascii():
+            return letters.lower()
+        if "\u03a3" in letters or not unicodedata.is_normalized("NFC", letters) or not (letters := letters.lower()).isalpha():
+            return None
+        return letters.encode().decode("latin-1").translate(self.spell)
+
+    def _ended(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces of letters by the model, of others by the whole chain."""
+        out, words = [b""] * len(pieces), []
+        other = []
+        for k, p in enumerate(pieces):
+            if p.isalpha() and (w := self._word(p)) is not None:
+                words.append((k, w))
             else:
-                pieces[n] = t.split(" ") if self.kind == "spaced" else t.split()
-        for n, ids in zip(whole, self._whole([texts[n] for n in whole])):
+                other.append(k)
+        for at in range(0, len(words), 512):
+            own, part = zip(*words[at : at + 512])
+            ids = np.array(self.bare.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=self.dtype)
+            cut = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            if len(cut) == len(part) + 1 and cut[-1] == len(ids):
+                for k, a, b in zip(own, cut, cut[1:]):
+                    out[k] = ids[a:b].tobytes()
+            else:
+                other += own
+        for k, ids in zip(other, self._split([pieces[k] for k in other])):
+            out[k] = ids
+        return out
+
+    def _unsafe(self, texts: pa.Array) -> np.ndarray:
+        """Texts that must not be cut."""
+        out = pc.match_substring_regex(texts, SPACED_SPACE if self.kind == "spaced" else ODD_SPACE)
+        for s in self.special:
+            out = pc.or_(out, pc.match_substring(texts, s, ignore_case=True))
+        return out.to_numpy(zero_copy_only=False).astype(bool)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Little-endian ids of each text."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if self.kind == "whole" or not len(texts):
+            return self._whole(texts.to_pylist())
+        unsafe = self._unsafe(texts)
+        out: list = [None] * len(texts)
+        for n, ids in zip(np.flatnonzero(unsafe).tolist(), self._whole(texts.filter(pa.array(unsafe)).to_pylist())):
             out[n] = ids
-        if self.kind == "spaced":
-            first = self.bare.ensure({p[0] for p in pieces.values()}, self._whole)
-            rest = set()
-            for p in pieces.values():
-                rest.update(p[1:])
-            get = self.after_space.ensure(rest, lambda p: self._quick(p, self._spaced)).__getitem__
-            for n, p in pieces.items():
-                out[n] = first[p[0]] + b"".join(map(get, p[1:]))
-        else:
-            every = set()
-            for p in pieces.values():
-                every.update(p)
-            get = self.after_space.ensure(every, lambda p: self._quick(p, self._split)).__getitem__
-            for n, p in pieces.items():
-                out[n] = b"".join(map(get, p))
-        self.bare.forget_long()
-        self.after_space.forget_long()
+        if not unsafe.all():
+            plain = texts.filter(pa.array(~unsafe))
+            if self.kind == "split":
+                plain = pc.ascii_lower(plain)  # as the tokenizer does to all letters
+            for n, ids in zip(np.flatnonzero(~unsafe).tolist(), whole_ids(plain, self.kind == "spaced", self.first, self.rest)):
+                out[n] = ids
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], TextEncoder] = {}
 
 
-def encoder(path: str, narrow: bool = False) -> TextEncoder:
+def encoder(path: str, narrow: bool = False, special_as_text: bool = False) -> TextEncoder:
     """The encoder of this Python worker for a tokenizer file."""
-    if (path, narrow) not in _ENCODERS:
-        _ENCODERS[path, narrow] = TextEncoder(path, narrow)
-    return _ENCODERS[path, narrow]
+    key = path, narrow, special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(*key)
+    return _ENCODERS[key]
 
 
 def vocabulary_size(path: str) -> int:
@@ -258,10 +267,13 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), narrow: bool = False) -> DataFrame:
+def encode_texts(
+    docs: DataFrame, tokenizer_path: str, end_id: int | None = None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), narrow: bool = False, special_as_text: bool = False
+) -> DataFrame:
     """``keep`` columns, n_tokens and ids (binary, little-endian unsigned 32-bit) of each row's whole text.
 
-    A null text is empty; ``end_id`` is appended to every text if given; ``narrow`` makes the ids 16-bit.
+    A null text is empty; ``end_id`` is appended to every text if given; ``narrow`` makes the ids 16-bit;
+    ``special_as_text`` treats the strings of special tokens as ordinary text, instead of as those tokens.
     """
     kept = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     width = 2 if narrow else 4
@@ -269,9 +281,9 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, end_id: int | None = None
     last = len(keep)
 
     def run(batches):
-        lib = encoder(tokenizer_path, narrow)
+        lib = encoder(tokenizer_path, narrow, special_as_text)
         for b in steps(batches, last):
-            ids = [x + end for x in lib.encode(b.column(last).to_pylist())]
+            ids = [x + end for x in lib.encode(b.column(last))]
             yield pa.RecordBatch.from_arrays([*b.columns[:last], pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=[*keep, "n_tokens", "ids"])
 
     schema = kept.drop("_text").schema.add("n_tokens", "long").add("ids", "binary")
