@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from wayline.llm.tokens import SPACED_SPACE, Recent, steps
+from wayline.llm.tokens import SPACED_SPACE, Pieces, Recent, in_order, steps, whole_ids
 
 #: Sum over a query's words of (bytes squared / 2), which bounds the rows of its recursion.
 QUERY_ROWS = 3_000_000
@@ -26,8 +27,6 @@ QUERY_ROWS = 3_000_000
 #: one pair per recursion over all positions of such a word would be quadratic.
 LONG_WORD = 400
 DUCKDB_MEMORY = "200MB"
-#: Pieces, pre-tokens and runs of which a worker keeps the results.
-PIECES = 200_000
 IDS = T.ArrayType(T.IntegerType())
 
 #: The state of a word is the list of its tokens; its (position, token, next token) rows meet the merges in every step.
@@ -58,8 +57,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class RelationalBpe:
     """One per Python worker and vocabulary."""
 
-    MARKS = ".,;:!?"
-
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
 
@@ -77,7 +74,7 @@ class RelationalBpe:
         self.merge_of = None
         self.opens = np.zeros(max(ranks.values()) + 2, dtype=bool)  # tokens with a space in front; the last place: unknown ids
         self.opens[[r for t, r in ranks.items() if t[:1] == b" "]] = True
-        self.pieces, self.firsts, self.words, self.runs = Recent(PIECES), Recent(PIECES // 4), Recent(PIECES), Recent(PIECES)
+        self.first, self.rest, self.runs = Pieces(self._cut, self._cut), Pieces(lambda new: self._cut([" " + x for x in new]), self._cut), Recent(key=pa.large_binary())
 
     # -- encoding
 
@@ -139,41 +136,22 @@ class RelationalBpe:
             at = to
         return out
 
-    def _pretokens(self, text: str) -> list[str]:
-        """Matches of the pattern; a space and letters, perhaps with sentence marks behind, need no search."""
-        bare = text[1:]
-        if bare.isalpha() and text[0] == " ":
-            return [text]
-        if text[:1] == " " and text[-1] in self.MARKS and (n := len(bare.rstrip(self.MARKS))) and bare[:n].isalpha():
-            return [text[: n + 1], text[n + 1 :]]
-        return self.pattern.findall(text)
-
     def _cut(self, texts: list[str]) -> list[bytes]:
-        cut = [self._pretokens(t) for t in texts]
-        every = set()
-        for c in cut:
-            every.update(c)
-        get = self.words.ensure(every, self._words).__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        self.words.forget_long()
-        return out
+        """Ids of texts by the pre-tokens that the pattern finds; a space and letters need no search."""
+        cut = [[t] if t[:1] == " " and t[1:].isalpha() else self.pattern.findall(t) for t in texts]
+        every = list(dict.fromkeys(itertools.chain.from_iterable(cut)))
+        get = dict(zip(every, self._words(every))).__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text.  Cut before single spaces first: no pre-token spans those (see tokens.py)."""
-        plain = {n: t.split(" ") for n, t in enumerate(texts) if not SPACED_SPACE.search(t)}
-        other = [n for n in range(len(texts)) if n not in plain]
-        out: list[bytes | None] = [None] * len(texts)
-        for n, ids in zip(other, self._cut([texts[n] for n in other])):
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        unsafe, out = pc.match_substring_regex(texts, SPACED_SPACE).to_numpy(zero_copy_only=False).astype(bool), [b""] * len(texts)
+        for n, ids in zip(np.flatnonzero(unsafe).tolist(), self._cut(texts.filter(pa.array(unsafe)).to_pylist())):
             out[n] = ids
-        first = self.firsts.ensure({p[0] for p in plain.values()}, self._cut)
-        rest = set()
-        for p in plain.values():
-            rest.update(p[1:])
-        get = self.pieces.ensure(rest, lambda ps: self._cut([" " + p for p in ps])).__getitem__
-        for n, p in plain.items():
-            out[n] = first[p[0]] + b"".join(map(get, p[1:]))
-        self.firsts.forget_long()
-        self.pieces.forget_long()
+        if not unsafe.all():
+            for n, ids in zip(np.flatnonzero(~unsafe).tolist(), whole_ids(texts.filter(pa.array(~unsafe)), True, self.first, self.rest)):
+                out[n] = ids
         return out
 
     # -- decoding
@@ -197,17 +175,19 @@ class RelationalBpe:
 
     def decode(self, rows: list[bytes]) -> list[bytes]:
         """Bytes of each row of ids; runs from one token with a space in front to the next are decoded once while they are recent."""
-        cut, every = [], set()
-        for ids in rows:
-            n = np.frombuffer(ids, "<i4")
-            at = np.flatnonzero(self.opens[np.clip(n, 0, len(self.opens) - 1)]) * 4
-            at = [0, *at[at > 0].tolist(), len(ids)] if len(ids) else []
-            cut.append([ids[a:b] for a, b in zip(at, at[1:])])
-            every.update(cut[-1])
-        get = self.runs.ensure(every, self._decode_runs).__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
-        self.runs.forget_long()
-        return out
+        data = b"".join(rows)
+        if not data:
+            return [b""] * len(rows)
+        ids = np.frombuffer(data, "<i4")
+        ends = np.cumsum([len(r) // 4 for r in rows])
+        opens = self.opens[np.clip(ids, 0, len(self.opens) - 1)]
+        opens[ends[:-1][ends[:-1] < len(ids)]] = opens[0] = True  # a row begins a run
+        begin = np.flatnonzero(opens)
+        runs = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(ids)) * 4), pa.py_buffer(data)])
+        coded = runs.dictionary_encode()
+        out_ends, out = in_order(self.runs.values(coded.dictionary, self._decode_runs).take(coded.indices))
+        places = out_ends[np.searchsorted(begin, np.concatenate(([0], ends)))].tolist()
+        return [bytes(out[a:b]) for a, b in zip(places, places[1:])]
 
 
 _MODELS: dict[tuple[str, str], RelationalBpe] = {}
@@ -228,10 +208,6 @@ def _rows(ids: pa.Array) -> list[bytes]:
     return [b"" if not x.is_valid else x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() for x in ids]
 
 
-def _encode_step(model, b, text_at):
-    return model.encode([t or "" for t in b.column(text_at).to_pylist()])
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ids (array of int) of each row's whole text, as tiktoken's ``encode_ordinary``.
 
@@ -243,7 +219,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def run(batches):
         model = _model(ranks_path, pattern)
         for b in steps(batches, last):
-            yield pa.RecordBatch.from_arrays([*b.columns[:last], _lists(_encode_step(model, b, last))], names=[*keep, "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:last], _lists(model.encode(pc.fill_null(b.column(last), "")))], names=[*keep, "ids"])
 
     return kept.mapInArrow(run, kept.drop("_text").schema.add("ids", IDS))
 
@@ -271,7 +247,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
     def run(batches):
         model = _model(ranks_path, pattern)
         for b in steps(batches, last):
-            ids = _encode_step(model, b, last)
+            ids = model.encode(pc.fill_null(b.column(last), ""))
             yield pa.RecordBatch.from_arrays([*b.columns[:last], _lists(ids), pa.array(model.decode(ids), pa.binary())], names=[*keep, "ids", "decoded"])
 
     return kept.mapInArrow(run, kept.drop("_text").schema.add("ids", IDS).add("decoded", "binary"))
