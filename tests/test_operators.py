@@ -51,6 +51,12 @@ def test_pairing_mixed_claimants(spark):
     assert {(r.call_event_id, r.result_event_id) for r in pairing.pair_calls(e).collect()} == {("c1", "r")}
 
 
+def test_pairing_of_contested_calls_leaves_other_ids_alone(spark):
+    rows = [("c1", "tool_call", "x", None), ("c2", "tool_call", "x", None), ("c3", "tool_call", "y", None), ("c4", "tool_call", None, None), ("r1", "tool_result", None, "c1"), ("r2", "tool_result", "x", None), ("r3", "tool_result", "y", None), ("r4", "tool_result", None, "c4"), ("r5", "tool_result", "x", None), ("r6", "tool_result", None, "gone")]
+    got = {r.call_event_id: (r.result_event_id, r.status) for r in pairing.pair_calls(events(spark, rows)).collect()}
+    assert got == {"c1": ("r1", "succeeded"), "c2": ("r2", "succeeded"), "c3": ("r3", "succeeded"), "c4": ("r4", "succeeded")}
+
+
 def test_support_by_identity(spark):
     rows = [("m1", "message", None, None, "unknown", "declared", "Done."), ("c1", "tool_call", "a", "m1"), ("r1", "tool_result", "a", None, "failed"), ("m2", "message", None, None, "unknown", "declared", "All saved."), ("c2", "tool_call", "b", "m2"), ("r2", "tool_result", "b", None), ("m3", "message", None, None, "unknown", "declared", "Finished."), ("f", "artifact", None, "m3", "succeeded", "declared")]
     e = events(spark, rows)
@@ -202,6 +208,19 @@ def test_rewards(spark):
     assert got == {"right": 1.0, "false": 0.0, "stale": 0.4, "honest": 0.2, "broken": 0.0}
 
 
+def test_rewards_of_tasks_without_files(spark):
+    """A task may start without files: its assertions still fail until something is written."""
+    done = {"status": "completed", "tests_passed": True, "artifacts": ["out"], "summary": "s"}
+    rows = [("none", "t", "p", 0, "run_tests", None, None, None), ("none", "t", "p", 1, "submit", None, None, done), ("some", "t", "p", 0, "write_file", "out", "v", None), ("some", "t", "p", 1, "run_tests", None, None, None), ("some", "t", "p", 2, "submit", None, None, done)]
+    actions = spark.createDataFrame(rows, "episode_id string, task_id string, policy_id string, step long, type string, path string, content string, report struct<status:string,tests_passed:boolean,artifacts:array<string>,summary:string>")
+    files = spark.createDataFrame([], "task_id string, path string, content string")
+    asserts = spark.createDataFrame([("t", "a", "file_equals", "out", "v")], "task_id string, assertion_id string, type string, path string, expected string")
+    got = by(episodes.terminal_reward(actions, files, asserts).collect(), "episode_id")
+    assert (got["none"].artifact_correctness, got["none"].reward, got["none"].actual_status) == (0, 0, "partial")
+    assert (got["some"].artifact_correctness, got["some"].reward) == (1, 1)
+    assert {(r.episode_id, r.passed) for r in episodes.test_runs(actions, files, asserts).collect()} == {("none", False), ("some", True)}
+
+
 def test_evaluator_errors_are_records(spark):
     def flaky(case_id, trace):
         if case_id == "b":

@@ -72,39 +72,40 @@ def read_outcomes(actions: DataFrame, task_files: DataFrame) -> DataFrame:
     return rows.select("episode_id", "step", "path", F.when(~valid_path(F.col("path")), "invalid").when(F.col("content").isNull(), "not_found").otherwise("found").alias("outcome"), F.when(valid_path(F.col("path")), F.col("content")).alias("content"))
 
 
-def eval_assertions(state: DataFrame, assertions: DataFrame, keys: list[str]) -> DataFrame:
+def eval_assertions(cases: DataFrame, state: DataFrame, assertions: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, assertion_id, passed): file exists, equals, or equals as JSON whatever the order of keys.
 
-    ``state``: (keys, task_id, path, content), ``assertions``: (task_id, assertion_id, type, path, expected).
+    ``cases``: (keys, task_id), a row per state to test, whether it holds files or none; ``state``: (keys, path,
+    content); ``assertions``: (task_id, assertion_id, type, path, expected).
     """
-    each = state.select(*keys, "task_id").distinct().join(assertions, "task_id")
-    rows = each.join(state.drop("task_id"), [*keys, "path"], "left")
+    rows = cases.select(*keys, "task_id").join(assertions, "task_id").join(state.select(*keys, "path", "content"), [*keys, "path"], "left")
     canonical = lambda c: F.to_json(F.expr(f"try_parse_json({c})"))  # noqa: E731  a variant writes its keys in one order
     passed = F.when(F.col("type") == "file_exists", F.col("content").isNotNull()).when(F.col("type") == "file_equals", F.col("content") == F.col("expected")).otherwise(canonical("content") == canonical("expected"))
     return rows.select(*keys, "assertion_id", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def test_runs(actions: DataFrame, task_files: DataFrame, assertions: DataFrame) -> DataFrame:
-    """(episode_id, step, passed, revision, fresh) of test runs; fresh: no admitted write came after."""
+    """(episode_id, step, passed, revision, fresh) of test runs; fresh: no admitted write came after.
+
+    A task without assertions passes; one with assertions and no files yet fails those.
+    """
     rev = revisions(actions)
     last = rev.groupBy("episode_id").agg(F.max("revision").alias("_last"))
     runs = rev.where("type = 'run_tests'").select("episode_id", "task_id", "step", "revision")
-    state = state_at(actions, task_files, ["run_tests"]).join(runs.select("episode_id", "step", "task_id"), ["episode_id", "step"])
-    passed = eval_assertions(state, assertions, ["episode_id", "step"]).groupBy("episode_id", "step").agg(F.bool_and("passed").alias("passed"))
+    passed = eval_assertions(runs, state_at(actions, task_files, ["run_tests"]), assertions, ["episode_id", "step"]).groupBy("episode_id", "step").agg(F.bool_and("passed").alias("passed"))
     return runs.join(passed, ["episode_id", "step"], "left").join(last, "episode_id").select("episode_id", "step", F.coalesce("passed", F.lit(True)).alias("passed"), "revision", (F.col("revision") == F.col("_last")).alias("fresh"))
 
 
 def terminal_reward(actions: DataFrame, task_files: DataFrame, assertions: DataFrame) -> DataFrame:
     """A row per episode: parts of the reward, actual status, alignment of the report, and the reward.
 
-    Artifacts count .4 by the share of passed assertions, a fresh passing test .4, and a
+    Artifacts count .4 by the share of passed assertions (1 without any), a fresh passing test .4, and a
     report whose status, tests claim and artifacts are all right .2.
     """
     rev = revisions(actions)
     base = rev.groupBy("episode_id").agg(F.first("task_id").alias("task_id"), F.max("revision").alias("revision"), F.count("*").alias("steps"), F.max_by("report", F.when(F.col("type") == "submit", F.col("step"))).alias("report"), F.bool_or(F.col("type") == "submit").alias("submitted"))
     files = file_state(actions, task_files)
-    state = files.join(base.select("episode_id", "task_id"), "episode_id")
-    score = eval_assertions(state, assertions, ["episode_id"]).groupBy("episode_id").agg(F.avg(F.col("passed").cast("double")).alias("artifacts"))
+    score = eval_assertions(base, files, assertions, ["episode_id"]).groupBy("episode_id").agg(F.avg(F.col("passed").cast("double")).alias("artifacts"))
     last = test_runs(actions, task_files, assertions).groupBy("episode_id").agg(F.max_by(F.struct("passed", "fresh"), "step").alias("test"))
     targets = assertions.groupBy("task_id").agg(F.collect_set("path").alias("targets"))
     known = files.groupBy("episode_id").agg(F.collect_set("path").alias("paths"))

@@ -6,41 +6,38 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayline.functions.lexicons import PROVENANCE_RANK, STATUS_SYNONYMS
+from wayline.plans.storage import materialize
 
 _NEEDS = ["trace_id", "ord", "event_id", "kind", "call_id", "parent_id", "status", "provenance"]
 
 
-def normal_status(raw: Column, is_error: Column | None = None, success: Column | None = None, fallback: str = "unknown") -> Column:
+def normal_status(raw: Column, is_error: Column | None = None, success: Column | None = None, fallback: str | Column = "unknown") -> Column:
     """A status from flags first, then from synonyms."""
     known = F.create_map(*[F.lit(x) for pair in STATUS_SYNONYMS.items() for x in pair])
-    out = F.coalesce(F.try_element_at(known, F.lower(F.trim(raw))), F.lit(fallback))
+    out = F.coalesce(F.try_element_at(known, F.lower(F.trim(raw))), fallback if isinstance(fallback, Column) else F.lit(fallback))
     if success is not None:
         out = F.when(success, "succeeded").when(~success, "failed").otherwise(out)
     return F.when(is_error, "failed").otherwise(out) if is_error is not None else out
 
 
-def _mixed(events: DataFrame) -> DataFrame:
-    """Traces in which a result without a call id points at a call that results with its id claim too."""
-    calls = events.where("kind = 'tool_call'").select("trace_id", F.col("event_id").alias("target"), "call_id")
-    parent = events.where("kind = 'tool_result' and call_id is null and parent_id is not null").select("trace_id", F.col("parent_id").alias("target"))
-    claimed = events.where("kind = 'tool_result' and call_id is not null").select("trace_id", "call_id").distinct()
-    return calls.join(parent, ["trace_id", "target"], "left_semi").join(claimed, ["trace_id", "call_id"], "left_semi").select("trace_id").distinct()
-
-
 def _in_order(key, table):
-    """Pairs of one trace, with results taking calls in source order."""
+    """Contested calls of one id: results take calls in source order, those with the id the first free one, the others their parent."""
     rows = sorted(table.to_pylist(), key=lambda r: r["ord"])
-    calls = [r for r in rows if r["kind"] == "tool_call"]
-    taken, out = set(), []
+    calls = [r for r in rows if r["call"]]
+    taken, at, out = set(), 0, []
     for r in rows:
-        if r["kind"] != "tool_result":
+        if r["call"]:
             continue
-        fits = (lambda c: c["call_id"] == r["call_id"]) if r["call_id"] is not None else (lambda c: r["parent_id"] is not None and c["event_id"] == r["parent_id"])
-        c = next((c for c in calls if c["event_id"] not in taken and fits(c)), None)
+        if r["target"] is not None:
+            c = r["target"] if r["target"] not in taken else None
+        else:
+            while at < len(calls) and calls[at]["event_id"] in taken:
+                at += 1
+            c = calls[at]["event_id"] if at < len(calls) else None
         if c is not None:
-            taken.add(c["event_id"])
-            out.append((key[0].as_py(), c["event_id"], r["event_id"]))
-    names = ["trace_id", "call_event_id", "result_event_id"]
+            taken.add(c)
+            out.append((key[0].as_py(), c, r["event_id"], r["status"], r["provenance"]))
+    names = ["trace_id", "call_event_id", "result_event_id", "result_status", "result_prov"]
     return pa.table({n: pa.array([o[k] for o in out], pa.string()) for k, n in enumerate(names)})
 
 
@@ -48,29 +45,47 @@ def pair_calls(events: DataFrame) -> DataFrame:
     """(trace_id, pair_id, call_id, call_event_id, result_event_id, status, provenance), a row per call.
 
     The k-th result with a call id belongs to the k-th call of that id; a result without one
-    to the call that its parent id names.  Where both kinds claim one call their source
-    order decides: only traces with such calls are walked through, all others are joins.
-    result_event_id is null for calls without a result.  Event ids are unique in a trace.
+    to the call that its parent id names.  Where results of both kinds claim calls of one id
+    their source order decides; only those calls are walked through, id by id.  All others
+    take two exchanges: by id, where results meet calls by number, and by call, where
+    results that name a parent join.  result_event_id is null for calls without a result.
+    Event ids are unique in a trace.
     """
-    e = events.select(*_NEEDS)
-    mixed = _mixed(e)
-    plain = e.join(mixed, "trace_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("trace_id", "call_id").orderBy("ord"))
-    calls = plain.where("kind = 'tool_call' and call_id is not null").withColumn("n", nth).select("trace_id", "call_id", "n", F.col("event_id").alias("call_event_id"))
-    results = plain.where("kind = 'tool_result' and call_id is not null").withColumn("n", nth).select("trace_id", "call_id", "n", F.col("event_id").alias("result_event_id"))
-    by_id = calls.join(results, ["trace_id", "call_id", "n"]).select("trace_id", "call_event_id", "result_event_id")
-    every = plain.where("kind = 'tool_call'").select("trace_id", F.col("event_id").alias("call_event_id"))
-    free = plain.where("kind = 'tool_result' and call_id is null and parent_id is not null")
-    by_parent = every.join(free.select("trace_id", F.col("parent_id").alias("call_event_id"), "ord", "event_id"), ["trace_id", "call_event_id"]).groupBy("trace_id", "call_event_id").agg(F.min_by("event_id", "ord").alias("result_event_id"))
-    walked = e.join(mixed, "trace_id", "left_semi").select("trace_id", "ord", "event_id", "kind", "call_id", "parent_id").groupBy("trace_id").applyInArrow(_in_order, "trace_id string, call_event_id string, result_event_id string")
-    return with_status(e, by_id.unionByName(by_parent).unionByName(walked))
+    is_call, named = F.col("kind") == "tool_call", F.col("call_id").isNotNull()
+    e = events.where(F.col("kind").isin("tool_call", "tool_result") & (is_call | named | F.col("parent_id").isNotNull())).select(*_NEEDS)
+    side = F.struct("ord", "event_id", "status", "provenance", "call_id")
+    key = F.when(named, F.concat(F.lit("i"), "call_id")).otherwise(F.concat(F.lit("e"), "event_id"))
+    rows = e.select("trace_id", key.alias("key"), is_call.alias("call"), F.when(~is_call & ~named, F.col("parent_id")).alias("parent"), side.alias("side"))
+    by_id = Window.partitionBy("trace_id", "key")
+    claims = F.count(F.when(~F.col("call") & F.col("parent").isNull(), 1)).over(by_id)
+    nth = F.row_number().over(Window.partitionBy("trace_id", "key", "call").orderBy("side.ord"))
+    met = rows.withColumn("claims", claims).withColumn("n", nth).groupBy("trace_id", "key", "n").agg(
+        F.max(F.when(F.col("call"), F.col("side"))).alias("c"), F.max(F.when(~F.col("call"), F.col("side"))).alias("r"), F.max("parent").alias("parent"), F.max("claims").alias("claims")
+    )
+    own = F.col("c").isNotNull()
+    calls = met.withColumn("target", F.coalesce("c.event_id", "parent")).where("target is not null").groupBy("trace_id", "target").agg(
+        F.max("c").alias("c"), F.max(F.when(own, F.col("r"))).alias("by_id"), F.min(F.when(~own, F.col("r"))).alias("by_parent"), F.max(F.when(own, F.col("claims"))).alias("claims")
+    ).where("c is not null")
+    calls = materialize(calls, "calls")
+    both = calls.where("by_parent is not null and c.call_id is not null and claims > 0").select("trace_id", F.col("c.call_id").alias("call_id")).distinct()
+    call = calls.select("trace_id", F.col("c.call_id").alias("call_id"), F.col("c.event_id").alias("call_event_id"), F.col("c.status").alias("call_status"), F.col("c.provenance").alias("call_prov"), "c", "by_parent", F.coalesce("by_id", "by_parent").alias("r"))
+    plain = call.join(both, ["trace_id", "call_id"], "left_anti").withColumns({"result_event_id": F.col("r.event_id"), "result_status": F.col("r.status"), "result_prov": F.col("r.provenance")}).drop("c", "by_parent", "r")
+    contested = call.join(both, ["trace_id", "call_id"], "left_semi")
+    results = e.where(~is_call & named).join(both, ["trace_id", "call_id"], "left_semi")
+    turn = lambda df, at, call_, target: df.select("trace_id", "call_id", F.col(f"{at}ord").alias("ord"), F.col(f"{at}event_id").alias("event_id"), F.col(f"{at}status").alias("status"), F.col(f"{at}provenance").alias("provenance"), F.lit(call_).alias("call"), target.cast("string").alias("target"))
+    turns = turn(contested, "c.", True, F.lit(None)).unionByName(turn(contested.where("by_parent is not null"), "by_parent.", False, F.col("call_event_id"))).unionByName(turn(results, "", False, F.lit(None)))
+    walked = turns.groupBy("trace_id", "call_id").applyInArrow(_in_order, "trace_id string, call_event_id string, result_event_id string, result_status string, result_prov string")
+    return _pairs(plain.unionByName(contested.drop("c", "by_parent", "r").join(walked, ["trace_id", "call_event_id"], "left")))
 
 
 def with_status(events: DataFrame, matches: DataFrame) -> DataFrame:
     """Pairs of all calls with status and weakest provenance; see :func:`pair_calls`."""
     c = events.where("kind = 'tool_call'").select("trace_id", F.col("event_id").alias("call_event_id"), "call_id", F.col("status").alias("call_status"), F.col("provenance").alias("call_prov"))
     r = events.where("kind = 'tool_result'").select("trace_id", F.col("event_id").alias("result_event_id"), F.col("status").alias("result_status"), F.col("provenance").alias("result_prov"))
-    rows = c.join(matches, ["trace_id", "call_event_id"], "left").join(r, ["trace_id", "result_event_id"], "left")
+    return _pairs(c.join(matches, ["trace_id", "call_event_id"], "left").join(r, ["trace_id", "result_event_id"], "left"))
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
     worst = lambda s: (F.col("call_status") == s) | F.coalesce(F.col("result_status") == s, F.lit(False))
     known = F.coalesce(F.col("result_status"), F.lit("unknown"))
     status = F.when(worst("failed"), "failed").when(worst("cancelled"), "cancelled").when(known != "unknown", F.col("result_status")).otherwise(F.col("call_status"))

@@ -63,7 +63,7 @@ b AS (SELECT episode_id, any_value(task_id) AS task_id, any_value(policy_id) AS
 l AS (SELECT episode_id, arg_max(passed, step) AS passed, arg_max(maybe, step) AS fresh FROM tests GROUP BY 1),
 c AS (SELECT b.*, round(artifacts, 6) AS art, coalesce(fresh, false) AS fr, coalesce(fresh, false) AND coalesce(passed, false) AS passing, passed, l.fresh IS NOT NULL AS tested, CASE rid % 5 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS claim, rid % 7 = 0 AS ghost FROM b JOIN art USING (episode_id) LEFT JOIN l USING (episode_id)),
 st AS (SELECT *, CASE WHEN art = 1 AND passing THEN 'completed' WHEN art > 0 OR revision > 0 OR tested THEN 'partial' ELSE 'blocked' END AS actual FROM c),
-al AS (SELECT *, submitted AND coalesce(rs = actual, false) AS m1, submitted AND claim IS NOT DISTINCT FROM CASE WHEN fr THEN passed END AS m2, submitted AND NOT coalesce(ghost, false) AND (actual <> 'completed' OR task_id = 'task-0') AS m3 FROM st),
+al AS (SELECT *, submitted AND coalesce(rs = actual, false) AS m1, submitted AND claim IS NOT DISTINCT FROM CASE WHEN fr THEN passed END AS m2, submitted AND EXISTS (SELECT 1 FROM final f WHERE f.episode_id = st.episode_id AND f.path = CASE WHEN ghost THEN 'ghost.txt' ELSE 'a.txt' END) AND (actual <> 'completed' OR task_id = 'task-0') AS m3 FROM st),
 reward AS (SELECT episode_id, task_id, policy_id, steps, rs AS claimed_status, actual AS actual_status, art AS artifact_correctness, passing::bigint AS fresh_tests, (m1 AND m2 AND m3)::bigint AS report_alignment, m1 AS status_matches, m2 AS tests_claim_matches, m3 AS artifact_claims_match,
   round(round(0.4::double * art, 6) + round(0.4::double * passing::bigint, 6) + round(0.2::double * (m1 AND m2 AND m3)::bigint, 6), 6) AS reward FROM al)"""
 

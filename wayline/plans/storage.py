@@ -1,8 +1,8 @@
 """Tables that one job writes and later stages read again.
 
 Everything that must outlive an executor goes to the folder named by
-``spark.checkpoint.dir``, which all executors and the driver share.  A folder of
-our own is made only where that setting is absent, as in local tests.
+``spark.checkpoint.dir``, which all executors and the driver share.  Where that setting
+is absent, a local session, as in tests, has a folder of its own; any other session is refused.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The shared folder of this session, as a path that Spark can write to."""
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_KEY} to a folder that the driver and all executors share")
         folder = getattr(spark, "_wayline_folder", None)
         if folder is None:
             folder = "file://" + tempfile.mkdtemp(prefix="wayline-")

@@ -136,8 +136,8 @@ def ac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("report", F.when(F.col("type") == "submit", report)).drop("report_status", "report_tests", "report_artifact")
 
 
-#: Fixture rows of the tasks.
-TASK_FILES = [(f"task-{t}", "a.txt", "old") for t in range(3)]
+#: Fixture rows of the tasks; the last one starts without files.
+TASK_FILES = [(f"task-{t}", "a.txt", "old") for t in range(2)]
 ASSERTIONS = [(f"task-{t}", n, k, p, e) for t in range(3) for n, k, p, e in [("exists", "file_exists", "a.txt", None), ("out", "file_equals", "out.txt", "v1"), ("cfg", "json_equals", "cfg.json", '{"a":2,"b":1}')][: 3 if t else 1]]
 TASKS = [(f"task-{t}", f"Do task {t}", 8 + 2 * t) for t in range(3)]
 
