@@ -37,7 +37,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced; n_chars follows the new text."""
-    return _counted(pii.pseudonymize(docs, found_col=None))
+    return _counted(pii.pseudonymize(docs, pii.configured_key(spark), found_col=None))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
