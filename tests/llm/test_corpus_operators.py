@@ -239,7 +239,7 @@ PII = [
 
 def test_pii(spark):
     docs = spark.createDataFrame([(i, t, 7, "p") for i, (t, _) in enumerate(PII)] + [(98, "x" * 200_000 + " 67.190.110.215", 7, "p"), (99, "x 1984-02-29 y \x01", 7, "p")], "doc_id long, text string, n_chars long, m string")
-    got = {r.doc_id: r for r in pii.pseudonymize(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(docs, "k").collect()}
     for i, (t, kinds) in enumerate(PII):
         assert ",".join(x.kind for x in got[i].pii) == kinds, t
         assert (got[i].text == t) == (kinds == "")
@@ -256,8 +256,10 @@ def test_pii(spark):
     other = {r.doc_id: r.text for r in pii.pseudonymize(docs, key="another").collect()}
     assert other[4] != out(4) and other[14] == out(14)
     with pytest.raises(ValueError):
-        pii.pseudonymize(docs, found_col="m")
-    assert pii.pseudonymize(docs.limit(0)).count() == 0
+        pii.pseudonymize(docs, "k", found_col="m")
+    assert pii.pseudonymize(docs.limit(0), "k").count() == 0
+    clash = pii.pseudonymize(docs.select("doc_id", "text", F.lit(1).alias("_wl_text"), F.lit(2).alias("_wlparts")), "k", found_col=None)
+    assert clash.columns == ["doc_id", "text", "_wl_text", "_wlparts"] and {(r.doc_id, r.text) for r in clash.collect()} == {(i, r.text) for i, r in got.items()}
 
 
 def test_pii_beside_other_words(spark):
@@ -268,7 +270,7 @@ def test_pii_beside_other_words(spark):
         (f"{iban} 7034 I", "iban", " 7034 I"), (f"AB12 {iban} X", "iban", " X"), (f"AB12 {card} X", "card", " X"), (f"{card} 212.555.0100", "card,phone", " "), ("on 25/12/2020 ok", "date", " ok"),
         (f"a {key_} b", "private_key", " b"), (f"\ufdd0\ufdd1\ufdd3 {card} \ufdd2\ufdd1 5", "card", " \ufdd2\ufdd1 5"), (f"{card} {card}", "card,card", " "), ("1 2 3 4 5 6 7 8 9 " * 2000, "", ""), (f"+44 {card}", "card", ""),
     ]
-    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id long, text string"), "k").collect()}
     for i, (t, kinds, rest) in enumerate(cases):
         assert ",".join(x.kind for x in got[i].pii) == kinds, t[:80]
         assert rest in got[i].text and card not in got[i].text and iban not in got[i].text and "Ab3/" not in got[i].text
@@ -360,6 +362,20 @@ def test_frequent_lines_count_every_distinct_document(spark):
     assert sorted(r.documents for r in quality_rules.frequent_lines(counts).collect()) == [60] * 9
 
 
+def test_lines_that_differ_in_marks_are_one_line(spark):
+    docs = [(i, f"{'Hello there!' if i % 2 else '* hello  there'}\n{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} own words\n{i} 7", "a") for i in range(50)]
+    counts = quality_rules.document_counts(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert [r.documents for r in quality_rules.frequent_lines(counts).collect()] == [50]
+
+
+def test_shared_lines_are_found_on_pages_of_nothing_else(spark):
+    rng = random.Random(0)
+    menu = [f"shared line {'abcdefghijklmnopqrstuvwxyz'[k]} of the site" for k in range(24)]
+    docs = [(i, "\n".join(menu[:20] + rng.sample(menu[20:], 2)), "a") for i in range(200)] + [(1000 + i, "\n".join(rng.sample(menu, 12)), "b") for i in range(300)]
+    found = quality_rules.frequent_lines(quality_rules.document_counts(spark.createDataFrame(docs[200:], "doc_id long, text string, source string"))).count()
+    assert found == 24
+
+
 def test_lines_above_limits_count_whatever_their_number(spark):
     name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
     notice = "We use cookies to make this site work as well as it can for all of you"

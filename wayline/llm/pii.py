@@ -17,9 +17,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rounds of each half; the key belongs in a secret store and is only defaulted for tests and benchmarks.
+#: Setting that holds the key; without it the queries, which read made data, take the example key.
+KEY_SETTING = "spark.wayline.pseudonymKey"
+EXAMPLE_KEY = "wayline-example-key"
+#: Rounds of each half.
 ROUNDS = 4
-DEFAULT_KEY = "wayline-example-key"
 
 _L, _R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Kinds in the order in which the alternation tries them.
@@ -252,37 +254,45 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", found_col: str | None = "pii") -> DataFrame:
+def configured_key(spark: SparkSession) -> str:
+    """The key that the session is given, or the example key."""
+    return spark.conf.get(KEY_SETTING, None) or EXAMPLE_KEY
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = "pii") -> DataFrame:
     """``docs`` with personal data replaced in ``text_col``, and ``found_col``: array of (kind, pseudonym) in order of place.
 
     A null text stays null and an empty one empty; candidates that fail validation stay as
     they are; repeated rows come out equal; the other columns are kept (``found_col`` must
-    be a new name, or None to leave it out).
+    be a new name, or None to leave it out).  ``key`` has no default: see :func:`configured_key`.
     """
     if found_col in docs.columns:
         raise ValueError(f"{found_col} is a column already")
-    t, m, f = "_wl_text", "_wl_found", "_wl_pairs"
+    own = "_wl"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    t, m, f, cut = own + "text", own + "found", own + "pairs", own + "parts"
     text = F.col(text_col).cast("string")
     swap = lambda c, *pairs: swap(F.replace(c, F.lit(pairs[0][0]), F.lit(pairs[0][1])), *pairs[1:]) if pairs else c
     hit = docs.withColumn(t, F.when(text.rlike(f"[{MARK}{_ESCAPE}]"), swap(text, (_ESCAPE, _ESCAPE + _SELF), (MARK, _ESCAPE + _MARKED))).otherwise(text))
     runs = hit.withColumn(m, F.when(F.col(t).rlike(HINT), F.regexp_extract_all(t, F.lit(FIRST), 0)))
-    runs = runs.withColumn("_wl_parts", F.when(F.exists(m, lambda x: x.rlike(_IN_RUN)), F.split(t, FIRST, -1)))
-    marked = F.concat(F.array_join(F.zip_with(F.slice("_wl_parts", 1, F.size(m)), m, lambda p, x: F.concat(p, F.when(x.rlike(_IN_RUN), _mark(x)).otherwise(x))), ""), F.element_at("_wl_parts", -1))
-    runs = runs.withColumn(t, F.when(F.col("_wl_parts").isNotNull(), marked).otherwise(F.col(t)))
+    runs = runs.withColumn(cut, F.when(F.exists(m, lambda x: x.rlike(_IN_RUN)), F.split(t, FIRST, -1)))
+    marked = F.concat(F.array_join(F.zip_with(F.slice(cut, 1, F.size(m)), m, lambda p, x: F.concat(p, F.when(x.rlike(_IN_RUN), _mark(x)).otherwise(x))), ""), F.element_at(cut, -1))
+    runs = runs.withColumn(t, F.when(F.col(cut).isNotNull(), marked).otherwise(F.col(t)))
     hit = runs.withColumn(m, F.when(F.size(m) > 0, F.regexp_extract_all(t, F.lit(ANY), 0)))
     clean = lambda x: F.replace(x, F.lit(MARK), F.lit(""))
     named = hit.withColumn(f, F.when(F.size(m) > 0, F.transform(F.transform(m, clean), lambda x: F.struct(x.alias("m"), kind_of(x).alias("kind")))))
     valued = named.withColumn(f, F.transform(f, lambda x: F.struct(x["kind"].alias("kind"), F.when(x["kind"].isNull(), x["m"]).otherwise(pseudonym(key, x["m"], x["kind"])).alias("pseudonym"))))
-    parts = valued.withColumn("_wl_parts", F.when(F.col(f).isNotNull(), F.split(t, ANY, -1)))
-    joined = F.concat(F.array_join(F.zip_with(F.slice("_wl_parts", 1, F.size(f)), f, lambda p, x: F.concat(p, x["pseudonym"])), ""), F.element_at("_wl_parts", -1))
+    parts = valued.withColumn(cut, F.when(F.col(f).isNotNull(), F.split(t, ANY, -1)))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(cut, 1, F.size(f)), f, lambda p, x: F.concat(p, x["pseudonym"])), ""), F.element_at(cut, -1))
     back = F.when(joined.contains(_ESCAPE), swap(clean(joined), (_ESCAPE + _MARKED, MARK), (_ESCAPE + _SELF, _ESCAPE))).otherwise(clean(joined))
     out = parts.withColumn(text_col, F.when(F.col(f).isNull(), F.col(text_col)).otherwise(back))
     if found_col:
         out = out.withColumn(found_col, F.coalesce(F.filter(f, lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,pseudonym:string>>")))
-    return out.drop(t, m, f, "_wl_parts")
+    return out.drop(t, m, f, cut)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    done = pseudonymize(docs)
+    done = pseudonymize(docs, configured_key(spark))
     return done.select("doc_id", "text", F.size("pii").cast("long").alias("n_found"), F.array_join(F.array_sort(F.transform("pii", lambda x: x["kind"])), ",").alias("kinds"))

@@ -24,8 +24,8 @@ def _blank(c: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    """Lower case; every run of other than letters is one space.  Lines without letters keep their characters, with single spaces."""
-    return F.when(line.rlike(r"\p{L}"), F.lower(F.regexp_replace(line, r"[^\p{L}]+", " "))).otherwise(F.btrim(F.regexp_replace(line, _WORD_GAP, " ")))
+    """Lower case; runs of other than letters are one space between words and nothing at the ends.  Lines without letters keep their characters, with single spaces."""
+    return F.when(line.rlike(r"\p{L}"), F.lower(F.trim(F.regexp_replace(line, r"[^\p{L}]+", " ")))).otherwise(F.btrim(F.regexp_replace(line, _WORD_GAP, " ")))
 
 
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -155,6 +155,27 @@ def keep_clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
+def oracle() -> str:
+    """The same verdicts in SQL, with lines compared as texts; ids are unique there."""
+    gap = "[ \\x09-\\x0D]"
+    return f"""
+WITH w AS (SELECT doc_id, source AS host, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{gap}+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines FROM documents),
+win AS (SELECT doc_id, unnest(generate_series(1, len(words) - 4)) AS i, words FROM w WHERE len(words) >= 5),
+grams AS (SELECT doc_id, i, words[i:i + 4] AS g FROM win),
+twice AS (SELECT doc_id, unnest(positions) AS i FROM (SELECT doc_id, list(i) AS positions FROM grams GROUP BY doc_id, g HAVING count(*) > 1)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS p FROM twice) GROUP BY doc_id),
+each AS (SELECT doc_id, host, length(x) AS n, CASE WHEN regexp_matches(x, '\\p{{L}}') THEN lower(trim(regexp_replace(x, '[^\\p{{L}}]+', ' ', 'g'))) ELSE trim(regexp_replace(x, '{gap}+', ' ', 'g')) END AS line
+    FROM (SELECT doc_id, host, unnest(lines) AS x FROM w)),
+whole AS (SELECT doc_id, list_sort(list_distinct(list(line))) AS content FROM each GROUP BY doc_id),
+frequent AS (SELECT host, line FROM each JOIN whole USING (doc_id) GROUP BY host, line HAVING count(DISTINCT content) > {MAX_DOCS_PER_HOST}),
+sums AS (SELECT doc_id, sum(n) AS line_chars, sum(CASE WHEN f.line IS NULL THEN 0 ELSE n END) AS removed_chars FROM each e LEFT JOIN frequent f ON f.line = e.line AND f.host IS NOT DISTINCT FROM e.host GROUP BY doc_id),
+base AS (SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, coalesce(line_chars, 0)::bigint AS line_chars, coalesce(removed_chars, 0)::bigint AS removed_chars FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN sums USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR line_chars - removed_chars < {LEAST_LEFT} * line_chars) AS kept, line_chars, removed_chars FROM base"""
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return verdicts(docs).select(*COLUMNS, "line_chars", "removed_chars")

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.op9,
     "op10_language_model": language_model.op10,
 }
-ORACLE_SQL: dict[str, str] = {"op7_licence_scan": licences.oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_licence_scan": licences.oracle(), "op8_quality_rules": quality_rules.oracle()}
