@@ -45,10 +45,13 @@ HOT_WORDS = 1 << 17
 HOT_STRINGS = 1 << 20
 #: Distinct words, and strings, that a task counts before it hands them on.
 FLUSH = 150_000
-FLUSH_STRINGS = 3_000_000
+FLUSH_STRINGS = 1_500_000
+#: Text bytes that a task turns into strings at a time.
+STEP = 2 << 20
 #: Strings scored at once (whole contexts of three symbols), strings of a lookup bucket, and of a packed row.
 BLOCK = 500_000
-BUCKET = 1_000_000
+BUCKET = 250_000
+LEAST_BUCKETS = 64
 RUN = 4096
 
 
@@ -99,7 +102,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part, n if learn else pa.array(np.zeros(len(part), np.int64)), n], names=["word", "n", "n_all"])
 
         seen = {True: Counter(), False: Counter()}
-        for b in steps(batches, 0):
+        for b in steps(batches, 0, STEP):
             for t, learn in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen[bool(learn)].update(_words(t))
             for learn, c in seen.items():
@@ -148,7 +151,7 @@ def count_strings(docs: DataFrame, order: int) -> DataFrame:
                 n = pa.array(counts[at : at + 100_000])
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), n if learn else pa.array(np.zeros(len(n), np.int64)), n], names=["code", "n", "n_all"])
 
-        for b in steps(batches, 0):
+        for b in steps(batches, 0, STEP):
             learns = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             texts = b.column(0).to_pylist()
             for learn in (True, False):
@@ -290,7 +293,7 @@ class HotTables:
         for _ in range(4):
             if not len(codes):
                 break
-            bits = max(4, int(2 * len(codes)).bit_length())
+            bits = max(4, int(len(codes)).bit_length())
             keys, values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
             at = slots(codes, bits)
             keys[at[::-1]], values[at[::-1]] = codes[::-1], logp[::-1]  # the first of those that share a place gets it
@@ -407,7 +410,7 @@ def score_documents(
     hot = most_frequent(words, hot_words)
     scored = materialize(score_strings(materialize(count_strings(taught, order), "strings"), order), "scored-strings")
     top = most_frequent(scored.select("code", "n_all", "logp"), hot_strings)
-    buckets = 8 + scored.count() // BUCKET
+    buckets = LEAST_BUCKETS + scored.count() // BUCKET
     by_count = np.argsort(-top.column("n_all").to_numpy(), kind="stable")
     tables = HotTables(top.column("code").to_numpy()[by_count].astype(np.int64), top.column("logp").to_numpy()[by_count])
     sent = spark.sparkContext.broadcast((tables, hot.column("word").combine_chunks(), hot.column("n").to_numpy()))
@@ -415,7 +418,7 @@ def score_documents(
     def run(batches):
         strings_of, hot_list, hot_counts = sent.value
         known = dict(zip(hot_list.to_pylist(), zip((hot_counts > 0).tolist(), np.log10(hot_counts + 0.5).tolist())))
-        for b in steps(batches, 2):
+        for b in steps(batches, 2, STEP):
             uids, ids, texts = b.column(0).to_numpy(), b.column(1), b.column(2).to_pylist()
             x, begin = symbol_rows(texts, order)
             code = strings(x, order)
