@@ -239,6 +239,34 @@ def test_generic_blocks(spark):
     assert {(r.trace_id, r.code) for r in diag.collect()} >= {("t", "UNSUPPORTED_EVENT"), ("bad", "INVALID_JSON")}
 
 
+def test_response_envelope(spark):
+    done = [
+        {"type": "response.output_item.added", "item": {"type": "function_call", "id": "fc", "call_id": "k", "name": "search", "arguments": ""}},
+        {"type": "response.function_call_arguments.delta", "item_id": "fc", "delta": "x"},
+        {"type": "response.output_item.done", "item": {"type": "function_call", "id": "fc", "call_id": "k", "name": "search", "arguments": '{"q":"trace"}', "status": "completed"}},
+    ]
+    whole = {"id": "r", "created_at": 1_776_339_600, "status": "completed", "output": [
+        {"type": "message", "id": "m", "role": "assistant", "status": "completed", "content": [{"type": "output_text", "text": "Running."}]},
+        {"type": "function_call", "id": "fc", "call_id": "k", "name": "deploy", "arguments": '{"target":"staging"}', "status": "completed"},
+        {"type": "function_call_output", "id": "fo", "call_id": "k", "output": {"error": "access denied"}, "status": "failed"}, 7]}
+    rows = [("stream", done), ("whole", whole), ("within", {"response": whole}), ("last", [*done, {"type": "response.completed", "response": whole}]), ("open", done[:2]), ("bodiless", [{"type": "response.output_item.done"}]), ("none", {"a": 1})]
+    events, diagnostics = generic.response_events(spark.createDataFrame([(k, json.dumps(v)) for k, v in rows] + [("broken", "{oops"), ("null", None)], "trace_id string, raw string"))
+    got = {}
+    for r in events.orderBy("trace_id", "ord").collect():
+        got.setdefault(r.trace_id, []).append((r.event_id, r.kind, r.status, r.ts_raw))
+    three = [("m", "message", "succeeded", "1776339600"), ("fc", "tool_call", "succeeded", "1776339600"), ("fo", "tool_result", "failed", "1776339600")]
+    assert got == {"stream": [("fc", "tool_call", "succeeded", None)], "whole": three, "within": three, "last": three, "open": [("fc", "tool_call", "pending", None)]}
+    codes = sorted((r.trace_id, r.code) for r in diagnostics.collect())
+    assert codes == sorted([(k, "MALFORMED_EVENT") for k in ("whole", "within", "last", "bodiless")] + [("open", "INCOMPLETE_STREAM_DELTA"), ("none", "INVALID_TRACE_ROOT"), ("broken", "INVALID_JSON")])
+
+
+def test_states_and_broken_json_fields(spark):
+    items = [{"type": "tool_call", "id": "a", "arguments": "{oops", "status": "strange"}, {"type": "tool_call", "id": "b", "arguments": "{}", "state": "running"}, {"type": "error", "id": "c", "status": "unheard of"}, {"type": "tool_result", "id": "d", "output": "[1", "state": {"x": 1}}]
+    events, diagnostics = generic.generic_events(spark.createDataFrame([("t", json.dumps(items))], "trace_id string, raw string"))
+    assert {r.event_id: r.status for r in events.collect()} == {"a": "pending", "b": "running", "c": "failed", "d": "unknown"}
+    assert {(r.pos, r.code) for r in diagnostics.collect()} == {(0, "MALFORMED_TOOL_ARGUMENTS"), (3, "MALFORMED_TOOL_RESULT")}
+
+
 def test_read_traces(spark, tmp_path):
     for name, text in {"a.txt": "x\ny", "b.json": '"one\\ntwo"', "c.json": '["l1","l2"]', "d.json": '{"messages":[{"role":"user","content":"hi"},{"role":"agent","content":"yo"}]}', "e.json": "{broken", "f.json": '{"trace":"tr"}'}.items():
         (tmp_path / name).write_text(text)

@@ -69,14 +69,38 @@ def _blocks(items: DataFrame) -> DataFrame:
     return rows.select("trace_id", "pos", F.posexplode(every).alias("sub", "x")).select("trace_id", "pos", "sub", "x.*")
 
 
+def _plain(item: Column, name: str) -> Column:
+    """A field that is neither object nor array nor blank, as text."""
+    x = F.trim(F.get_json_object(item, f"$.{name}"))
+    return F.when(~x.rlike(r"^[\[{]") & (x != ""), x)
+
+
+def _looks_broken(text: Column) -> Column:
+    """Whether text begins like JSON but doesn't parse."""
+    t = F.trim(text)
+    return F.coalesce(t.rlike(r"^[\[{]"), F.lit(False)) & F.try_parse_json(t).isNull()
+
+
 def generic_events(traces: DataFrame, fmt: str = "generic_json") -> tuple[DataFrame, DataFrame]:
-    """(events, diagnostics) of JSON traces.
+    """(events, diagnostics) of JSON traces; see :func:`events_of_items`.  Text that doesn't parse gives INVALID_JSON."""
+    events, diagnostics = events_of_items(_items(traces), fmt)
+    return events, diagnostics.unionByName(_broken(traces))
+
+
+def _broken(traces: DataFrame) -> DataFrame:
+    return traces.where(F.try_parse_json("raw").isNull() & F.col("raw").isNotNull()).select("trace_id", F.lit("INVALID_JSON").alias("code"), F.lit(None).cast("long").alias("pos"))
+
+
+def events_of_items(items: DataFrame, fmt: str) -> tuple[DataFrame, DataFrame]:
+    """(events, diagnostics) of items (trace_id, pos, item).
 
     Events are numbered in order of item, then of block within it.  Unknown types are
-    dropped with UNSUPPORTED_EVENT; text that doesn't parse gives INVALID_JSON; a sequence
-    that isn't a whole number from 0 gives INVALID_SEQUENCE and the running number instead.
+    dropped with UNSUPPORTED_EVENT, items that aren't objects with MALFORMED_EVENT; a sequence
+    that isn't a whole number from 0 gives INVALID_SEQUENCE and the running number instead;
+    arguments and results that look like JSON but don't parse stay text, with
+    MALFORMED_TOOL_ARGUMENTS or MALFORMED_TOOL_RESULT.
     """
-    flat = _blocks(_items(traces))
+    flat = _blocks(items)
     item, forced = F.col("item"), F.col("forced")
     rows = flat.withColumn("kind", F.coalesce(forced, kind_of(item)))
     known = rows.where("kind is not null")
@@ -90,10 +114,11 @@ def generic_events(traces: DataFrame, fmt: str = "generic_json") -> tuple[DataFr
     no = lambda k: F.get_json_object(item, f"$.{k}") == "false"
     is_error = F.coalesce(flag("is_error"), F.lit(False)) | F.coalesce(flag("error"), F.lit(False)) | F.coalesce(no("success"), F.lit(False))
     won = F.coalesce(flag("success"), flag("ok"), F.lit(False))
-    raw_status = F.get_json_object(item, "$.status")
+    raw_status = F.coalesce(_plain(item, "status"), _plain(item, "state"))
     fallback = F.when(F.col("kind") == "tool_call", "pending").when(F.col("kind") == "error", "failed").otherwise("unknown")
-    status = F.when(is_error, "failed").when(won, "succeeded").when(raw_status.isNotNull(), normal_status(raw_status)).otherwise(fallback)
-    payload = F.when(F.col("kind") == "message", F.coalesce(F.when(forced.isNull(), F.col("text")), F.get_json_object(item, "$.content"), F.get_json_object(item, "$.text"))).when(F.col("kind") == "tool_call", field(item, "arguments")).otherwise(field(item, "result"))
+    status = F.when(is_error, "failed").when(won, "succeeded").otherwise(normal_status(raw_status, fallback=fallback))
+    payload = F.when(F.col("kind") == "message", F.coalesce(F.when(forced.isNull(), F.col("text")), F.get_json_object(item, "$.content"), F.get_json_object(item, "$.text"))).when(F.col("kind") == "tool_call", field(item, "arguments"))
+    payload = payload.when(F.col("kind") == "error", F.coalesce(F.get_json_object(item, "$.error"), field(item, "result"))).when(F.col("kind") == "state_change", F.coalesce(F.get_json_object(item, "$.state"), field(item, "result"))).otherwise(field(item, "result"))
     prov = F.lower(F.get_json_object(item, "$.provenance"))
     events = known.select(
         "trace_id",
@@ -111,28 +136,92 @@ def generic_events(traces: DataFrame, fmt: str = "generic_json") -> tuple[DataFr
         payload.alias("payload"),
     )
     source = lambda code, df: df.select("trace_id", F.lit(code).alias("code"), F.col("pos").cast("long").alias("pos"))
-    diagnostics = source("UNSUPPORTED_EVENT", rows.where("kind is null")).unionByName(source("INVALID_SEQUENCE", known.where(seq.isNotNull() & ~good)))
-    broken = traces.where(F.expr("try_parse_json(raw)").isNull() & F.col("raw").isNotNull()).select("trace_id", F.lit("INVALID_JSON").alias("code"), F.lit(None).cast("long").alias("pos"))
-    return events, diagnostics.unionByName(broken)
+    is_object = F.startswith(F.ltrim(item), F.lit("{"))
+    code = (
+        F.when(F.col("kind").isNull(), F.when(is_object, "UNSUPPORTED_EVENT").otherwise("MALFORMED_EVENT"))
+        .when((F.col("kind") == "tool_call") & _looks_broken(field(item, "arguments")), "MALFORMED_TOOL_ARGUMENTS")
+        .when((F.col("kind") == "tool_result") & _looks_broken(field(item, "result")), "MALFORMED_TOOL_RESULT")
+    )
+    odd = F.when(F.col("kind").isNotNull() & seq.isNotNull() & ~good, "INVALID_SEQUENCE")
+    found = rows.select("trace_id", F.explode(F.array_compact(F.array(code, odd))).alias("code"), F.col("pos").cast("long").alias("pos"))
+    return events, found
+
+
+# -- response envelopes and streams
+
+
+def _stamped(item: Column, stamp: Column) -> Column:
+    """An object with a timestamp: its own, or else the given one (number or text)."""
+    quoted = F.when(stamp.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), stamp).otherwise(F.regexp_replace(F.to_json(F.array(stamp)), r"^\[|\]$", ""))
+    own = F.coalesce(F.get_json_object(item, "$.timestamp"), F.get_json_object(item, "$.created_at"))
+    rest = F.substr(F.ltrim(item), F.lit(2))
+    put = F.concat(F.lit('{"timestamp":'), quoted, F.when(F.trim(rest) == "}", "").otherwise(","), rest)
+    return F.when(own.isNull() & stamp.isNotNull() & F.startswith(F.ltrim(item), F.lit("{")), put).otherwise(item)
+
+
+def _output_items(responses: DataFrame) -> DataFrame:
+    """(trace_id, pos, item) of response objects (trace_id, response); items without a time take the response's."""
+    stamp = F.coalesce(_plain(F.col("response"), "created_at"), _plain(F.col("response"), "timestamp"))
+    each = responses.select("trace_id", stamp.alias("stamp"), F.posexplode(F.from_json(F.get_json_object("response", "$.output"), "array<string>")).alias("pos", "item"))
+    return each.select("trace_id", "pos", _stamped(F.col("item"), F.col("stamp")).alias("item"))
 
 
 def fold_response_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items, diagnostics) of response stream messages (trace_id, pos, item).
+    """(items, diagnostics) of response stream messages (trace_id, pos, item); both name the message by pos.
+
+    The last completed response with a body replaces everything.  Else a finished item stands
+    for its added item, its finished arguments or text and all its deltas; finished
+    arguments and texts of other items become calls and messages, states of the response
+    state changes, failures errors.  Deltas of unfinished items are left over
+    (INCOMPLETE_STREAM_DELTA); added or finished items without a body are MALFORMED_EVENT.
+    """
+    get = lambda path: F.get_json_object("item", f"$.{path}")
+    typed = messages.withColumn("type", F.coalesce(_plain(F.col("item"), "type"), _plain(F.col("item"), "event"), _plain(F.col("item"), "kind"), F.lit("")))
+    whole = typed.where((F.col("type") == "response.completed")).groupBy("trace_id").agg(F.max_by(get("response"), "pos").alias("response")).where("response LIKE '{%'")
+    rest = typed.join(whole.select("trace_id"), "trace_id", "left_anti")
+    is_item = F.col("type").isin("response.output_item.added", "response.output_item.done")
+    rest = rest.withColumn("body", F.when(is_item & F.startswith(get("item"), F.lit("{")), get("item"))).withColumn("id", F.when(is_item, F.get_json_object("body", "$.id")).otherwise(get("item_id")))
+    done = rest.where((F.col("type") == "response.output_item.done") & F.col("id").isNotNull()).select("trace_id", "id").distinct().withColumn("done", F.lit(True))
+    rows = rest.join(done, ["trace_id", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    t, stamp, id_ = F.col("type"), F.coalesce(get("timestamp"), get("created_at")), F.col("id")
+    made = lambda **fields: F.to_json(F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in fields.items()], stamp.alias("timestamp")))
+    call = made(type="function_call", event_id=F.coalesce(get("id"), id_), call_id=F.coalesce(get("call_id"), id_), name=F.coalesce(get("name"), F.lit("unknown_tool")), arguments=get("arguments"))
+    text = made(type="message", event_id=F.coalesce(get("id"), F.concat(F.coalesce(id_, F.concat(F.lit("item-"), "pos")), F.lit(":text"))), parent_id=id_, role="assistant", content=F.coalesce(get("text"), F.lit("")), status="completed")
+    failed = made(type="error", event_id=get("id"), error=F.coalesce(get("response.error"), get("error"), get("message"), F.lit("OpenAI response failed")))
+    state = made(type="state_change", event_id=get("id"), parent_id=get("response.id"), state=F.struct(F.lit("response_status").alias("name"), F.coalesce(get("response.status"), F.regexp_replace(t, r"^response\.", "")).alias("to")), status=get("response.status"))
+    entry = (
+        F.when(is_item, F.when(~((t == "response.output_item.added") & F.col("done")), _stamped(F.col("body"), stamp)))
+        .when(t == "response.function_call_arguments.done", F.when(~F.col("done"), call))
+        .when(t == "response.output_text.done", F.when(~F.col("done"), text))
+        .when(t.isin("response.failed", "error"), failed)
+        .when(t.isin("response.created", "response.in_progress", "response.incomplete"), state)
+        .when(~t.endswith(".delta"), F.col("item"))
+    )
+    code = F.when(t.endswith(".delta") & ~F.col("done"), "INCOMPLETE_STREAM_DELTA").when(is_item & F.col("body").isNull(), "MALFORMED_EVENT")
+    items = rows.select("trace_id", "pos", entry.alias("item")).where("item is not null")
+    left = rows.select("trace_id", code.alias("code"), F.col("pos").cast("long").alias("pos")).where("code is not null")
+    return _output_items(whole).unionByName(items), left
+
+
+def response_events(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, diagnostics) of response traces (trace_id, raw): a response object, an object that holds one, or stream messages.
 
-    The last completed response replaces everything.  Else a finished item stands for its
-    added item and all deltas; deltas without a finished item are left over
-    (INCOMPLETE_STREAM_DELTA).  Items keep the place of the message that gave them.
+    Anything else gives INVALID_TRACE_ROOT, and text that doesn't parse INVALID_JSON.
     """
-    t = F.get_json_object("item", "$.type")
-    m = messages.withColumn("type", t).withColumn("item_id", F.coalesce(F.get_json_object("item", "$.item_id"), F.get_json_object("item", "$.item.id")))
-    last = m.where("type = 'response.completed'").groupBy("trace_id").agg(F.max_by("item", "pos").alias("item"))
-    whole = last.select("trace_id", F.posexplode(F.from_json(F.get_json_object("item", "$.response.output"), "array<string>")).alias("pos", "item"))
-    rest = m.join(last.select("trace_id"), "trace_id", "left_anti")
-    done = rest.where("type = 'response.output_item.done'").select("trace_id", "item_id").distinct()
-    finished = rest.where("type = 'response.output_item.done'").groupBy("trace_id", "item_id").agg(F.max_by("pos", "pos").alias("pos"), F.max_by(F.get_json_object("item", "$.item"), "pos").alias("item")).select("trace_id", "pos", "item")
-    added = rest.where("type = 'response.output_item.added'").join(done, ["trace_id", "item_id"], "left_anti").select("trace_id", "pos", F.get_json_object("item", "$.item").alias("item"))
-    left = rest.where(F.col("type").endswith(".delta")).join(done, ["trace_id", "item_id"], "left_anti").select("trace_id", F.lit("INCOMPLETE_STREAM_DELTA").alias("code"), "item_id").distinct()
-    return whole.unionByName(finished).unionByName(added), left
+    get = lambda path: F.get_json_object("raw", f"$.{path}")
+    t = F.coalesce(_plain(F.col("raw"), "type"), _plain(F.col("raw"), "event"), _plain(F.col("raw"), "kind"))
+    form = (
+        F.when(F.startswith(F.ltrim("raw"), F.lit("[")), "array").when(~F.startswith(F.ltrim("raw"), F.lit("{")), "none").when(t.startswith("response."), "message").when(get("response").startswith("{"), "within")
+        .when(get("output").startswith("["), "response").when(get("events").startswith("["), "events").when(t.isNotNull() | _plain(F.col("raw"), "role").isNotNull(), "item").otherwise("none")
+    )
+    rows = traces.where(F.try_parse_json("raw").isNotNull()).select("trace_id", "raw", form.alias("form"))
+    messages = F.when(F.col("form") == "array", F.from_json("raw", "array<string>")).when(F.col("form") == "message", F.array("raw")).when(F.col("form") == "events", F.from_json(get("events"), "array<string>"))
+    stream, left = fold_response_stream(rows.where("form in ('array', 'message', 'events')").select("trace_id", F.posexplode(messages).alias("pos", "item")))
+    outputs = _output_items(rows.where("form in ('within', 'response')").select("trace_id", F.when(F.col("form") == "within", get("response")).otherwise(F.col("raw")).alias("response")))
+    single = rows.where("form = 'item'").select("trace_id", F.lit(0).alias("pos"), F.col("raw").alias("item"))
+    events, diagnostics = events_of_items(stream.unionByName(outputs).unionByName(single), "openai_responses")
+    rootless = rows.where("form = 'none'").select("trace_id", F.lit("INVALID_TRACE_ROOT").alias("code"), F.lit(None).cast("long").alias("pos"))
+    return events, diagnostics.unionByName(left).unionByName(rootless).unionByName(_broken(traces))
 
 
 def check_trace_constraints(events: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -164,6 +164,23 @@ def nested_calls(s, d):
     return generic.generic_events(rows)[0].groupBy("kind", "role").agg(F.count("*").alias("n"))
 
 
+RESPONSE_ITEMS = """messages AS (SELECT user_id, event_id, event_type, CASE event_type
+  WHEN 'view' THEN concat('{"type":"response.output_item.added","item":{"type":"message","id":"i', CAST(event_id % 25 AS string), '","role":"assistant","content":"hi ', CAST(event_id AS string), '","status":"in_progress"}}')
+  WHEN 'click' THEN concat('{"type":"response.output_item.done","item":{"type":"function_call","id":"i', CAST(event_id % 25 AS string), '","call_id":"c', CAST(event_id AS string), '","name":"go","arguments":"', CASE WHEN event_id % 4 = 0 THEN '{bad' ELSE '{}' END, '","status":"completed"}}')
+  WHEN 'purchase' THEN concat('{"type":"response.function_call_arguments.done","item_id":"i', CAST(event_id % 25 AS string), '","call_id":"p', CAST(event_id AS string), '","name":"run","arguments":"[1]"}')
+  WHEN 'error' THEN concat('{"type":"response.failed","response":{"error":"boom ', CAST(event_id AS string), '"}}')
+  ELSE '{"type":"response.in_progress","response":{"id":"resp","status":"in_progress"}}' END AS item FROM events)"""
+
+
+def _responses(s, d):
+    """Response streams, one per user: added, finished, failed and other messages."""
+    views.register(s, d, "events")
+    return s.sql(f"WITH {RESPONSE_ITEMS} SELECT concat('s', CAST(user_id AS string)) AS trace_id, concat('[', array_join(transform(array_sort(collect_list(struct(event_id, item))), x -> x.item), ','), ']') AS raw FROM messages GROUP BY user_id")
+
+
+_DONE = "done AS (SELECT DISTINCT user_id, event_id % 25 AS k FROM events WHERE event_type = 'click'), m AS (SELECT e.*, d.k IS NOT NULL AS done FROM events e LEFT JOIN done d ON d.user_id = e.user_id AND d.k = e.event_id % 25)"
+
+
 def response_fold(s, d):
     """Response stream messages from events: added and finished items, and deltas of unfinished ones."""
     views.register(s, d, "events")
@@ -221,6 +238,8 @@ QUERIES = {
     "telemetry": lambda s, d: batch.run_telemetry(_calls(s, d)),
     "monitoring_tier": run_quality,
     "generic_events": lambda s, d: generic.generic_events(_json(s, d))[0].select("trace_id", "ord", "event_id", "sequence", "kind", "call_id", "status", "role", "payload"),
+    "response_events": lambda s, d: generic.response_events(_responses(s, d))[0].select("trace_id", "ord", "kind", "status", "call_id", "payload"),
+    "response_diagnostics": lambda s, d: generic.response_events(_responses(s, d))[1].groupBy("trace_id", "code").agg(F.count("*").alias("n")),
     "generic_diagnostics": lambda s, d: generic.generic_events(_json(s, d))[1].groupBy("trace_id", "code").agg(F.count("*").alias("n")),
     "nested_calls": nested_calls,
     "response_fold": response_fold,
@@ -258,6 +277,14 @@ ORACLE_SQL = {
     "generic_events": f"""WITH {_GEN}, k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS ord FROM gk WHERE kind IS NOT NULL)
         SELECT trace_id, ord, 'e' || event_id AS event_id, CASE WHEN event_id % 6 = 0 THEN ord ELSE event_id END AS sequence, kind, 'c' || (event_id % 10) AS call_id, CASE event_id % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS status,
         CASE WHEN kind = 'message' THEN CASE event_id % 3 WHEN 0 THEN 'assistant' ELSE 'user' END END AS role, CASE WHEN kind <> 'tool_call' THEN 'text ' || event_id END AS payload FROM k""",
+    "response_events": f"""WITH {_DONE} SELECT 's' || user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord,
+        CASE event_type WHEN 'view' THEN 'message' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'state_change' ELSE 'tool_call' END AS kind, CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'succeeded' WHEN 'purchase' THEN 'pending' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
+        CASE event_type WHEN 'click' THEN 'c' || event_id WHEN 'purchase' THEN 'p' || event_id END AS call_id,
+        CASE event_type WHEN 'view' THEN 'hi ' || event_id WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN '{{bad' ELSE '{{}}' END WHEN 'purchase' THEN '[1]' WHEN 'error' THEN 'boom ' || event_id ELSE '{{"name":"response_status","to":"in_progress"}}' END AS payload
+        FROM m WHERE NOT (done AND event_type IN ('view', 'purchase'))""",
+    "response_diagnostics": "SELECT 's' || user_id AS trace_id, 'MALFORMED_TOOL_ARGUMENTS' AS code, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 4 = 0 GROUP BY user_id",
+    "response_fold": """WITH m AS (SELECT 'r' || (user_id % 50) AS trace_id, event_type, event_id % 40 AS id FROM events), done AS (SELECT DISTINCT trace_id, id FROM m WHERE event_type = 'click')
+        SELECT m.trace_id, count(*) FILTER (event_type = 'click' OR (event_type = 'view' AND d.id IS NULL)) AS n_items, count(*) FILTER (event_type NOT IN ('view', 'click') AND d.id IS NULL) AS n_left FROM m LEFT JOIN done d ON d.trace_id = m.trace_id AND d.id = m.id GROUP BY 1""",
     "generic_diagnostics": f"WITH {_GEN} SELECT trace_id, 'UNSUPPORTED_EVENT' AS code, count(*) AS n FROM gk WHERE kind IS NULL GROUP BY 1 UNION ALL SELECT trace_id, 'INVALID_SEQUENCE', count(*) FROM gk WHERE kind IS NOT NULL AND event_id % 6 = 0 GROUP BY 1",
     "progress_fold": """SELECT 'run-' || user_id AS run_id, count(*) FILTER (event_type NOT IN ('signup', 'error')) AS n_steps, coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type NOT IN ('signup', 'error')), '') AS tools, CASE WHEN bool_or(event_type = 'signup') THEN 'complete' WHEN bool_or(event_type = 'error') THEN 'error' ELSE 'open' END AS outcome,
         'r' || max(event_id) FILTER (event_type = 'signup') AS report_json, 'x' || max(event_id) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id""",
