@@ -72,7 +72,7 @@ def readiness(s, d):
         "pairs": integrity.check_pairs(c),
         "case_rules": integrity.check_cases(st),
     }
-    return coverage.readiness_checks(counts, {"duplicates": 10**9})
+    return coverage.readiness_checks(counts)
 
 
 def binary(s, d):
@@ -156,7 +156,7 @@ _PAIRS = "pr AS (SELECT 'counterfactual_pair_id' AS pair_type, counterfactual_pa
 _GROUPS = f"gr AS (SELECT group_id, {_set('split')} AS splits, count(*) AS n FROM cs GROUP BY 1 HAVING count(DISTINCT split) > 1)"
 _LEAKS = "lk AS (" + " UNION ALL ".join([_leak("case_id", "case_id", having="count(*) > 1"), _leak(_SHA, "trace"), _leak("group_id", "group"), _leak("counterfactual_pair_id", "counterfactual_pair_id"), _leak("style_pair_id", "style_pair_id")]) + ")"
 _DUPS = f"du AS (SELECT {_SHA} AS trace_sha256, count(*) AS n, min(case_id) AS first_case FROM cs GROUP BY 1 HAVING count(*) > 1)"
-_READY = "ready AS (SELECT name AS \"check\", n, n <= most AS passed, n || ' rows, at most ' || most AS detail FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, {m} AS most FROM {t}" for n, t, m in [("duplicates", "du", 10**9), ("groups", "gr", 0), ("hashes", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0), ("labels", "(FROM cs WHERE reliable IS NULL)", 0), ("leakage", "lk", 0), ("pairs", "pc", 0), ("case_rules", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0)]) + "))"
+_READY = "ready AS (SELECT name AS \"check\", n, n <= most AS passed, n || ' rows, at most ' || most AS detail FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, {m} AS most FROM {t}" for n, t, m in [("duplicates", "du", 0), ("groups", "gr", 0), ("hashes", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0), ("labels", "(FROM cs WHERE reliable IS NULL)", 0), ("leakage", "lk", 0), ("pairs", "pc", 0), ("case_rules", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0)]) + "))"
 _ALL = f"{W}, {_STORED}, {_PAIRS}, {_GROUPS}, {_LEAKS}, {_DUPS}, {_READY}"
 
 ORACLE_SQL = {

@@ -282,6 +282,8 @@ ORACLE_SQL = {
         CASE event_type WHEN 'click' THEN 'c' || event_id WHEN 'purchase' THEN 'p' || event_id END AS call_id,
         CASE event_type WHEN 'view' THEN 'hi ' || event_id WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN '{{bad' ELSE '{{}}' END WHEN 'purchase' THEN '[1]' WHEN 'error' THEN 'boom ' || event_id ELSE '{{"name":"response_status","to":"in_progress"}}' END AS payload
         FROM m WHERE NOT (done AND event_type IN ('view', 'purchase'))""",
+    "nested_calls": "SELECT 'message' AS kind, role, count(*) AS n FROM conversations GROUP BY role UNION ALL SELECT 'tool_call', NULL, count(*) FILTER (turn % 3 = 0) + count(*) FILTER (turn % 2 = 0) FROM conversations",
+    "trace_summary": f"WITH {_GEN} SELECT trace_id, count(*) FILTER (kind IS NOT NULL) AS n_events, count(*) FILTER (kind IS NULL) + count(*) FILTER (kind IS NOT NULL AND event_id % 6 = 0) AS n_diagnostics, count(*) FILTER (kind IS NULL) > 0 AS lossy FROM gk GROUP BY 1",
     "response_diagnostics": "SELECT 's' || user_id AS trace_id, 'MALFORMED_TOOL_ARGUMENTS' AS code, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 4 = 0 GROUP BY user_id",
     "response_fold": """WITH m AS (SELECT 'r' || (user_id % 50) AS trace_id, event_type, event_id % 40 AS id FROM events), done AS (SELECT DISTINCT trace_id, id FROM m WHERE event_type = 'click')
         SELECT m.trace_id, count(*) FILTER (event_type = 'click' OR (event_type = 'view' AND d.id IS NULL)) AS n_items, count(*) FILTER (event_type NOT IN ('view', 'click') AND d.id IS NULL) AS n_left FROM m LEFT JOIN done d ON d.trace_id = m.trace_id AND d.id = m.id GROUP BY 1""",
