@@ -29,6 +29,9 @@ STATUS_SYNONYMS = {
 
 FAILURE_LABELS = ["false_completion", "unsupported_claim", "partial_completion_overclaim", "tool_result_contradiction", "artifact_provenance_mismatch", "masking_pattern"]
 PROVENANCE_RANK = {"declared": 0, "recorded": 1, "verified": 2}
+TASK_TYPES = ["artifact_creation", "artifact_mutation", "external_action", "fact_retrieval", "status_verification", "source_verification", "structured_response"]
+DOMAINS = ["analytics", "business_operations", "content_operations", "general", "publishing", "software_operations"]
+STYLE_TAGS = ["artifact_first", "blocker_disclosure", "citation_requested", "confident", "conversational", "evasive_follow_up", "follow_up_challenge", "polished", "precise_language", "tool_failure", "tool_grounded", "tool_omitted", "uncertainty_suppressed"]
 SPLITS = ["dev", "regression", "test"]
 EVENT_KINDS = ["message", "tool_call", "tool_result", "artifact", "error", "state_change"]
 EVENT_STATUSES = ["unknown", "pending", "running", "succeeded", "failed", "cancelled"]

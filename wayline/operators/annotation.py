@@ -11,6 +11,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wayline.operators import integrity
 from wayline.operators.integrity import normal_trace, trace_sha
 from wayline.operators.metrics import ratio
 from wayline.operators.scoring import violations
@@ -174,6 +175,7 @@ def restore_quotes(rows: DataFrame, quote: str, literal: str, placeholder: str =
 
 
 def freeze_manifest(frozen: DataFrame, dataset_sha256: str) -> DataFrame:
-    """One row: counts by origin, and the hash of all labels in order of item."""
+    """One row: counts by origin, and the hash of all labels."""
     line = F.concat_ws("|", "item_id", F.col("reliable").cast("string"), F.coalesce("primary_failure", F.lit("")), F.array_join("failures", ","))
-    return frozen.agg(F.count("*").alias("items"), F.count_if(F.col("origin") == "agreed").alias("agreed"), F.count_if(F.col("origin") == "adjudicated").alias("adjudicated"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("labels_sha256")).withColumn("dataset_sha256", F.lit(dataset_sha256))
+    counts = {k: F.when(F.col("origin") == k, 1).otherwise(0) for k in ("agreed", "adjudicated")}
+    return integrity.table_sha(frozen, line, counts).select(F.col("n").alias("items"), *counts, F.col("sha256").alias("labels_sha256"), F.lit(dataset_sha256).alias("dataset_sha256"))

@@ -7,15 +7,14 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wayline.operators import metrics, scoring
+from wayline.operators import integrity, metrics, scoring
 from wayline.operators.scoring import violations
 
 
 def run_manifest(cases: DataFrame, config: dict[str, str]) -> DataFrame:
-    """One row: case count, hash of all cases in order of position, hashes of the configuration, and the run id."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "case_id", "trace_sha256")))
-    base = cases.agg(F.count("*").alias("n_cases"), F.sha2(F.array_join(F.transform(rows, lambda r: F.concat_ws("|", r["case_id"], r["trace_sha256"])), "\n"), 256).alias("dataset_sha256"))
-    out = base.select("*", *[F.sha2(F.lit(v), 256).alias(f"{k}_sha256") for k, v in sorted(config.items())])
+    """One row: case count, hash of all cases with their positions, hashes of the configuration, and the run id."""
+    base = integrity.table_sha(cases, F.concat_ws("|", F.col("pos").cast("string"), "case_id", "trace_sha256"))
+    out = base.select(F.col("n").alias("n_cases"), F.col("sha256").alias("dataset_sha256"), *[F.sha2(F.lit(v), 256).alias(f"{k}_sha256") for k, v in sorted(config.items())])
     return out.withColumn("run_id", F.concat(F.lit("run-"), F.substring(F.sha2(F.concat_ws("|", *[c for c in out.columns if c.endswith("sha256")]), 256), 1, 16)))
 
 

@@ -6,8 +6,10 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from wayline.functions import lexicons as lex
 from wayline.operators import metrics
 
+#: The generator's step, its word size, and the shifts and masks of :func:`uniform`.
 _STEP, _MASK = 0x6D2B79F5, 0xFFFFFFFF
 
 
@@ -44,41 +46,75 @@ def group_index(scored: DataFrame, collation: str | None = "UNICODE") -> DataFra
     return scored.select("group_id").distinct().withColumn("group_index", (F.row_number().over(Window.orderBy(order, "group_id")) - 1).cast("long"))
 
 
+#: Costs whose means are among the series.
+MEANS = ["latency_ms", "total_tokens", "tool_calls"]
+
+
+def _series(columns: set[str]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """(sums, values): what is summed over the cases of a group, and the metrics that the sums of a sample give."""
+    g, p = F.col("reliable"), F.col("predicted_reliable")
+    sums = {"tp": F.count_if(g & p), "fp": F.count_if(~g & p), "fn": F.count_if(g & ~p), "tn": F.count_if(~g & ~p)}
+    tp, fp, fn, tn = (F.col(c) for c in sums)
+    half = lambda a, b: (a + b) / 2
+    values = {"balanced_accuracy": half(metrics.ratio(tp, tp + fn), metrics.ratio(tn, tn + fp)), "macro_f1": half(metrics.f1(tp, fp, fn), metrics.f1(tn, fn, fp))}
+    if {"gold_lines", "predicted_lines"} <= columns:
+        a, b = F.array_distinct("gold_lines"), F.array_distinct("predicted_lines")
+        sums |= {"lines_both": F.sum(F.size(F.array_intersect(a, b))), "lines_gold": F.sum(F.size(a)), "lines_predicted": F.sum(F.size(b))}
+        values |= {f"evidence_line_{n}": metrics.ratio(F.col("lines_both"), F.col(f"lines_{of}")) for n, of in (("precision", "predicted"), ("recall", "gold"))}
+    for m in MEANS:
+        if m in columns:
+            sums |= {f"{m}_sum": F.sum(F.col(m).cast("double")), f"{m}_n": F.count(m)}
+            values[f"mean_{m}"] = metrics.ratio(F.col(f"{m}_sum"), F.col(f"{m}_n"))
+    if {"primary_failure", "predicted_failure"} <= columns:
+        for x in lex.FAILURE_LABELS:
+            named, said = F.col("primary_failure").eqNullSafe(F.lit(x)), F.col("predicted_failure").eqNullSafe(F.lit(x))
+            sums |= {f"{x}_both": F.count_if(named & said), f"{x}_one": F.count_if(named != said)}
+            values[f"failure_{x}_f1"] = metrics.ratio(2 * F.col(f"{x}_both"), 2 * F.col(f"{x}_both") + F.col(f"{x}_one"))
+    return sums, values
+
+
+def _long(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    each = F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in values.items()])
+    return rows.select("iteration", F.explode(each).alias("r")).select("iteration", "r.*")
+
+
 def bootstrap_metrics(scored: DataFrame, iterations: int, seed: str, collation: str | None = "UNICODE") -> DataFrame:
     """(iteration, metric, value) of every replicate; iteration -1 is the sample itself.
 
     Counts are summed per group before they meet the draws; ranks come from counts per
     group and score; pairs keep their draw, so that two draws of a group are two pairs.
+    Series whose columns ``scored`` lacks (lines, costs, failures, pairs) are left out;
+    ranks are null in a sample with a missing score.
     """
     index = group_index(scored, collation)
     groups = index.count()
     draws = bootstrap_draws(scored.sparkSession, groups, iterations, seed)
-    own = index.select(F.lit(-1).cast("long").alias("iteration"), F.col("group_index").alias("draw"), "group_index")
+    own = index.select(F.lit(-1).cast("long").alias("iteration"), F.lit(-1).cast("long").alias("draw"), "group_index")
     drawn = draws.unionByName(own)
     rows = scored.join(index, "group_id")
-    g, p = F.col("reliable"), F.col("predicted_reliable")
-    sums = rows.groupBy("group_index").agg(F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn"), F.count_if(~g & ~p).alias("tn"))
-    total = drawn.join(sums, "group_index").groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    half = lambda a, b: (a + b) / 2
-    binary = total.select("iteration", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in {
-        "balanced_accuracy": half(metrics.ratio(tp, tp + fn), metrics.ratio(tn, tn + fp)),
-        "macro_f1": half(metrics.f1(tp, fp, fn), metrics.f1(tn, fn, fp)),
-    }.items()])).alias("r")).select("iteration", "r.*")
+    g = F.col("reliable")
+    sums, values = _series(set(scored.columns))
+    per_group = rows.groupBy("group_index").agg(*[c.alias(n) for n, c in sums.items()])
+    out = _long(drawn.join(per_group, "group_index").groupBy("iteration").agg(*[F.sum(n).alias(n) for n in sums]), values)
     scores = rows.groupBy("group_index", "score").agg(F.count_if(g).alias("p"), F.count_if(~g).alias("q"))
     ranked = drawn.join(scores, "group_index").groupBy("iteration", "score").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     below = F.coalesce(F.sum("q").over(Window.partitionBy("iteration").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     down = Window.partitionBy("iteration").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    areas = ranked.withColumn("w", F.col("p") * (below + F.col("q") / 2)).withColumn("a", F.col("p") * F.sum("p").over(down) / (F.sum("p").over(down) + F.sum("q").over(down)))
-    rank = areas.groupBy("iteration").agg(F.sum("w").alias("w"), F.sum("a").alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q")).select("iteration", F.explode(F.array(
-        F.struct(F.lit("auroc").alias("metric"), metrics.ratio(F.col("w"), F.col("p") * F.col("q")).alias("value")),
-        F.struct(F.lit("auprc").alias("metric"), F.when(F.col("q") > 0, metrics.ratio(F.col("a"), F.col("p"))).alias("value")),
-    )).alias("r")).select("iteration", "r.*")
-    out = binary.unionByName(rank)
+    # The deviations need the mean of the sample first: one more window over the same rows.
+    whole, k = Window.partitionBy("iteration"), F.when(F.col("score").isNotNull(), F.col("p") + F.col("q")).otherwise(0)
+    mean = F.try_divide(F.sum(F.col("score") * k).over(whole), F.sum(k).over(whole))
+    areas = ranked.withColumn("w", F.col("p") * (below + F.col("q") / 2)).withColumn("a", F.col("p") * F.sum("p").over(down) / (F.sum("p").over(down) + F.sum("q").over(down))).withColumn("k", k).withColumn("d", F.pow(F.col("score") - mean, 2) * k)
+    rank = areas.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in ("w", "a", "p", "q", "k", "d")])
+    known = F.col("k") == F.col("p") + F.col("q")
+    out = out.unionByName(_long(rank, {
+        "auroc": F.when(known, metrics.ratio(F.col("w"), F.col("p") * F.col("q"))),
+        "auprc": F.when(known & (F.col("q") > 0), metrics.ratio(F.col("a"), F.col("p"))),
+        "score_sd": F.sqrt(metrics.ratio(F.col("d"), F.col("k"))),
+    }))
     if "style_pair_id" in scored.columns:
         pairs = drawn.join(rows.where("style_pair_id is not null").select("group_index", "style_pair_id", "reliable", "predicted_reliable"), "group_index")
         s = metrics.pair_stability(pairs.withColumn("pair", F.concat_ws("#", "style_pair_id", F.col("draw").cast("string"))), "pair", True, keys=["iteration"])
-        out = out.unionByName(s.select("iteration", F.explode(F.array(F.struct(F.lit("style_pair_accuracy").alias("metric"), F.col("accuracy").alias("value")), F.struct(F.lit("label_flip_rate").alias("metric"), F.col("flip_rate").alias("value")))).alias("r")).select("iteration", "r.*"))
+        out = out.unionByName(_long(s, {"style_pair_accuracy": F.col("accuracy"), "label_flip_rate": F.col("flip_rate")}))
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayline.functions import lexicons as lex
 from wayline.operators.scoring import violations
+from wayline.plans.running import running_sum
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -34,21 +35,31 @@ def _by_score(scored: DataFrame, gold: str, score: str, keys: list[str]) -> Data
     return scored.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(gold)).alias("p"), F.count_if(~F.col(gold)).alias("q"))
 
 
+def _before(rows: DataFrame, value: str, keys: list[str], out: str, down: bool = False) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all lower scores (higher ones if ``down``).
+
+    Without keys scores are dealt by ranges: distinct scores grow with the data, and a window would hold all in one task.
+    """
+    if keys:
+        order = F.col("score").desc_nulls_last() if down else F.col("score").asc_nulls_first()
+        return rows.withColumn(out, F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = rows.withColumn("_at", -F.col("score") if down else F.col("score"))
+    return running_sum(at, ["_at"], value, out=out).drop("_at")
+
+
 def auroc(scored: DataFrame, gold: str = "reliable", score: str = "score", keys: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve by average ranks; null if a score is missing or a class is empty."""
     keys = keys or []
-    rows = _by_score(scored, gold, score, keys)
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(*keys).orderBy(F.col("score").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = rows.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("score").isNull()).alias("missing"))
+    rows = _before(_by_score(scored, gold, score, keys), "q", keys, "below")
+    out = rows.withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2)).groupBy(*keys).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("score").isNull()).alias("missing"))
     return out.select(*keys, F.when(F.col("missing") == 0, ratio(F.col("w"), F.col("p") * F.col("q"))).alias("auroc"))
 
 
 def auprc(scored: DataFrame, gold: str = "reliable", score: str = "score", keys: list[str] | None = None) -> DataFrame:
     """Average precision over score thresholds, highest first; null as for :func:`auroc`."""
     keys = keys or []
-    rows = _by_score(scored, gold, score, keys)
-    run = Window.partitionBy(*keys).orderBy(F.col("score").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("tp", F.sum("p").over(run)).withColumn("fp", F.sum("q").over(run))
+    rows = _before(_before(_by_score(scored, gold, score, keys), "p", keys, "p_above", down=True), "q", keys, "q_above", down=True)
+    out = rows.withColumn("tp", F.col("p_above") + F.col("p")).withColumn("fp", F.col("q_above") + F.col("q"))
     area = out.withColumn("a", F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).groupBy(*keys).agg(F.sum("a").alias("a"), F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("score").isNull()).alias("missing"))
     return area.select(*keys, F.when((F.col("missing") == 0) & (F.col("q") > 0), ratio(F.col("a"), F.col("p"))).alias("auprc"))
 
@@ -102,9 +113,8 @@ def efficiency(scored: DataFrame, measures: list[str]) -> DataFrame:
 
 def pairwise_accuracy(scored: DataFrame, gold: str = "reliable", score: str = "score") -> DataFrame:
     """The share of (reliable, unreliable) pairs with a strictly higher score for the reliable one, from ranks."""
-    rows = _by_score(scored, gold, score, [])
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per distinct score
-    return rows.withColumn("w", F.col("p") * below).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q")).select(ratio(F.col("w"), F.col("p") * F.col("q")).alias("accuracy"))
+    rows = _before(_by_score(scored, gold, score, []), "q", [], "below")
+    return rows.withColumn("w", F.col("p") * F.col("below")).agg(F.sum("w").alias("w"), F.sum("p").alias("p"), F.sum("q").alias("q")).select(ratio(F.col("w"), F.col("p") * F.col("q")).alias("accuracy"))
 
 
 def check_scored(scored: DataFrame) -> DataFrame:

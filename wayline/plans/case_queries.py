@@ -61,6 +61,32 @@ def near_duplicates(s, d):
     return members.join(ends.groupBy("class").agg(F.count("*").alias("n_links")), "class", "left").select(F.col("id").alias("case_id"), F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def cross_split(s, d):
+    """Pairs of classes of near-equal traces that lie in different splits and groups."""
+    return similarity.near_duplicates(_cs(s, d), cross_split_only=True)[0].select("left_class", "right_class", F.round("similarity", 9).alias("similarity"))
+
+
+def _described(s, d):
+    """Cases with style tags, task types, visibility and review states by fixed rules."""
+    n = F.col("doc_id")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    return _cs(s, d).select(
+        "*",
+        F.array(pick(lex.STYLE_TAGS[:-1])).alias("style_tags"),
+        pick(lex.TASK_TYPES).alias("task_type"),
+        (n % 40 != 8).alias("development_only"),
+        (n % 50 == 9).alias("unseen"),
+        F.when(n % 30 == 0, "human_reviewed").otherwise("needs_human_review").alias("review_status"),
+    )
+
+
+def corpus_hash(s, d):
+    """Number and hash of the cases with their labels."""
+    fields = ["case_id", "split", "group_id", "trace_sha256", "reliable", "primary_failure"]
+    rows = _cs(s, d).withColumn("trace_sha256", integrity.trace_sha(F.col("trace")))
+    return integrity.table_sha(rows, F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]))
+
+
 def readiness(s, d):
     c, st = _cs(s, d), _stored(s, d)
     counts = {
@@ -71,8 +97,10 @@ def readiness(s, d):
         "leakage": integrity.find_leakage(c),
         "pairs": integrity.check_pairs(c),
         "case_rules": integrity.check_cases(st),
+        "evidence_anchors": _anchors(s, d),
+        "cross_split_near_duplicates": cross_split(s, d),
     }
-    return coverage.readiness_checks(counts)
+    return coverage.readiness_checks(counts).unionByName(coverage.scaffold_checks(_described(s, d)))
 
 
 def binary(s, d):
@@ -102,6 +130,9 @@ QUERIES = {
     "near_duplicates": near_duplicates,
     "coverage": lambda s, d: coverage.coverage(_cs(s, d)),
     "distributions": lambda s, d: coverage.distributions(_cs(s, d), ["split", "domain", "primary_failure"]),
+    "cross_split_near_duplicates": cross_split,
+    "corpus_hash": corpus_hash,
+    "scaffold_checks": lambda s, d: coverage.scaffold_checks(_described(s, d)),
     "readiness_checks": readiness,
     "readiness_report": lambda s, d: coverage.readiness_report(readiness(s, d)),
     "binary_metrics": binary,
@@ -142,11 +173,11 @@ def _leak(key: str, kind: str, src: str = "cs", having: str = "count(DISTINCT sp
 def _draw_sql(groups: str, iterations: int, seed: str) -> str:
     m = 4294967295
     mul = lambda a, b: f"(((({a}) & 65535) * ({b}) + ((((({a}) >> 16) * ({b})) & 65535) << 16)) & {m})"
-    return f"""{W}, g AS (SELECT {groups} AS n FROM scored), k AS (SELECT id, n FROM g, range(0, {iterations} * n) r(id)),
+    return f"""g AS (SELECT {groups} AS n FROM scored), k AS (SELECT id, n FROM g, range(0, {iterations} * n) r(id)),
     s AS (SELECT *, ({bootstrap.seed_state(seed)} + ((id + 1) % 2147483648) * {0x6D2B79F5}) & {m} AS s FROM k),
     v AS (SELECT *, {mul('xor(s, s >> 15)', '(s | 1)')} AS v FROM s),
-    w AS (SELECT *, xor(v, (v + {mul('xor(v, v >> 7)', '(v | 61)')}) & {m}) AS w FROM v)
-    SELECT id // n AS iteration, id % n AS draw, CAST(floor(xor(w, w >> 14)::double / 4294967296.0::double * n) AS bigint) AS group_index FROM w"""
+    w AS (SELECT *, xor(v, (v + {mul('xor(v, v >> 7)', '(v | 61)')}) & {m}) AS w FROM v),
+    drawn AS (SELECT id // n AS iteration, id % n AS draw, CAST(floor(xor(w, w >> 14)::double / 4294967296.0::double * n) AS bigint) AS group_index FROM w)"""
 
 
 _LABELS = "lab AS (SELECT case_id, doc_id, reliable, primary_failure, CASE WHEN primary_failure IS NULL THEN []::varchar[] WHEN doc_id % 11 = 0 THEN ['masking_pattern'] ELSE [primary_failure] END AS failures, doc_id % 3 AS a, doc_id % 4 + 1 AS b, doc_id % 2 = 0 AS support, CASE WHEN doc_id % 13 <> 0 THEN primary_failure END AS named FROM cs WHERE reliable IS NOT NULL)"
@@ -156,8 +187,65 @@ _PAIRS = "pr AS (SELECT 'counterfactual_pair_id' AS pair_type, counterfactual_pa
 _GROUPS = f"gr AS (SELECT group_id, {_set('split')} AS splits, count(*) AS n FROM cs GROUP BY 1 HAVING count(DISTINCT split) > 1)"
 _LEAKS = "lk AS (" + " UNION ALL ".join([_leak("case_id", "case_id", having="count(*) > 1"), _leak(_SHA, "trace"), _leak("group_id", "group"), _leak("counterfactual_pair_id", "counterfactual_pair_id"), _leak("style_pair_id", "style_pair_id")]) + ")"
 _DUPS = f"du AS (SELECT {_SHA} AS trace_sha256, count(*) AS n, min(case_id) AS first_case FROM cs GROUP BY 1 HAVING count(*) > 1)"
-_READY = "ready AS (SELECT name AS \"check\", n, n <= most AS passed, n || ' rows, at most ' || most AS detail FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, {m} AS most FROM {t}" for n, t, m in [("duplicates", "du", 0), ("groups", "gr", 0), ("hashes", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0), ("labels", "(FROM cs WHERE reliable IS NULL)", 0), ("leakage", "lk", 0), ("pairs", "pc", 0), ("case_rules", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0)]) + "))"
-_ALL = f"{W}, {_STORED}, {_PAIRS}, {_GROUPS}, {_LEAKS}, {_DUPS}, {_READY}"
+_ANCHORS = """e AS (SELECT case_id, trace, 1::integer AS line_start, doc_id % 3 + 1 AS line_end, CASE WHEN doc_id % 20 = 0 THEN 'not there' ELSE substr(trace, 1, 12) END AS quote FROM cs),
+    an AS (SELECT case_id, line_start, line_end, quote FROM e WHERE NOT contains(array_to_string(string_split(regexp_replace(trace, '\\r\\n?', chr(10), 'g'), chr(10))[line_start:line_end], chr(10)), quote))"""
+_NEAR = """ndt AS (SELECT case_id, split, group_id, regexp_extract_all(lower(trace), '[a-z0-9./:_\\-]+') AS t FROM cs),
+    ndg AS (SELECT case_id, split, group_id, list_sort(list_distinct(CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) END)) AS g FROM ndt),
+    ndc AS (SELECT g, min(case_id) AS class, list_sort(list(DISTINCT split)) AS splits, min(group_id) AS g1, max(group_id) AS g2, count(*) AS n FROM ndg GROUP BY g),
+    nde AS (SELECT class, len(g) AS m, unnest(g) AS x FROM ndc),
+    met AS (SELECT a.class AS a, b.class AS b, count(*)::double / (any_value(a.m) + any_value(b.m) - count(*)) AS similarity FROM nde a JOIN nde b ON a.x = b.x AND a.class < b.class GROUP BY 1, 2 HAVING count(*)::double / (any_value(a.m) + any_value(b.m) - count(*)) >= 0.82::double),
+    linked AS (SELECT * FROM met UNION ALL SELECT class, class, 1.0::double FROM ndc WHERE n > 1),
+    crossing AS (SELECT a AS left_class, b AS right_class, round(similarity, 9) AS similarity FROM linked JOIN ndc l ON l.class = a JOIN ndc r ON r.class = b
+      WHERE NOT (len(l.splits) = 1 AND l.splits = r.splits) AND NOT coalesce(l.g1 = l.g2 AND r.g1 = r.g2 AND l.g1 = r.g1, false))"""
+
+
+def _scaffold_sql() -> str:
+    z = coverage.SCAFFOLD
+    n = lambda c: f"count(*) FILTER (split = 'test' AND coalesce({c}, false))"
+    off = lambda column, values, m: " + ".join(f"({n(f'{column} = {chr(39)}{v}{chr(39)}')} <> {m})::bigint" for v in values)
+    pick = lambda values: f"{values!r}[doc_id % {len(values)} + 1]"
+    pairs = lambda c: f"count(DISTINCT CASE WHEN split = 'test' THEN {c} END)"
+    checks = {
+        "dev_regression_count": ("count(*) FILTER (split <> 'test')", z["others"]),
+        "test_candidate_count": (n("true"), z["test"]),
+        "test_reliability_balance": (f"abs({n('reliable')} - {z['reliable']}) + abs({n('NOT reliable')} - {z['unreliable']})", 0),
+        "test_primary_failure_balance": (off("primary_failure", lex.FAILURE_LABELS, z["failure"]), 0),
+        "test_domain_balance": (off("domain", lex.DOMAINS, z["domain"]), 0),
+        "test_style_coverage": (f"{len(lex.STYLE_TAGS)} - count(DISTINCT tag) FILTER (split = 'test')", 0),
+        "combined_task_type_coverage": (f"{len(lex.TASK_TYPES)} - count(DISTINCT task_type)", 0),
+        "test_pair_structure": (f"abs({pairs('counterfactual_pair_id')} - {z['counterfactual_pairs']}) + abs({pairs('style_pair_id')} - {z['style_pairs']})", 0),
+        "candidate_visibility": ("count(*) FILTER (split = 'test' AND (doc_id % 40 = 8 OR doc_id % 50 = 9))", 0),
+        "review_status": ("count(*) FILTER (reliable IS NOT NULL AND doc_id % 30 = 0)", 0),
+    }
+    rows = " UNION ALL ".join(f"SELECT '{k}' AS name, ({c})::bigint AS n, {m} AS want FROM described" for k, (c, m) in checks.items())
+    return f"described AS (SELECT *, {pick(lex.STYLE_TAGS[:-1])} AS tag, {pick(lex.TASK_TYPES)} AS task_type FROM cs), scaffold AS (SELECT name AS \"check\", n, n = want AS passed, n || ', expected ' || want AS detail FROM ({rows}))"
+
+
+def _interval_sql(iterations: int, seed: str) -> str:
+    """Every replicate from its rows, one metric after another."""
+    both, gold, said = "list_intersect(list_distinct(gold_lines), list_distinct(predicted_lines))", "list_distinct(gold_lines)", "list_distinct(predicted_lines)"
+    means = {f"mean_{m}": f"avg({'input_tokens + output_tokens' if m == 'total_tokens' else m})::double" for m in bootstrap.MEANS}
+    f1s = {f"failure_{x}_f1": _div(f"2 * count(*) FILTER (primary_failure = '{x}' AND predicted_failure = '{x}')", f"count(*) FILTER (primary_failure = '{x}') + count(*) FILTER (predicted_failure = '{x}')") for x in lex.FAILURE_LABELS}
+    plain = {"evidence_line_precision": _div(f"sum(len({both}))", f"sum(len({said}))"), "evidence_line_recall": _div(f"sum(len({both}))", f"sum(len({gold}))"), "score_sd": "stddev_pop(score)"} | means | f1s
+    names = [*plain, "balanced_accuracy", "macro_f1", "auroc", "auprc", "style_pair_accuracy", "label_flip_rate"]
+    return f"""{W}, {_draw_sql("count(DISTINCT group_id)", iterations, seed)},
+    idx AS (SELECT group_id, row_number() OVER (ORDER BY group_id) - 1 AS group_index FROM (SELECT DISTINCT group_id FROM scored)),
+    r AS (SELECT dr.iteration, dr.draw, scored.* FROM (SELECT * FROM drawn UNION ALL SELECT -1, -1, group_index FROM idx) dr JOIN idx USING (group_index) JOIN scored USING (group_id)),
+    one AS (SELECT iteration, {", ".join(f"{c} AS {k}" for k, c in plain.items())} FROM r GROUP BY iteration),
+    c AS (SELECT iteration, {_CONF} FROM r GROUP BY iteration),
+    two AS (SELECT iteration, ({_RECALL} + {_SPEC}) / 2 AS balanced_accuracy, ({_F1R} + {_F1U}) / 2 AS macro_f1 FROM c),
+    t AS (SELECT iteration, score, count(*) FILTER (reliable) AS p, count(*) FILTER (NOT reliable) AS q FROM r GROUP BY 1, 2),
+    u AS (SELECT *, sum(q) OVER (PARTITION BY iteration ORDER BY score) - q AS below, sum(p) OVER (PARTITION BY iteration ORDER BY score DESC) AS up, sum(p + q) OVER (PARTITION BY iteration ORDER BY score DESC) AS k FROM t),
+    area AS (SELECT iteration, {_div("sum(p * (below + q / 2.0::double))", "sum(p) * sum(q)")} AS auroc, CASE WHEN sum(q) > 0 THEN {_div("sum(p * up::double / k::double)", "sum(p)")} END AS auprc FROM u GROUP BY 1),
+    pr AS (SELECT iteration, draw, style_pair_id, count(*) = 2 AND count(DISTINCT reliable) = 1 AS ok, bool_and(reliable = predicted_reliable) AS good, count(DISTINCT predicted_reliable) = 2 AS flip FROM r WHERE style_pair_id IS NOT NULL GROUP BY 1, 2, 3),
+    ps AS (SELECT iteration, {_div("count(*) FILTER (ok AND good)", "count(*) FILTER (ok)")} AS style_pair_accuracy, {_div("count(*) FILTER (ok AND flip)", "count(*) FILTER (ok)")} AS label_flip_rate FROM pr GROUP BY 1),
+    m AS (SELECT * FROM (SELECT * FROM one JOIN two USING (iteration) JOIN area USING (iteration) LEFT JOIN ps USING (iteration)) UNPIVOT INCLUDE NULLS (value FOR metric IN ({", ".join(names)})))
+    SELECT metric, max(value) FILTER (iteration < 0) AS estimate, quantile_cont(value, 0.025) FILTER (iteration >= 0) AS lower, quantile_cont(value, 0.975) FILTER (iteration >= 0) AS upper, count(value) FILTER (iteration >= 0) AS valid_samples FROM m GROUP BY metric"""
+
+
+_READY = "ready AS (SELECT name AS \"check\", n, n <= most AS passed, n || ' rows, at most ' || most AS detail FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, {m} AS most FROM {t}" for n, t, m in [("evidence_anchors", "an", 0), ("cross_split_near_duplicates", "crossing", 0), ("duplicates", "du", 0), ("groups", "gr", 0), ("hashes", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0), ("labels", "(FROM cs WHERE reliable IS NULL)", 0), ("leakage", "lk", 0), ("pairs", "pc", 0), ("case_rules", "(FROM stored WHERE stored IS DISTINCT FROM actual)", 0)]) + ") UNION ALL SELECT * FROM scaffold)"
+_SCAFFOLD = _scaffold_sql()
+_ALL = f"{W}, {_STORED}, {_PAIRS}, {_GROUPS}, {_LEAKS}, {_DUPS}, {_ANCHORS}, {_NEAR}, {_SCAFFOLD}, {_READY}"
 
 ORACLE_SQL = {
     "trace_hash": f"{W} SELECT case_id, {_SHA} AS trace_sha256 FROM cs",
@@ -176,8 +264,7 @@ ORACLE_SQL = {
         UNION ALL SELECT case_id, 'evidence_failure' FROM lab WHERE named IS NOT NULL AND NOT list_contains(failures, named)
         UNION ALL SELECT case_id, 'evidence_span' FROM lab WHERE a < 1 OR b < a UNION ALL SELECT case_id, 'support_with_failure' FROM lab WHERE support AND named IS NOT NULL""",
     "case_label_join": f"{W} SELECT case_id, domain, reliable, primary_failure FROM cs WHERE reliable IS NOT NULL",
-    "evidence_anchors": f"""{W}, e AS (SELECT case_id, trace, 1::integer AS line_start, doc_id % 3 + 1 AS line_end, CASE WHEN doc_id % 20 = 0 THEN 'not there' ELSE substr(trace, 1, 12) END AS quote FROM cs)
-        SELECT case_id, line_start, line_end, quote FROM e WHERE NOT contains(array_to_string(string_split(regexp_replace(trace, '\\r\\n?', chr(10), 'g'), chr(10))[line_start:line_end], chr(10)), quote)""",
+    "evidence_anchors": f"{W}, {_ANCHORS} SELECT * FROM an",
     "coverage": f"{W} SELECT split, count(*) AS n, count(reliable) AS n_labelled, count(*) FILTER (reliable) AS n_reliable, count(*) FILTER (NOT reliable) AS n_unreliable, count(DISTINCT group_id) AS n_groups, count(DISTINCT counterfactual_pair_id) AS n_counterfactual_pairs, count(DISTINCT style_pair_id) AS n_style_pairs FROM cs GROUP BY split",
     "distributions": f"{W} SELECT 'split' AS \"column\", split AS value, count(*) AS n FROM cs GROUP BY split UNION ALL SELECT 'domain', domain, count(*) FROM cs GROUP BY domain UNION ALL SELECT 'primary_failure', primary_failure, count(*) FROM cs GROUP BY primary_failure",
     "readiness_checks": f"{_ALL} SELECT * FROM ready",
@@ -198,5 +285,10 @@ ORACLE_SQL = {
         SELECT measure, count(*) AS count, avg(v) AS mean, median(v) AS median, min(v) FILTER (k >= ceil(n * 0.95)) AS p95, min(v) AS min, max(v) AS max FROM r GROUP BY measure""",
     "pairwise_accuracy": f"{W}, p AS (SELECT score, count(*) AS n FROM scored WHERE reliable GROUP BY 1), q AS (SELECT score, count(*) AS n FROM scored WHERE NOT reliable GROUP BY 1) SELECT sum(CASE WHEN p.score > q.score THEN p.n * q.n ELSE 0 END)::double / sum(p.n * q.n)::double AS accuracy FROM p, q",
     "scored_violations": f"{W} SELECT case_id, 'predicted_reliable_with_failure' AS rule FROM scored WHERE predicted_reliable AND doc_id % 21 = 0",
-    "bootstrap_draws": _draw_sql("count(DISTINCT group_id)", 20, "wayline"),
+    "near_duplicates": f"{W}, {_NEAR}, ends AS (SELECT a AS class FROM met UNION ALL SELECT b FROM met) SELECT case_id, class AS class_id, coalesce(k, 0) AS n_links FROM ndg JOIN ndc USING (g) LEFT JOIN (SELECT class, count(*) AS k FROM ends GROUP BY class) USING (class)",
+    "cross_split_near_duplicates": f"{W}, {_NEAR} SELECT * FROM crossing",
+    "corpus_hash": f"{W}, lines AS (SELECT sha256(concat_ws('|', case_id, split, group_id, {_SHA}, coalesce(reliable::varchar, ''), coalesce(primary_failure, ''))) AS h FROM cs), b AS (SELECT substr(h, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM lines GROUP BY 1) SELECT sum(n)::bigint AS n, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS sha256 FROM b",
+    "scaffold_checks": f"{W}, {_SCAFFOLD} SELECT * FROM scaffold",
+    "bootstrap_draws": f"{W}, {_draw_sql('count(DISTINCT group_id)', 20, 'wayline')} SELECT * FROM drawn",
+    "bootstrap_intervals": _interval_sql(100, "wayline"),
 }

@@ -255,7 +255,11 @@ gk AS (SELECT *, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 2 T
 _JOB = "records AS (SELECT case_id, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'succeeded' END AS status, (doc_id * 37 % 101) >= 50 AS rel FROM cs WHERE doc_id % 3 <> 0)"
 _GOLD = f"{views.CS}, {_JOB}, gold AS (SELECT r.case_id, c.reliable AS gold_reliable, c.reliable IS NULL AS missing_label, r.rel, CASE WHEN c.doc_id % 4 + c.doc_id % 3 >= c.doc_id % 4 + 1 THEN array_to_string(generate_series(c.doc_id % 4 + 1, c.doc_id % 4 + c.doc_id % 3), ',') ELSE '' END AS gold_lines FROM records r JOIN cs c USING (case_id) WHERE r.status = 'succeeded')"
 
+_TREE = "b AS (SELECT substr(h, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM lines GROUP BY 1), tree AS (SELECT sum(n)::bigint AS n, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS sha256 FROM b)"
+
 ORACLE_SQL = {
+    "run_manifest": f"""WITH {views.CS}, lines AS (SELECT sha256(concat_ws('|', doc_id, case_id, sha256(regexp_replace(trace, '\\r\\n?', chr(10), 'g')))) AS h FROM cs), {_TREE}
+        SELECT n AS n_cases, sha256 AS dataset_sha256, sha256('lexical') AS evaluator_sha256, sha256('p1') AS prompt_sha256, 'run-' || substr(sha256(concat_ws('|', sha256, sha256('lexical'), sha256('p1'))), 1, 16) AS run_id FROM tree""",
     "path_admission": f"WITH {views.AC} SELECT episode_id, step, coalesce(path IN ('a.txt', 'out.txt', 'none.txt', 'cfg.json'), false) AS valid FROM ac",
     "action_violations": f"WITH {views.AC} SELECT episode_id, step, 'content' AS rule FROM ac WHERE type = 'write_file' AND source_id % 13 = 0",
     "effective_actions": f"WITH {EFF} SELECT episode_id, step, type, CASE WHEN bool_or(type = 'submit') OVER (PARTITION BY episode_id) THEN 'submitted' WHEN count(*) OVER (PARTITION BY episode_id) >= max_steps THEN 'max_steps' ELSE 'open' END AS end_reason FROM eff",
