@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayline.operators import analysis, annotation, batch, bootstrap, episodes, generic, integrity, legacy, metrics, pairing, redact, scoring, similarity
+from wayline.operators import analysis, annotation, batch, bootstrap, coverage, episodes, generic, integrity, legacy, metrics, pairing, redact, scoring, similarity
 from wayline.sources.io import read_traces, render_readiness
 from wayline.streaming import jobs
 
@@ -121,6 +121,42 @@ def test_bootstrap(spark):
     assert iv["macro_f1"].estimate == 1 and (iv["macro_f1"].lower, iv["macro_f1"].upper) == (1, 1) and iv["style_pair_accuracy"].valid_samples == 50
 
 
+def test_bootstrap_holds_every_series(spark):
+    s = scored(spark).withColumn("total_tokens", F.lit(None).cast("long")).withColumn("tool_calls", F.lit(2))
+    iv = by(bootstrap.bootstrap_intervals(bootstrap.bootstrap_metrics(s, 20, "x")).collect(), "metric")
+    assert len(iv) == 18
+    assert (iv["evidence_line_precision"].estimate, iv["evidence_line_recall"].estimate, iv["mean_latency_ms"].estimate, iv["auroc"].estimate) == (0.75, 0.5, 25, 1)
+    assert iv["score_sd"].estimate == pytest.approx(0.125**0.5) and iv["failure_false_completion_f1"].estimate == pytest.approx(2 / 3) and iv["failure_masking_pattern_f1"].estimate is None
+    assert (iv["mean_total_tokens"].estimate, iv["mean_total_tokens"].valid_samples, iv["mean_tool_calls"].upper) == (None, 0, 2)
+    missing = by(bootstrap.bootstrap_intervals(bootstrap.bootstrap_metrics(s.withColumn("score", F.when(F.col("case_id") != "a", F.col("score"))), 20, "x")).collect(), "metric")
+    assert missing["auroc"].estimate is None and missing["auprc"].estimate is None and missing["score_sd"].estimate > 0
+
+
+def test_table_hash(spark):
+    line = F.concat_ws("|", "id", "v")
+    df = spark.range(3000).select("id", (F.col("id") % 7).alias("v"))
+    one = integrity.table_sha(df, line, {"zeros": F.when(F.col("v") == 0, 1).otherwise(0)}).first()
+    assert (one.n, one.zeros) == (3000, 429) and one.sha256 == integrity.table_sha(df.repartition(5, "v"), line).first().sha256
+    others = [df.where("id <> 5"), df.withColumn("v", F.when(F.col("id") == 5, 6).otherwise(F.col("v"))), df.unionAll(df.limit(1))]
+    assert one.sha256 not in {integrity.table_sha(o, line).first().sha256 for o in others}
+    assert integrity.table_sha(df.limit(0), line).first().n == 0
+
+
+def test_scaffold_checks(spark):
+    from wayline.functions import lexicons as lex
+
+    rows = [("dev", True, None, "general", None, None, None, None, None, None, None)] * 24
+    for i in range(60):
+        failure = lex.FAILURE_LABELS[i % 6] if i < 36 else None
+        rows.append(("test", failure is None, failure, lex.DOMAINS[i % 6], [lex.STYLE_TAGS[i % 13]], lex.TASK_TYPES[i % 7], f"c{i // 2}", f"s{i % 6}", True, False, "needs_human_review"))
+    names = "split string, reliable boolean, primary_failure string, domain string, style_tags array<string>, task_type string, counterfactual_pair_id string, style_pair_id string, development_only boolean, unseen boolean, review_status string"
+    full = spark.createDataFrame(rows, names)
+    good = by(coverage.scaffold_checks(full).collect(), "check")
+    assert len(good) == 10 and {k for k, r in good.items() if not r.passed} == {"review_status"} and good["review_status"].n == 24
+    bad = by(coverage.scaffold_checks(full.where("domain <> 'publishing'").withColumn("unseen", F.lit(True))).collect(), "check")
+    assert {k for k, r in bad.items() if r.passed} <= {"dev_regression_count", "test_style_coverage", "combined_task_type_coverage"} and bad["candidate_visibility"].n == 50
+
+
 def shingles(t, n=3):
     import re
 
