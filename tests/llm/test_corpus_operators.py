@@ -2,6 +2,8 @@
 
 import base64
 import collections
+import datetime
+import hashlib
 import math
 import random
 import re
@@ -283,6 +285,40 @@ def test_feistel_is_a_permutation(spark):
         assert spark.range(n).select(pii.feistel("k", "t", F.col("id"), a, b).alias("y")).agg(F.countDistinct("y"), F.min("y"), F.max("y")).first()[:] == (n, 0, n - 1)
 
 
+def plain_feistel(key_, tag, x, a, b):
+    """Rounds by the definition: halves of Z_a x Z_b take turns, each moved by a keyed digest of the other."""
+    left, right = divmod(x, b)
+    for n in range(2 * pii.ROUNDS):
+        below, other = (a, right) if n % 2 == 0 else (b, left)
+        step = int(hashlib.sha256(f"{key_}|{tag}|{n}|{other}|{below}".encode()).hexdigest()[:15], 16) % below
+        left, right = ((left + step) % a, right) if n % 2 == 0 else (left, (right + step) % b)
+    return left * b + right
+
+
+def test_pseudonyms_follow_their_definition(spark):
+    days = [datetime.date(1800, 1, 1), datetime.date(1984, 2, 29), datetime.date(2199, 12, 31)]
+    numbers, ips = ["123-45-6789", "899-99-9999", "001-01-0001"], ["10.0.0.1", "255.255.255.255"]
+    cards = ["4111 1111 1111 1111", "378282246310005"]
+    want = [str(datetime.date(1800, 1, 1) + datetime.timedelta(plain_feistel("k", "date", (d - datetime.date(1800, 1, 1)).days, 189, 773))) for d in days]
+    areas = [a for a in range(1, 900) if a != 666]
+    for s in numbers:
+        a, g, n = map(int, s.split("-"))
+        area, rest = divmod(plain_feistel("k", "ssn", (areas.index(a) * 99 + g - 1) * 9999 + n - 1, 898, 99 * 9999), 99 * 9999)
+        want.append(f"{areas[area]:03d}-{rest // 9999 + 1:02d}-{rest % 9999 + 1:04d}")
+    for s in ips:
+        want.append(".".join(str(v) for v in plain_feistel("k", "ip", int.from_bytes(bytes(map(int, s.split(".")))), 65536, 65536).to_bytes(4)))
+    for s in cards:
+        d = re.sub(r"\D", "", s)
+        body = d[1:-1]
+        half = len(body) // 2
+        moved = d[0] + str(plain_feistel("k", "card", int(body), 10**half, 10 ** (len(body) - half))).zfill(len(body))
+        whole = iter(next(moved + c for c in "0123456789" if luhn(moved + c)))
+        want.append("".join(next(whole) if c.isdigit() else c for c in s))
+    values = [*map(str, days), *numbers, *ips, *cards]
+    got = pii.pseudonymize(spark.createDataFrame([(i, f"is {v} ok") for i, v in enumerate(values)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [r.text for r in got] == [f"is {w} ok" for w in want]
+
+
 def test_token_files(spark, odd, empty, monkeypatch):
     lib = Tokenizer.from_file(BYTE_JSON)
     monkeypatch.setattr(token_files, "IMAGE_TOKENS", 50)
@@ -406,6 +442,35 @@ def test_quality_classifier(spark, odd, empty):
     assert quality_classifier.score_documents(empty.select("doc_id", "text"), labels).count() == 0 and quality_classifier.score_documents(odd, labels).count() == len(ODD)
 
 
+def test_scores_equal_a_direct_fit(spark):
+    """Features, ridge and monotone steps over the whole sample at once, by their definitions."""
+    q = quality_classifier
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "river", "NOW!!", "stone", "12", "$$"][: 3 + i % 4]) for _ in range(rng.randrange(5, 60))) for i in range(240)]
+    y = np.array([float((i % 4 < 2) ^ (rng.random() < 0.2)) for i in range(240)])
+    x = np.array([q.text_stats(t) for t in texts])
+    sd = x.std(axis=0)
+    sd[sd < 1e-9] = 1  # constant but for rounding
+    gen = np.random.default_rng(q.SEED)
+    w, b = gen.normal(size=(x.shape[1], q.FEATURES)) / np.sqrt(x.shape[1]), gen.uniform(0, 2 * np.pi, q.FEATURES)
+    z = np.sqrt(2 / q.FEATURES) * np.cos(np.clip((x - x.mean(axis=0)) / sd, -6, 6) @ w + b)
+    z = np.column_stack([z, np.ones(240)])
+    folds = np.array([zlib.crc32(str(i).encode()) % 4 for i in range(240)])
+    fitted, held = folds < 2, folds == 3
+    penalty = np.diag([q.RIDGE * fitted.sum()] * q.FEATURES + [0.0]) + 1e-9 * np.eye(q.FEATURES + 1)
+    raw = np.clip(z @ np.linalg.solve(z[fitted].T @ z[fitted] + penalty, z[fitted].T @ y[fitted]), -0.5, 1.5)
+    at = np.minimum((raw + 0.5) / 2 * q.BINS, q.BINS - 1).astype(int)
+    bins = sorted(set(at[held]))
+    own = [y[held & (at == k)] for k in bins]
+    mean = lambda i, j: np.concatenate(own[i : j + 1]).mean()
+    steps = [max(min(mean(i, j) for j in range(k, len(own))) for i in range(k + 1)) for k in range(len(own))]
+    want = np.interp(raw, (np.array(bins) + 0.5) / q.BINS * 2 - 0.5, steps)
+    df, labels = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in q.score_documents(df, labels).collect()}
+    # A raw score on a bin's edge may fall to either side of it.
+    assert np.mean([abs(got[i] - want[i]) < 1e-6 for i in range(240)]) > 0.98
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs = spark.createDataFrame([(i, "word " * (i % 50 + 5)) for i in range(200)], "doc_id long, text string")
     rows_ = [(i, i % 2) for i in range(200)]
