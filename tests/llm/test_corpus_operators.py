@@ -10,10 +10,12 @@ import re
 import zlib
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
@@ -351,7 +353,7 @@ def test_directly_addressable_codes():
 
 
 def test_licences(spark, odd, empty):
-    assert all(re.search(licences.HINT, t.lower()) for _, _, t in known_texts())
+    assert all(regex.search(licences.HINT, p.lower()) for _, _, t in known_texts() for p in t.split("\n\n"))
     mit = next(t for i, _, t in known_texts() if i == "MIT" and t.startswith("Permission"))
     texts = ["Copyright (c) 2020 Me\nAll rights reserved.\n" + mit.upper().replace("LICENSE", "LICENCE"), "a\n\nLicenced under the   Apache-License, version 2.0!\nb", "Licensed under nothing.", None, "", "Released under the MIT License.\nReleased under the MIT License.", "x" * 300_000]
     got = {r.doc_id: (r.n_texts, r.licences) for r in licences.scan(spark.createDataFrame([(i, t, "d") for i, t in enumerate(texts)], "doc_id long, text string, digest string")).collect()}
@@ -359,6 +361,33 @@ def test_licences(spark, odd, empty):
     assert licences.scan(odd).count() == len(ODD) and licences.scan(empty).count() == 0
 
 
+def test_licences_within_larger_texts(spark, tmp_path):
+    text = lambda i: max((t for k, _, t in known_texts() if k == i), key=len)
+    wrapped = lambda t: "\n\n".join("\n  ".join(p.split(" ")) for p in t.split("\n\n"))
+    texts = [
+        "# Readme\n\nHow to build it.\n\n" + wrapped(text("MIT")) + "\n\nThanks to all.",
+        "Copyright 2001 Me\n\n" + text("BSD-3-Clause").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ") + "\n\nEnd.",
+        "Start.\n\n" + text("BSD-2-Clause"),
+        "Start.\n\n" + "\n\n".join(text("MIT").split("\n\n")[1:]),  # a paragraph is missing
+        "a\n\nThis is free and unencumbered software released into the public\ndomain.\n\nb",
+        "x\n\n" + text("GPL-3.0") + "\n\n" + text("Unlicense"),
+        "y\n\n" + text("BSD-2-Clause") + "\n\n" + text("Zlib"),
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_texts, r.licences) for r in licences.scan(docs).collect()}
+    assert got == {0: (1, ["MIT"]), 1: (1, ["BSD-3-Clause"]), 2: (1, ["BSD-2-Clause"]), 3: (0, []), 4: (1, ["Unlicense"]), 5: (2, ["GPL-3.0", "Unlicense"]), 6: (2, ["BSD-2-Clause", "Zlib"])}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    with_sql = duckdb.connect()
+    with_sql.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {d: (n, x.split(",") if x else []) for d, n, x, _ in with_sql.sql(licences.oracle()).fetchall()}
+    assert got == want
+    (tmp_path / "own").mkdir()
+    (tmp_path / "own" / "House").write_text("Use it well.\n\nBe kind.")
+    own = licences.known_digests(spark, licences.folder_texts(spark, str(tmp_path / "own"), "own"))
+    mine = spark.createDataFrame([(1, "a\n\nuse it WELL\n\nbe kind!\n\nb"), (2, "be kind")], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(mine, own, hint="").collect()} == {1: ["House"], 2: []}
+
+
 def base_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -3,7 +3,8 @@
 The texts of a document are the document itself, its paragraphs (between blank lines) and
 its lines.  Each is normalised: copyright lines go, case and punctuation too, and equivalent
 spellings become one.  The digest of the whole normal form is hash-joined with those of
-the known texts, a table of fixed size.  Only DataFrame functions.
+the known texts, a table of fixed size.  A known text of several paragraphs is found in a
+larger document too, if the document holds each of these paragraphs.  Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ SPELLINGS = [
 ]
 #: Pairs of words that count as one.
 JOINED = [("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("sub license", "sublicense"), ("share alike", "sharealike"), ("no derivatives", "noderivatives"), ("per cent", "percent")]
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:[Cc]opyright|COPYRIGHT|©|\([Cc]\))[^\n]*$|(?i)all rights reserved\.?"
-#: Every known text holds one of these once it is lower-cased; others can't match.
-HINT = r"licen[cs]|permission|provided|public domain|(?:released|distributed|available) under"
+#: A line that opens with a copyright mark and a year, sign or name; not a sentence that wraps before "copyright holders".
+COPYRIGHT_LINE = r"(?m:^[ \t]*(?:[Cc]opyright[ \t:]+(?:by |[^a-z\s])|COPYRIGHT[ \t:]+[^A-Za-z\s]|©|\([Cc]\))[^\n]*$)|(?i:all rights reserved)\.?"
+#: Every known text and paragraph holds one of these once it is lower-cased, however its words are parted; others can't match.
+HINT = r"licen[cs]|permission|provided|software|warranty|notice|public[^\p{L}\p{N}]+domain|(?:released|distributed|available)[^\p{L}\p{N}]+under"
+PARAGRAPH = r"\n[ \t\r]*\n"
 
 
 def normal_form(text: Column) -> Column:
@@ -50,34 +53,59 @@ def normal_form(text: Column) -> Column:
     return F.array_join(F.transform(F.split(bare, " "), lambda w: F.coalesce(F.try_element_at(spell, w), w)), " ")
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """(digest, licence, licence_group), a row per distinct normal form of the known texts."""
-    rows = spark.createDataFrame(texts if texts is not None else known_texts(), "licence string, licence_group string, text string")
-    return rows.select(F.sha2(normal_form(F.col("text")), 256).alias("digest"), "licence", "licence_group").groupBy("digest").agg(F.min("licence").alias("licence"), F.min_by("licence_group", "licence").alias("licence_group"))
+def _digest(text: Column) -> Column:
+    return F.sha2(normal_form(text), 256)
+
+
+def folder_texts(spark: SparkSession, path: str, group: str) -> DataFrame:
+    """(licence, licence_group, text) of a folder of licence texts, a file each, named after its licence."""
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("licence"), F.lit(group).alias("licence_group"), F.col("value").alias("text"))
+
+
+def known_digests(spark: SparkSession, texts: DataFrame | list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """(digest, text_id, parts, licence, licence_group, within) of the known texts, or of ``texts`` (licence, licence_group, text).
+
+    A row for each distinct normal form (``parts`` is 1), and a row for each paragraph of
+    those with several (``parts`` is their number).  ``within``: other texts that hold all
+    paragraphs of this one and more.
+    """
+    rows = texts if isinstance(texts, DataFrame) else spark.createDataFrame(texts if texts is not None else known_texts(), "licence string, licence_group string, text string")
+    one = rows.groupBy(_digest(F.col("text")).alias("text_id")).agg(F.min("licence").alias("licence"), F.min_by("licence_group", "licence").alias("licence_group"), F.min_by("text", "licence").alias("text"))
+    forms = F.array_distinct(F.filter(F.transform(F.split("text", PARAGRAPH), normal_form), lambda n: n != ""))
+    cut = one.select("text_id", "licence", "licence_group", forms.alias("forms"))
+    parts = cut.select(F.explode(F.transform("forms", lambda n: F.sha2(n, 256))).alias("digest"), "text_id", F.size("forms").alias("parts"), "licence", "licence_group")
+    outer = parts.select("digest", F.col("text_id").alias("outer_id"), F.col("parts").alias("outer_parts"))
+    shared = parts.join(outer, "digest").where("outer_parts > parts").groupBy("text_id", "outer_id", "parts").agg(F.count("*").alias("n")).where("n = parts")
+    within = shared.groupBy("text_id").agg(F.collect_set("outer_id").alias("within"))
+    every = one.select(F.col("text_id").alias("digest"), "text_id", F.lit(1).alias("parts"), "licence", "licence_group").unionByName(parts.where("parts > 1"))
+    return every.join(within, "text_id", "left").select("digest", "text_id", "parts", "licence", "licence_group", F.coalesce("within", F.array().cast("array<string>")).alias("within"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", hint: str | None = None) -> DataFrame:
     """doc_id, n_texts (matched texts), licences and licence_groups (sorted arrays), a row per input row.
 
+    A known text is matched by a unit that equals it, or by units that equal all its
+    paragraphs; of texts that lie within each other the longest counts.
+
     ``known``: as :func:`known_digests` gives it; with another table give ``hint`` too, a
-    pattern that every known text matches in lower case (or "" to look at all texts).  A
-    null or empty text has no licences; repeated rows are scanned each; equal texts within
-    a document count once; an empty table gives an empty table; other columns are ignored.
+    pattern that every known text and paragraph matches in lower case (or "" to look at all
+    texts).  A null or empty text has no licences; repeated rows are scanned each; equal texts
+    within a document count once; an empty table gives an empty table; other columns are ignored.
     """
     known = known_digests(docs.sparkSession) if known is None else known
     hint = HINT if hint is None else hint
     t = F.col("t")
-    units = F.array_distinct(F.concat(F.array(t), F.split(t, r"\n[ \t\r]*\n"), F.split(t, "\n")))
+    units = F.array_distinct(F.concat(F.array(t), F.split(t, PARAGRAPH), F.split(t, "\n")))
     some = F.filter(units, lambda u: F.lower(u).rlike(hint))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    each = rows.select("uid", "doc_id", F.explode_outer(F.when(F.lower("t").rlike(hint), F.array_distinct(F.transform(some, lambda u: F.sha2(normal_form(u), 256))))).alias("digest"))
-    hits = each.join(F.broadcast(known), "digest", "left")
-    return hits.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.count("licence").alias("n_texts"),
-        F.array_sort(F.collect_set("licence")).alias("licences"),
-        F.array_sort(F.collect_set("licence_group")).alias("licence_groups"),
-    ).drop("uid")
+    each = rows.select("uid", "doc_id", F.explode_outer(F.when(F.lower("t").rlike(hint), F.array_distinct(F.transform(some, _digest)))).alias("digest"))
+    joined = each.join(F.broadcast(known), "digest", "left")
+    # A document's hits are at most the rows of the known table.
+    hits = joined.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("text_id").isNotNull(), F.struct("text_id", "parts", "licence", "licence_group", "within"))).alias("hits"))
+    same = lambda g, h: (g["text_id"] == h["text_id"]) & (g["parts"] == h["parts"])
+    whole = hits.withColumn("whole", F.filter("hits", lambda h: F.size(F.filter("hits", lambda g: same(g, h))) == h["parts"]))
+    found = whole.select("doc_id", F.filter("whole", lambda h: ~F.arrays_overlap(h["within"], F.col("whole.text_id"))).alias("found"))
+    return found.select("doc_id", F.size(F.array_distinct("found.text_id")).cast("long").alias("n_texts"), F.array_sort(F.array_distinct("found.licence")).alias("licences"), F.array_sort(F.array_distinct("found.licence_group")).alias("licence_groups"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +114,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_normal(text: str) -> str:
-    bare = f"trim(regexp_replace(lower(regexp_replace({text}, '(?m)^[ \\t]*(?:[Cc]opyright|COPYRIGHT|©|\\([Cc]\\))[^\\n]*$|(?i:all rights reserved)\\.?', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    bare = f"trim(regexp_replace(lower(regexp_replace({text}, '{COPYRIGHT_LINE}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
     for a, b in JOINED:
         bare = f"replace({bare}, '{a}', '{b}')"
     spell = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in SPELLINGS) + "}"
@@ -98,11 +126,18 @@ def oracle() -> str:
     values = ", ".join(f"({quote(a)}, {quote(b)}, {quote(c)})" for a, b, c in known_texts())
     return f"""
     WITH texts(licence, licence_group, text) AS (VALUES {values}),
-    known AS (SELECT sha256({_sql_normal('text')}) AS digest, min(licence) AS licence, arg_min(licence_group, licence) AS licence_group FROM texts GROUP BY 1),
+    one AS (SELECT sha256({_sql_normal('text')}) AS text_id, min(licence) AS licence, arg_min(licence_group, licence) AS licence_group, arg_min(text, licence) AS text FROM texts GROUP BY 1),
+    cut AS (SELECT DISTINCT text_id, {_sql_normal('p')} AS form FROM (SELECT text_id, unnest(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n')) AS p FROM one)),
+    forms AS (SELECT text_id, form, count(*) OVER (PARTITION BY text_id) AS parts FROM cut WHERE form <> ''),
+    parts AS (SELECT text_id, sha256(form) AS digest, parts FROM forms),
+    within AS (SELECT a.text_id, b.text_id AS outer_id FROM parts a JOIN parts b USING (digest) WHERE b.parts > a.parts GROUP BY a.text_id, b.text_id, a.parts HAVING count(*) = a.parts),
+    known AS (SELECT text_id AS digest, text_id, 1 AS parts FROM one UNION ALL SELECT digest, text_id, parts FROM parts WHERE parts > 1),
     units AS (
       SELECT doc_id, unnest(list_distinct([text] || regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') || string_split(text, chr(10)))) AS u FROM documents),
     digests AS (SELECT DISTINCT doc_id, sha256({_sql_normal('u')}) AS digest FROM units WHERE regexp_matches(lower(u), '{HINT}')),
-    hits AS (SELECT d.doc_id, k.licence, k.licence_group FROM digests d JOIN known k USING (digest))
+    whole AS (SELECT DISTINCT doc_id, text_id FROM (SELECT doc_id, text_id, parts FROM digests JOIN known USING (digest) GROUP BY ALL HAVING count(*) = parts)),
+    hits AS (SELECT doc_id, licence, licence_group FROM whole w JOIN one USING (text_id)
+      WHERE NOT EXISTS (SELECT 1 FROM within i JOIN whole o ON o.text_id = i.outer_id WHERE i.text_id = w.text_id AND o.doc_id = w.doc_id))
     SELECT d.doc_id, count(h.licence) AS n_texts,
       coalesce(array_to_string(list_sort(list(DISTINCT h.licence) FILTER (h.licence IS NOT NULL)), ','), '') AS licences,
       coalesce(array_to_string(list_sort(list(DISTINCT h.licence_group) FILTER (h.licence_group IS NOT NULL)), ','), '') AS licence_groups
