@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wayline.llm import bpe, embeddings, language_model, licences, packing, pii, quality_classifier, quality_rules, simhash, token_files
+from wayline.llm import bpe, clustering, embeddings, language_id, language_model, licences, packing, pii, quality_classifier, quality_rules, simhash, token_files, whitening
 
 QUERIES = {
     "op1_byte_level_bpe": bpe.op1,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_quality_classifier": quality_classifier.op9,
     "op10_language_model": language_model.op10,
+    "op11_language_id": language_id.op11,
+    "op12_centroid_clusters": clustering.op12,
+    "op13_embedding_whitening": whitening.op13,
 }
-ORACLE_SQL: dict[str, str] = {"op7_licence_scan": licences.oracle(), "op8_quality_rules": quality_rules.oracle()}
+ORACLE_SQL: dict[str, str] = {"op7_licence_scan": licences.oracle(), "op8_quality_rules": quality_rules.oracle(), "op12_centroid_clusters": clustering.oracle()}
