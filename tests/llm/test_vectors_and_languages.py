@@ -238,8 +238,8 @@ def test_rejection_follows_the_calibrating_rows(spark):
     """Scores below which the model errs are refused; the temperature lowers overconfident scores."""
     model = language_id.Model(["a", "b"], np.zeros((1 << language_id.BITS, 2), np.float32), np.zeros(2))
     model.table[1], model.table[2] = [4, -4], [0.2, -0.2]
-    one = np.array([1], "<i4").tobytes()
-    rows = [(i, 0 if i % 2 or i < 60 else 1, np.array([1 if i < 60 else 2], "<i4").tobytes(), one) for i in range(100)]
+    one = np.array([1], "<i4").tobytes()  # a count
+    rows = [(i, 0 if i % 2 or i < 60 else 1, np.array([1 if i < 60 else 2], "<u2").tobytes(), one) for i in range(100)]
     fitted = language_id.calibrated(model, spark.createDataFrame(rows, "u long, y int, at binary, n binary"))
     low = fitted.probabilities(language_id._dense(language_id.pa.table({"at": [rows[99][2]], "n": [one]})))
     high = fitted.probabilities(language_id._dense(language_id.pa.table({"at": [rows[0][2]], "n": [one]})))

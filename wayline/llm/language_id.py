@@ -23,11 +23,11 @@ ORDERS = (1, 2, 3, 4)
 BITS = 15
 DIMS = 16
 #: Rows of each language in the sample, expected at most.
-PER_LANGUAGE = 4000
+PER_LANGUAGE = 1000
 #: One part in this many of the sample calibrates instead of training.
 CALIBRATE = 8
 #: Rows of a shard, about, and shards at most.
-SHARD_ROWS, SHARDS = 1000, 16
+SHARD_ROWS, SHARDS = 500, 16
 #: Rounds of averaging, and steps over the sample in all (as many epochs as that takes).
 ROUNDS, STEPS, EPOCHS = 4, 40_000, 60
 RATE = 0.5
@@ -138,14 +138,14 @@ def descend(embeddings: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows:
 
 
 def _pairs(counts: np.ndarray) -> tuple[bytes, bytes]:
-    at = np.flatnonzero(counts).astype("<i4")
+    at = np.flatnonzero(counts).astype("<u2")
     return at.tobytes(), counts[at].astype("<i4").tobytes()
 
 
 def _dense(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     out = np.zeros((table.num_rows, 1 << BITS), np.float32)
     for r, (at, n) in enumerate(zip(table.column("at").to_pylist(), table.column("n").to_pylist())):
-        out[r, np.frombuffer(at, "<i4")] = np.frombuffer(n, "<i4")
+        out[r, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<i4")
     return out
 
 
@@ -204,7 +204,7 @@ def train(docs: DataFrame, held_out: int = 2, folds: int = 4, per_language: int
             rows = []
             for at, n, y in zip(table.column("at").to_pylist(), table.column("n").to_pylist(), table.column("y").to_pylist()):
                 f = np.frombuffer(n, "<i4").astype(np.float64)
-                rows.append((np.frombuffer(at, "<i4"), f / np.sqrt(f @ f), y))
+                rows.append((np.frombuffer(at, "<u2"), f / np.sqrt(f @ f), y))
             e, w, b = (x.astype(np.float64) for x in start)
             steps = len(rows) * epochs
             rates = RATE * (1 - (turn * steps + np.arange(steps)) / (ROUNDS * steps))
