@@ -40,8 +40,8 @@ def test_pairing_takes_calls_in_source_order(spark):
     pairs = pairing.pair_calls(e)
     got = by(pairs.collect(), "call_event_id")
     assert {k: v.result_event_id for k, v in got.items()} == {"c1": "r1", "c2": "r2", "c3": "r4"} and got["c2"].status == "failed"
-    assert {(r.event_id, r.code) for r in pairing.orphan_results(e, pairs).collect()} == {("r3", "ORPHAN_RESULT"), ("r5", "RESULT_WITHOUT_ID")}
-    assert {(r.code, r.event_id) for r in pairing.pairing_diagnostics(e, pairs).collect()} == {("MISSING_CALL_ID", "c3"), ("DUPLICATE_CALL_ID", "a")}
+    assert {(r.event_id, r.code) for r in pairing.orphan_results(e, pairs).collect()} == {("r3", "ORPHAN_TOOL_RESULT"), ("r5", "MISSING_CALL_ID")}
+    assert {(r.code, *r.event_ids) for r in pairing.pairing_diagnostics(e, pairs).collect()} == {("MISSING_CALL_ID", "c3"), ("DUPLICATE_CALL_ID", "c1", "c2"), ("ORPHAN_TOOL_RESULT", "r3"), ("MISSING_CALL_ID", "r5")}
 
 
 def test_pairing_mixed_claimants(spark):
@@ -293,7 +293,7 @@ def test_response_envelope(spark):
     three = [("m", "message", "succeeded", "1776339600"), ("fc", "tool_call", "succeeded", "1776339600"), ("fo", "tool_result", "failed", "1776339600")]
     assert got == {"stream": [("fc", "tool_call", "succeeded", None)], "whole": three, "within": three, "last": three, "open": [("fc", "tool_call", "pending", None)]}
     codes = sorted((r.trace_id, r.code) for r in diagnostics.collect())
-    assert codes == sorted([(k, "MALFORMED_EVENT") for k in ("whole", "within", "last", "bodiless")] + [("open", "INCOMPLETE_STREAM_DELTA"), ("none", "INVALID_TRACE_ROOT"), ("broken", "INVALID_JSON")])
+    assert codes == sorted([(k, "UNSUPPORTED_EVENT") for k in ("whole", "within", "last")] + [("bodiless", "MALFORMED_EVENT")] + [("open", "INCOMPLETE_STREAM_DELTA"), ("none", "INVALID_TRACE_ROOT"), ("broken", "INVALID_JSON")])
 
 
 def test_states_and_broken_json_fields(spark):

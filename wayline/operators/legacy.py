@@ -102,10 +102,10 @@ def legacy_events(traces: DataFrame) -> DataFrame:
 
 
 def unique_event_ids(events: DataFrame) -> DataFrame:
-    """The n-th event of a trace with one id becomes ``id#n``; ``renamed`` marks it.  Parent references stay."""
+    """The n-th event of a trace with one id becomes ``id#n``; ``renamed`` marks it and ``first_id`` keeps the id that it had.  Parent references stay."""
     nth = F.row_number().over(Window.partitionBy("trace_id", "event_id").orderBy("ord"))
     rows = events.withColumn("_n", nth)
-    return rows.withColumn("renamed", F.col("_n") > 1).withColumn("event_id", F.when(F.col("_n") > 1, F.concat_ws("#", "event_id", F.col("_n").cast("string"))).otherwise(F.col("event_id"))).drop("_n")
+    return rows.withColumn("renamed", F.col("_n") > 1).withColumn("first_id", F.col("event_id")).withColumn("event_id", F.when(F.col("_n") > 1, F.concat_ws("#", "event_id", F.col("_n").cast("string"))).otherwise(F.col("event_id"))).drop("_n")
 
 
 def format_routing(traces: DataFrame) -> DataFrame:

@@ -91,23 +91,27 @@ def _pairs(rows: DataFrame) -> DataFrame:
     status = F.when(worst("failed"), "failed").when(worst("cancelled"), "cancelled").when(known != "unknown", F.col("result_status")).otherwise(F.col("call_status"))
     rank = F.create_map(*[F.lit(x) for p in PROVENANCE_RANK.items() for x in p])
     weakest = F.when(F.col("result_prov").isNull() | (F.try_element_at(rank, "call_prov") <= F.try_element_at(rank, "result_prov")), F.col("call_prov")).otherwise(F.col("result_prov"))
-    return rows.select("trace_id", F.concat(F.lit("pair:"), F.col("call_event_id")).alias("pair_id"), "call_id", "call_event_id", "result_event_id", status.alias("status"), weakest.alias("provenance"))
+    return rows.select("trace_id", F.concat_ws("::", "call_event_id", F.coalesce("result_event_id", F.lit("unmatched"))).alias("pair_id"), "call_id", "call_event_id", "result_event_id", status.alias("status"), weakest.alias("provenance"))
 
 
 def orphan_results(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """(trace_id, event_id, code) of results that no call took."""
     matched = pairs.where("result_event_id is not null").select("trace_id", F.col("result_event_id").alias("event_id"))
     named = F.col("call_id").isNotNull() | F.col("parent_id").isNotNull()
-    return events.where("kind = 'tool_result'").join(matched, ["trace_id", "event_id"], "left_anti").select("trace_id", "event_id", F.when(named, "ORPHAN_RESULT").otherwise("RESULT_WITHOUT_ID").alias("code"))
+    return events.where("kind = 'tool_result'").join(matched, ["trace_id", "event_id"], "left_anti").select("trace_id", "event_id", F.when(named, "ORPHAN_TOOL_RESULT").otherwise("MISSING_CALL_ID").alias("code"))
 
 
 def pairing_diagnostics(events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(trace_id, code, event_id): calls without a result, calls without an id, and ids of several calls."""
-    open_calls = pairs.where("result_event_id is null").select("trace_id", F.lit("UNMATCHED_CALL").alias("code"), F.col("call_event_id").alias("event_id"))
+    """(trace_id, code, event_ids): calls without a result, calls and results without an id, results that no call took, and ids of several calls.
+
+    event_ids names the event, or all calls of one id in order.
+    """
+    one = lambda df, code: df.select("trace_id", code.alias("code"), F.array("event_id").alias("event_ids"))
+    open_calls = pairs.where("result_event_id is null").withColumn("event_id", F.col("call_event_id"))
     calls = events.where("kind = 'tool_call'")
-    bare = calls.where("call_id is null").select("trace_id", F.lit("MISSING_CALL_ID").alias("code"), "event_id")
-    double = calls.where("call_id is not null").groupBy("trace_id", "call_id").agg(F.count("*").alias("n")).where("n > 1").select("trace_id", F.lit("DUPLICATE_CALL_ID").alias("code"), F.col("call_id").alias("event_id"))
-    return open_calls.unionByName(bare).unionByName(double)
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ord", "event_id"))), lambda x: x["event_id"])
+    double = calls.where("call_id is not null").groupBy("trace_id", "call_id").agg(in_order.alias("event_ids")).where("size(event_ids) > 1").select("trace_id", F.lit("DUPLICATE_CALL_ID").alias("code"), "event_ids")
+    return one(open_calls, F.lit("UNMATCHED_TOOL_CALL")).unionByName(one(calls.where("call_id is null"), F.lit("MISSING_CALL_ID"))).unionByName(double).unionByName(one(orphan_results(events, pairs), F.col("code")))
 
 
 def evidence_for_parent(events: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayline.operators import annotation, batch, episodes, generic, pairing
+from wayline.operators import annotation, batch, episodes, generic, legacy, pairing
 from wayline.operators.integrity import trace_sha
 from wayline.plans import views
+from wayline.plans.trace_queries import PAIRS, SRC_EV
 from wayline.plans.storage import materialize
 from wayline.streaming import jobs
 
@@ -150,9 +151,14 @@ def _json(s, d):
     return s.sql(f"WITH {JSON_ITEMS} SELECT concat('j', CAST(user_id AS string)) AS trace_id, concat('{{\"events\":[', array_join(transform(array_sort(collect_list(struct(event_id, item))), x -> x.item), ','), ']}}') AS raw FROM items GROUP BY user_id")
 
 
-JSON_ITEMS = """items AS (SELECT user_id, event_id, concat('{"', CASE event_id % 3 WHEN 0 THEN 'event_id' WHEN 1 THEN 'eventId' ELSE 'id' END, '":"e', CAST(event_id AS string), '","', CASE event_id % 2 WHEN 0 THEN 'type' ELSE 'kind' END, '":"',
+JSON_ITEMS = """items AS (SELECT user_id, event_id, concat('{"', CASE event_id % 3 WHEN 0 THEN 'event_id' WHEN 1 THEN 'eventId' ELSE 'id' END, '":',
+  CASE event_id % 13 WHEN 5 THEN 'true' WHEN 6 THEN concat(CAST(event_id AS string), '.50') WHEN 7 THEN '"  "' WHEN 8 THEN '"dup"' ELSE concat('"e', CAST(event_id AS string), '"') END, ',"', CASE event_id % 2 WHEN 0 THEN 'type' ELSE 'kind' END, '":"',
   CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'tool-call' WHEN 'purchase' THEN 'function_call_output' WHEN 'error' THEN 'exception' ELSE CASE event_id % 2 WHEN 0 THEN 'file' ELSE 'mystery' END END,
-  '","role":"', CASE WHEN event_type = 'view' THEN CASE event_id % 3 WHEN 0 THEN 'agent' WHEN 1 THEN 'user' ELSE 'tool' END ELSE 'none' END, '","call_id":"c', CAST(event_id % 10 AS string), '","sequence":', CASE WHEN event_id % 6 = 0 THEN '-1' ELSE CAST(event_id AS string) END,
+  CASE WHEN event_type = 'view' THEN CASE event_id % 3 WHEN 0 THEN '","role":"agent' WHEN 1 THEN '","role":"user' ELSE '","role":"tool' END ELSE '' END, '","call_id":',
+  CASE event_id % 17 WHEN 3 THEN '" ","tool_call_id":"real"' WHEN 4 THEN '123456789.5' WHEN 5 THEN '1e3' WHEN 6 THEN '25000000.50' WHEN 7 THEN 'false' ELSE concat('"c', CAST(event_id % 10 AS string), '"') END,
+  ',"sequence":', CASE event_id % 6 WHEN 0 THEN '-1' WHEN 1 THEN concat('" ', CAST(event_id AS string), ' "') WHEN 2 THEN concat(CAST(event_id AS string), '.0') ELSE CAST(event_id AS string) END,
+  CASE event_id % 7 WHEN 0 THEN ',"created_at":1700000000.50' WHEN 1 THEN ',"timestamp":true,"time":"never"' WHEN 2 THEN ',"time":"2024-01-02T03:04:05Z"' ELSE '' END,
+  CASE WHEN event_type = 'click' THEN CASE event_id % 5 WHEN 0 THEN ',"args":{"n":25000000.5,"z":0.10,"a":[1e3,1.0]}' WHEN 1 THEN ',"input":" {\\\\"b\\\\": 1.0}"' WHEN 2 THEN ',"arguments":"{bad"' WHEN 3 THEN ',"parameters":2.50' ELSE '' END ELSE '' END,
   ',"status":"', CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'queued' WHEN 2 THEN 'ERROR' ELSE 'canceled' END, '","content":"text ', CAST(event_id AS string), '"}') AS item FROM events)"""
 
 
@@ -164,6 +170,38 @@ def nested_calls(s, d):
     return generic.generic_events(rows)[0].groupBy("kind", "role").agg(F.count("*").alias("n"))
 
 
+def trace_diagnostics(s, d):
+    """All that is said of the JSON traces: parsing, repeated ids, pairing, and secrets (every text that ends in 7 counts as one)."""
+    events, parsed = generic.generic_events(_json(s, d))
+    e = materialize(legacy.unique_event_ids(events), "events")
+    pairs = pairing.pair_calls(e)
+    secrets = e.groupBy("trace_id").agg(F.count_if(F.col("payload").like("text %7")).alias("n"))
+    out = generic.trace_diagnostics(parsed, e, pairing.pairing_diagnostics(e, pairs), secrets)
+    return out.groupBy("trace_id", "code", "severity", "category", "pos", "path", F.array_join("event_ids", ",").alias("event_ids")).agg(F.count("*").alias("n"))
+
+
+def _held(s, d):
+    """The events of users with their payloads as JSON values: texts, and for some objects whose keys aren't sorted."""
+    e = views.ev(s, d)
+    return materialize(e.withColumn("value", F.when(F.col("source_id") % 4 == 0, F.concat(F.lit('{"z":[{"b":1.50,"a":null}], "a":'), generic.quoted(F.col("payload")), F.lit("}"))).otherwise(generic.quoted(F.col("payload")))), "events")
+
+
+def content_hash(s, d):
+    e = _held(s, d)
+    pairs = materialize(pairing.pair_calls(e), "pairs")
+    facts = e.groupBy("trace_id").agg(F.lit("generic_json").alias("source_format"), (F.count("*") % 2 == 0).alias("lossy"))
+    return generic.trace_hash(e, pairs, pairing.orphan_results(e, pairs), facts)
+
+
+def trace_constraints(s, d):
+    """Traces some of whose ids were lost or changed after pairing."""
+    e = views.ev(s, d)
+    pairs = materialize(pairing.pair_calls(e), "pairs")
+    orphans = pairing.orphan_results(e, pairs)
+    changed = e.withColumn("event_id", F.when(F.col("ord") % 9 == 0, "e1").otherwise(F.col("event_id"))).withColumn("kind", F.when(F.col("ord") % 8 == 3, "message").otherwise(F.col("kind")))
+    return generic.check_trace_constraints(changed, pairs, orphans).groupBy("trace_id", "rule").agg(F.count("*").alias("n"))
+
+
 RESPONSE_ITEMS = """messages AS (SELECT user_id, event_id, event_type, CASE event_type
   WHEN 'view' THEN concat('{"type":"response.output_item.added","item":{"type":"message","id":"i', CAST(event_id % 25 AS string), '","role":"assistant","content":"hi ', CAST(event_id AS string), '","status":"in_progress"}}')
   WHEN 'click' THEN concat('{"type":"response.output_item.done","item":{"type":"function_call","id":"i', CAST(event_id % 25 AS string), '","call_id":"c', CAST(event_id AS string), '","name":"go","arguments":"', CASE WHEN event_id % 4 = 0 THEN '{bad' ELSE '{}' END, '","status":"completed"}}')
@@ -237,21 +275,27 @@ QUERIES = {
     "judge_requests": lambda s, d: batch.judge_requests(_cases(s, d)).select("case_id", F.length("request").cast("long").alias("n_chars")),
     "telemetry": lambda s, d: batch.run_telemetry(_calls(s, d)),
     "monitoring_tier": run_quality,
-    "generic_events": lambda s, d: generic.generic_events(_json(s, d))[0].select("trace_id", "ord", "event_id", "sequence", "kind", "call_id", "status", "role", "payload"),
+    "generic_events": lambda s, d: generic.generic_events(_json(s, d))[0].select("trace_id", "ord", "event_id", "sequence", "kind", "ts_raw", F.unix_micros("ts").alias("ts_micros"), "call_id", "status", "role", "tool_name", "payload", "value", "path", "raw_type"),
     "response_events": lambda s, d: generic.response_events(_responses(s, d))[0].select("trace_id", "ord", "kind", "status", "call_id", "payload"),
     "response_diagnostics": lambda s, d: generic.response_events(_responses(s, d))[1].groupBy("trace_id", "code").agg(F.count("*").alias("n")),
-    "generic_diagnostics": lambda s, d: generic.generic_events(_json(s, d))[1].groupBy("trace_id", "code").agg(F.count("*").alias("n")),
+    "generic_diagnostics": lambda s, d: generic.generic_events(_json(s, d))[1].groupBy("trace_id", "code", "pos", "path").agg(F.count("*").alias("n")),
+    "trace_diagnostics": trace_diagnostics,
     "nested_calls": nested_calls,
     "response_fold": response_fold,
-    "trace_constraints": lambda s, d: generic.check_trace_constraints(views.ev(s, d).withColumn("event_id", F.when(F.col("ord") % 9 == 0, "e1").otherwise(F.col("event_id"))), pairing.pair_calls(views.ev(s, d))).groupBy("rule").agg(F.count("*").alias("n")),
-    "trace_content_hash": lambda s, d: generic.trace_hash(views.ev(s, d), pairing.pair_calls(views.ev(s, d))),
+    "trace_constraints": trace_constraints,
+    "trace_content_hash": content_hash,
     "trace_summary": lambda s, d: generic.trace_summary(*generic.generic_events(_json(s, d))),
     "admission": admission,
     "progress_fold": progress,
 }
 
-_GEN = f"""{JSON_ITEMS.replace('items AS', 'items0 AS')}, g AS (SELECT 'j' || user_id AS trace_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
-gk AS (SELECT *, CASE WHEN event_type = 'view' THEN CASE WHEN event_id % 3 = 2 THEN 'tool_result' ELSE 'message' END WHEN event_type = 'click' THEN 'tool_call' WHEN event_type = 'purchase' THEN 'tool_result' WHEN event_type = 'error' THEN 'error' WHEN event_id % 2 = 0 THEN 'artifact' END AS kind FROM g)"""
+_GEN = """g AS (SELECT 'j' || user_id AS trace_id, event_id AS i, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+gk AS (SELECT *, event_type = 'view' AND i % 3 = 2 AS twice, CASE WHEN event_type = 'view' THEN CASE WHEN i % 3 = 2 THEN 'tool_result' ELSE 'message' END WHEN event_type = 'click' THEN 'tool_call' WHEN event_type = 'purchase' THEN 'tool_result' WHEN event_type = 'error' THEN 'error' WHEN i % 2 = 0 THEN 'artifact' END AS kind FROM g),
+gn AS (SELECT *, '$.events[' || pos || ']' AS path, count(kind) OVER (PARTITION BY trace_id ORDER BY pos) - CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS ord, CASE i % 13 WHEN 5 THEN NULL WHEN 6 THEN i || '.5' WHEN 7 THEN NULL WHEN 8 THEN 'dup' ELSE 'e' || i END AS own_id FROM gk),
+k AS (SELECT *, coalesce(own_id, 'generic:' || ord) AS event_id, CASE i % 17 WHEN 4 THEN '123456789.5' WHEN 5 THEN '1000' WHEN 6 THEN '25000000.5' WHEN 3 THEN CASE WHEN kind = 'tool_call' AND i % 3 = 2 THEN own_id END WHEN 7 THEN CASE WHEN kind = 'tool_call' AND i % 3 = 2 THEN own_id END ELSE 'c' || (i % 10) END AS call_id,
+  CASE WHEN kind = 'error' OR i % 4 = 2 THEN 'failed' ELSE CASE i % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'pending' ELSE 'cancelled' END END AS status FROM gn WHERE kind IS NOT NULL),
+gd AS (SELECT trace_id, 'UNSUPPORTED_EVENT' AS code, pos, path, 1 AS n FROM gn WHERE kind IS NULL UNION ALL SELECT trace_id, 'INVALID_SEQUENCE', pos, path, CASE WHEN twice THEN 2 ELSE 1 END FROM gn WHERE i % 6 = 0
+  UNION ALL SELECT trace_id, 'INVALID_TIMESTAMP', pos, path, CASE WHEN twice THEN 2 ELSE 1 END FROM gn WHERE i % 7 = 1 UNION ALL SELECT trace_id, 'MALFORMED_TOOL_ARGUMENTS', pos, path, 1 FROM gn WHERE kind = 'tool_call' AND i % 5 = 2)"""
 _JOB = "records AS (SELECT case_id, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'failed' ELSE 'succeeded' END AS status, (doc_id * 37 % 101) >= 50 AS rel FROM cs WHERE doc_id % 3 <> 0)"
 _GOLD = f"{views.CS}, {_JOB}, gold AS (SELECT r.case_id, c.reliable AS gold_reliable, c.reliable IS NULL AS missing_label, r.rel, CASE WHEN c.doc_id % 4 + c.doc_id % 3 >= c.doc_id % 4 + 1 THEN array_to_string(generate_series(c.doc_id % 4 + 1, c.doc_id % 4 + c.doc_id % 3), ',') ELSE '' END AS gold_lines FROM records r JOIN cs c USING (case_id) WHERE r.status = 'succeeded')"
 
@@ -278,20 +322,40 @@ ORACLE_SQL = {
     "record_violations": f"WITH {views.CS} SELECT case_id, 'input_hash' AS rule FROM cs WHERE doc_id % 3 <> 0 AND doc_id % 40 = 1",
     "gold_join": f"WITH {_GOLD} SELECT case_id, gold_reliable, missing_label, gold_lines FROM gold",
     "telemetry": f"WITH c AS ({CALLS}) SELECT run_id, count(*) AS n_calls, coalesce(sum(input_tokens), 0)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, coalesce(sum(total_tokens), 0)::bigint AS total_tokens, count(input_tokens) = count(*) AS complete, arg_max(returned_model, index) FILTER (returned_model <> '') AS returned_model, sum(latency_ms) AS model_ms FROM c GROUP BY run_id",
-    "generic_events": f"""WITH {_GEN}, k AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY pos) - 1 AS ord FROM gk WHERE kind IS NOT NULL)
-        SELECT trace_id, ord, 'e' || event_id AS event_id, CASE WHEN event_id % 6 = 0 THEN ord ELSE event_id END AS sequence, kind, 'c' || (event_id % 10) AS call_id, CASE event_id % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'pending' WHEN 2 THEN 'failed' ELSE 'cancelled' END AS status,
-        CASE WHEN kind = 'message' THEN CASE event_id % 3 WHEN 0 THEN 'assistant' ELSE 'user' END END AS role, CASE WHEN kind <> 'tool_call' THEN 'text ' || event_id END AS payload FROM k""",
+    "generic_events": f"""WITH {_GEN}
+        SELECT trace_id, ord, event_id, CASE WHEN i % 6 = 0 THEN ord ELSE i END AS sequence, kind, CASE i % 7 WHEN 0 THEN '1700000000.5' WHEN 2 THEN '2024-01-02T03:04:05Z' END AS ts_raw, CASE i % 7 WHEN 0 THEN 1700000000500000 WHEN 2 THEN epoch_us(TIMESTAMP '2024-01-02 03:04:05') END AS ts_micros,
+        call_id, status, CASE WHEN kind = 'message' THEN CASE i % 3 WHEN 0 THEN 'assistant' ELSE 'user' END END AS role, CASE WHEN kind = 'tool_call' THEN 'tool' END AS tool_name,
+        CASE kind WHEN 'tool_call' THEN CASE i % 5 WHEN 0 THEN '{{"n":25000000.5,"z":0.1,"a":[1000,1]}}' WHEN 1 THEN '{{"b":1}}' WHEN 2 THEN '{{bad' WHEN 3 THEN '2.5' END WHEN 'error' THEN 'Unknown trace error' ELSE 'text ' || i END AS payload,
+        CASE kind WHEN 'tool_call' THEN CASE i % 5 WHEN 0 THEN '{{"n":25000000.5,"z":0.1,"a":[1000,1]}}' WHEN 1 THEN '{{"b":1}}' WHEN 2 THEN '"{{bad"' WHEN 3 THEN '2.5' ELSE 'null' END WHEN 'error' THEN NULL ELSE '"text ' || i || '"' END AS value,
+        path, CASE event_type WHEN 'view' THEN 'message' WHEN 'click' THEN 'tool_call' WHEN 'purchase' THEN 'function_call_output' WHEN 'error' THEN 'exception' ELSE 'file' END AS raw_type FROM k""",
+    "trace_diagnostics": f"""WITH {_GEN}, src AS (SELECT * EXCLUDE (event_id), CASE WHEN nth > 1 THEN event_id || '#' || nth ELSE event_id END AS event_id, event_id AS first_id, 'recorded' AS provenance, NULL AS parent_id FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, event_id ORDER BY ord) AS nth FROM k)), {PAIRS},
+        pd AS (SELECT trace_id, 'UNMATCHED_TOOL_CALL' AS code, [call_event_id] AS ids FROM pairs WHERE result_event_id IS NULL UNION ALL SELECT trace_id, 'MISSING_CALL_ID', [event_id] FROM c WHERE call_id IS NULL UNION ALL SELECT trace_id, 'DUPLICATE_CALL_ID', list(event_id ORDER BY ord) FROM c WHERE call_id IS NOT NULL GROUP BY trace_id, call_id HAVING count(*) > 1
+          UNION ALL SELECT trace_id, CASE WHEN call_id IS NULL THEN 'MISSING_CALL_ID' ELSE 'ORPHAN_TOOL_RESULT' END, [event_id] FROM r ANTI JOIN pairs p ON p.trace_id = r.trace_id AND p.result_event_id = r.event_id),
+        every AS (SELECT trace_id, code, 'warning' AS severity, CASE WHEN code LIKE 'INVALID%' THEN 'validation' ELSE 'parsing' END AS category, pos, path, NULL AS event_ids, n FROM gd UNION ALL SELECT trace_id, 'DUPLICATE_EVENT_ID', 'warning', 'validation', pos, path, first_id || ',' || event_id, 1 FROM src WHERE event_id <> first_id
+          UNION ALL SELECT pd.trace_id, code, 'warning', 'pairing', pos, path, array_to_string(ids, ','), 1 FROM pd JOIN src ON src.trace_id = pd.trace_id AND src.event_id = ids[1]
+          UNION ALL SELECT trace_id, 'REDACTED_SECRET', 'info', 'redaction', NULL, NULL, NULL, 1 FROM k WHERE kind NOT IN ('tool_call', 'error') AND i % 10 = 7 GROUP BY trace_id)
+        SELECT trace_id, code, severity, category, pos, path, event_ids, sum(n)::bigint AS n FROM every GROUP BY ALL""",
+    "trace_constraints": f"""WITH {SRC_EV}, {PAIRS}, x AS (SELECT trace_id, CASE WHEN ord % 9 = 0 THEN 'e1' ELSE event_id END AS event_id, CASE WHEN ord % 8 = 3 THEN 'message' ELSE kind END AS kind FROM src),
+        refs AS (SELECT trace_id, 'call_event_id_kind' AS rule, 'tool_call' AS kind, call_event_id AS event_id FROM pairs UNION ALL SELECT trace_id, 'result_event_id_kind', 'tool_result', result_event_id FROM pairs WHERE result_event_id IS NOT NULL
+          UNION ALL SELECT r.trace_id, 'orphan_event_id_kind', 'tool_result', r.event_id FROM r ANTI JOIN pairs p ON p.trace_id = r.trace_id AND p.result_event_id = r.event_id),
+        bad AS (SELECT trace_id, 'event_id_repeated' AS rule FROM x GROUP BY trace_id, event_id HAVING count(*) > 1 UNION ALL SELECT trace_id, rule FROM refs ANTI JOIN x USING (trace_id, event_id, kind)) SELECT trace_id, rule, count(*) AS n FROM bad GROUP BY ALL""",
+    "trace_content_hash": f"""WITH {SRC_EV}, {PAIRS}, q AS (SELECT *, '"' || payload || '"' AS p, CASE WHEN source_id % 4 = 0 THEN '{{"a":"' || payload || '","z":[{{"a":null,"b":1.5}}]}}' ELSE '"' || payload || '"' END AS v FROM src),
+        e AS (SELECT trace_id, string_agg('{{' || concat_ws(',', CASE WHEN kind = 'tool_call' THEN '"arguments":' || v END, '"call_id":"' || call_id || '"', CASE WHEN kind = 'message' THEN '"content":' || v END, CASE WHEN kind = 'artifact' THEN '"data":' || v END, CASE WHEN kind = 'error' THEN '"error":{{"details":' || v || ',"message":' || p || '}}' END,
+          '"event_id":"' || event_id || '"', '"parent_id":"' || parent_id || '"', '"provenance":"' || provenance || '"', CASE WHEN kind = 'tool_result' THEN '"result":' || v END, '"role":"' || role || '"', '"sequence":' || ord, '"source":{{"format":"generic_json","index":' || ord || '}}', '"status":"' || status || '"', '"tool_name":"' || tool_name || '"', '"type":"' || kind || '"') || '}}', ',' ORDER BY ord) AS j, count(*) AS n FROM q GROUP BY trace_id),
+        p AS (SELECT pairs.trace_id, string_agg('{{"call_event_id":"' || call_event_id || '","call_id":' || coalesce('"' || pairs.call_id || '"', 'null') || ',"pair_id":"' || pair_id || '","provenance":"' || pairs.provenance || '","result_event_id":' || coalesce('"' || result_event_id || '"', 'null') || ',"status":"' || pairs.status || '"}}', ',' ORDER BY ord) AS j FROM pairs JOIN src ON src.trace_id = pairs.trace_id AND src.event_id = call_event_id GROUP BY 1),
+        o AS (SELECT r.trace_id, string_agg('"' || r.event_id || '"', ',' ORDER BY r.ord) AS j FROM r ANTI JOIN pairs p ON p.trace_id = r.trace_id AND p.result_event_id = r.event_id GROUP BY 1)
+        SELECT trace_id, 'sha256:' || sha256('{{"adapter_version":"1.0.0","call_pairs":[' || coalesce(p.j, '') || '],"events":[' || e.j || '],"lossy":' || (n % 2 = 0) || ',"orphan_result_event_ids":[' || coalesce(o.j, '') || '],"schema_version":"1.0.0","source_format":"generic_json"}}') AS hash FROM e LEFT JOIN p USING (trace_id) LEFT JOIN o USING (trace_id)""",
     "response_events": f"""WITH {_DONE} SELECT 's' || user_id AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS ord,
         CASE event_type WHEN 'view' THEN 'message' WHEN 'error' THEN 'error' WHEN 'signup' THEN 'state_change' ELSE 'tool_call' END AS kind, CASE event_type WHEN 'view' THEN 'running' WHEN 'click' THEN 'succeeded' WHEN 'purchase' THEN 'pending' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
         CASE event_type WHEN 'click' THEN 'c' || event_id WHEN 'purchase' THEN 'p' || event_id END AS call_id,
         CASE event_type WHEN 'view' THEN 'hi ' || event_id WHEN 'click' THEN CASE WHEN event_id % 4 = 0 THEN '{{bad' ELSE '{{}}' END WHEN 'purchase' THEN '[1]' WHEN 'error' THEN 'boom ' || event_id ELSE '{{"name":"response_status","to":"in_progress"}}' END AS payload
         FROM m WHERE NOT (done AND event_type IN ('view', 'purchase'))""",
     "nested_calls": "SELECT 'message' AS kind, role, count(*) AS n FROM conversations GROUP BY role UNION ALL SELECT 'tool_call', NULL, count(*) FILTER (turn % 3 = 0) + count(*) FILTER (turn % 2 = 0) FROM conversations",
-    "trace_summary": f"WITH {_GEN} SELECT trace_id, count(*) FILTER (kind IS NOT NULL) AS n_events, count(*) FILTER (kind IS NULL) + count(*) FILTER (kind IS NOT NULL AND event_id % 6 = 0) AS n_diagnostics, count(*) FILTER (kind IS NULL) > 0 AS lossy FROM gk GROUP BY 1",
+    "trace_summary": f"WITH {_GEN}, d AS (SELECT trace_id, sum(n)::bigint AS n FROM gd GROUP BY 1) SELECT trace_id, count(kind) AS n_events, coalesce(any_value(d.n), 0) AS n_diagnostics, 0 AS n_errors, count(*) > count(kind) AS lossy, false AS redacted, 0 AS n_redactions FROM gn LEFT JOIN d USING (trace_id) GROUP BY 1",
     "response_diagnostics": "SELECT 's' || user_id AS trace_id, 'MALFORMED_TOOL_ARGUMENTS' AS code, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 4 = 0 GROUP BY user_id",
     "response_fold": """WITH m AS (SELECT 'r' || (user_id % 50) AS trace_id, event_type, event_id % 40 AS id FROM events), done AS (SELECT DISTINCT trace_id, id FROM m WHERE event_type = 'click')
         SELECT m.trace_id, count(*) FILTER (event_type = 'click' OR (event_type = 'view' AND d.id IS NULL)) AS n_items, count(*) FILTER (event_type NOT IN ('view', 'click') AND d.id IS NULL) AS n_left FROM m LEFT JOIN done d ON d.trace_id = m.trace_id AND d.id = m.id GROUP BY 1""",
-    "generic_diagnostics": f"WITH {_GEN} SELECT trace_id, 'UNSUPPORTED_EVENT' AS code, count(*) AS n FROM gk WHERE kind IS NULL GROUP BY 1 UNION ALL SELECT trace_id, 'INVALID_SEQUENCE', count(*) FROM gk WHERE kind IS NOT NULL AND event_id % 6 = 0 GROUP BY 1",
+    "generic_diagnostics": f"WITH {_GEN} SELECT trace_id, code, pos, path, n::bigint AS n FROM gd",
     "progress_fold": """SELECT 'run-' || user_id AS run_id, count(*) FILTER (event_type NOT IN ('signup', 'error')) AS n_steps, coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type NOT IN ('signup', 'error')), '') AS tools, CASE WHEN bool_or(event_type = 'signup') THEN 'complete' WHEN bool_or(event_type = 'error') THEN 'error' ELSE 'open' END AS outcome,
         'r' || max(event_id) FILTER (event_type = 'signup') AS report_json, 'x' || max(event_id) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id""",
     "admission": """WITH RECURSIVE r AS (SELECT 'c' || (user_id % 20) AS client_id, event_id AS request_id, epoch_us(ts) / 1000000.0::double AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),

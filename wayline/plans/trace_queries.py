@@ -135,7 +135,7 @@ cand AS (
   SELECT c.trace_id, c.event_id AS call_event_id, r.event_id AS result_event_id, r.ord FROM c JOIN r ON c.trace_id = r.trace_id AND c.call_id = r.call_id AND c.n = r.n
   UNION ALL SELECT c.trace_id, c.event_id, r.event_id, r.ord FROM c JOIN r ON c.trace_id = r.trace_id AND r.call_id IS NULL AND r.parent_id = c.event_id),
 m AS (SELECT trace_id, call_event_id, arg_min(result_event_id, ord) AS result_event_id FROM cand GROUP BY 1, 2),
-pairs AS (SELECT c.trace_id, 'pair:' || c.event_id AS pair_id, c.call_id, c.event_id AS call_event_id, m.result_event_id,
+pairs AS (SELECT c.trace_id, c.event_id || '::' || coalesce(m.result_event_id, 'unmatched') AS pair_id, c.call_id, c.event_id AS call_event_id, m.result_event_id,
   CASE WHEN c.status = 'failed' OR r.status = 'failed' THEN 'failed' WHEN c.status = 'cancelled' OR r.status = 'cancelled' THEN 'cancelled' WHEN coalesce(r.status, 'unknown') <> 'unknown' THEN r.status ELSE c.status END AS status,
   CASE WHEN r.provenance IS NULL OR position(c.provenance IN 'declared recorded verified') <= position(r.provenance IN 'declared recorded verified') THEN c.provenance ELSE r.provenance END AS provenance
   FROM c LEFT JOIN m ON m.trace_id = c.trace_id AND m.call_event_id = c.event_id LEFT JOIN r ON r.trace_id = m.trace_id AND r.event_id = m.result_event_id)"""
@@ -200,7 +200,7 @@ QUERIES = {
     "call_pairs": lambda s, d: _pairs(s, d).select(*_PAIR_COLS),
     "pair_provenance": pair_statuses,
     "orphans": lambda s, d: pairing.orphan_results(_ev(s, d), _pairs(s, d)),
-    "pairing_diagnostics": lambda s, d: pairing.pairing_diagnostics(_ev(s, d), _pairs(s, d)),
+    "pairing_diagnostics": lambda s, d: pairing.pairing_diagnostics(_ev(s, d), _pairs(s, d)).withColumn("event_ids", F.array_join("event_ids", ",")),
     "parent_evidence": lambda s, d: pairing.evidence_for_parent(_ev(s, d), _pairs(s, d)),
     "identity_alignment": identity_alignment,
     "redact_patterns": redact_patterns,
@@ -239,8 +239,9 @@ ORACLE_SQL = {
     "id_disambiguation": f"WITH {views.EV}, n AS (SELECT trace_id, ord, 's' || (source_id % 5) AS id, row_number() OVER (PARTITION BY trace_id, source_id % 5 ORDER BY ord) AS n FROM ev) SELECT trace_id, ord, CASE WHEN n > 1 THEN id || '#' || n ELSE id END AS event_id, n > 1 AS renamed FROM n",
     "call_pairs": f"WITH {SRC_EV}, {PAIRS} SELECT * FROM pairs",
     "pair_provenance": f"WITH {SRC_EV}, {PAIRS} SELECT status, provenance, count(*) AS n, count(result_event_id) AS n_matched FROM pairs GROUP BY ALL",
-    "orphans": f"WITH {SRC_EV}, {PAIRS} SELECT r.trace_id, r.event_id, CASE WHEN r.call_id IS NOT NULL OR r.parent_id IS NOT NULL THEN 'ORPHAN_RESULT' ELSE 'RESULT_WITHOUT_ID' END AS code FROM r ANTI JOIN pairs p ON p.trace_id = r.trace_id AND p.result_event_id = r.event_id",
-    "pairing_diagnostics": f"WITH {SRC_EV}, {PAIRS} SELECT trace_id, 'UNMATCHED_CALL' AS code, call_event_id AS event_id FROM pairs WHERE result_event_id IS NULL UNION ALL SELECT trace_id, 'MISSING_CALL_ID', event_id FROM c WHERE call_id IS NULL UNION ALL SELECT trace_id, 'DUPLICATE_CALL_ID', call_id FROM c WHERE call_id IS NOT NULL GROUP BY trace_id, call_id HAVING count(*) > 1",
+    "orphans": f"WITH {SRC_EV}, {PAIRS} SELECT r.trace_id, r.event_id, CASE WHEN r.call_id IS NOT NULL OR r.parent_id IS NOT NULL THEN 'ORPHAN_TOOL_RESULT' ELSE 'MISSING_CALL_ID' END AS code FROM r ANTI JOIN pairs p ON p.trace_id = r.trace_id AND p.result_event_id = r.event_id",
+    "pairing_diagnostics": f"""WITH {SRC_EV}, {PAIRS} SELECT trace_id, 'UNMATCHED_TOOL_CALL' AS code, call_event_id AS event_ids FROM pairs WHERE result_event_id IS NULL UNION ALL SELECT trace_id, 'MISSING_CALL_ID', event_id FROM c WHERE call_id IS NULL UNION ALL SELECT trace_id, 'DUPLICATE_CALL_ID', string_agg(event_id, ',' ORDER BY ord) FROM c WHERE call_id IS NOT NULL GROUP BY trace_id, call_id HAVING count(*) > 1
+        UNION ALL SELECT r.trace_id, CASE WHEN r.call_id IS NOT NULL OR r.parent_id IS NOT NULL THEN 'ORPHAN_TOOL_RESULT' ELSE 'MISSING_CALL_ID' END, r.event_id FROM r ANTI JOIN pairs p ON p.trace_id = r.trace_id AND p.result_event_id = r.event_id""",
     "parent_evidence": f"WITH {SRC_EV}, {PAIRS} SELECT p.trace_id, c.parent_id AS parent_event_id, p.pair_id FROM pairs p JOIN c ON c.trace_id = p.trace_id AND c.event_id = p.call_event_id WHERE c.parent_id IS NOT NULL",
     "identity_alignment": f"""WITH {SRC_EV}, {PAIRS}, own AS (SELECT k.trace_id, k.event_id, k.claim, e.parent_id FROM claims k JOIN ev e USING (trace_id, event_id)),
         every AS (SELECT p.trace_id, p.pair_id AS evidence_id, p.call_event_id AS a, p.result_event_id AS b, c.parent_id, c.ord, 0 AS rank, p.status = 'succeeded' AND p.provenance <> 'declared' AND p.result_event_id IS NOT NULL AS ok FROM pairs p JOIN c ON c.trace_id = p.trace_id AND c.event_id = p.call_event_id
