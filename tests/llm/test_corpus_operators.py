@@ -407,11 +407,12 @@ def test_quality_rules(spark, odd, empty):
     own = lambda i: [" ".join(f"w{name(i)}{name(j)}x{name(k)}" for k in range(12)) for j in range(10)]
     docs = [(i, "\n".join([*menu, f"number {name(i)}"]), "a") for i in range(30)]  # boilerplate with a few own letters
     docs += [(100 + i, "\n".join(menu + own(i)), "a") for i in range(60)]  # boilerplate and a text
-    docs += [(200 + i, "\n".join(own(999)), "a") for i in range(40)]  # copies are one document
+    docs += [(200 + i, "\n".join(own(999)), "a") for i in range(40)]  # copies
     docs += [(300, "\n".join(menu), "b"), (300, "\n".join(menu), "b"), (None, None, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("line", F.lit(1))
-    kept = {(r.doc_id, r.kept) for r in quality_rules.verdicts(df, max_docs_per_host=5).collect()}
-    assert kept == {(i, False) for i in range(30)} | {(100 + i, True) for i in range(60)} | {(200 + i, True) for i in range(40)} | {(300, True), (None, False)}
+    for once in (False, True):  # copies are documents of their own, or one
+        kept = {(r.doc_id, r.kept) for r in quality_rules.verdicts(df, max_docs_per_host=5, copies_count_once=once).collect()}
+        assert kept == {(i, False) for i in range(30)} | {(100 + i, True) for i in range(60)} | {(200 + i, once) for i in range(40)} | {(300, True), (None, False)}
     left = quality_rules.keep_good(df, max_docs_per_host=5)
     assert left.columns == df.columns and left.where("doc_id = 300").count() == 2 and left.where("doc_id < 30").count() == 0
     cut = {r.doc_id: r.text for r in quality_rules.remove_frequent_lines(df, max_docs_per_host=5).collect()}
@@ -424,7 +425,51 @@ def test_frequent_lines_count_every_distinct_document(spark):
     docs = [(i, "\n".join([*menu, f"own {name(i)}"]), "a") for i in range(60)]
     docs += [(100 + i, "\n".join(x + " copied" for x in menu), "a") for i in range(60)]
     counts = quality_rules.document_counts(spark.createDataFrame(docs, "doc_id long, text string, source string"))
-    assert sorted(r.documents for r in quality_rules.frequent_lines(counts).collect()) == [60] * 9
+    assert sorted(r.documents for r in quality_rules.frequent_lines(counts).collect()) == [60] * 18
+    assert sorted(r.documents for r in quality_rules.frequent_lines(counts, copies_count_once=True).collect()) == [60] * 9
+
+
+def test_template_pages_are_found_whatever_their_numbers(spark):
+    """Pages of one host whose lines differ in numbers only, and pages that are the same but for their ids."""
+    template = [(i, f"Order {i} of {i + 3} items\nYour visit number {7 * i} to this shop\nPage {i} of 100 in all the lists\nCall us at {i:04d} for all you want", "shop") for i in range(100)]
+    cookies = [(1000 + i, "We use cookies to make this site work for all of you\nAccept all of them or choose some\nRead more about them", "news") for i in range(100)]
+    clean = [(2000 + i, "\n".join(" ".join(f"w{i}x{j}y{k}" + "abcdefghij"[(i + j + k) % 10] * (1 + i % 7) + "klmnopqrst"[i // 10] for k in range(12)) for j in range(4)), "news") for i in range(60)]
+    got = {r.doc_id: r for r in quality_rules.verdicts(spark.createDataFrame(template + cookies + clean, "doc_id long, text string, source string")).collect()}
+    assert all(not got[i].kept and got[i].removed_chars == got[i].line_chars for i in [*range(100), *range(1000, 1100)]) and all(got[i].kept for i in range(2000, 2060))
+
+
+def test_a_large_host_needs_more_documents(spark):
+    """A line counts as boilerplate beyond a number of documents and beyond a share of its host's."""
+    docs = [(i, f"shared by some of them\n{chr(97 + i % 26)}{chr(97 + i // 26)} own" if i < 15 else f"{chr(97 + i % 26)}{chr(97 + i // 26)} own", "a") for i in range(600)]
+    counts = quality_rules.document_counts(spark.createDataFrame(docs, "doc_id long, text string, source string"))
+    assert [(r.documents) for r in quality_rules.frequent_lines(counts, max_share_of_host=0.03).collect()] == [] and [r.documents for r in quality_rules.frequent_lines(counts, max_share_of_host=0.02).collect()] == [15]
+
+
+def test_op8_against_its_sql_where_lines_go(spark, tmp_path):
+    docs = [(i, f"Number {i} of the lists here\nand a second line of them all\n{' '.join(chr(97 + (i * k) % 26) * 4 for k in range(1, 20 * (i % 3) + 2))}", "a" if i % 3 else None) for i in range(90)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = quality_rules.op8(spark, str(tmp_path))
+    expected = con.sql(quality_rules.oracle()).select(*got.columns).fetchall()
+    same(got.collect(), expected)
+    assert sum(r[-1] > 0 for r in expected) == 90 and len({r[got.columns.index("kept")] for r in expected}) == 2
+
+
+def test_stages_keep_columns_of_any_name(spark, empty):
+    """Columns named as those within, a very long text, and an empty table go through every stage."""
+    clash = {"k1": "a", "_k1": "b", "k2": "c", "_kept": "d", "kept": "e", "gone": "f", "_gone": "g", "uid": "h", "_uid": "i", "bad": "j", "fp": "k", "_text": "l", "score": "m"}
+    texts = [(1, " ".join(f"word{i} and{i % 13}" for i in range(40_000))), (2, "mail a.person@mail7.example.com " + " ".join(f"w{i}" for i in range(60))), (3, None), (4, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in clash.items()})
+    tables = {"clean": corpus_pipeline.clean_lines(spark, docs, ""), "one": corpus_pipeline.one_of_each(spark, docs, ""), "cut": quality_rules.remove_frequent_lines(docs), "good": quality_rules.keep_good(docs), "private": corpus_pipeline.pseudonymized(spark, docs, "")}
+    for name, table in tables.items():
+        got = table.collect()
+        assert table.columns == docs.columns and all(r[k] == v for r in got for k, v in clash.items())
+        assert {r.doc_id for r in got} == ({1, 2} if name in ("clean", "good") else {1, 2, 3, 4}), name
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(5)], "doc_id long, quality int, toxic int")
+    assert quality_classifier.keep_good(docs, labels).columns == docs.columns
+    none = docs.limit(0)
+    assert [t.count() for t in (corpus_pipeline.clean_lines(spark, none, ""), corpus_pipeline.one_of_each(spark, none, ""), corpus_pipeline.pseudonymized(spark, none, ""), corpus_pipeline.packed(spark, none, ""), quality_classifier.keep_good(none, labels))] == [0] * 5
 
 
 def test_lines_that_differ_in_marks_are_one_line(spark):
