@@ -11,7 +11,7 @@ import json
 import re
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 SPACES = "\t\n\x0b\x0c\r                  　﻿"
 _INDEX = re.compile(r"0|[1-9][0-9]{0,9}")
@@ -181,7 +181,7 @@ def canonical_json(text: Column, order: str = "units") -> Column:
     ``order``: ``units`` sorts keys by code units, ``letters`` as a dictionary does.
     """
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(T.StringType())
     def canonical(column: pa.Array) -> pa.Array:
         out = []
         for t in column.to_pylist():

@@ -1,4 +1,4 @@
-"""Blinded double annotation: item ids, packets, agreement, adjudication and frozen labels.
+"""Blinded double annotation: item ids, lines, disagreements and agreement figures; artifacts are in :mod:`wayline.operators.artifacts`.
 
 Decisions: (item_id, decision_status, reliable, primary_failure, failures, evidence,
 required_checks), a row per item; evidence is an array of any comparable type.
@@ -6,20 +6,16 @@ required_checks), a row per item; evidence is an array of any comparable type.
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column, DataFrame, functions as F
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from wayline.operators import integrity
 from wayline.operators.integrity import normal_trace, trace_sha
 from wayline.operators.metrics import ratio
-from wayline.operators.scoring import violations
 
 VERSION = "1.0.0"
 
 
-def _sha_parts(*parts: Column) -> Column:
+def sha_parts(*parts: Column) -> Column:
+    """SHA-256 of texts with a NUL between them."""
     nul = F.char(F.lit(0))
     joined = parts[0]
     for p in parts[1:]:
@@ -29,75 +25,15 @@ def _sha_parts(*parts: Column) -> Column:
 
 def blind_ids(cases: DataFrame, dataset_sha256: str, version: str = VERSION) -> DataFrame:
     """``cases`` (case_id, trace) with item_id, which tells nothing of the case."""
-    digest = _sha_parts(F.lit(version), F.lit(dataset_sha256), F.col("case_id"), trace_sha(F.col("trace")))
+    digest = sha_parts(F.lit(version), F.lit(dataset_sha256), F.col("case_id"), trace_sha(F.col("trace")))
     return cases.withColumn("item_id", F.concat(F.lit("item-"), F.substring(digest, 1, 24)))
 
 
-def blind_traces(cases: DataFrame, literals: list[str], keys: list[str], text: str = "trace", placeholder: str = "[IDENTIFIER]") -> DataFrame:
-    """``keys`` and ``text`` with a row's own identifiers (columns ``literals``) replaced, in one pass and longer ones first."""
-    k, m = len(keys), len(literals)
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for row in zip(*(b.column(i).to_pylist() for i in range(k, k + m + 1))):
-                words, t = sorted({w for w in row[:m] if w}, key=lambda w: (-len(w), w)), row[m]
-                out.append(re.sub("|".join(map(re.escape, words)), lambda _: placeholder, t) if t and words else t)
-            yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.string())], names=[*keys, text])
-
-    kept = cases.select(*keys, *[F.col(c).alias(f"_l{i}") for i, c in enumerate(literals)], text)
-    types = ", ".join(f"`{n}` {t}" for n, t in cases.select(*keys, text).dtypes)
-    return kept.mapInArrow(run, types)
-
-
 def packet_lines(items: DataFrame, text: str = "trace") -> DataFrame:
     """(item_id, line_number, text): lines from 1."""
     return items.select("item_id", F.posexplode(F.split(normal_trace(F.col(text)), "\n")).alias("p", "text")).select("item_id", (F.col("p") + 1).cast("long").alias("line_number"), "text")
 
 
-def shuffle_packet(items: DataFrame, seed: str, annotators: list[str]) -> DataFrame:
-    """(annotator_id, pos, item_id): each annotator's own order, by hash.
-
-    Positions are ranks among all items; a packet is read by one person.
-    """
-    rows = items.select("item_id", F.explode(F.array(*[F.lit(a) for a in annotators])).alias("annotator_id"))
-    order = _sha_parts(F.lit(seed), F.col("annotator_id"), F.col("item_id"))
-    return rows.select("annotator_id", (F.row_number().over(Window.partitionBy("annotator_id").orderBy(order, "item_id")) - 1).cast("long").alias("pos"), "item_id")
-
-
-def build_packets(cases: DataFrame, dataset_sha256: str, seed: str, annotators: tuple[str, str]) -> DataFrame:
-    """(packet_id, annotator_id, pos, item_id, trace_sha256) of the test split, for two annotators."""
-    if len(set(annotators)) != 2:
-        raise ValueError("two different annotators are needed")
-    items = blind_ids(cases.where("split = 'test'"), dataset_sha256).select("item_id", trace_sha(F.col("trace")).alias("trace_sha256"))
-    order = shuffle_packet(items, seed, list(annotators))
-    packet = F.concat(F.lit("packet-"), F.substring(_sha_parts(F.lit(dataset_sha256), F.lit(seed), F.col("annotator_id")), 1, 16))
-    return order.join(items, "item_id").select(packet.alias("packet_id"), "annotator_id", "pos", "item_id", "trace_sha256")
-
-
-def check_packet(packet: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, problem): items that a packet lacks, adds, repeats, or whose trace differs."""
-    a, b = packet.select("item_id", F.col("trace_sha256").alias("a")), items.select("item_id", F.col("trace_sha256").alias("b"))
-    j = a.groupBy("item_id").agg(F.count("*").alias("n"), F.min("a").alias("a")).join(b, "item_id", "full_outer")
-    problem = F.when(F.col("n").isNull(), "missing").when(F.col("b").isNull(), "unknown").when(F.col("n") > 1, "repeated").when(F.col("a") != F.col("b"), "trace_differs")
-    return j.select("item_id", problem.alias("problem")).where("problem is not null")
-
-
-def check_responses(decisions: DataFrame, packet: DataFrame) -> DataFrame:
-    """(item_id, rule): responses that don't cover the packet, or break the rules of final and open decisions."""
-    final = F.col("decision_status") == "final"
-    rules = {
-        "final_without_verdict": final & F.col("reliable").isNull(),
-        "open_with_verdict": ~final & (F.col("reliable").isNotNull() | F.col("primary_failure").isNotNull() | (F.size("failures") > 0)),
-        "reliable_with_failures": final & F.col("reliable") & ((F.size("failures") > 0) | F.col("primary_failure").isNotNull()),
-        "unreliable_without_failure": final & ~F.col("reliable") & F.col("primary_failure").isNull(),
-        "primary_not_listed": F.col("primary_failure").isNotNull() & ~F.array_contains("failures", F.col("primary_failure")),
-    }
-    missing = packet.join(decisions, "item_id", "left_anti").select("item_id", F.lit("missing").alias("rule"))
-    unknown = decisions.join(packet, "item_id", "left_anti").select("item_id", F.lit("unknown_item").alias("rule"))
-    return violations(decisions, ["item_id"], rules).unionByName(missing).unionByName(unknown)
-
-
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
     cols = ["decision_status", "reliable", "primary_failure", "failures", "evidence", "required_checks"]
     side = lambda df, s: df.select("item_id", *[F.col(c).alias(f"{c}_{s}") for c in cols])
@@ -139,43 +75,3 @@ def multilabel_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
 def compare_annotations(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row of all agreement figures."""
     return cohen_kappa(a, b).join(multilabel_agreement(a, b).drop("comparable")).join(_both(a, b).agg(F.count("*").alias("items"))).join(disagreements(a, b).agg(F.count("*").alias("disagreements")))
-
-
-def adjudication_packet(a: DataFrame, b: DataFrame, lines: DataFrame) -> DataFrame:
-    """(item_id, reasons, n_lines): disputed items with the size of their text."""
-    return disagreements(a, b).join(lines.groupBy("item_id").agg(F.count("*").alias("n_lines")), "item_id", "left")
-
-
-def check_adjudication(resolutions: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """(item_id, rule): resolutions that are missing, needless, open, or not the side they claim to select.
-
-    ``resolutions``: (item_id, resolution: annotator_a, annotator_b or new, decision columns).
-    """
-    disputed = disagreements(a, b).select("item_id")
-    missing = disputed.join(resolutions, "item_id", "left_anti").select("item_id", F.lit("missing").alias("rule"))
-    needless = resolutions.join(disputed, "item_id", "left_anti").select("item_id", F.lit("not_disputed").alias("rule"))
-    j = resolutions.join(_both(a, b), "item_id")
-    equal = lambda s: F.col("reliable").eqNullSafe(F.col(f"reliable_{s}")) & F.col("primary_failure").eqNullSafe(F.col(f"primary_failure_{s}")) & F.array_sort("failures").eqNullSafe(F.array_sort(f"failures_{s}"))
-    rules = {"not_final": F.col("decision_status") != "final", "differs_from_a": (F.col("resolution") == "annotator_a") & ~equal("a"), "differs_from_b": (F.col("resolution") == "annotator_b") & ~equal("b")}
-    return missing.unionByName(needless).unionByName(violations(j, ["item_id"], rules))
-
-
-def freeze_labels(a: DataFrame, b: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """(item_id, reliable, primary_failure, failures, origin): agreed items from A, disputed ones as resolved."""
-    cols = ["reliable", "primary_failure", "failures"]
-    disputed = disagreements(a, b).select("item_id")
-    agreed = a.join(b.select("item_id"), "item_id", "left_semi").join(disputed, "item_id", "left_anti").select("item_id", *cols, F.lit("agreed").alias("origin"))
-    solved = resolutions.join(disputed, "item_id", "left_semi").select("item_id", *cols, F.lit("adjudicated").alias("origin"))
-    return agreed.unionByName(solved).withColumn("failures", F.array_sort("failures"))
-
-
-def restore_quotes(rows: DataFrame, quote: str, literal: str, placeholder: str = "[IDENTIFIER]") -> DataFrame:
-    """``rows`` with placeholders in ``quote`` turned back into the row's identifier (the inverse for one literal)."""
-    return rows.withColumn(quote, F.replace(F.col(quote), F.lit(placeholder), F.col(literal)))
-
-
-def freeze_manifest(frozen: DataFrame, dataset_sha256: str) -> DataFrame:
-    """One row: counts by origin, and the hash of all labels."""
-    line = F.concat_ws("|", "item_id", F.col("reliable").cast("string"), F.coalesce("primary_failure", F.lit("")), F.array_join("failures", ","))
-    counts = {k: F.when(F.col("origin") == k, 1).otherwise(0) for k in ("agreed", "adjudicated")}
-    return integrity.table_sha(frozen, line, counts).select(F.col("n").alias("items"), *counts, F.col("sha256").alias("labels_sha256"), F.lit(dataset_sha256).alias("dataset_sha256"))

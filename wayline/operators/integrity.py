@@ -31,18 +31,18 @@ def canonical_sha(columns: list[Column], optional: bool = False) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true" if optional else "false"}), 256)
 
 
-def table_sha(rows: DataFrame, line: Column, counts: dict[str, Column] | None = None) -> DataFrame:
-    """One row: n, sha256 of a whole table whatever its order (put a position in ``line`` if order counts), and sums of ``counts``.
+def table_sha(rows: DataFrame, line: Column, counts: dict[str, Column] | None = None, keys: list[str] | None = None) -> DataFrame:
+    """One row: n, sha256 of a whole table whatever its order (put a position in ``line`` if order counts), and sums of ``counts``; with ``keys`` a row for each of their values.
 
     A tree: rows meet in 65,536 buckets by the first digits of their own digests, each bucket's digests are hashed in
     order, then the buckets' digests are.  Only these reach one task.
     """
-    counts = counts or {}
-    each = rows.select(F.sha2(line, 256).alias("h"), *[c.cast("long").alias(k) for k, c in counts.items()])
+    counts, keys = counts or {}, keys or []
+    each = rows.select(*keys, F.sha2(line, 256).alias("h"), *[c.cast("long").alias(k) for k, c in counts.items()])
     joined = lambda c: F.sha2(F.array_join(c, "\n"), 256)
-    buckets = each.groupBy(F.substring("h", 1, 4).alias("bucket")).agg(F.count("*").alias("n"), joined(F.array_sort(F.collect_list("h"))).alias("h"), *[F.sum(k).alias(k) for k in counts])
+    buckets = each.groupBy(*keys, F.substring("h", 1, 4).alias("bucket")).agg(F.count("*").alias("n"), joined(F.array_sort(F.collect_list("h"))).alias("h"), *[F.sum(k).alias(k) for k in counts])
     top = joined(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]))
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), top.alias("sha256"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counts])
+    return buckets.groupBy(*keys).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), top.alias("sha256"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counts])
 
 
 def split_bucket(unit: Column, seed: str, buckets: int = 10_000) -> Column:

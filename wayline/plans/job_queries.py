@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayline.operators import annotation, batch, episodes, generic, legacy, pairing
+from wayline.operators import annotation, artifacts, batch, episodes, generic, legacy, pairing
 from wayline.operators.integrity import trace_sha
 from wayline.plans import views
 from wayline.plans.trace_queries import PAIRS, SRC_EV
@@ -73,39 +73,155 @@ reward AS (SELECT episode_id, task_id, policy_id, steps, rs AS claimed_status, a
 DATASET = "0" * 64
 
 
-def _decisions(s, d, side: str):
-    """Decisions derived from labels; side b differs at fixed places."""
-    c = views.cs(s, d).where("reliable is not null")
-    n, b = F.col("doc_id"), F.lit(side == "b")
-    final = ~(b & (n % 19 == 0))
-    rel = F.when(final, F.when(b & (n % 7 == 0), ~F.col("reliable")).otherwise(F.col("reliable")))
-    failure = F.when(rel, None).when(final, F.coalesce("primary_failure", F.lit("masking_pattern")))
-    failures = F.when(failure.isNull(), F.array().cast("array<string>")).when(b & (n % 5 == 0), F.array(failure, F.lit("extra"))).otherwise(F.array(failure))
-    return c.select(F.concat(F.lit("item-"), n.cast("string")).alias("item_id"), n.alias("doc_id"), F.when(final, "final").otherwise("open").alias("decision_status"), rel.alias("reliable"), failure.alias("primary_failure"), failures.alias("failures"), F.array((n % 5).cast("string"), F.lit("q")).alias("evidence"), F.array(F.lit("claim_support")).alias("required_checks"))
+#: Test cases whose texts name their own identifiers.
+TC = "tc AS (SELECT doc_id, case_id, group_id, style_pair_id, counterfactual_pair_id, source AS source_id, concat(trace, chr(10), 'Seen in ', case_id, ' of ', group_id, ' from ', source, CASE WHEN style_pair_id IS NULL THEN '' ELSE concat(' with ', style_pair_id) END, '.') AS trace, reliable, CAST(floor(doc_id / 10) AS bigint) % 24 AS v FROM cs WHERE split = 'test' AND reliable IS NOT NULL)"
 
 
-def _resolutions(s, d):
-    a, b = _decisions(s, d, "a"), _decisions(s, d, "b")
-    return annotation.disagreements(a, b).select("item_id").join(a, "item_id").withColumn("resolution", F.when(F.col("doc_id") % 2 == 0, "annotator_a").otherwise("new"))
+def decision_rows(side: str) -> str:
+    """What an annotator says of the test cases: b differs from a at fixed places, and some decisions break a rule."""
+    b = side == "b"
+    return f"""dec_{side} AS (SELECT *, CASE WHEN v IN (1, 2) THEN 'abstain' WHEN v = 15 THEN 'maybe' WHEN {"doc_id % 19 = 0" if b else "v = 16"} THEN 'ambiguous' ELSE 'final' END AS status,
+    CASE WHEN v IN (1, 3{"" if b else ", 16"}) THEN NULL {"WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN NOT reliable" if b else ""} ELSE reliable END AS rel FROM tc),
+  de_{side} AS (SELECT *, CASE WHEN rel OR rel IS NULL THEN CASE WHEN v = 4 THEN 'masking_pattern' END WHEN v = 5 THEN NULL ELSE 'masking_pattern' END AS primary_failure, CASE WHEN rel OR rel IS NULL THEN NULL WHEN v = 6 THEN 'unsupported_claim' ELSE 'masking_pattern' END AS f1, CASE WHEN v = 7 AND NOT rel THEN 'masking_pattern' WHEN {"doc_id % 5 = 3" if b else "false"} AND NOT rel THEN 'false_completion' END AS f2,
+    CASE WHEN v = 3 THEN 0 WHEN v = 8 THEN 1 ELSE 2 END AS shape, CASE WHEN v = 15 THEN 'odd' WHEN v = 12 OR (rel IS NULL AND v <> 2) THEN 'context' WHEN rel THEN 'supports_reliability' ELSE 'supports_failure' END AS kind,
+    CASE WHEN v = 11 THEN NULL WHEN v = 12 OR NOT rel THEN 'masking_pattern' END AS e_failure, CASE WHEN v = 15 THEN 1.5 ELSE 0.5 END AS confidence, CASE WHEN v = 1 {"OR doc_id % 19 = 0" if b else "OR v = 16"} THEN 'why' END AS notes FROM dec_{side})"""
+
+
+def _cases_of(s, d, side: str):
+    views.register(s, d, "documents", "labels")
+    rows = s.sql(f"WITH {views.CS}, {TC}, {decision_rows(side)} SELECT * FROM de_{side}")
+    return annotation.blind_ids(rows, DATASET)
+
+
+def _items(s, d):
+    return materialize(artifacts.packet_items(_cases_of(s, d, "a")), "items")
+
+
+def _decisions(s, d, side: str, items=None):
+    """Decisions on the items, with one piece of evidence: the last line of the blinded text, but for those that break a rule."""
+    items = _items(s, d) if items is None else items
+    v, last = F.col("v"), F.col("n_lines")
+    rows = _cases_of(s, d, side).join(items.select("item_id", F.size("lines").cast("long").alias("n_lines"), F.element_at("lines", -1)["text"].alias("line")), "item_id")
+    start, end = F.when(v == 9, last - 1).otherwise(last), F.when(v == 8, last + 1).when(v == 10, last - 1).otherwise(last)
+    quote = F.when(v == 9, F.concat("line", F.lit("!"))).when(v == 15, "").otherwise(F.col("line"))
+    piece = F.struct(start.alias("line_start"), end.alias("line_end"), quote.alias("quote"), F.col("kind"), F.col("e_failure").alias("failure"), F.lit("seen there").alias("rationale"))
+    checks = F.when(v == 3, F.array()).when(v == 7, F.array(F.lit("claim_support"), F.lit("claim_support"))).when(F.col("rel").isNull() & (v != 2), F.array()).otherwise(F.array(F.lit("claim_support"))).cast("array<string>")
+    return rows.select("item_id", "doc_id", "v", F.col("status").alias("decision_status"), F.col("rel").alias("reliable"), "primary_failure", F.array_compact(F.array("f1", "f2")).alias("failures"), F.when(F.col("shape") == 0, F.array()).otherwise(F.array(piece)).cast(f"array<{artifacts.EVIDENCE}>").alias("evidence"), checks.alias("required_checks"), F.col("confidence").cast("double").alias("confidence"), "notes")
+
+
+_ANNOTATORS = ("annotator-a", "annotator-b")
+
+
+def _packets(s, d, items):
+    headers, listed = artifacts.build_packets(items, "set-1", DATASET, "seed", _ANNOTATORS, "v1", "2026-01-01T00:00:00Z")
+    return materialize(headers, "headers"), materialize(listed, "listed")
+
+
+def response_violations(s, d):
+    """Responses of both annotators; b's names another packet, a's lack some items and repeat others."""
+    items = _items(s, d)
+    headers, listed = _packets(s, d, items)
+    responses = headers.select("annotator_id", "packet_id", F.when(F.col("annotator_id") == "annotator-b", F.lit("0" * 64)).otherwise(F.col("packet_sha256")).alias("packet_sha256"), "dataset_id", "dataset_sha256", F.when(F.col("annotator_id") == "annotator-b", "v2").otherwise(F.col("codebook_version")).alias("codebook_version"), F.lit("2026-01-02T00:00:00+01:00").alias("submitted_at"))
+    a = _decisions(s, d, "a", items).where("v <> 13")
+    said = a.unionByName(a.where("v = 14")).withColumn("annotator_id", F.lit("annotator-a")).unionByName(_decisions(s, d, "b", items).withColumn("annotator_id", F.lit("annotator-b")))
+    return artifacts.check_responses(responses, said.drop("v", "doc_id"), headers, listed)
+
+
+def packet_violations(s, d):
+    """Packets of which one is changed: a line, a hash, an item less and one more."""
+    items = _items(s, d)
+    headers, listed = _packets(s, d, items)
+    n = F.pmod(F.conv(F.substring("item_id", 6, 6), 16, 10).cast("long"), F.lit(11))
+    own = F.col("annotator_id") == "annotator-b"
+    bad = listed.where(~own | (n != 0)).withColumn("lines", F.when(own & (n == 1), F.slice(F.col("lines"), 1, F.size("lines") - 1)).when(own & (n == 2), F.transform("lines", lambda x: F.struct((x["line_number"] + 1).alias("line_number"), x["text"].alias("text")))).otherwise(F.col("lines")))
+    bad = bad.withColumn("item_id", F.when(own & (n == 3), F.concat("item_id", F.lit("x"))).otherwise(F.col("item_id")))
+    return artifacts.check_packet(headers, bad, items, "set-1", DATASET)
+
+
+def packet_hashes(s, d):
+    headers, _ = _packets(s, d, _items(s, d))
+    return headers.select("annotator_id", "packet_id", "packet_sha256")
+
+
+def _resolutions(s, d, a, b):
+    """What the adjudicator says: A's decision, or a judgment that differs from it where it claims not to."""
+    chosen = annotation.disagreements(a, b).select("item_id").join(a, "item_id").withColumn("resolution", F.when(F.col("doc_id") % 2 == 0, "annotation_a").otherwise("independent_judgment"))
+    return chosen.withColumn("primary_failure", F.when((F.col("doc_id") % 4 == 0) & (F.size("failures") > 0), "artifact_provenance_mismatch").otherwise(F.col("primary_failure"))).withColumns({"rationale": F.when(F.col("doc_id") % 9 != 0, "seen"), "adjudicator_id": F.lit("adjudicator-c")})
+
+
+def adjudication_violations(s, d):
+    items = _items(s, d)
+    a, b = (materialize(_decisions(s, d, x, items), "decisions") for x in "ab")
+    header = s.createDataFrame([("set-1", DATASET, "v1", *_ANNOTATORS)], "dataset_id string, dataset_sha256 string, codebook_version string, annotator_a string, annotator_b string")
+    head, disputed = artifacts.adjudication_packet(a, b, items, header, "adjudicator-c", "2026-01-03T00:00:00Z")
+    head, disputed = materialize(head, "head"), materialize(disputed, "disputed")
+    response = head.select("adjudicator_id", "packet_id", "packet_sha256", F.lit("0" * 64).alias("comparison_sha256"), "dataset_id", "dataset_sha256", "codebook_version")
+    return artifacts.check_adjudication(response, _resolutions(s, d, a, b).where("doc_id % 8 <> 1").drop("doc_id", "v"), head, disputed)
+
+
+def _frozen(s, d):
+    items = _items(s, d)
+    a, b = (materialize(_decisions(s, d, x, items), "decisions") for x in "ab")
+    return artifacts.freeze_labels(a, b, _resolutions(s, d, a, b), items)
+
+
+def freeze_manifest(s, d):
+    facts = s.createDataFrame([("set-1", DATASET, "v1", *_ANNOTATORS, "adjudicator-c", "1" * 64, "2" * 64, None, "2026-01-04T00:00:00Z", None, "accepted", "fine")], "dataset_id string, dataset_sha256 string, codebook_version string, annotator_a string, annotator_b string, adjudicator_id string, response_sha256_a string, response_sha256_b string, adjudication_sha256 string, generated_at string, accepted_at string, acceptance_status string, acceptance_notes string")
+    m = materialize(artifacts.freeze_manifest(_frozen(s, d), facts), "manifest")
+    return m.crossJoin(artifacts.check_manifest(m).groupBy().agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias("broken"))).select("items", "agreed", "adjudicated", "label_sha256", "broken")
 
 
 def agreement(s, d):
-    return annotation.compare_annotations(_decisions(s, d, "a"), _decisions(s, d, "b"))
+    items = _items(s, d)
+    return annotation.compare_annotations(_decisions(s, d, "a", items), _decisions(s, d, "b", items))
+
+
+def disagreements(s, d):
+    items = _items(s, d)
+    return annotation.disagreements(_decisions(s, d, "a", items), _decisions(s, d, "b", items)).select("item_id", F.array_join("reasons", ",").alias("reasons"))
 
 
 def frozen(s, d):
-    out = annotation.freeze_labels(_decisions(s, d, "a"), _decisions(s, d, "b"), _resolutions(s, d))
-    return out.select("item_id", "reliable", "primary_failure", F.array_join("failures", ",").alias("failures"), "origin")
+    e = F.element_at("gold_evidence", 1)
+    return _frozen(s, d).select("case_id", "reliable", "primary_failure", F.array_join("failures", ",").alias("failures"), e["quote"].alias("quote"), e["line_start"].alias("line_start"), F.size("gold_evidence").cast("long").alias("n_evidence"), "review_status", "resolution", "decision_sha256", "adjudicator_id")
+
+
+_ID = f"'item-' || substr(sha256(encode('1.0.0') || '\\x00'::blob || encode('{DATASET}') || '\\x00'::blob || encode(case_id) || '\\x00'::blob || encode(sha256(regexp_replace(trace, '\\r\\n?', chr(10), 'g')))), 1, 24)"
+_REF = lambda name: f"'ref-' || substr(sha256(encode(item_id) || '\\x00'::blob || encode('{name}')), 1, 20)"
 
 
-AB = f"""{views.CS}, a AS (SELECT 'item-' || doc_id AS item_id, doc_id, 'final' AS st, reliable AS r, CASE WHEN reliable THEN NULL ELSE coalesce(primary_failure, 'masking_pattern') END AS f FROM cs WHERE reliable IS NOT NULL),
-b0 AS (SELECT 'item-' || doc_id AS item_id, doc_id, primary_failure, CASE WHEN doc_id % 19 = 0 THEN 'open' ELSE 'final' END AS st, CASE WHEN doc_id % 19 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN NOT reliable ELSE reliable END AS r FROM cs WHERE reliable IS NOT NULL),
-b AS (SELECT item_id, doc_id, st, r, CASE WHEN st = 'open' OR r THEN NULL ELSE coalesce(primary_failure, 'masking_pattern') END AS f FROM b0),
-ab AS (SELECT a.item_id, a.doc_id, b.st, a.r AS ra, b.r AS rb, a.f AS fa, b.f AS fb, CASE WHEN a.f IS NULL THEN []::varchar[] ELSE [a.f] END AS la, CASE WHEN b.f IS NULL THEN []::varchar[] WHEN b.doc_id % 5 = 0 THEN [b.f, 'extra'] ELSE [b.f] END AS lb FROM a JOIN b USING (item_id)),
-dis AS (SELECT *, CASE WHEN st = 'open' THEN ['non_final'] ELSE list_filter([CASE WHEN ra <> rb THEN 'binary_reliability' END, CASE WHEN fa IS DISTINCT FROM fb THEN 'primary_failure' END, CASE WHEN list_sort(la) <> list_sort(lb) THEN 'failure_set' END], lambda x: x IS NOT NULL) END AS reasons FROM ab),
+def _said(side: str) -> str:
+    return f"""{side} AS (SELECT i.item_id, i.case_id, d.doc_id, d.v, status AS st, rel AS r, primary_failure AS f, list_filter([f1, f2], lambda x: x IS NOT NULL) AS fl, CASE WHEN d.v = 3 OR (rel IS NULL AND d.v <> 2) THEN 0 WHEN d.v = 7 THEN 2 ELSE 1 END AS n_checks, confidence, notes, shape > 0 AS has, kind, e_failure AS ef, ls,
+      CASE WHEN d.v = 9 THEN len(ls) - 1 ELSE len(ls) END AS e0, CASE WHEN d.v = 8 THEN len(ls) + 1 WHEN d.v = 10 THEN len(ls) - 1 ELSE len(ls) END AS e1, CASE WHEN d.v = 9 THEN ls[-1] || '!' WHEN d.v = 15 THEN '' ELSE ls[-1] END AS quote,
+      '{{"decision_status":"' || status || '","evidence":[' || CASE WHEN shape > 0 THEN '{{"failure":' || coalesce('"' || e_failure || '"', 'null') || ',"kind":"' || kind || '","line_end":' || e1 || ',"line_start":' || e0 || ',"quote":"' || quote || '","rationale":"seen there"}}' ELSE '' END || '],"failures":[' || coalesce(array_to_string(list_transform(list_sort(fl), lambda x: '"' || x || '"'), ','), '')
+      || '],"primary_failure":' || coalesce('"' || primary_failure || '"', 'null') || ',"reliable":' || coalesce(rel::varchar, 'null') || ',"required_checks":[' || CASE n_checks WHEN 0 THEN '' WHEN 1 THEN '"claim_support"' ELSE '"claim_support","claim_support"' END || ']}}' AS j FROM de_{side} d JOIN items i USING (doc_id))"""
+
+
+_ITEMS = f"""it0 AS (SELECT *, {_ID} AS item_id FROM tc),
+items AS (SELECT *, string_split(text, chr(10)) AS ls, sha256(text) AS sha FROM (SELECT *, replace(replace(replace(replace(replace(regexp_replace(trace, '\\r\\n?', chr(10), 'g'), group_id, {_REF('group')}), case_id, item_id), coalesce(style_pair_id, '~none~'), {_REF('style')}), coalesce(counterfactual_pair_id, '~none~'), {_REF('counterfactual')}), source_id, {_REF('source')}) AS text FROM it0))"""
+AB = f"""{views.CS}, {TC}, {decision_rows("a")}, {decision_rows("b")}, {_ITEMS}, {_said("a")}, {_said("b")},
+ab AS (SELECT a.item_id, a.case_id, a.doc_id, a.st = 'final' AND b.st = 'final' AS fin, a.r AS ra, b.r AS rb, a.f AS fa, b.f AS fb, a.fl AS la, b.fl AS lb, a.n_checks AS ca, b.n_checks AS cb, CASE WHEN a.has THEN (a.e0, a.e1, a.quote, a.kind, a.ef) END AS ea, CASE WHEN b.has THEN (b.e0, b.e1, b.quote, b.kind, b.ef) END AS eb FROM a JOIN b USING (item_id)),
+dis AS (SELECT *, CASE WHEN NOT fin THEN ['non_final'] ELSE list_filter([CASE WHEN ra IS DISTINCT FROM rb THEN 'binary_reliability' END, CASE WHEN fa IS DISTINCT FROM fb THEN 'primary_failure' END, CASE WHEN list_sort(la) <> list_sort(lb) THEN 'failure_set' END, CASE WHEN ea IS DISTINCT FROM eb THEN 'evidence' END, CASE WHEN ca <> cb THEN 'required_checks' END], lambda x: x IS NOT NULL) END AS reasons FROM ab),
 kap AS (SELECT count(*) AS comparable, count(*) FILTER (ra = rb) AS agreements, (count(*) FILTER (ra = rb))::double / count(*) AS raw_agreement, (count(*) FILTER (ra))::double / count(*) AS pa, (count(*) FILTER (rb))::double / count(*) AS pb,
-  count(*) FILTER (list_sort(la) = list_sort(lb)) AS exact_sets, avg(CASE WHEN len(la) + len(lb) = 0 THEN 1.0::double ELSE len(list_intersect(la, lb))::double / len(list_distinct(la || lb)) END) AS mean_jaccard FROM ab WHERE st = 'final'),
-agr AS (SELECT comparable, agreements, raw_agreement, (raw_agreement - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) AS cohen_kappa, 'computed' AS kappa_status, exact_sets, exact_sets::double / comparable AS exact_set_agreement, mean_jaccard FROM kap)"""
+  count(*) FILTER (list_sort(la) = list_sort(lb)) AS exact_sets, avg(CASE WHEN len(la) + len(lb) = 0 THEN 1.0::double ELSE len(list_intersect(list_distinct(la), list_distinct(lb)))::double / len(list_distinct(la || lb)) END) AS mean_jaccard FROM ab WHERE fin),
+agr AS (SELECT comparable, agreements, raw_agreement, (raw_agreement - (pa * pb + (1 - pa) * (1 - pb))) / (1 - (pa * pb + (1 - pa) * (1 - pb))) AS cohen_kappa, 'computed' AS kappa_status, exact_sets, exact_sets::double / comparable AS exact_set_agreement, mean_jaccard FROM kap),
+res AS (SELECT a.* REPLACE (CASE WHEN a.doc_id % 4 = 0 AND len(fl) > 0 THEN 'artifact_provenance_mismatch' ELSE f END AS f, CASE WHEN a.doc_id % 4 = 0 AND len(fl) > 0 THEN replace(j, '"primary_failure":' || coalesce('"' || f || '"', 'null'), '"primary_failure":"artifact_provenance_mismatch"') ELSE j END AS j), a.doc_id % 4 = 0 AND len(fl) > 0 AND f IS DISTINCT FROM 'artifact_provenance_mismatch' AS changed FROM a JOIN dis USING (item_id) WHERE len(reasons) > 0)"""
+
+
+def _rules(table: str) -> str:
+    """The rules of decisions over a table of :func:`_said`, as (item_id, rule) rows."""
+    known = "('false_completion', 'unsupported_claim', 'partial_completion_overclaim', 'tool_result_contradiction', 'artifact_provenance_mismatch', 'masking_pattern')"
+    rules = {
+        "decision_status": "st NOT IN ('final', 'abstain', 'ambiguous')", "failure_label": f"f NOT IN {known} OR len(list_filter(fl, lambda x: x NOT IN {known})) > 0", "failures_repeated": "len(list_distinct(fl)) < len(fl)", "checks_repeated": "n_checks > 1", "confidence_range": "confidence > 1",
+        "evidence_kind": "has AND kind = 'odd'", "evidence_span": "has AND e1 < e0", "evidence_text": "has AND quote = ''", "evidence_without_failure": "has AND kind = 'supports_failure' AND ef IS NULL", "evidence_with_failure": "has AND kind <> 'supports_failure' AND ef IS NOT NULL",
+        "open_with_labels": "st <> 'final' AND (r IS NOT NULL OR f IS NOT NULL OR len(fl) > 0 OR n_checks > 0)", "open_without_notes": "st <> 'final' AND notes IS NULL", "open_with_evidence": "st <> 'final' AND has AND (kind <> 'context' OR ef IS NOT NULL)",
+        "final_without_verdict": "st = 'final' AND r IS NULL", "final_without_evidence": "st = 'final' AND NOT has", "final_without_checks": "st = 'final' AND n_checks = 0", "reliable_with_failures": "st = 'final' AND r AND (len(fl) > 0 OR f IS NOT NULL)", "reliable_evidence": "st = 'final' AND r AND has AND kind <> 'supports_reliability'",
+        "unreliable_without_primary": "st = 'final' AND NOT r AND f IS NULL", "primary_not_listed": "st = 'final' AND NOT r AND f IS NOT NULL AND NOT list_contains(fl, f)", "failure_without_evidence": "st = 'final' AND NOT r AND len(list_filter(fl, lambda x: NOT coalesce(has AND kind = 'supports_failure' AND ef = x, false))) > 0",
+        "evidence_of_other_failure": "st = 'final' AND NOT r AND has AND ef IS NOT NULL AND NOT list_contains(fl, ef)", "unreliable_evidence": "st = 'final' AND NOT r AND has AND kind <> 'supports_failure'",
+        "evidence_beyond_lines": "has AND e1 > len(ls)", "quote_not_verbatim": "has AND e0 >= 1 AND e0 <= e1 AND e1 <= len(ls) AND NOT contains(array_to_string(ls[e0:e1], chr(10)), quote)",
+    }
+    return " UNION ALL ".join(f"SELECT item_id, '{name}' AS rule FROM {table} WHERE {test}" for name, test in rules.items())
+
 
 # -- batch runs, on cases
 
@@ -259,13 +375,17 @@ QUERIES = {
     "episode_events": lambda s, d: episode_events(s, d).groupBy("trace_id", "kind", "provenance", "status").agg(F.count("*").alias("n")),
     "episode_pairs": episode_pairs,
     "blind_ids": lambda s, d: annotation.blind_ids(views.cs(s, d), DATASET).select("case_id", "item_id"),
-    "packet_order": lambda s, d: annotation.build_packets(views.cs(s, d), DATASET, "seed", ("ann-a", "ann-b")),
-    "packet_lines": lambda s, d: annotation.packet_lines(annotation.blind_ids(views.cs(s, d), DATASET)).groupBy("item_id").agg(F.count("*").alias("n_lines"), F.max("line_number").alias("last")),
+    "packet_order": lambda s, d: _packets(s, d, _items(s, d))[1].select("annotator_id", "pos", "item_id", "trace_sha256"),
+    "packet_lines": lambda s, d: annotation.packet_lines(annotation.blind_ids(views.cs(s, d), DATASET)).groupBy("item_id").agg(F.count("*").alias("n_lines"), F.max("line_number").alias("last"), F.sum(F.char_length("text")).alias("n_chars")),
+    "packet_hashes": packet_hashes,
+    "packet_violations": packet_violations,
+    "blind_texts": lambda s, d: _items(s, d).select("case_id", F.element_at("lines", -1)["text"].alias("last_line"), F.size("swaps").cast("long").alias("n_identifiers")),
     "agreement": agreement,
-    "disagreements": lambda s, d: annotation.disagreements(_decisions(s, d, "a"), _decisions(s, d, "b")).select("item_id", F.array_join("reasons", ",").alias("reasons")),
-    "adjudication_violations": lambda s, d: annotation.check_adjudication(_resolutions(s, d).where("doc_id % 4 <> 0"), _decisions(s, d, "a"), _decisions(s, d, "b")),
+    "disagreements": disagreements,
+    "adjudication_violations": adjudication_violations,
     "frozen_labels": frozen,
-    "response_violations": lambda s, d: annotation.check_responses(_decisions(s, d, "b").withColumn("primary_failure", F.when(F.col("doc_id") % 3 != 0, F.col("primary_failure"))), _decisions(s, d, "a").select("item_id")),
+    "response_violations": response_violations,
+    "freeze_manifest": freeze_manifest,
     "pending_cases": lambda s, d: batch.pending_cases(_cases(s, d), _records(s, d), retry_failed=True).select("case_id", "pos"),
     "record_violations": lambda s, d: batch.check_records(_records(s, d), _cases(s, d), {"run_id": "run-1"}),
     "lexical_evaluator": lambda s, d: batch.evaluate_lexical(_cases(s, d)).select("case_id", "reliable", "reliability_score"),
@@ -316,8 +436,18 @@ ORACLE_SQL = {
     "blind_ids": f"WITH {views.CS} SELECT case_id, 'item-' || substr(sha256(encode('1.0.0') || '\\x00'::blob || encode('{DATASET}') || '\\x00'::blob || encode(case_id) || '\\x00'::blob || encode(sha256(regexp_replace(trace, '\\r\\n?', chr(10), 'g')))), 1, 24) AS item_id FROM cs",
     "agreement": f"WITH {AB} SELECT agr.*, (SELECT count(*) FROM ab) AS items, (SELECT count(*) FROM dis WHERE len(reasons) > 0) AS disagreements FROM agr",
     "disagreements": f"WITH {AB} SELECT item_id, array_to_string(reasons, ',') AS reasons FROM dis WHERE len(reasons) > 0",
-    "frozen_labels": f"WITH {AB} SELECT item_id, ra AS reliable, fa AS primary_failure, array_to_string(la, ',') AS failures, CASE WHEN len(reasons) > 0 THEN 'adjudicated' ELSE 'agreed' END AS origin FROM dis",
-    "adjudication_violations": f"WITH {AB} SELECT item_id, 'missing' AS rule FROM dis WHERE len(reasons) > 0 AND doc_id % 4 = 0",
+    "frozen_labels": f"""WITH {AB}, fr AS (SELECT a.*, 'independent_agreement' AS how, NULL AS who FROM a JOIN dis USING (item_id) WHERE len(reasons) = 0 UNION ALL BY NAME SELECT * EXCLUDE (changed), 'adjudicated' AS how, 'adjudicator-c' AS who FROM res)
+        SELECT fr.case_id, r AS reliable, f AS primary_failure, array_to_string(list_sort(fl), ',') AS failures, CASE WHEN has THEN replace(fr.quote, ls[-1], string_split(regexp_replace(trace, '\r\n?', chr(10), 'g'), chr(10))[-1]) END AS quote, CASE WHEN has THEN e0 END AS line_start, has::bigint AS n_evidence, 'frozen' AS review_status, how AS resolution, sha256(j) AS decision_sha256, who AS adjudicator_id FROM fr JOIN tc USING (doc_id) WHERE st = 'final' AND r IS NOT NULL""",
+    "packet_order": f"""WITH {AB} SELECT annotator_id, row_number() OVER (PARTITION BY annotator_id ORDER BY sha256(encode('seed') || '\x00'::blob || encode(annotator_id) || '\x00'::blob || encode(item_id)), item_id) - 1 AS pos, item_id, sha AS trace_sha256 FROM items, (SELECT unnest(['annotator-a', 'annotator-b']) AS annotator_id)""",
+    "packet_lines": f"WITH {views.CS}, t AS (SELECT {_ID} AS item_id, string_split(regexp_replace(trace, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM cs) SELECT item_id, sum(len(ls))::bigint AS n_lines, max(len(ls)) AS last, sum(len(array_to_string(ls, '')))::bigint AS n_chars FROM t GROUP BY item_id",
+    "blind_texts": f"WITH {AB} SELECT case_id, ls[-1] AS last_line, 3 + (style_pair_id IS NOT NULL)::bigint + (counterfactual_pair_id IS NOT NULL)::bigint AS n_identifiers FROM items",
+    "packet_violations": f"""WITH {AB}, n AS (SELECT *, ('0x' || substr(item_id, 6, 6))::bigint % 11 AS k FROM items), every AS (SELECT 'missing' AS rule, item_id FROM n WHERE k IN (0, 3) UNION ALL SELECT 'unexpected', item_id || 'x' FROM n WHERE k = 3 UNION ALL SELECT 'line_numbers', item_id FROM n WHERE k = 2 UNION ALL SELECT 'trace_hash', item_id FROM n WHERE k = 1 UNION ALL SELECT 'item_differs', item_id FROM n WHERE k IN (1, 2)
+        UNION ALL SELECT 'packet_sha256', NULL) SELECT 'annotator-b' AS annotator_id, item_id, rule FROM every""",
+    "response_violations": f"""WITH {AB}, own AS (SELECT * FROM a WHERE v <> 13), twice AS (SELECT * FROM own UNION ALL SELECT * FROM own WHERE v = 14), ra AS ({_rules("twice")}), rb AS ({_rules("b")})
+        SELECT 'annotator-b' AS annotator_id, NULL AS item_id, unnest(['packet_sha256', 'codebook_version']) AS rule UNION ALL SELECT 'annotator-a', item_id, 'missing' FROM a WHERE v = 13 UNION ALL SELECT 'annotator-a', item_id, 'repeated' FROM own WHERE v = 14
+        UNION ALL SELECT 'annotator-a', item_id, rule FROM ra WHERE rule NOT IN ('evidence_beyond_lines', 'quote_not_verbatim') UNION ALL SELECT DISTINCT 'annotator-a', item_id, rule FROM ra WHERE rule IN ('evidence_beyond_lines', 'quote_not_verbatim') UNION ALL SELECT 'annotator-b', item_id, rule FROM rb""",
+    "adjudication_violations": f"""WITH {AB}, own AS (SELECT * FROM res WHERE doc_id % 8 <> 1), rr AS ({_rules("own")}) SELECT 'adjudicator-c' AS adjudicator_id, NULL AS item_id, 'comparison_sha256' AS rule UNION ALL SELECT 'adjudicator-c', item_id, rule FROM rr
+        UNION ALL SELECT 'adjudicator-c', item_id, 'missing' FROM res WHERE doc_id % 8 = 1 UNION ALL SELECT 'adjudicator-c', item_id, 'not_final' FROM own WHERE st <> 'final' UNION ALL SELECT 'adjudicator-c', item_id, 'rationale' FROM own WHERE doc_id % 9 = 0 UNION ALL SELECT 'adjudicator-c', item_id, 'differs_from_a' FROM own WHERE changed AND doc_id % 2 = 0""",
     "pending_cases": f"WITH {views.CS}, {_JOB} SELECT case_id, doc_id AS pos FROM cs ANTI JOIN (FROM records WHERE status = 'succeeded') r USING (case_id)",
     "record_violations": f"WITH {views.CS} SELECT case_id, 'input_hash' AS rule FROM cs WHERE doc_id % 3 <> 0 AND doc_id % 40 = 1",
     "gold_join": f"WITH {_GOLD} SELECT case_id, gold_reliable, missing_label, gold_lines FROM gold",
