@@ -416,23 +416,40 @@ def _output_items(responses: DataFrame) -> DataFrame:
     return each.select("trace_id", "pos", F.concat("at", F.lit(".output["), "pos", F.lit("]")).alias("path"), _stamped(F.col("item"), F.col("stamp")).alias("item"))
 
 
+def _got(path: str) -> Column:
+    return F.get_json_object("item", f"$.{path}")
+
+
+def typed_messages(messages: DataFrame) -> DataFrame:
+    """``messages`` (item) with type, the body of items that are added or finished, and the id of the item that they speak of."""
+    typed = messages.withColumn("type", F.coalesce(_plain(F.col("item"), "type"), _plain(F.col("item"), "event"), _plain(F.col("item"), "kind"), F.lit("")))
+    is_item = F.col("type").isin("response.output_item.added", "response.output_item.done")
+    bodied = typed.withColumn("body", F.when(is_item & F.startswith(_got("item"), F.lit("{")), _got("item")))
+    return bodied.withColumn("id", F.when(is_item, F.get_json_object("body", "$.id")).otherwise(_got("item_id")))
+
+
 def fold_response_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, diagnostics) of response stream messages (trace_id, pos, item); both name the message by pos and path.
 
     The last completed response with a body replaces everything.  Else a finished item stands
-    for its added item, its finished arguments or text and all its deltas; finished
-    arguments and texts of other items become calls and messages, states of the response
-    state changes, failures errors.  Deltas of unfinished items are left over
-    (INCOMPLETE_STREAM_DELTA); added or finished items without a body are MALFORMED_EVENT.
+    for its added item, its finished arguments or text and all its deltas; see :func:`response_entries`.
     """
-    get = lambda path: F.get_json_object("item", f"$.{path}")
-    typed = messages.withColumn("type", F.coalesce(_plain(F.col("item"), "type"), _plain(F.col("item"), "event"), _plain(F.col("item"), "kind"), F.lit("")))
-    whole = typed.where((F.col("type") == "response.completed")).groupBy("trace_id").agg(F.max_by(get("response"), "pos").alias("response")).where("response LIKE '{%'")
+    typed = typed_messages(messages)
+    whole = typed.where((F.col("type") == "response.completed")).groupBy("trace_id").agg(F.max_by(_got("response"), "pos").alias("response")).where("response LIKE '{%'")
     rest = typed.join(whole.select("trace_id"), "trace_id", "left_anti")
-    is_item = F.col("type").isin("response.output_item.added", "response.output_item.done")
-    rest = rest.withColumn("body", F.when(is_item & F.startswith(get("item"), F.lit("{")), get("item"))).withColumn("id", F.when(is_item, F.get_json_object("body", "$.id")).otherwise(get("item_id")))
     done = rest.where((F.col("type") == "response.output_item.done") & F.col("id").isNotNull()).select("trace_id", "id").distinct().withColumn("done", F.lit(True))
-    rows = rest.join(done, ["trace_id", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+    items, left = response_entries(rest.join(done, ["trace_id", "id"], "left").withColumn("done", F.coalesce("done", F.lit(False))))
+    return _output_items(whole.withColumn("at", F.lit("$[response.completed].response"))).unionByName(items), left
+
+
+def response_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, diagnostics) of :func:`typed_messages` with done, which tells whether their item is finished.
+
+    Finished arguments and texts of other items become calls and messages, states of the
+    response state changes, failures errors.  Deltas of unfinished items are left over
+    (INCOMPLETE_STREAM_DELTA); added or finished items without a body are MALFORMED_EVENT.
+    """
+    get, is_item = _got, F.col("type").isin("response.output_item.added", "response.output_item.done")
     t, stamp, id_ = F.col("type"), F.coalesce(get("timestamp"), get("created_at")), F.col("id")
     made = lambda **fields: F.to_json(F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in fields.items()], stamp.alias("timestamp")))
     call = made(type="function_call", event_id=F.coalesce(get("id"), id_), call_id=F.coalesce(get("call_id"), id_), name=F.coalesce(get("name"), F.lit("unknown_tool")), arguments=get("arguments"))
@@ -451,7 +468,7 @@ def fold_response_stream(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     path = F.concat(F.lit("$["), "pos", F.lit("]"))
     items = rows.select("trace_id", "pos", F.when(is_item, F.concat(path, F.lit(".item"))).otherwise(path).alias("path"), entry.alias("item")).where("item is not null")
     left = rows.select("trace_id", code.alias("code"), F.col("pos").cast("long").alias("pos"), path.alias("path"), F.lit(None).cast("array<string>").alias("event_ids")).where("code is not null")
-    return _output_items(whole.withColumn("at", F.lit("$[response.completed].response"))).unionByName(items), left
+    return items, left
 
 
 def response_events(traces: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -75,17 +75,18 @@ def pair_calls(events: DataFrame) -> DataFrame:
     turn = lambda df, at, call_, target: df.select("trace_id", "call_id", F.col(f"{at}ord").alias("ord"), F.col(f"{at}event_id").alias("event_id"), F.col(f"{at}status").alias("status"), F.col(f"{at}provenance").alias("provenance"), F.lit(call_).alias("call"), target.cast("string").alias("target"))
     turns = turn(contested, "c.", True, F.lit(None)).unionByName(turn(contested.where("by_parent is not null"), "by_parent.", False, F.col("call_event_id"))).unionByName(turn(results, "", False, F.lit(None)))
     walked = turns.groupBy("trace_id", "call_id").applyInArrow(_in_order, "trace_id string, call_event_id string, result_event_id string, result_status string, result_prov string")
-    return _pairs(plain.unionByName(contested.drop("c", "by_parent", "r").join(walked, ["trace_id", "call_event_id"], "left")))
+    return with_pair_status(plain.unionByName(contested.drop("c", "by_parent", "r").join(walked, ["trace_id", "call_event_id"], "left")))
 
 
 def with_status(events: DataFrame, matches: DataFrame) -> DataFrame:
     """Pairs of all calls with status and weakest provenance; see :func:`pair_calls`."""
     c = events.where("kind = 'tool_call'").select("trace_id", F.col("event_id").alias("call_event_id"), "call_id", F.col("status").alias("call_status"), F.col("provenance").alias("call_prov"))
     r = events.where("kind = 'tool_result'").select("trace_id", F.col("event_id").alias("result_event_id"), F.col("status").alias("result_status"), F.col("provenance").alias("result_prov"))
-    return _pairs(c.join(matches, ["trace_id", "call_event_id"], "left").join(r, ["trace_id", "result_event_id"], "left"))
+    return with_pair_status(c.join(matches, ["trace_id", "call_event_id"], "left").join(r, ["trace_id", "result_event_id"], "left"))
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
+def with_pair_status(rows: DataFrame) -> DataFrame:
+    """Pairs (call_event_id, result_event_id, call_status, call_prov, result_status, result_prov) with id, status and weakest provenance."""
     worst = lambda s: (F.col("call_status") == s) | F.coalesce(F.col("result_status") == s, F.lit(False))
     known = F.coalesce(F.col("result_status"), F.lit("unknown"))
     status = F.when(worst("failed"), "failed").when(worst("cancelled"), "cancelled").when(known != "unknown", F.col("result_status")).otherwise(F.col("call_status"))

@@ -251,9 +251,10 @@ CALLS = """SELECT concat('run-', CAST(user_id AS string)) AS run_id, event_id AS
 
 
 def run_quality(s, d):
-    c = _calls(s, d)
-    tool = F.when(F.col("index") % 23 == 0, "detect_strategic_masking").otherwise(F.concat(F.lit("tool-"), (F.col("index") % 7).cast("string")))
-    steps = c.where("index % 20 = 3").select("run_id", tool.alias("tool"), F.when(F.col("index") % 31 == 0, "failed").otherwise("ok").alias("status"))
+    """Runs of a few calls each, of which each call is a step."""
+    c = _calls(s, d).withColumn("run_id", F.concat("run_id", F.lit("-"), (F.col("index") % 20).cast("string")))
+    tool = F.when(F.col("index") % 97 == 0, "detect_strategic_masking").otherwise(F.concat(F.lit("tool-"), (F.col("index") % 7).cast("string")))
+    steps = c.select("run_id", tool.alias("tool"), F.when(F.col("index") % 31 == 0, "failed").otherwise("ok").alias("status"))
     runs = c.groupBy("run_id").agg(F.max("index").alias("m")).select("run_id", (F.col("m") % 2 == 0).alias("lossy"), F.when(F.col("m") % 3 == 0, "legacy_text").otherwise("generic_json").alias("source_format"), (F.col("m") % 5 == 0).alias("reached_limit"))
     return batch.run_quality(steps, runs)
 
@@ -355,10 +356,11 @@ def admission(s, d):
 
 
 def progress(s, d):
+    """Runs of a few users each: steps, errors, completions, some with what comes behind an error, some with neither."""
     views.register(s, d, "events")
-    m = s.sql("""SELECT concat('run-', CAST(user_id AS string)) AS run_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'step' END AS type, named_struct('tool', event_type) AS step,
+    m = s.sql("""SELECT concat('run-', CAST(user_id AS string), '-', CAST(event_id % 9 AS string)) AS run_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'complete' WHEN 'error' THEN 'error' WHEN 'view' THEN 'agent_started' ELSE 'agent_step' END AS type, named_struct('tool', event_type) AS step,
         CASE WHEN event_type = 'signup' THEN concat('r', CAST(event_id AS string)) END AS report_json, CASE WHEN event_type = 'error' THEN concat('x', CAST(event_id AS string)) END AS error FROM events""")
-    return jobs.fold_progress(m)
+    return jobs.fold_progress(m, ended=True)
 
 
 QUERIES = {
@@ -452,6 +454,9 @@ ORACLE_SQL = {
     "record_violations": f"WITH {views.CS} SELECT case_id, 'input_hash' AS rule FROM cs WHERE doc_id % 3 <> 0 AND doc_id % 40 = 1",
     "gold_join": f"WITH {_GOLD} SELECT case_id, gold_reliable, missing_label, gold_lines FROM gold",
     "telemetry": f"WITH c AS ({CALLS}) SELECT run_id, count(*) AS n_calls, coalesce(sum(input_tokens), 0)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, coalesce(sum(total_tokens), 0)::bigint AS total_tokens, count(input_tokens) = count(*) AS complete, arg_max(returned_model, index) FILTER (returned_model <> '') AS returned_model, sum(latency_ms) AS model_ms FROM c GROUP BY run_id",
+    "monitoring_tier": f"""WITH c AS ({CALLS}), t AS (SELECT run_id || '-' || (index % 20) AS run_id, count(DISTINCT CASE WHEN index % 97 = 0 THEN -1 ELSE index % 7 END) AS n, bool_or(index % 97 = 0) AS masking, bool_or(index % 31 = 0) AS failed, max(index) AS m FROM c GROUP BY 1),
+        r AS (SELECT *, list_filter([CASE WHEN m % 2 = 0 THEN 'lossy_trace' END, CASE WHEN m % 3 = 0 THEN 'legacy_declared_fallback' END, CASE WHEN failed THEN 'diagnostic_tool_failure' END, CASE WHEN m % 5 = 0 THEN 'step_limit_reached' END], lambda x: x IS NOT NULL) AS reasons FROM t)
+        SELECT run_id, len(reasons) > 0 AS degraded, coalesce(array_to_string(reasons, ','), '') AS reasons, CASE WHEN masking OR n >= 5 THEN 'deep' WHEN n >= 3 THEN 'standard' ELSE 'light' END AS tier FROM r""",
     "generic_events": f"""WITH {_GEN}
         SELECT trace_id, ord, event_id, CASE WHEN i % 6 = 0 THEN ord ELSE i END AS sequence, kind, CASE i % 7 WHEN 0 THEN '1700000000.5' WHEN 2 THEN '2024-01-02T03:04:05Z' END AS ts_raw, CASE i % 7 WHEN 0 THEN 1700000000500000 WHEN 2 THEN epoch_us(TIMESTAMP '2024-01-02 03:04:05') END AS ts_micros,
         call_id, status, CASE WHEN kind = 'message' THEN CASE i % 3 WHEN 0 THEN 'assistant' ELSE 'user' END END AS role, CASE WHEN kind = 'tool_call' THEN 'tool' END AS tool_name,
@@ -486,8 +491,9 @@ ORACLE_SQL = {
     "response_fold": """WITH m AS (SELECT 'r' || (user_id % 50) AS trace_id, event_type, event_id % 40 AS id FROM events), done AS (SELECT DISTINCT trace_id, id FROM m WHERE event_type = 'click')
         SELECT m.trace_id, count(*) FILTER (event_type = 'click' OR (event_type = 'view' AND d.id IS NULL)) AS n_items, count(*) FILTER (event_type NOT IN ('view', 'click') AND d.id IS NULL) AS n_left FROM m LEFT JOIN done d ON d.trace_id = m.trace_id AND d.id = m.id GROUP BY 1""",
     "generic_diagnostics": f"WITH {_GEN} SELECT trace_id, code, pos, path, n::bigint AS n FROM gd",
-    "progress_fold": """SELECT 'run-' || user_id AS run_id, count(*) FILTER (event_type NOT IN ('signup', 'error')) AS n_steps, coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type NOT IN ('signup', 'error')), '') AS tools, CASE WHEN bool_or(event_type = 'signup') THEN 'complete' WHEN bool_or(event_type = 'error') THEN 'error' ELSE 'open' END AS outcome,
-        'r' || max(event_id) FILTER (event_type = 'signup') AS report_json, 'x' || max(event_id) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id""",
+    "progress_fold": """WITH m AS (SELECT 'run-' || user_id || '-' || (event_id % 9) AS run_id, event_id, event_type, min(CASE WHEN event_type = 'error' THEN event_id END) OVER (PARTITION BY user_id, event_id % 9) AS stop FROM events),
+        n AS (SELECT run_id, any_value(stop) AS stop, count(*) FILTER (event_type IN ('click', 'purchase') AND (stop IS NULL OR event_id < stop)) AS n_steps, coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (event_type IN ('click', 'purchase') AND (stop IS NULL OR event_id < stop)), '') AS tools, min(event_id) FILTER (event_type = 'signup') AS done FROM m GROUP BY run_id)
+        SELECT run_id, n_steps, tools, CASE WHEN stop IS NULL AND done IS NOT NULL THEN 'complete' ELSE 'error' END AS outcome, CASE WHEN stop IS NULL THEN 'r' || done END AS report_json, CASE WHEN stop IS NOT NULL THEN 'x' || stop WHEN done IS NULL THEN 'The run finished without a report.' END AS error FROM n""",
     "admission": """WITH RECURSIVE r AS (SELECT 'c' || (user_id % 20) AS client_id, event_id AS request_id, epoch_us(ts) / 1000000.0::double AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS n FROM events),
         w AS (SELECT client_id, request_id, t, n, t AS start, 1 AS used, true AS allowed, 2 AS remaining, 0 AS retry_after FROM r WHERE n = 1
           UNION ALL SELECT r.client_id, r.request_id, r.t, r.n, CASE WHEN r.t >= w.start + 3600 THEN r.t ELSE w.start END, CASE WHEN r.t >= w.start + 3600 THEN 1 WHEN w.used >= 3 THEN w.used ELSE w.used + 1 END, r.t >= w.start + 3600 OR w.used < 3,
