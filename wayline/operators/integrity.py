@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wayline.functions import lexicons as lex
+from wayline.functions.json_values import canonical_json
 from wayline.operators.scoring import violations
 
 IDENTIFIER = r"^[a-z0-9]+(?:[._\-][a-z0-9]+)*$"
@@ -27,8 +28,8 @@ def check_hashes(cases: DataFrame, trace: str = "trace", stored: str = "trace_sh
 
 
 def canonical_sha(columns: list[Column], optional: bool = False) -> Column:
-    """SHA-256 of a JSON object of named columns; keys sorted; nulls are written, or left out if ``optional``."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "true" if optional else "false"}), 256)
+    """SHA-256 of a JSON object of named columns, whatever they hold; keys are sorted as in a dictionary at every depth; nulls are written, or left out if ``optional``."""
+    return F.sha2(canonical_json(F.to_json(F.struct(*columns), {"ignoreNullFields": "true" if optional else "false"}), "letters"), 256)
 
 
 def table_sha(rows: DataFrame, line: Column, counts: dict[str, Column] | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -112,10 +112,16 @@ def draws(s, d):
     return bootstrap.bootstrap_draws(s, _scored(s, d).select("group_id").distinct().count(), 20, "wayline")
 
 
+def canonical_hash(s, d):
+    runs = F.array(F.struct(F.col("score").alias("z"), F.col("split").alias("B"), F.lit("é").alias("a")))
+    c = _cs(s, d).withColumn("runs", runs).withColumn("source_metadata", F.struct("runs", F.col("group_id").alias("group")))
+    return c.select("case_id", integrity.canonical_sha([F.col(x) for x in ("source_metadata", "domain", "primary_failure", "case_id")]).alias("sha256"))
+
+
 QUERIES = {
     "trace_hash": lambda s, d: _cs(s, d).select("case_id", integrity.trace_sha(F.col("trace")).alias("trace_sha256")),
     "hash_mismatch": lambda s, d: integrity.check_hashes(_stored(s, d)),
-    "canonical_hash": lambda s, d: _cs(s, d).select("case_id", integrity.canonical_sha([F.col("case_id"), F.col("domain"), F.col("primary_failure")]).alias("sha256")),
+    "canonical_hash": canonical_hash,
     "split_assignment": lambda s, d: integrity.assign_split(_cs(s, d), SEED).select("case_id", "bucket", "split_assigned"),
     "group_isolation": lambda s, d: integrity.check_groups(_cs(s, d)),
     "pair_checks": lambda s, d: integrity.check_pairs(_cs(s, d)),
@@ -250,7 +256,7 @@ _ALL = f"{W}, {_STORED}, {_PAIRS}, {_GROUPS}, {_LEAKS}, {_DUPS}, {_ANCHORS}, {_N
 ORACLE_SQL = {
     "trace_hash": f"{W} SELECT case_id, {_SHA} AS trace_sha256 FROM cs",
     "hash_mismatch": f"{W}, {_STORED} SELECT case_id, stored, actual FROM stored WHERE stored <> actual",
-    "canonical_hash": f"""{W} SELECT case_id, sha256('{{"case_id":"' || case_id || '","domain":"' || domain || '","primary_failure":' || coalesce('"' || primary_failure || '"', 'null') || '}}') AS sha256 FROM cs""",
+    "canonical_hash": f"""{W} SELECT case_id, sha256('{{"case_id":"' || case_id || '","domain":"' || domain || '","primary_failure":' || coalesce('"' || primary_failure || '"', 'null') || ',"source_metadata":{{"group":"' || group_id || '","runs":[{{"a":"é","B":"' || split || '","z":' || regexp_replace(score::varchar, '[.]0$', '') || '}}]}}}}') AS sha256 FROM cs""",
     "split_assignment": f"{W}, b AS (SELECT case_id, ('0x' || substr(sha256(encode('{SEED}') || '\\x00'::blob || encode('group:' || group_id)), 1, 12))::bigint % 10000 AS bucket FROM cs) SELECT case_id, bucket, CASE WHEN bucket < 6000 THEN 'dev' WHEN bucket < 8000 THEN 'regression' ELSE 'test' END AS split_assigned FROM b",
     "group_isolation": f"{W}, {_GROUPS} SELECT * FROM gr",
     "pair_checks": f"{W}, {_PAIRS} SELECT * FROM pc",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayline.functions import lexicons as lex
-from wayline.operators import analysis, legacy, pairing, redact, scoring
+from wayline.operators import analysis, generic, legacy, pairing, redact, scoring
 from wayline.plans import views
 from wayline.sources.io import format_trace
 
@@ -194,7 +194,7 @@ QUERIES = {
     "legacy_events": lambda s, d: _leg(s, d).select("trace_id", "ord", "line", "event_id", "kind", "call_id", "parent_id", "status", "role", "tool_name", "name", "uri", F.when(F.col("kind") != "tool_call", F.col("payload")).alias("payload")),
     "legacy_link": lambda s, d: _leg(s, d).groupBy("trace_id").agg(F.count_if("inferred").alias("n_inferred"), F.bool_or("inferred").alias("lossy")),
     "format_routing": lambda s, d: legacy.format_routing(views.tx(s, d)),
-    "trace_text": lambda s, d: format_trace(_ev(s, d)),
+    "trace_text": lambda s, d: format_trace(_ev(s, d).withColumn("value", generic.quoted(F.col("payload")))),
     "event_statuses": statuses,
     "id_disambiguation": unique_ids,
     "call_pairs": lambda s, d: _pairs(s, d).select(*_PAIR_COLS),
@@ -233,8 +233,8 @@ ORACLE_SQL = {
     "legacy_events": f"WITH {LEGACY} SELECT trace_id, ord, line, event_id, kind, call_id, parent_id, status, role, tool_name, name, uri, CASE WHEN kind <> 'tool_call' THEN payload END AS payload FROM leg",
     "legacy_link": f"WITH {LEGACY} SELECT trace_id, count(*) FILTER (inferred) AS n_inferred, bool_or(inferred) AS lossy FROM leg GROUP BY trace_id",
     "format_routing": f"WITH {views.TX_DUCK} SELECT trace_id, 'legacy_text' AS format, false AS invalid FROM tx",
-    "trace_text": f"""WITH {views.EV} SELECT trace_id, string_agg(CASE kind WHEN 'message' THEN CASE coalesce(role, 'unknown') WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'Unknown' END || ': ' || payload WHEN 'tool_call' THEN 'Tool call: ' || coalesce(tool_name, 'unknown_tool') || ' ' || payload || ' status=' || status
-        WHEN 'tool_result' THEN 'Tool result: ' || payload || ' status=' || status WHEN 'artifact' THEN 'Artifact: ' || payload || ' status=' || status WHEN 'error' THEN 'Error: ' || payload END || ' event_id=' || event_id || coalesce(' call_id=' || call_id, '') || coalesce(' parent_id=' || parent_id, ''), chr(10) ORDER BY ord) AS text FROM ev GROUP BY trace_id""",
+    "trace_text": f"""WITH {views.EV} SELECT trace_id, string_agg(CASE kind WHEN 'message' THEN role || ': "' || payload || '"' WHEN 'tool_call' THEN 'Tool: call ' || tool_name || ' arguments="' || payload || '"' WHEN 'tool_result' THEN 'Tool: result result="' || payload || '"'
+        WHEN 'artifact' THEN 'Artifact: name=unknown uri=unknown data="' || payload || '"' ELSE 'Error: ' || payload || ' code=unknown' END || ' (' || concat_ws(' ', 'sequence=' || ord, 'event_id=' || event_id, 'call_id=' || call_id, 'parent_id=' || parent_id, 'status=' || status, 'provenance=' || provenance) || ')', chr(10) ORDER BY ord) AS text FROM ev GROUP BY trace_id""",
     "event_statuses": f"WITH {views.EV} SELECT trace_id, ord, CASE WHEN source_id % 50 = 0 THEN 'failed' ELSE [" + ", ".join(_q(v) for v in lex.STATUS_SYNONYMS.values()) + f"][source_id % {len(lex.STATUS_SYNONYMS)} + 1] END AS status FROM ev",
     "id_disambiguation": f"WITH {views.EV}, n AS (SELECT trace_id, ord, 's' || (source_id % 5) AS id, row_number() OVER (PARTITION BY trace_id, source_id % 5 ORDER BY ord) AS n FROM ev) SELECT trace_id, ord, CASE WHEN n > 1 THEN id || '#' || n ELSE id END AS event_id, n > 1 AS renamed FROM n",
     "call_pairs": f"WITH {SRC_EV}, {PAIRS} SELECT * FROM pairs",

@@ -68,18 +68,24 @@ def render_readiness(checks: DataFrame) -> DataFrame:
 
 
 def format_trace(events: DataFrame) -> DataFrame:
-    """(trace_id, text): a line per event by kind, with its identities behind."""
-    ids = F.concat_ws("", F.when(F.col("call_id").isNotNull(), F.concat(F.lit(" call_id="), F.col("call_id"))), F.when(F.col("parent_id").isNotNull(), F.concat(F.lit(" parent_id="), F.col("parent_id"))))
-    body = F.coalesce("payload", F.lit(""))
-    line = (
-        F.when(F.col("kind") == "message", F.concat(F.initcap(F.coalesce("role", F.lit("unknown"))), F.lit(": "), body))
-        .when(F.col("kind") == "tool_call", F.concat(F.lit("Tool call: "), F.coalesce("tool_name", F.lit("unknown_tool")), F.lit(" "), body, F.lit(" status="), F.col("status")))
-        .when(F.col("kind") == "tool_result", F.concat(F.lit("Tool result: "), body, F.lit(" status="), F.col("status")))
-        .when(F.col("kind") == "artifact", F.concat(F.lit("Artifact: "), body, F.lit(" status="), F.col("status")))
-        .when(F.col("kind") == "error", F.concat(F.lit("Error: "), body))
-        .otherwise(F.concat(F.lit("State: "), body))
+    """(trace_id, text): a line per event by kind, with what it holds as JSON and its identities behind.
+
+    ``events`` have a JSON text in value, and name, uri and error_code where artifacts and errors have them.
+    """
+    column = lambda name: F.col(name) if name in events.columns else F.lit(None).cast("string")
+    named = lambda name, c: F.concat(F.lit(f"{name}="), c.cast("string"))
+    sequence = F.col("sequence") if "sequence" in events.columns else F.col("ord")
+    ids = F.concat_ws(" ", named("sequence", sequence), *[named(c, F.when(F.col(c) != "", F.col(c))) for c in ("event_id", "call_id", "parent_id")], named("status", F.col("status")), named("provenance", F.col("provenance")))
+    value, unknown = F.coalesce("value", F.lit("null")), F.lit("unknown")
+    body = (
+        F.when(F.col("kind") == "message", F.concat(F.coalesce("role", unknown), F.lit(": "), value))
+        .when(F.col("kind") == "tool_call", F.concat(F.lit("Tool: call "), F.coalesce("tool_name", F.lit("unknown_tool")), F.lit(" arguments="), value))
+        .when(F.col("kind") == "tool_result", F.concat(F.lit("Tool: result"), F.coalesce(F.concat(F.lit(" "), "tool_name"), F.lit("")), F.lit(" result="), value))
+        .when(F.col("kind") == "artifact", F.concat(F.lit("Artifact: name="), F.coalesce(column("name"), unknown), F.lit(" uri="), F.coalesce(column("uri"), unknown), F.lit(" data="), value))
+        .when(F.col("kind") == "error", F.concat(F.lit("Error: "), "payload", F.lit(" code="), F.coalesce(column("error_code"), unknown)))
+        .otherwise(F.concat(F.lit("State: "), value))
     )
-    rows = events.select("trace_id", "ord", F.concat(line, F.lit(" event_id="), F.col("event_id"), ids).alias("line"))
+    rows = events.select("trace_id", "ord", F.concat(body, F.lit(" ("), ids, F.lit(")")).alias("line"))
     return rows.groupBy("trace_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
