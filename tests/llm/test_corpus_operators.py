@@ -266,6 +266,15 @@ def test_pii(spark):
     assert clash.columns == ["doc_id", "text", "_wl_text", "_wlparts"] and {(r.doc_id, r.text) for r in clash.collect()} == {(i, r.text) for i, r in got.items()}
 
 
+def test_mail_hosts_of_any_length_and_distinct_pseudonyms(spark):
+    hosts = ["a.b.c.d.e.f.g.h.i.example.com", ".".join("xyzw"[i % 4] * (1 + i % 3) for i in range(3000)) + ".org", "one.example.com", "two.example.com"]
+    rows = [(i, f"Mail to some.one@{h}, or not.") for i, h in enumerate(hosts)] + [(10, "see a@b.example.com.12 there"), (11, "a@b.example.com...next"), (12, "x@y")]
+    got = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i in range(4):
+        assert re.fullmatch(r"Mail to user-[0-9a-f]{16}@host-[0-9a-f]{16}\.invalid, or not\.", got[i]), got[i][:200]
+    assert len({got[i] for i in range(4)}) == 4 and "b.example" not in got[10] + got[11] and got[11].endswith(".invalid...next") and got[12] == "x@y"
+
+
 def test_pii_beside_other_words(spark):
     card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
     key_ = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab3/" * 5000 + "\n-----END RSA PRIVATE KEY-----"
@@ -385,7 +394,7 @@ def test_licences_within_larger_texts(spark, tmp_path):
     (tmp_path / "own" / "House").write_text("Use it well.\n\nBe kind.")
     own = licences.known_digests(spark, licences.folder_texts(spark, str(tmp_path / "own"), "own"))
     mine = spark.createDataFrame([(1, "a\n\nuse it WELL\n\nbe kind!\n\nb"), (2, "be kind")], "doc_id long, text string")
-    assert {r.doc_id: r.licences for r in licences.scan(mine, own, hint="").collect()} == {1: ["House"], 2: []}
+    assert {r.doc_id: r.licences for r in licences.scan(mine, own, hint="").collect()} == {r.doc_id: r.licences for r in licences.scan(mine, own).collect()} == {1: ["House"], 2: []}
 
 
 def base_counts(text):

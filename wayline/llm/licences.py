@@ -87,19 +87,20 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id"
     A known text is matched by a unit that equals it, or by units that equal all its
     paragraphs; of texts that lie within each other the longest counts.
 
-    ``known``: as :func:`known_digests` gives it; with another table give ``hint`` too, a
-    pattern that every known text and paragraph matches in lower case (or "" to look at all
-    texts).  A null or empty text has no licences; repeated rows are scanned each; equal texts
+    ``known``: as :func:`known_digests` gives it.  All units of a text are looked up, or only
+    those that match ``hint`` in lower case: a pattern that every known text and paragraph
+    matches.  The built-in texts have one of their own.  A null or empty text has no licences; repeated rows are scanned each; equal texts
     within a document count once; an empty table gives an empty table; other columns are ignored.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
-    hint = HINT if hint is None else hint
+    if known is None:
+        known, hint = F.broadcast(known_digests(docs.sparkSession)), HINT if hint is None else hint  # some hundred rows
     t = F.col("t")
     units = F.array_distinct(F.concat(F.array(t), F.split(t, PARAGRAPH), F.split(t, "\n")))
-    some = F.filter(units, lambda u: F.lower(u).rlike(hint))
+    some = F.filter(units, lambda u: F.lower(u).rlike(hint)) if hint else units
+    looked = F.array_distinct(F.transform(some, _digest))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    each = rows.select("uid", "doc_id", F.explode_outer(F.when(F.lower("t").rlike(hint), F.array_distinct(F.transform(some, _digest)))).alias("digest"))
-    joined = each.join(F.broadcast(known), "digest", "left")
+    each = rows.select("uid", "doc_id", F.explode_outer(F.when(F.lower("t").rlike(hint), looked) if hint else looked).alias("digest"))
+    joined = each.join(known, "digest", "left")
     # A document's hits are at most the rows of the known table.
     hits = joined.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("text_id").isNotNull(), F.struct("text_id", "parts", "licence", "licence_group", "within"))).alias("hits"))
     same = lambda g, h: (g["text_id"] == h["text_id"]) & (g["parts"] == h["parts"])

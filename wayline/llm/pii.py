@@ -27,7 +27,8 @@ _L, _R = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Kinds in the order in which the alternation tries them.
 PATTERNS = {
     "private_key": r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[^\-]++|-(?!----END [A-Z ]{0,30}PRIVATE KEY-----))*+-----END [A-Z ]{0,30}PRIVATE KEY-----",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}",
+    # The whole host, however many labels, where it ends in letters; else as far as one that does.
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)*+(?<=\.\p{L}{2,63})|(?:[\p{L}\p{N}\-]{1,63}\.){1,63}\p{L}{2,63})",
     "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\b[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{8,}",
     "token": _L + r"(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|sk-[A-Za-z0-9_\-]{12,}|xox[a-z]-[A-Za-z0-9\-]{10,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,})" + _R,
     "iban": _L + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _R,
@@ -236,14 +237,14 @@ def pseudonym(key: str, m: Column, kind: Column) -> Column:
         lambda q: q["t"],
     )
     mail = F.lower(m)
-    email = F.concat(F.lit("user-"), F.substring(tag("mail", F.substring_index(mail, "@", 1)), 1, 12), F.lit("@host-"), F.substring(tag("host", F.substring_index(mail, "@", -1)), 1, 8), F.lit(".invalid"))
+    email = F.concat(F.lit("user-"), F.substring(tag("mail", F.substring_index(mail, "@", 1)), 1, 16), F.lit("@host-"), F.substring(tag("host", F.substring_index(mail, "@", -1)), 1, 16), F.lit(".invalid"))
     value = F.regexp_extract(m, r"^(?s:.*?[=:]\s{0,3}[\"']?)([^\s\"']+)$", 1)
-    secret = F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), F.lit("SECRET-"), F.substring(tag("secret", value), 1, 12))
+    secret = F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)), F.lit("SECRET-"), F.substring(tag("secret", value), 1, 16))
     return (
         F.when(kind == "email", email)
         .when(kind == "secret", secret)
-        .when(kind == "token", F.concat(F.lit("TOKEN-"), F.substring(tag("secret", m), 1, 12)))
-        .when(kind == "private_key", F.concat(F.lit("PRIVATE-KEY-"), F.substring(tag("secret", m), 1, 12)))
+        .when(kind == "token", F.concat(F.lit("TOKEN-"), F.substring(tag("secret", m), 1, 16)))
+        .when(kind == "private_key", F.concat(F.lit("PRIVATE-KEY-"), F.substring(tag("secret", m), 1, 16)))
         .when(kind == "iban", gaps)
         .when(kind == "date", date)
         .when(kind == "ip", ip)
