@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayline.operators import annotation, artifacts, batch, episodes, generic, legacy, pairing
+from wayline.operators import annotation, artifacts, batch, episodes, generic, legacy, pairing, runs
 from wayline.operators.integrity import trace_sha
 from wayline.plans import views
 from wayline.plans.trace_queries import PAIRS, SRC_EV
-from wayline.plans.storage import materialize
+from wayline.plans.storage import materialize, new_table_path
 from wayline.streaming import jobs
 
 # -- episodes
@@ -235,6 +235,15 @@ def _records(s, d):
     return _cases(s, d).where("doc_id % 3 <> 0").select("case_id", F.when(n % 11 == 0, "failed").otherwise("succeeded").alias("status"), F.when(n % 40 == 1, "other").otherwise(F.col("trace_sha256")).alias("input_hash"), F.lit("run-1").alias("run_id"), ((n * 37 % 101) >= 50).alias("reliable"), (n * 37 % 101 / 100.0).alias("score"))
 
 
+def resumed_run(s, d):
+    """A run in three parts: the first hundred cases, all others, and once more with nothing left to do."""
+    path, cases, manifest = new_table_path(s, "run"), materialize(_cases(s, d), "cases"), {"run_id": "run-1"}
+    runs.resume_run(cases, path, manifest, batch.evaluate_lexical, max_cases=100)
+    runs.resume_run(cases, path, manifest, batch.evaluate_lexical)
+    records, _ = runs.resume_run(cases, path, manifest, batch.evaluate_lexical)
+    return records.select("case_id", "pos", "batch", "status", "input_hash", "run_id")
+
+
 def _gold(s, d):
     c = views.cs(s, d)
     ev = c.select("case_id", (F.col("doc_id") % 4 + 1).alias("line_start"), (F.col("doc_id") % 4 + F.col("doc_id") % 3).alias("line_end"))
@@ -389,6 +398,7 @@ QUERIES = {
     "response_violations": response_violations,
     "freeze_manifest": freeze_manifest,
     "pending_cases": lambda s, d: batch.pending_cases(_cases(s, d), _records(s, d), retry_failed=True).select("case_id", "pos"),
+    "resumed_run": resumed_run,
     "record_violations": lambda s, d: batch.check_records(_records(s, d), _cases(s, d), {"run_id": "run-1"}),
     "lexical_evaluator": lambda s, d: batch.evaluate_lexical(_cases(s, d)).select("case_id", "reliable", "reliability_score"),
     "gold_join": lambda s, d: _gold(s, d).select("case_id", "gold_reliable", "missing_label", F.array_join(F.col("gold_lines").cast("array<string>"), ",").alias("gold_lines")),
@@ -451,6 +461,7 @@ ORACLE_SQL = {
     "adjudication_violations": f"""WITH {AB}, own AS (SELECT * FROM res WHERE doc_id % 8 <> 1), rr AS ({_rules("own")}) SELECT 'adjudicator-c' AS adjudicator_id, NULL AS item_id, 'comparison_sha256' AS rule UNION ALL SELECT 'adjudicator-c', item_id, rule FROM rr
         UNION ALL SELECT 'adjudicator-c', item_id, 'missing' FROM res WHERE doc_id % 8 = 1 UNION ALL SELECT 'adjudicator-c', item_id, 'not_final' FROM own WHERE st <> 'final' UNION ALL SELECT 'adjudicator-c', item_id, 'rationale' FROM own WHERE doc_id % 9 = 0 UNION ALL SELECT 'adjudicator-c', item_id, 'differs_from_a' FROM own WHERE changed AND doc_id % 2 = 0""",
     "pending_cases": f"WITH {views.CS}, {_JOB} SELECT case_id, doc_id AS pos FROM cs ANTI JOIN (FROM records WHERE status = 'succeeded') r USING (case_id)",
+    "resumed_run": f"WITH {views.CS} SELECT case_id, doc_id AS pos, CASE WHEN row_number() OVER (ORDER BY doc_id) <= 100 THEN 0 ELSE 1 END::bigint AS batch, 'succeeded' AS status, sha256(regexp_replace(trace, '\\r\\n?', chr(10), 'g')) AS input_hash, 'run-1' AS run_id FROM cs",
     "record_violations": f"WITH {views.CS} SELECT case_id, 'input_hash' AS rule FROM cs WHERE doc_id % 3 <> 0 AND doc_id % 40 = 1",
     "gold_join": f"WITH {_GOLD} SELECT case_id, gold_reliable, missing_label, gold_lines FROM gold",
     "telemetry": f"WITH c AS ({CALLS}) SELECT run_id, count(*) AS n_calls, coalesce(sum(input_tokens), 0)::bigint AS input_tokens, sum(output_tokens)::bigint AS output_tokens, coalesce(sum(total_tokens), 0)::bigint AS total_tokens, count(input_tokens) = count(*) AS complete, arg_max(returned_model, index) FILTER (returned_model <> '') AS returned_model, sum(latency_ms) AS model_ms FROM c GROUP BY run_id",
