@@ -29,7 +29,9 @@ def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross
     ``exclude_same_group`` a pair of classes stays if some of its pairs of members qualifies.
 
     Candidates share a gram of their prefixes, in an order of rising frequency: two sets of
-    that similarity must (prefix filter), and their sizes may differ by the threshold only.
+    that similarity must (prefix filter), their sizes may differ by the threshold only, and
+    what stands behind their last shared prefix gram must leave room for the overlap that
+    they need (positional filter).  Only pairs that pass meet their grams.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
@@ -45,9 +47,14 @@ def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross
     ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1"), "gram").groupBy("class", "m").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("order"))
     # Grams of one class alone come first in the order and meet nothing, so they only shorten the prefix.
     keep = F.col("m") - F.ceil(threshold * F.col("m") - 1e-9) + 1 - (F.col("m") - F.size("order"))
-    prefix = ranked.withColumn("keep", keep.cast("int")).where("keep > 0").select("class", "m", F.explode(F.transform(F.slice("order", 1, F.col("keep")), lambda x: x["gram"])).alias("gram"))
-    a, b = prefix.select(F.col("class").alias("a"), F.col("m").alias("ma"), "gram"), prefix.select(F.col("class").alias("b"), F.col("m").alias("mb"), "gram")
-    met = a.join(b, "gram").where("a < b").where((F.least("ma", "mb") >= threshold * F.greatest("ma", "mb") - 1e-9)).select("a", "b").distinct()
+    lone = F.col("m") - F.size("order")
+    placed = F.transform(F.slice("order", 1, F.col("keep")), lambda x, i: F.struct(x["gram"].alias("gram"), (lone + i + 1).alias("at")))
+    prefix = materialize(ranked.withColumn("keep", keep.cast("int")).where("keep > 0").select("class", "m", F.explode(placed).alias("p")).select("class", "m", "p.gram", "p.at"), "prefixes")
+    a, b = prefix.select(F.col("class").alias("a"), F.col("m").alias("ma"), "gram", F.col("at").alias("pa")), prefix.select(F.col("class").alias("b"), F.col("m").alias("mb"), "gram", F.col("at").alias("pb"))
+    near = a.join(b, "gram").where("a < b").where((F.least("ma", "mb") >= threshold * F.greatest("ma", "mb") - 1e-9))
+    # All shared grams up to the last one in both prefixes are counted; of the rest at most the shorter remainder is shared.
+    room = F.count("*") + F.least(F.min("ma") - F.max("pa"), F.min("mb") - F.max("pb"))
+    met = near.groupBy("a", "b").agg(room.alias("room"), (F.min("ma") + F.min("mb")).alias("sizes")).where(F.col("room") >= F.col("sizes") * (threshold / (1 + threshold)) - 1e-9).select("a", "b")
     ga, gb = classes.select(F.col("class").alias("a"), F.col("grams").alias("ga")), classes.select(F.col("class").alias("b"), F.col("grams").alias("gb"))
     both = met.join(ga, "a").join(gb, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
     far = both.select(F.col("a").alias("left_class"), F.col("b").alias("right_class"), (F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
