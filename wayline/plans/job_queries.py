@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wayline.operators import annotation, artifacts, batch, episodes, generic, legacy, pairing, runs
 from wayline.operators.integrity import trace_sha
 from wayline.plans import views
-from wayline.plans.trace_queries import PAIRS, SRC_EV
+from wayline.plans.trace_queries import ORACLE_SQL as TRACE_SQL, PAIRS, SRC_EV
 from wayline.plans.storage import materialize, new_table_path
 from wayline.streaming import jobs
 
@@ -383,7 +383,7 @@ QUERIES = {
     "reward": _reward,
     "scoreboard": scoreboard,
     "step_results": step_results,
-    "episode_events": lambda s, d: episode_events(s, d).groupBy("trace_id", "kind", "provenance", "status").agg(F.count("*").alias("n")),
+    "episode_events": episode_events,
     "episode_pairs": episode_pairs,
     "blind_ids": lambda s, d: annotation.blind_ids(views.cs(s, d), DATASET).select("case_id", "item_id"),
     "packet_order": lambda s, d: _packets(s, d, _items(s, d))[1].select("annotator_id", "pos", "item_id", "trace_sha256"),
@@ -404,7 +404,7 @@ QUERIES = {
     "gold_join": lambda s, d: _gold(s, d).select("case_id", "gold_reliable", "missing_label", F.array_join(F.col("gold_lines").cast("array<string>"), ",").alias("gold_lines")),
     "run_summary": lambda s, d: batch.run_summary(_cases(s, d), _records(s, d), _gold(s, d).where("not missing_label")),
     "run_manifest": lambda s, d: batch.run_manifest(_cases(s, d), {"evaluator": "lexical", "prompt": "p1"}),
-    "judge_requests": lambda s, d: batch.judge_requests(_cases(s, d)).select("case_id", F.length("request").cast("long").alias("n_chars")),
+    "judge_requests": lambda s, d: batch.judge_requests(_cases(s, d)).select("case_id", F.sha2("request", 256).alias("request_sha256"), F.length("request").cast("long").alias("n_chars")),
     "telemetry": lambda s, d: batch.run_telemetry(_calls(s, d)),
     "monitoring_tier": run_quality,
     "generic_events": lambda s, d: generic.generic_events(_json(s, d))[0].select("trace_id", "ord", "event_id", "sequence", "kind", "ts_raw", F.unix_micros("ts").alias("ts_micros"), "call_id", "status", "role", "tool_name", "payload", "value", "path", "raw_type"),
@@ -433,7 +433,21 @@ _GOLD = f"{views.CS}, {_JOB}, gold AS (SELECT r.case_id, c.reliable AS gold_reli
 
 _TREE = "b AS (SELECT substr(h, 1, 4) AS bucket, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM lines GROUP BY 1), tree AS (SELECT sum(n)::bigint AS n, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS sha256 FROM b)"
 
+_STEPS = f"""{EFF}, res AS (SELECT e.episode_id, e.task_id, e.step, e.type, e.path, CASE e.type WHEN 'read_file' THEN 'read_' || CASE WHEN e.path = '../x' THEN 'invalid' WHEN k.content IS NULL THEN 'not_found' ELSE 'found' END WHEN 'write_file' THEN CASE WHEN e.admitted THEN 'written' ELSE 'write_invalid' END
+  WHEN 'run_tests' THEN CASE WHEN t.passed THEN 'tests_passed' ELSE 'tests_failed' END ELSE 'submitted' END AS code FROM rev e LEFT JOIN state k ON k.episode_id = e.episode_id AND k.step = e.step AND k.path = e.path AND e.type = 'read_file' LEFT JOIN tests t ON t.episode_id = e.episode_id AND t.step = e.step),
+  done AS (SELECT *, code IN ('read_found', 'written', 'tests_passed', 'submitted') AS ok FROM res)"""
+
 ORACLE_SQL = {
+    "step_results": f"WITH {_STEPS} SELECT episode_id, step, type, ok, code FROM done",
+    "episode_events": f"""WITH {_STEPS} SELECT episode_id AS trace_id, -1::bigint AS ord, 'request' AS event_id, 'message' AS kind, NULL AS call_id, NULL AS parent_id, 'unknown' AS status, 'recorded' AS provenance, 'user' AS role, instruction AS payload FROM (SELECT DISTINCT episode_id, task_id FROM done) JOIN tasks USING (task_id)
+        UNION ALL SELECT episode_id, step * 2, 'call-' || step, 'tool_call', 'step-' || step, 'request', 'pending', 'recorded', NULL, concat_ws(' ', type, path) FROM done WHERE type <> 'submit' UNION ALL SELECT episode_id, step * 2 + 1, 'result-' || step, 'tool_result', 'step-' || step, NULL, CASE WHEN ok THEN 'succeeded' ELSE 'failed' END, 'verified', NULL, code FROM done WHERE type <> 'submit'
+        UNION ALL SELECT episode_id, step * 2 + 1, 'report', 'message', NULL, 'request', 'unknown', 'declared', 'assistant', 's' FROM done WHERE type = 'submit'""",
+    "episode_pairs": f"WITH {_STEPS} SELECT CASE WHEN ok THEN 'succeeded' ELSE 'failed' END AS status, 'recorded' AS provenance, count(*) AS n FROM done WHERE type <> 'submit' GROUP BY 1",
+    "judge_requests": f"""WITH {views.CS}, q AS (SELECT case_id, replace(replace(replace('{{"trace":' || to_json(array_to_string(list_transform(string_split(trace, chr(10)), lambda x, i: i || ': ' || x), chr(10)))::varchar || '}}', '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e') AS r FROM cs) SELECT case_id, sha256(r) AS request_sha256, length(r) AS n_chars FROM q""",
+    "lexical_evaluator": f"SELECT trace_id AS case_id, reliable, reliability_score FROM ({TRACE_SQL['explanations'].replace(views.TX_DUCK, views.CS + ', tx AS (SELECT case_id AS trace_id, trace AS raw FROM cs)')}) WHERE mode = 'research'",
+    "run_summary": f"""WITH {_GOLD}, g AS (SELECT count(*) FILTER (gold_reliable AND rel) AS tp, count(*) FILTER (gold_reliable AND NOT rel) AS fn, count(*) FILTER (NOT gold_reliable AND rel) AS fp, count(*) FILTER (NOT gold_reliable AND NOT rel) AS tn FROM gold WHERE NOT missing_label),
+        n AS (SELECT count(*) AS n_records, count(*) FILTER (status = 'succeeded') AS n_succeeded, count(*) FILTER (status = 'failed') AS n_failed FROM records)
+        SELECT n.*, (SELECT count(*) FROM cs) AS n_cases, 'partial' AS status, (tp + tn)::double / (tp + tn + fp + fn) AS accuracy, (tp::double / (tp + fn) + tn::double / (tn + fp)) / 2 AS balanced_accuracy, (2.0::double * tp / (2 * tp + fp + fn) + 2.0::double * tn / (2 * tn + fp + fn)) / 2 AS macro_f1 FROM n, g""",
     "run_manifest": f"""WITH {views.CS}, lines AS (SELECT sha256(concat_ws('|', doc_id, case_id, sha256(regexp_replace(trace, '\\r\\n?', chr(10), 'g')))) AS h FROM cs), {_TREE}
         SELECT n AS n_cases, sha256 AS dataset_sha256, sha256('lexical') AS evaluator_sha256, sha256('p1') AS prompt_sha256, 'run-' || substr(sha256(concat_ws('|', sha256, sha256('lexical'), sha256('p1'))), 1, 16) AS run_id FROM tree""",
     "path_admission": f"WITH {views.AC} SELECT episode_id, step, coalesce(path IN ('a.txt', 'out.txt', 'none.txt', 'cfg.json'), false) AS valid FROM ac",
