@@ -108,24 +108,32 @@ def unique_event_ids(events: DataFrame) -> DataFrame:
     return rows.withColumn("renamed", F.col("_n") > 1).withColumn("first_id", F.col("event_id")).withColumn("event_id", F.when(F.col("_n") > 1, F.concat_ws("#", "event_id", F.col("_n").cast("string"))).otherwise(F.col("event_id"))).drop("_n")
 
 
+#: Heads of lines by which text that only looks like JSON is told to be legacy text.
+LINE_HEAD = r"(?im)^(?:\[[^\]]+\]\s*)?(?:user|agent|assistant|system|tool(?:\s+(?:call|result))?|artifact|error|state(?:_change)?)\s*:"
+
+
 def format_routing(traces: DataFrame) -> DataFrame:
     """(trace_id, format, invalid): format is legacy_text, generic_json or responses.
 
-    Text that doesn't begin as JSON is legacy; JSON with response items goes to responses,
-    other JSON to generic; text that only looks like JSON is legacy if a line has a role
-    header, else generic and invalid.
+    Text that doesn't begin as JSON is legacy; JSON whose root, or one of whose items, has a
+    response type, an output array or a response with one goes to responses, other JSON to
+    generic; text that only looks like JSON is legacy if a line has a known head, else
+    generic and invalid.
     """
     raw = trim(F.col("raw"))
-    looks = raw.rlike(r"^[{\[]")
-    parsed = F.expr("try_parse_json(raw)")
-    types = F.transform(F.from_json(F.when(raw.startswith("["), raw), "array<string>"), lambda x: F.get_json_object(x, "$.type"))
-    streamed = F.exists(types, lambda t: t.startswith("response."))
-    has_output = F.coalesce(F.get_json_object(raw, "$.output"), F.get_json_object(raw, "$.response.output")).startswith("[") | F.coalesce(F.get_json_object(raw, "$.type").startswith("response."), F.lit(False))
-    role_line = F.col("raw").rlike(r"(?im)^\s*(?:\[[^\]]+\]\s*)?(?:user|agent|assistant|system|tool)\s*:")
+    looks = F.coalesce(raw.rlike(r"^[{\[]"), F.lit(False))
+    parsed = F.try_parse_json(raw)
+    values = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.array(raw))
+    def is_response(x: Column) -> Column:  # noqa: E306
+        kind = F.coalesce(F.get_json_object(x, "$.type"), F.get_json_object(x, "$.event"))
+        lists = F.from_json(x, "output array<string>, response struct<output:array<string>>")
+        return x.startswith("{") & (F.coalesce(kind.startswith("response."), F.lit(False)) | lists["output"].isNotNull() | lists["response"]["output"].isNotNull())
+
+    headed = F.coalesce(F.col("raw").rlike(LINE_HEAD), F.lit(False))
     fmt = (
-        F.when(~looks | F.col("raw").isNull(), "legacy_text")
-        .when(parsed.isNull(), F.when(role_line, "legacy_text").otherwise("generic_json"))
-        .when(F.coalesce(streamed, F.lit(False)) | F.coalesce(has_output, F.lit(False)), "responses")
+        F.when(~looks, "legacy_text")
+        .when(parsed.isNull(), F.when(headed, "legacy_text").otherwise("generic_json"))
+        .when(F.coalesce(F.exists(values, lambda x: F.coalesce(is_response(x), F.lit(False))), F.lit(False)), "responses")
         .otherwise("generic_json")
     )
-    return traces.select("trace_id", fmt.alias("format"), (looks & parsed.isNull() & ~role_line).alias("invalid"))
+    return traces.select("trace_id", fmt.alias("format"), (looks & parsed.isNull() & ~headed).alias("invalid"))

@@ -296,6 +296,17 @@ def nested_calls(s, d):
     return generic.generic_events(rows)[0].groupBy("kind", "role").agg(F.count("*").alias("n"))
 
 
+#: A trace per event: legacy text, JSON of all forms, and text that only looks like JSON.
+ROUTED = """routed AS (SELECT concat('e', CAST(event_id AS string)) AS trace_id, event_id AS i, CASE event_id % 14
+  WHEN 0 THEN 'User: hello' WHEN 1 THEN concat(' [{"role":"user","content":"n', CAST(event_id AS string), '"}]') WHEN 2 THEN '{"messages":[]}' WHEN 3 THEN '[{"type":"response.created"}]' WHEN 4 THEN '{"event":"response.done"}' WHEN 5 THEN '{"output":[]}' WHEN 6 THEN '{"output":"[x]"}' WHEN 7 THEN '{"response":{"output":[{}]}}'
+  WHEN 8 THEN concat('{broken', chr(10), '[10:00] Tool call : x') WHEN 9 THEN concat('{broken', chr(10), '  user: x') WHEN 10 THEN '[{"type":"response.created"}' WHEN 11 THEN concat('[x', chr(10), 'STATE_CHANGE: y') WHEN 12 THEN '[1,{"type":"message"},{"output":[1]}]' ELSE '' END AS raw FROM events)"""
+
+
+def routed(s, d):
+    views.register(s, d, "events")
+    return legacy.format_routing(s.sql(f"WITH {ROUTED} SELECT trace_id, raw FROM routed"))
+
+
 def trace_diagnostics(s, d):
     """All that is said of the JSON traces: parsing, repeated ids, pairing, and secrets (every text that ends in 7 counts as one)."""
     events, parsed = generic.generic_events(_json(s, d))
@@ -407,6 +418,7 @@ QUERIES = {
     "judge_requests": lambda s, d: batch.judge_requests(_cases(s, d)).select("case_id", F.sha2("request", 256).alias("request_sha256"), F.length("request").cast("long").alias("n_chars")),
     "telemetry": lambda s, d: batch.run_telemetry(_calls(s, d)),
     "monitoring_tier": run_quality,
+    "json_routing": routed,
     "generic_events": lambda s, d: generic.generic_events(_json(s, d))[0].select("trace_id", "ord", "event_id", "sequence", "kind", "ts_raw", F.unix_micros("ts").alias("ts_micros"), "call_id", "status", "role", "tool_name", "payload", "value", "path", "raw_type"),
     "response_events": lambda s, d: generic.response_events(_responses(s, d))[0].select("trace_id", "ord", "kind", "status", "call_id", "payload"),
     "response_diagnostics": lambda s, d: generic.response_events(_responses(s, d))[1].groupBy("trace_id", "code").agg(F.count("*").alias("n")),
@@ -438,6 +450,17 @@ _STEPS = f"""{EFF}, res AS (SELECT e.episode_id, e.task_id, e.step, e.type, e.pa
   done AS (SELECT *, code IN ('read_found', 'written', 'tests_passed', 'submitted') AS ok FROM res)"""
 
 ORACLE_SQL = {
+    "json_routing": f"""WITH {ROUTED}, t AS (SELECT *, trim(raw, ' ' || chr(10)) AS r FROM routed), v AS (SELECT *, starts_with(r, '{{') OR starts_with(r, '[') AS looks, json_valid(r) AS ok, regexp_matches(raw, '(?im)^(\\[[^\\]]+\\]\\s*)?(user|agent|assistant|system|tool(\\s+(call|result))?|artifact|error|state(_change)?)\\s*:') AS headed FROM t),
+        items AS (SELECT trace_id, unnest(CASE WHEN starts_with(r, '[') THEN from_json(r, '["JSON"]') ELSE [r::json] END) AS x FROM v WHERE looks AND ok), resp AS (SELECT DISTINCT trace_id FROM items WHERE coalesce(coalesce(x->>'$.type', x->>'$.event') LIKE 'response.%', false) OR json_type(x, '$.output') = 'ARRAY' OR json_type(x, '$.response.output') = 'ARRAY')
+        SELECT trace_id, CASE WHEN NOT looks THEN 'legacy_text' WHEN NOT ok THEN CASE WHEN headed THEN 'legacy_text' ELSE 'generic_json' END WHEN resp.trace_id IS NOT NULL THEN 'responses' ELSE 'generic_json' END AS format, looks AND NOT ok AND NOT headed AS invalid FROM v LEFT JOIN resp USING (trace_id)""",
+    "packet_hashes": f"""WITH {AB}, placed AS (SELECT annotator_id, row_number() OVER (PARTITION BY annotator_id ORDER BY sha256(encode('seed') || '\\x00'::blob || encode(annotator_id) || '\\x00'::blob || encode(item_id)), item_id) - 1 AS pos, sha256('{{"item_id":"' || item_id || '","lines":[' || array_to_string(list_transform(ls, lambda x, i: '{{"line_number":' || i || ',"text":' || to_json(x)::varchar || '}}'), ',') || '],"trace_sha256":"' || sha || '"}}') AS digest
+          FROM items, (SELECT unnest(['annotator-a', 'annotator-b']) AS annotator_id)), l AS (SELECT annotator_id, sha256(pos || '|' || digest) AS h FROM placed), bu AS (SELECT annotator_id, substr(h, 1, 4) AS bucket, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM l GROUP BY 1, 2), tr AS (SELECT annotator_id, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS tree FROM bu GROUP BY 1),
+          pk AS (SELECT *, 'packet-' || substr(sha256(array_to_string(['1.0.0', '{DATASET}', 'v1', annotator_id, '2026-01-01T00:00:00Z', 'seed'], chr(0))), 1, 24) AS packet_id FROM tr)
+        SELECT annotator_id, packet_id, sha256(array_to_string(['1.0.0', packet_id, 'set-1', '{DATASET}', 'v1', annotator_id, '2026-01-01T00:00:00Z', tree], chr(0))) AS packet_sha256 FROM pk""",
+    "freeze_manifest": f"""WITH {AB}, fr AS (SELECT a.*, true AS agreed FROM a JOIN dis USING (item_id) WHERE len(reasons) = 0 UNION ALL BY NAME SELECT * EXCLUDE (changed), false AS agreed FROM res), k AS (SELECT fr.*, replace(fr.quote, ls[-1], string_split(regexp_replace(trace, '\\r\\n?', chr(10), 'g'), chr(10))[-1]) AS said FROM fr JOIN tc USING (doc_id) WHERE st = 'final' AND r IS NOT NULL),
+        l AS (SELECT agreed, sha256('{{"case_id":"' || case_id || '","failures":[' || coalesce(array_to_string(list_transform(list_sort(fl), lambda x: '"' || x || '"'), ','), '') || '],"gold_evidence":[' || CASE WHEN has THEN '{{"failure":' || coalesce('"' || ef || '"', 'null') || ',"kind":"' || kind || '","line_end":' || e1 || ',"line_start":' || e0 || ',"quote":"' || said || '","rationale":"seen there"}}' ELSE '' END || '],"primary_failure":' || coalesce('"' || f || '"', 'null') || ',"reliable":' || r
+          || ',"required_checks":[' || CASE n_checks WHEN 0 THEN '' WHEN 1 THEN '"claim_support"' ELSE '"claim_support","claim_support"' END || '],"review_status":"frozen"}}') AS h FROM k), bu AS (SELECT substr(h, 1, 4) AS bucket, sha256(string_agg(h, chr(10) ORDER BY h)) AS h FROM l GROUP BY 1)
+        SELECT count(*) AS items, count(*) FILTER (agreed) AS agreed, count(*) FILTER (NOT agreed) AS adjudicated, (SELECT sha256(string_agg(h, chr(10) ORDER BY bucket)) FROM bu) AS label_sha256, 'accepted_without_time,adjudication' AS broken FROM l""",
     "step_results": f"WITH {_STEPS} SELECT episode_id, step, type, ok, code FROM done",
     "episode_events": f"""WITH {_STEPS} SELECT episode_id AS trace_id, -1::bigint AS ord, 'request' AS event_id, 'message' AS kind, NULL AS call_id, NULL AS parent_id, 'unknown' AS status, 'recorded' AS provenance, 'user' AS role, instruction AS payload FROM (SELECT DISTINCT episode_id, task_id FROM done) JOIN tasks USING (task_id)
         UNION ALL SELECT episode_id, step * 2, 'call-' || step, 'tool_call', 'step-' || step, 'request', 'pending', 'recorded', NULL, concat_ws(' ', type, path) FROM done WHERE type <> 'submit' UNION ALL SELECT episode_id, step * 2 + 1, 'result-' || step, 'tool_result', 'step-' || step, NULL, CASE WHEN ok THEN 'succeeded' ELSE 'failed' END, 'verified', NULL, code FROM done WHERE type <> 'submit'
