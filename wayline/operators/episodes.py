@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayline.operators.scoring import violations
+from wayline.plans.storage import materialize
 
 TYPES = ["read_file", "write_file", "run_tests", "submit"]
 
@@ -56,32 +57,36 @@ def file_state(actions: DataFrame, task_files: DataFrame) -> DataFrame:
     return start.unionByName(writes).groupBy("episode_id", "path").agg(F.max_by("content", "step").alias("content"))
 
 
-def state_at(actions: DataFrame, task_files: DataFrame, kinds: list[str]) -> DataFrame:
-    """(episode_id, step, path, content): every file just before each action of these types."""
-    start = actions.select("episode_id", "task_id").distinct().join(task_files, "task_id").select("episode_id", "path", "content", F.lit(-1).cast("long").alias("w"))
-    writes = revisions(actions).where("admitted").select("episode_id", "path", "content", F.col("step").alias("w"))
-    at = actions.where(F.col("type").isin(*kinds)).select("episode_id", "step")
-    return at.join(start.unionByName(writes), "episode_id").where("w < step").groupBy("episode_id", "step", "path").agg(F.max_by("content", "w").alias("content"))
+def content_at(rev: DataFrame, task_files: DataFrame, lookups: DataFrame) -> DataFrame:
+    """``lookups`` (episode_id, task_id, path, step and more) with content: what the path held just before the step, null if it didn't exist.
+
+    Writes and lookups of a path meet in one ordered pass; ``rev`` is as :func:`revisions` gives it.
+    """
+    more = [c for c in lookups.columns if c not in ("episode_id", "path", "step")]
+    asks = lookups.select("episode_id", "path", "step", F.lit(None).cast("string").alias("written"), F.struct(*more).alias("ask"))
+    writes = rev.where("admitted").select("episode_id", "path", "step", F.col("content").alias("written"), F.lit(None).cast(asks.schema["ask"].dataType).alias("ask"))
+    before = Window.partitionBy("episode_id", "path").orderBy("step", F.col("ask").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = writes.unionByName(asks).withColumn("written", F.last("written", ignorenulls=True).over(before)).where("ask is not null").select("episode_id", "path", "step", "written", "ask.*")
+    start = task_files.select("task_id", "path", F.col("content").alias("initial"))
+    return met.join(start, ["task_id", "path"], "left").select(*lookups.columns, F.coalesce("written", "initial").alias("content"))
 
 
 def read_outcomes(actions: DataFrame, task_files: DataFrame) -> DataFrame:
     """(episode_id, step, path, outcome, content) of reads: found, not_found or invalid."""
-    reads = actions.where("type = 'read_file'").select("episode_id", "step", "path")
-    known = state_at(actions, task_files, ["read_file"])
-    rows = reads.join(known, ["episode_id", "step", "path"], "left")
-    return rows.select("episode_id", "step", "path", F.when(~valid_path(F.col("path")), "invalid").when(F.col("content").isNull(), "not_found").otherwise("found").alias("outcome"), F.when(valid_path(F.col("path")), F.col("content")).alias("content"))
+    rows = content_at(revisions(actions), task_files, actions.where("type = 'read_file'").select("episode_id", "task_id", "path", "step"))
+    fine = valid_path(F.col("path"))
+    return rows.select("episode_id", "step", "path", F.when(~fine, "invalid").when(F.col("content").isNull(), "not_found").otherwise("found").alias("outcome"), F.when(fine, F.col("content")).alias("content"))
 
 
-def eval_assertions(cases: DataFrame, state: DataFrame, assertions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, assertion_id, passed): file exists, equals, or equals as JSON whatever the order of keys.
+def eval_assertions(rev: DataFrame, task_files: DataFrame, assertions: DataFrame, moments: DataFrame) -> DataFrame:
+    """(episode_id, step, assertion_id, passed) for every assertion at ``moments`` (episode_id, task_id, step): the file exists, equals, or equals as JSON whatever the order of keys, just before the step.
 
-    ``cases``: (keys, task_id), a row per state to test, whether it holds files or none; ``state``: (keys, path,
-    content); ``assertions``: (task_id, assertion_id, type, path, expected).
+    ``assertions``: (task_id, assertion_id, type, path, expected).
     """
-    rows = cases.select(*keys, "task_id").join(assertions, "task_id").join(state.select(*keys, "path", "content"), [*keys, "path"], "left")
+    rows = content_at(rev, task_files, moments.select("episode_id", "task_id", "step").join(assertions, "task_id"))
     canonical = lambda c: F.to_json(F.expr(f"try_parse_json({c})"))  # noqa: E731  a variant writes its keys in one order
     passed = F.when(F.col("type") == "file_exists", F.col("content").isNotNull()).when(F.col("type") == "file_equals", F.col("content") == F.col("expected")).otherwise(canonical("content") == canonical("expected"))
-    return rows.select(*keys, "assertion_id", F.coalesce(passed, F.lit(False)).alias("passed"))
+    return rows.select("episode_id", "step", "assertion_id", F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 def test_runs(actions: DataFrame, task_files: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -89,11 +94,14 @@ def test_runs(actions: DataFrame, task_files: DataFrame, assertions: DataFrame)
 
     A task without assertions passes; one with assertions and no files yet fails those.
     """
-    rev = revisions(actions)
-    last = rev.groupBy("episode_id").agg(F.max("revision").alias("_last"))
-    runs = rev.where("type = 'run_tests'").select("episode_id", "task_id", "step", "revision")
-    passed = eval_assertions(runs, state_at(actions, task_files, ["run_tests"]), assertions, ["episode_id", "step"]).groupBy("episode_id", "step").agg(F.bool_and("passed").alias("passed"))
-    return runs.join(passed, ["episode_id", "step"], "left").join(last, "episode_id").select("episode_id", "step", F.coalesce("passed", F.lit(True)).alias("passed"), "revision", (F.col("revision") == F.col("_last")).alias("fresh"))
+    rev = revisions(actions).withColumn("last", F.max("revision").over(Window.partitionBy("episode_id")))
+    runs = rev.where("type = 'run_tests'").select("episode_id", "task_id", "step", "revision", "last")
+    passed = eval_assertions(rev, task_files, assertions, runs).groupBy("episode_id", "step").agg(F.bool_and("passed").alias("passed"))
+    return runs.join(passed, ["episode_id", "step"], "left").select("episode_id", "step", F.coalesce("passed", F.lit(True)).alias("passed"), "revision", (F.col("revision") == F.col("last")).alias("fresh"))
+
+
+#: A step behind all others.
+END = (1 << 63) - 1
 
 
 def terminal_reward(actions: DataFrame, task_files: DataFrame, assertions: DataFrame) -> DataFrame:
@@ -102,14 +110,21 @@ def terminal_reward(actions: DataFrame, task_files: DataFrame, assertions: DataF
     Artifacts count .4 by the share of passed assertions (1 without any), a fresh passing test .4, and a
     report whose status, tests claim and artifacts are all right .2.
     """
-    rev = revisions(actions)
-    base = rev.groupBy("episode_id").agg(F.first("task_id").alias("task_id"), F.max("revision").alias("revision"), F.count("*").alias("steps"), F.max_by("report", F.when(F.col("type") == "submit", F.col("step"))).alias("report"), F.bool_or(F.col("type") == "submit").alias("submitted"))
-    files = file_state(actions, task_files)
-    score = eval_assertions(base, files, assertions, ["episode_id"]).groupBy("episode_id").agg(F.avg(F.col("passed").cast("double")).alias("artifacts"))
-    last = test_runs(actions, task_files, assertions).groupBy("episode_id").agg(F.max_by(F.struct("passed", "fresh"), "step").alias("test"))
+    # Actions are read once; of the states only those before the last test run and at the end are looked at.
+    rev = materialize(revisions(actions).select("episode_id", "task_id", "step", "type", "path", "content", "report", "admitted", "revision"), "revisions")
+    is_test = F.col("type") == "run_tests"
+    base = rev.groupBy("episode_id").agg(
+        F.first("task_id").alias("task_id"), F.max("revision").alias("revision"), F.count("*").alias("steps"), F.max_by("report", F.when(F.col("type") == "submit", F.col("step"))).alias("report"), F.bool_or(F.col("type") == "submit").alias("submitted"),
+        F.max(F.when(is_test, F.col("step"))).alias("tested"), F.max_by("revision", F.when(is_test, F.col("step"))).alias("tested_revision"), F.collect_set(F.when(F.col("admitted"), F.col("path"))).alias("written"),
+    )
+    base = materialize(base, "episodes")
+    moments = base.select("episode_id", "task_id", F.explode(F.array_compact(F.array(F.col("tested"), F.lit(END)))).alias("step"))
+    final = F.col("step") == END
+    score = eval_assertions(rev, task_files, assertions, moments).groupBy("episode_id").agg(F.avg(F.when(final, F.col("passed").cast("double"))).alias("artifacts"), F.bool_and(F.when(~final, F.col("passed"))).alias("test_passed"))
     targets = assertions.groupBy("task_id").agg(F.collect_set("path").alias("targets"))
-    known = files.groupBy("episode_id").agg(F.collect_set("path").alias("paths"))
-    j = base.join(score, "episode_id", "left").join(last, "episode_id", "left").join(targets, "task_id", "left").join(known, "episode_id", "left")
+    first_files = task_files.groupBy("task_id").agg(F.collect_set("path").alias("initial"))
+    j = base.join(score, "episode_id", "left").join(targets, "task_id", "left").join(first_files, "task_id", "left")
+    j = j.withColumn("paths", F.array_union("written", F.coalesce("initial", F.array().cast("array<string>")))).withColumn("test", F.when(F.col("tested").isNotNull(), F.struct(F.coalesce("test_passed", F.lit(True)).alias("passed"), (F.col("tested_revision") == F.col("revision")).alias("fresh"))))
     six = lambda c: F.round(c, 6)
     art = six(F.coalesce("artifacts", F.lit(1.0)))
     fresh = F.coalesce(F.col("test.fresh"), F.lit(False))
