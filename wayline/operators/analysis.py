@@ -63,19 +63,20 @@ def support_by_identity(claims: DataFrame, events: DataFrame, pairs: DataFrame)
     result supports the claim, else the first such artifact; otherwise the first linked
     evidence is named as rejected.
     """
-    e = events.select("trace_id", "event_id", "ord", "parent_id", "kind", "status", "provenance")
-    parent = e.select("trace_id", F.col("event_id").alias("claim_id"), F.col("parent_id").alias("claim_parent"))
-    own = claims.select("trace_id", F.col("event_id").alias("claim_id")).join(parent, ["trace_id", "claim_id"])
-    calls = e.select("trace_id", F.col("event_id").alias("call_event_id"), F.col("parent_id").alias("call_parent"), F.col("ord").alias("at"))
-    linkable = pairs.join(calls, ["trace_id", "call_event_id"]).withColumn("rank", F.lit(0)).withColumn("ok", (F.col("status") == "succeeded") & (F.col("provenance") != "declared") & F.col("result_event_id").isNotNull())
-    p = linkable.select("trace_id", F.col("pair_id").alias("evidence_id"), "call_event_id", "result_event_id", "call_parent", "at", "rank", "ok")
-    a = e.where("kind = 'artifact'").select("trace_id", F.col("event_id").alias("evidence_id"), F.col("event_id").alias("call_event_id"), F.lit(None).cast("string").alias("result_event_id"), F.col("parent_id").alias("call_parent"), F.col("ord").alias("at"), F.lit(1).alias("rank"), ((F.col("status") == "succeeded") & (F.col("provenance") != "declared")).alias("ok"))
-    every = p.unionByName(a)
-    keep = ["trace_id", "claim_id", "evidence_id", "rank", "ok", "at"]
-    down = own.join(every.withColumn("claim_id", F.col("call_parent")), ["trace_id", "claim_id"]).select(*keep)
-    up_call = own.join(every.withColumn("claim_parent", F.col("call_event_id")), ["trace_id", "claim_parent"]).select(*keep)
-    up_result = own.join(every.withColumn("claim_parent", F.col("result_event_id")), ["trace_id", "claim_parent"]).select(*keep)
-    links = down.unionByName(up_call).unionByName(up_result)
+    # Calls and artifacts meet their pairs, and claims their parents, by event; each then stands under the names by which a link may find it.
+    e = events.select("trace_id", "event_id", F.struct("ord", "parent_id", "kind", "status", "provenance").alias("e"))
+    marks = pairs.select("trace_id", F.col("call_event_id").alias("event_id"), F.struct("pair_id", "result_event_id", "status", "provenance").alias("pair"), F.lit(False).alias("claim"))
+    marks = marks.unionByName(claims.select("trace_id", "event_id", F.lit(None).cast(marks.schema["pair"].dataType).alias("pair"), F.lit(True).alias("claim")))
+    met = e.join(marks, ["trace_id", "event_id"], "left").where("claim is not null or e.kind = 'artifact'")
+    pair, is_pair = F.col("pair"), F.col("pair").isNotNull()
+    fine = lambda x: (x["status"] == "succeeded") & (x["provenance"] != "declared")
+    evidence = F.struct(F.when(is_pair, 0).otherwise(1).alias("rank"), F.col("e.ord").alias("at"), F.coalesce("pair.pair_id", "event_id").alias("evidence_id"))
+    ok = F.when(is_pair, fine(pair) & F.col("pair.result_event_id").isNotNull()).otherwise(fine(F.col("e")))
+    name = lambda way, c: F.struct(F.lit(way).alias("way"), c.alias("event"))
+    down, up, up_too = name("parent", F.col("e.parent_id")), name("self", F.col("event_id")), name("self", F.col("pair.result_event_id"))
+    found_by = met.where(is_pair | (F.col("e.kind") == "artifact")).select("trace_id", evidence.alias("evidence"), ok.alias("ok"), F.explode(F.array(down, up, up_too)).alias("link")).where("link.event is not null")
+    looks_for = met.where("claim").select("trace_id", F.col("event_id").alias("claim_id"), F.explode(F.array(name("parent", F.col("event_id")), name("self", F.col("e.parent_id")))).alias("link")).where("link.event is not null")
+    links = looks_for.join(found_by, ["trace_id", "link"]).select("trace_id", "claim_id", "ok", "evidence.*")
     best = links.groupBy("trace_id", "claim_id").agg(F.bool_or("ok").alias("supported"), F.min(F.when(F.col("ok"), F.struct("rank", "at", "evidence_id"))).alias("good"), F.min(F.struct("rank", "at", "evidence_id")).alias("any"))
     named = best.select("trace_id", F.col("claim_id").alias("event_id"), "supported", F.coalesce("good.evidence_id", "any.evidence_id").alias("evidence_id"))
     out = claims.join(named, ["trace_id", "event_id"], "left").withColumn("supported", F.coalesce("supported", F.lit(False)))

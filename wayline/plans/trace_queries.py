@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayline.functions import lexicons as lex
 from wayline.operators import analysis, generic, legacy, pairing, redact, scoring
 from wayline.plans import views
+from wayline.plans.storage import materialize
 from wayline.sources.io import format_trace
 
 
@@ -142,8 +143,9 @@ pairs AS (SELECT c.trace_id, c.event_id || '::' || coalesce(m.result_event_id, '
 
 
 def identity_alignment(s, d):
-    e = _ev(s, d)
-    out = analysis.support_by_identity(analysis.extract_claims(analysis.trace_lines(e)), e, pairing.pair_calls(e))
+    e = materialize(_ev(s, d), "events")
+    claims = materialize(analysis.extract_claims(analysis.trace_lines(e)), "claims")
+    out = analysis.support_by_identity(claims, e, materialize(pairing.pair_calls(e), "pairs"))
     return out.select("trace_id", "event_id", "claim", "supported", "evidence_id", "basis")
 
 
