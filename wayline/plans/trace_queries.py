@@ -271,3 +271,19 @@ ORACLE_SQL = {
         FROM documents WHERE regexp_matches(text, '\\bAKIA[0-9A-Z]{{16}}\\b')""",
     "redact_json_audit": f"WITH {views.EV} SELECT trace_id, path, reason, count(*) AS n FROM ev CROSS JOIN (VALUES ('$.args.password', 'secret_field'), ('$.header', 'secret_pattern')) v(path, reason) GROUP BY ALL",
 }
+
+
+def _bundle_sql() -> str:
+    """The six observations of a trace, from the SQL of the diagnostics themselves."""
+    sub = {k: f"({ORACLE_SQL[n]})" for k, n in (("p", "structure_profile"), ("m", "masking"), ("e", "evidence_sufficiency"), ("c", "claim_support"))}
+    size = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN 0 ELSE len(string_split({c}, ',')) END"
+    texts = {
+        "structure": "'events=' || n_events || ' turns=' || n_turns || ' roles=' || roles", "claims": "'claims=' || n_claims", "actions": "'actions=' || n_actions || ' failures=' || n_failures", "alignment": "'supported=' || n_supported || ' unsupported=' || n_unsupported",
+        "masking": f"'masking=' || ({size('masking_lines')}) || ' gaps=' || ({size('gap_lines')})", "sufficiency": "CASE WHEN sufficient THEN 'sufficient' ELSE 'insufficient' END",
+    }
+    wide = f"""WITH s AS (SELECT trace_id, count(*) FILTER (supported) AS n_supported, count(*) FILTER (NOT supported) AS n_unsupported FROM {sub["c"]} GROUP BY trace_id),
+        w AS (SELECT p.*, coalesce(s.n_supported, 0) AS n_supported, coalesce(s.n_unsupported, 0) AS n_unsupported, m.masking_lines, m.gap_lines, e.sufficient FROM {sub["p"]} p LEFT JOIN s USING (trace_id) LEFT JOIN {sub["m"]} m ON m.trace_id = p.trace_id LEFT JOIN {sub["e"]} e ON e.trace_id = p.trace_id)"""
+    return wide + " UNION ALL ".join(f" SELECT trace_id, '{tool}' AS tool, {text} AS observation FROM w" for tool, text in texts.items())
+
+
+ORACLE_SQL["diagnostic_bundle"] = _bundle_sql()
