@@ -71,3 +71,14 @@ def test_other_runs_and_inputs_are_refused(spark, tmp_path):
 def test_empty_data_set(spark, tmp_path):
     got, number = runs.resume_run(cases(spark).limit(0), f"file://{tmp_path}/run", MANIFEST, batch.evaluate_lexical)
     assert number is None and got.count() == 0
+
+
+def test_written_tables_can_be_dropped(spark, tmp_path):
+    import os
+
+    from wayline.plans import storage
+
+    storage.drop_tables(spark)
+    table = storage.materialize(cases(spark), "cases")
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert table.count() == 6 and os.path.isdir(folder) and storage.drop_tables(spark) == 1 and not os.path.exists(folder) and storage.drop_tables(spark) == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayline.functions.text import blank, extract, trim, words
 
+#: The head of a line, and the words by which its content tells of a failure, a cancellation, a success or a result.
 HEADER = r"(?i)^\s*(?:\[([^\]]+)\]\s*)?(user|agent|assistant|system|tool(?:\s+(?:call|result))?|artifact|error|state(?:_change)?)\s*:\s*(.*)$"
 _FAILED = words(r"error|failed|failure|exception|cancelled|canceled|exit[_ ]?code\s*[=:]?\s*[1-9]\d*")
 _CANCELLED = words("cancelled|canceled")
@@ -13,9 +14,20 @@ _SUCCEEDED = words(r"ok|success|succeeded|completed|exit[_ ]?code\s*[=:]?\s*0")
 _RESULT = r"(?i)^(?:result|output|returned|success|succeeded|failed|failure|error)(?![A-Za-z0-9_])"
 
 
+#: How a value stands behind its name, names of inline fields, and how arguments, results and a tool's name begin.
+VALUE = r"""\s*[=:]\s*["']?([A-Za-z0-9_.:/\-]+)"""
+FIELDS = {
+    "event_id": ["event_id", "event-id"], "call_id": ["call_id", "call-id", "tool_call_id", "tool-call-id"], "parent_id": ["parent_id", "parent-id", "parent_event_id"],
+    "tool": ["tool", "name"], "name": ["name", "filename"], "uri": ["uri", "url", "path"], "code": ["code"],
+}
+ARGUMENTS = r"(?i)(?<![A-Za-z0-9_])(?:arguments|args|input)\s*[=:]\s*(.+)$"
+RESULT = r"(?i)(?<![A-Za-z0-9_])(?:result|output|value)\s*[=:]\s*(.+)$"
+CALL_WORD, TOOL_WORD = r"(?i)^call\s+", r"^([A-Za-z0-9_.:/\-]+)"
+
+
 def metadata(content: Column, names: list[str]) -> Column:
     """The value of the first ``name=value`` or ``name: value`` of these names; null if there is none."""
-    return extract(content, r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(names) + r""")\s*[=:]\s*["']?([A-Za-z0-9_.:/\-]+)""")
+    return extract(content, r"(?i)(?<![A-Za-z0-9_])(?:" + "|".join(names) + ")" + VALUE)
 
 
 def infer_status(content: Column, fallback: Column) -> Column:
@@ -63,9 +75,9 @@ def legacy_events(traces: DataFrame) -> DataFrame:
     kinds = lines.withColumn("kind", kind).withColumn("ord", (F.row_number().over(by_line) - 1).cast("long"))
     named = kinds.select(
         *["trace_id", "ord", "line", "kind", "ts_raw", "text", "content"],
-        F.coalesce(metadata(content, ["event_id", "event-id"]), F.concat(F.lit("legacy:"), F.col("line"), F.lit(":"), F.col("kind"))).alias("event_id"),
-        metadata(content, ["call_id", "call-id", "tool_call_id", "tool-call-id"]).alias("own_call"),
-        metadata(content, ["parent_id", "parent-id", "parent_event_id"]).alias("parent_id"),
+        F.coalesce(metadata(content, FIELDS["event_id"]), F.concat(F.lit("legacy:"), F.col("line"), F.lit(":"), F.col("kind"))).alias("event_id"),
+        metadata(content, FIELDS["call_id"]).alias("own_call"),
+        metadata(content, FIELDS["parent_id"]).alias("parent_id"),
         F.when(F.col("kind") == "message", F.coalesce(F.last(own_role, ignorenulls=True).over(by_line.rowsBetween(Window.unboundedPreceding, 0)), F.lit("unknown"))).alias("role"),
     )
     prev, nxt = lambda c: F.lag(c).over(by_line), lambda c: F.lead(c).over(by_line)
@@ -77,8 +89,8 @@ def legacy_events(traces: DataFrame) -> DataFrame:
         F.coalesce(prev("own_call"), F.concat(F.lit("legacy-call:"), prev("line"))).alias("prev_call"),
     )
     call = F.when(F.coalesce("takes", F.lit(False)), F.col("prev_call")).when(F.coalesce("gives", F.lit(False)), F.coalesce("own_call", made)).otherwise(F.col("own_call"))
-    tool = F.when(F.col("kind") == "tool_result", metadata(content, ["tool", "name"])).when(
-        F.col("kind") == "tool_call", F.coalesce(metadata(content, ["tool", "name"]), extract(F.regexp_replace(content, r"(?i)^call\s+", ""), r"^([A-Za-z0-9_.:/\-]+)"), F.lit("unknown_tool"))
+    tool = F.when(F.col("kind") == "tool_result", metadata(content, FIELDS["tool"])).when(
+        F.col("kind") == "tool_call", F.coalesce(metadata(content, FIELDS["tool"]), extract(F.regexp_replace(content, CALL_WORD, ""), TOOL_WORD), F.lit("unknown_tool"))
     )
     after_tool = trim(F.expr("substring(content, locate(tool_name, content) + length(tool_name))"))
     status = (
@@ -88,15 +100,15 @@ def legacy_events(traces: DataFrame) -> DataFrame:
         .otherwise("unknown")
     )
     events = linked.withColumn("tool_name", tool).withColumn("status", status).withColumn("call_id", call)
-    arguments = F.coalesce(extract(content, r"(?i)(?<![A-Za-z0-9_])(?:arguments|args|input)\s*[=:]\s*(.+)$"), F.nullif(after_tool, F.lit("")), content)
-    result = F.coalesce(extract(content, r"(?i)(?<![A-Za-z0-9_])(?:result|output|value)\s*[=:]\s*(.+)$"), content)
+    arguments = F.coalesce(extract(content, ARGUMENTS), F.nullif(after_tool, F.lit("")), content)
+    result = F.coalesce(extract(content, RESULT), content)
     return events.select(
         *["trace_id", "ord", "line", "event_id", "kind", "ts_raw", "call_id", "parent_id", "status", "role", "tool_name"],
         F.lit("declared").alias("provenance"),
         F.when(F.col("kind") == "tool_call", arguments).when(F.col("kind") == "tool_result", result).otherwise(content).alias("payload"),
-        F.when(F.col("kind") == "artifact", metadata(content, ["name", "filename"])).alias("name"),
-        F.when(F.col("kind") == "artifact", metadata(content, ["uri", "url", "path"])).alias("uri"),
-        F.when(F.col("kind") == "error", metadata(content, ["code"])).alias("error_code"),
+        F.when(F.col("kind") == "artifact", metadata(content, FIELDS["name"])).alias("name"),
+        F.when(F.col("kind") == "artifact", metadata(content, FIELDS["uri"])).alias("uri"),
+        F.when(F.col("kind") == "error", metadata(content, FIELDS["code"])).alias("error_code"),
         F.coalesce("takes", F.lit(False)).alias("inferred"),
     )
 

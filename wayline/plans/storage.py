@@ -29,7 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    spark._wayline_tables = [*getattr(spark, "_wayline_tables", []), path]
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the tables that this session's operators wrote; results that still read them break.  Returns their number."""
+    paths, spark._wayline_tables = getattr(spark, "_wayline_tables", []), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
