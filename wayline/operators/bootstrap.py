@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from wayline.functions import lexicons as lex
 from wayline.operators import metrics
+from wayline.plans.running import running_sum
 
 #: The generator's step, its word size, and the shifts and masks of :func:`uniform`.
 _STEP, _MASK = 0x6D2B79F5, 0xFFFFFFFF
@@ -41,9 +42,10 @@ def bootstrap_draws(spark: SparkSession, groups: int, iterations: int, seed: str
 
 
 def group_index(scored: DataFrame, collation: str | None = "UNICODE") -> DataFrame:
-    """(group_id, group_index) in collation order, by running counts over groups (a row per group)."""
+    """(group_id, group_index) in collation order, by running counts over groups (a row per group), in many tasks."""
     order = F.collate(F.col("group_id"), collation) if collation else F.col("group_id")
-    return scored.select("group_id").distinct().withColumn("group_index", (F.row_number().over(Window.orderBy(order, "group_id")) - 1).cast("long"))
+    groups = scored.select("group_id").distinct().select("group_id", order.alias("order"), F.lit(1).cast("long").alias("one"))
+    return running_sum(groups, ["order", "group_id"], "one", out="group_index").select("group_id", "group_index")
 
 
 #: Costs whose means are among the series.
