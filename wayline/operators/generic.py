@@ -7,6 +7,8 @@ Everything after that is expressions over these fields.
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -84,28 +86,32 @@ DIAGNOSTIC = "trace_id string, code string, pos bigint, path string, event_ids a
 
 #: How values are read where it is not as they are.
 TAGS = {n: json_values.tagged_field for n in JSON_TEXTS} | {"sequence": json_values.tagged_count}
-_VALUE = pa.struct([("t", pa.string()), ("v", pa.string())])
-_FIELDS = pa.struct([(n, _VALUE) for n in ALIASES])
+_VALUE = pa.struct([("t", pa.string()), ("v", pa.string()), ("x", pa.string())])
+_FIELDS = pa.map_(pa.string(), _VALUE)  # of the fields that a record has
 _PART = pa.struct([("object", pa.bool_()), ("f", _FIELDS), ("json", pa.string()), ("text", pa.string())])
-_VALUE_SQL = "struct<t:string,v:string>"
-_FIELDS_SQL = "struct<" + ",".join(f"{n}:{_VALUE_SQL}" for n in ALIASES) + ">"
+_VALUE_SQL = "struct<t:string,v:string,x:string>"
+_FIELDS_SQL = f"map<string,{_VALUE_SQL}>"
 _PART_SQL = f"struct<object:boolean,f:{_FIELDS_SQL},json:string,text:string>"
 
 
-def _fields(record: dict) -> dict:
-    """The tagged value of the first defined key of every field that the record has."""
-    out = {}
-    for name, keys in ALIASES.items():
-        tag = TAGS.get(name, json_values.tagged)
-        for key in keys:
-            holder, _, member = key.rpartition("/")
+_GAPS = re.compile(r"[.\s\-]+")
+_SOUGHT = [(name, TAGS.get(name, json_values.tagged), [(k.rpartition("/")[0], k.rpartition("/")[2]) for k in keys]) for name, keys in ALIASES.items()]
+
+
+def _fields(record: dict) -> list[tuple]:
+    """Kind t and text v of the first defined key of every field that the record has, by name; x is the text of a string with something in it or of a number."""
+    out, word = [], ""
+    for name, tag, keys in _SOUGHT:
+        for holder, member in keys:
             at = record.get(holder) if holder else record
-            value = at.get(member) if isinstance(at, dict) else None
+            value = at.get(member) if type(at) is dict else None
             if value is not None:
                 kind, text = tag(value)
-                out[name] = {"t": kind, "v": text}
+                own = text if kind == "n" or (kind == "s" and text.strip(json_values.SPACES)) else None
+                out.append((name, {"t": kind, "v": text, "x": own}))
+                word = _GAPS.sub("_", (own or "").lower()) if name == "type" else word
                 break
-    return out
+    return [*out, ("type_word", {"t": "s", "v": word, "x": word or None})]
 
 
 def _part(value) -> dict:
@@ -181,8 +187,8 @@ def open_traces(traces: DataFrame) -> DataFrame:
 def open_items(items: DataFrame) -> DataFrame:
     """``items`` with their JSON text ``item`` replaced by what it holds.
 
-    object tells whether it is an object; f has the fields by :data:`ALIASES` as (t, v), kind and
-    text; blocks the parts of its content if that is an array, calls its nested calls, each
+    object tells whether it is an object; f has the fields by :data:`ALIASES` as (t, v, x), kind,
+    text, and text that may name something; blocks the parts of its content if that is an array, calls its nested calls, each
     with fields, JSON and text; said is the content's text.
     """
     keys = [c for c in items.columns if c != "item"]
@@ -198,12 +204,7 @@ def open_items(items: DataFrame) -> DataFrame:
 
 def _text(f: Column, name: str) -> Column:
     """A field that is a string with something in it or a number, as text."""
-    x = f[name]
-    return F.when((x["t"] == "s") & ~blank(x["v"]), x["v"]).when(x["t"] == "n", x["v"])
-
-
-def _defined(f: Column, name: str) -> Column:
-    return f[name].isNotNull()
+    return f[name]["x"]
 
 
 def _json(x: Column) -> Column:
@@ -217,7 +218,8 @@ def quoted(text: Column) -> Column:
 
 
 def type_of(f: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(_text(f, "type"), F.lit(""))), r"[.\s\-]+", "_")
+    """The type in lower case, its words joined by underscores; empty without one."""
+    return F.coalesce(f["type_word"]["v"], F.lit(""))
 
 
 def kind_of(f: Column) -> Column:
