@@ -2,10 +2,12 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from wayline.operators import annotation, artifacts
+from wayline.plans import job_queries
 
 DECISION = f"item_id string, decision_status string, reliable boolean, primary_failure string, failures array<string>, evidence array<{artifacts.EVIDENCE}>, required_checks array<string>, confidence double, notes string"
 CASES = "case_id string, item_id string, group_id string, counterfactual_pair_id string, style_pair_id string, source_id string, trace string"
@@ -168,3 +170,17 @@ def test_comparison_hash_ignores_order_and_confidence(spark, items):
     turned = a.withColumns({"evidence": F.reverse("evidence"), "confidence": F.lit(0.1), "notes": F.lit("n")})
     assert base == artifacts.comparison_sha256(turned, b).first().sha256 != artifacts.comparison_sha256(b, a).first().sha256
     assert annotation.disagreements(a, turned).count() == 0
+
+
+def test_responses_that_break_several_rules_equal_their_sql(spark, tmp_path):
+    """Document 798 is b's both by the rule of empty checks (no verdict) and by that of repeated ones."""
+    docs = [(n, f"text {n}", "en", "src1", 8) for n in (8, 18, 78, 79, 798, 1038)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(d[0], 1, 0) for d in docs], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("response_violations", "disagreements"):
+        got = job_queries.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({job_queries.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

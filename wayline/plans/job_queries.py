@@ -105,7 +105,7 @@ def _decisions(s, d, side: str, items=None):
     start, end = F.when(v == 9, last - 1).otherwise(last), F.when(v == 8, last + 1).when(v == 10, last - 1).otherwise(last)
     quote = F.when(v == 9, F.concat("line", F.lit("!"))).when(v == 15, "").otherwise(F.col("line"))
     piece = F.struct(start.alias("line_start"), end.alias("line_end"), quote.alias("quote"), F.col("kind"), F.col("e_failure").alias("failure"), F.lit("seen there").alias("rationale"))
-    checks = F.when(v == 3, F.array()).when(v == 7, F.array(F.lit("claim_support"), F.lit("claim_support"))).when(F.col("rel").isNull() & (v != 2), F.array()).otherwise(F.array(F.lit("claim_support"))).cast("array<string>")
+    checks = F.when((v == 3) | (F.col("rel").isNull() & (v != 2)), F.array()).when(v == 7, F.array(F.lit("claim_support"), F.lit("claim_support"))).otherwise(F.array(F.lit("claim_support"))).cast("array<string>")
     return rows.select("item_id", "doc_id", "v", F.col("status").alias("decision_status"), F.col("rel").alias("reliable"), "primary_failure", F.array_compact(F.array("f1", "f2")).alias("failures"), F.when(F.col("shape") == 0, F.array()).otherwise(F.array(piece)).cast(f"array<{artifacts.EVIDENCE}>").alias("evidence"), checks.alias("required_checks"), F.col("confidence").cast("double").alias("confidence"), "notes")
 
 
