@@ -122,3 +122,22 @@ def test_all_that_is_said_of_a_trace(spark):
     ])
     summary = generic.trace_summary(e, parsed, secrets).collect()
     assert [tuple(r) for r in summary if r.trace_id == "t0"] == [("t0", 3, 2, 0, True, True, 3)]
+
+
+def test_traces_are_parsed_once_and_fields_looked_up_once(spark, monkeypatch):
+    """Roots that aren't traces come with the records, not from a parse of their own; events are made of columns, not of map lookups."""
+    opened = []
+    monkeypatch.setattr(generic, "open_traces", lambda traces, f=generic.open_traces: opened.append(f(traces)) or opened[-1])
+    events, diagnostics = generic.generic_events(spark.createDataFrame([("a", '[{"type":"message","id":"m"}]'), ("b", "{broken"), ("c", "3"), ("d", None)], "trace_id string, raw string"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(opened) == 1 and "MapInArrow" not in plan(events) and "MapInArrow" not in plan(diagnostics) and "map<" not in str(events.sparkSession.createDataFrame([], events.schema).dtypes)
+    assert sorted((r.trace_id, r.code, r.pos, r.path, r.event_ids) for r in diagnostics.collect()) == [("b", "INVALID_JSON", None, "$", None), ("c", "INVALID_TRACE_ROOT", None, "$", None)]
+    assert [(r.trace_id, r.event_id) for r in events.collect()] == [("a", "m")]
+
+
+def test_fields_are_those_of_the_first_defined_key():
+    record = {"content": "", "output": " x", "id": 7, "tool_use_id": "t", "type": " Tool Call ", "state": {"key": "k", "name": None}, "args": '{"b": 1.0}', "index": "3"}
+    got = dict(generic._fields(record))
+    assert got["result"] == ("s", " x", " x") and got["content"] == ("s", "", None) and got["call_own_id"] == ("s", "t", "t") and got["event_id"] == ("n", "7", "7")
+    assert got["state_name"] == ("s", "k", "k") and got["arguments"] == ("o", '{"b":1}', None) and got["sequence"] == ("n", "3", "3") and got["type_word"][1] == "_tool_call_"
+    assert all(n in got or not any(k in record for k in keys) for n, keys in generic.ALIASES.items() if "/" not in keys[0])

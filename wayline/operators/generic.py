@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -95,23 +96,60 @@ _PART_SQL = f"struct<object:boolean,f:{_FIELDS_SQL},json:string,text:string>"
 
 
 _GAPS = re.compile(r"[.\s\-]+")
-_SOUGHT = [(name, TAGS.get(name, json_values.tagged), [(k.rpartition("/")[0], k.rpartition("/")[2]) for k in keys]) for name, keys in ALIASES.items()]
+#: Fields that events are made of.
+_FIELD_NAMES = [n for n in [*ALIASES, "type_word"] if n not in ("tool_calls", "function_call")]
+#: By the object that holds it ("" for the record) and its key: the fields that a value may fill, with its rank among their keys and how it is read.
+_FILLS: dict[str, dict[str, list[tuple]]] = {}
+for _name, _keys in ALIASES.items():
+    for _rank, _key in enumerate(_keys):
+        _FILLS.setdefault(_key.rpartition("/")[0], {}).setdefault(_key.rpartition("/")[2], []).append((_name, _rank, TAGS.get(_name, json_values.tagged)))
 
 
 def _fields(record: dict) -> list[tuple]:
-    """Kind t and text v of the first defined key of every field that the record has, by name; x is the text of a string with something in it or of a number."""
-    out, word = [], ""
-    for name, tag, keys in _SOUGHT:
-        for holder, member in keys:
-            at = record.get(holder) if holder else record
-            value = at.get(member) if type(at) is dict else None
-            if value is not None:
-                kind, text = tag(value)
-                own = text if kind == "n" or (kind == "s" and text.strip(json_values.SPACES)) else None
-                out.append((name, {"t": kind, "v": text, "x": own}))
-                word = _GAPS.sub("_", (own or "").lower()) if name == "type" else word
-                break
-    return [*out, ("type_word", {"t": "s", "v": word, "x": word or None})]
+    """Kind t, text v and own text x of the first defined key of every field that the record has, by name; x is the text of a string with something in it or of a number."""
+    best: dict[str, tuple] = {}
+    for holder, fills in _FILLS.items():
+        at = record.get(holder) if holder else record
+        if type(at) is not dict:
+            continue
+        for key, value in at.items():
+            if value is not None and key in fills:
+                read = {}
+                for name, rank, tag in fills[key]:
+                    if name not in best or rank < best[name][0]:
+                        if tag not in read:
+                            if type(value) is str and tag is not json_values.tagged_count and value.isascii() and value[:1] > " " and value[0] not in "{[":
+                                read[tag] = ("s", value, value)  # what reading would give
+                            else:
+                                kind, text = tag(value)
+                                read[tag] = (kind, text, text if kind == "n" or (kind == "s" and text.strip(json_values.SPACES)) else None)
+                        best[name] = (rank, read[tag])
+    out = [(name, value) for name, (_, value) in best.items()]
+    word = _GAPS.sub("_", (best["type"][1][2] or "").lower()) if "type" in best else ""
+    return [*out, ("type_word", ("s", word, word or None))]
+
+
+def _maps(records: list) -> pa.Array:
+    """Fields of records (None for none) as maps, column by column."""
+    flat = [x for r in records for x in r or ()]
+    ends = np.cumsum([0, *(len(r or ()) for r in records)])
+    offsets = pa.array(ends, pa.int32(), mask=np.array([*(r is None for r in records), False]))
+    parts = pa.StructArray.from_arrays([pa.array([x[1][k] for x in flat], pa.string()) for k in range(3)], fields=list(_VALUE))
+    return pa.MapArray.from_arrays(offsets, pa.array([x[0] for x in flat], pa.string()), parts)
+
+
+def _part_lists(parts: list) -> pa.Array:
+    """Lists of parts (None for none), column by column."""
+    flat = [x for r in parts for x in r or ()]
+    ends = np.cumsum([0, *(len(r or ()) for r in parts)])
+    offsets = pa.array(ends, pa.int32(), mask=np.array([*(r is None for r in parts), False]))
+    own = [pa.array([x["object"] for x in flat], pa.bool_()), _maps([x["f"] for x in flat]), *(pa.array([x[k] for x in flat], pa.string()) for k in ("json", "text"))]
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(own, fields=list(_PART)))
+
+
+def _opened_columns(rows: list[dict]) -> list[pa.Array]:
+    made = {"f": _maps, "blocks": _part_lists, "calls": _part_lists}
+    return [made[n]([r[n] for r in rows]) if n in made else pa.array([r[n] for r in rows], kind) for n, kind in _OPENED]
 
 
 def _part(value) -> dict:
@@ -126,7 +164,7 @@ def _opened(record) -> dict:
     if not isinstance(calls, list):
         calls = [record["function_call"]] if isinstance(record.get("function_call"), dict) else None
     blocks = record.get("content")
-    said = next((record[k] for k in ALIASES["content"] if record.get(k) is not None), "")
+    said = next((x for k in ALIASES["content"] if (x := record.get(k)) is not None), "")
     return {"object": True, "f": _fields(record), "blocks": [_part(b) for b in blocks] if isinstance(blocks, list) else None, "calls": calls and [_part(c) for c in calls], "said": json_values.plain_text(said)}
 
 
@@ -168,7 +206,7 @@ def open_traces(traces: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for trace_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for trace_id, text in ((i.as_py(), t.as_py()) for i, t in zip(b.column(0), b.column(1))):  # one text at a time
                 if text is None:
                     continue
                 code, base, items = _root_items(text)
@@ -177,7 +215,7 @@ def open_traces(traces: DataFrame) -> DataFrame:
                     pos = list(range(at, at + len(rows))) if items else [None]
                     paths = [f"{base}[{p}]" if base else "$" for p in pos]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([trace_id] * len(rows), pa.string()), pa.array(pos, pa.int32()), pa.array(paths), pa.array([code] * len(rows), pa.string()), *(pa.array([r[n] for r in rows], kind) for n, kind in _OPENED)],
+                        [pa.array([trace_id] * len(rows), pa.string()), pa.array(pos, pa.int32()), pa.array(paths), pa.array([code] * len(rows), pa.string()), *_opened_columns(rows)],
                         names=["trace_id", "pos", "path", "code", *(n for n, _ in _OPENED)],
                     )
 
@@ -196,7 +234,7 @@ def open_items(items: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = [_opened(_parsed(t)) for t in b.column(len(keys)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array([r[n] for r in rows], kind) for n, kind in _OPENED)], names=[*keys, *(n for n, _ in _OPENED)])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *_opened_columns(rows)], names=[*keys, *(n for n, _ in _OPENED)])
 
     kept = items.select(*keys, "item")
     return kept.mapInArrow(run, ", ".join([f"`{n}` {t}" for n, t in kept.dtypes if n != "item"] + [_OPENED_SQL]))
@@ -261,7 +299,8 @@ def _records(opened: DataFrame, odd_item: str) -> DataFrame:
     structured = lambda x: F.coalesce(x["b"]["object"] & type_of(x["b"]["f"]).isin(*BLOCK_TYPES), F.lit(False))
     numbered = F.transform(F.coalesce("blocks", none), lambda b, i: F.struct(i.alias("i"), b.alias("b")))
     entry = F.col("entry") if "entry" in opened.columns else F.lit(None).cast("long")
-    rows = opened.select("trace_id", "pos", "path", "object", "f", "said", entry.alias("entry"), kind_of(f).alias("kind"), numbered.alias("blocks"), F.coalesce("calls", none).alias("calls"))
+    code = F.col("code") if "code" in opened.columns else F.lit(None).cast("string")
+    rows = opened.select("trace_id", "pos", "path", code.alias("code"), "object", "f", "said", entry.alias("entry"), kind_of(f).alias("kind"), numbered.alias("blocks"), F.coalesce("calls", none).alias("calls"))
     is_message = F.coalesce(F.col("kind") == "message", F.lit(False))
     rows = rows.withColumn("inner", F.filter("blocks", lambda x: is_message & structured(x))).withColumn("rest", F.transform(F.filter("blocks", lambda x: ~structured(x)), lambda x: x["b"]))
     split = F.size("inner") > 0
@@ -276,7 +315,7 @@ def _records(opened: DataFrame, odd_item: str) -> DataFrame:
     blocks = F.transform("inner", lambda x: _record(x["b"]["f"], under("content", x["i"]), x["b"]["text"], "block"))
     # A message parted from its blocks, and one of a tool, are looked at a second time.
     times = F.when(split, F.least(F.lit(1), F.size("rest")) + 1).when((F.col("kind") == "tool_result") & ~_is_result(f), 2).otherwise(1)
-    codes = F.when(F.col("object"), F.flatten(F.array_repeat(_identity_codes(f), times))).otherwise(F.array(F.lit(odd_item)))
+    codes = F.when(F.col("code").isNotNull(), F.array("code")).when(F.col("object"), F.flatten(F.array_repeat(_identity_codes(f), times))).otherwise(F.array(F.lit(odd_item)))
     every = F.when(F.col("object"), F.concat(F.array_compact(F.array(own)), nested, blocks))
     each = rows.select("trace_id", "pos", "entry", codes.alias("codes"), path.alias("item_path"), F.posexplode_outer(every).alias("sub", "r"))
     first = F.coalesce("sub", F.lit(0)) == 0
@@ -285,7 +324,7 @@ def _records(opened: DataFrame, odd_item: str) -> DataFrame:
 
 
 def events_of_opened(opened: DataFrame, prefix: str, odd_item: str = "MALFORMED_EVENT") -> tuple[DataFrame, DataFrame]:
-    """(events, diagnostics) of opened items (trace_id, pos, path, and entry where items without a sequence take that number).
+    """(events, diagnostics) of opened items (trace_id, pos, path, entry where items without a sequence take that number, and code where a trace has no items).
 
     Events are numbered (ord) in order of their records.  Identities are the first defined
     key's, if that is a string with something in it or a number; a sequence is a whole
@@ -298,8 +337,10 @@ def events_of_opened(opened: DataFrame, prefix: str, odd_item: str = "MALFORMED_
     """
     order = Window.partitionBy("trace_id").orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
     records = _records(opened, odd_item)
-    records = materialize(records.withColumn("ord", F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(order), F.lit(0))), "records")
-    f, forced, first = F.col("f"), F.col("forced"), F.coalesce
+    records = records.withColumn("ord", F.coalesce(F.sum(F.when(F.col("kind").isNotNull(), 1).otherwise(0)).over(order), F.lit(0)))
+    # Written with a column per field: what follows names most of them several times, and over so many columns Spark compiles it in small parts.
+    records = materialize(records.select(*[c for c in records.columns if c != "f"], F.col("f").isNotNull().alias("known"), *[F.col("f")[n].alias(f"f_{n}") for n in _FIELD_NAMES]), "records")
+    f, known, forced, first = {n: F.col(f"f_{n}") for n in _FIELD_NAMES}, F.col("known"), F.col("forced"), F.coalesce
     is_ = lambda k: F.col("kind") == k
     type_ = type_of(f)
     derived = F.when(forced == "tool_call", "tool").when(type_.endswith("_call"), F.nullif(F.regexp_replace(type_, "_call$", ""), F.lit("")))
@@ -329,7 +370,7 @@ def events_of_opened(opened: DataFrame, prefix: str, odd_item: str = "MALFORMED_
         *[payload.alias("payload"), value.alias("value"), *artifact, F.when(is_("error"), first(_text(f, "error_code"), _text(f, "code"))).alias("error_code")],
         *["pos", "path", F.when(type_ != "", type_).when(f["role"]["t"] == "s", "message").otherwise("unknown").alias("raw_type")],
     )
-    part, known = F.coalesce(forced.isNotNull(), F.lit(False)), f.isNotNull()
+    part = F.coalesce(forced.isNotNull(), F.lit(False))
     own_codes = F.concat(
         F.when(part & known, _identity_codes(f)).otherwise(F.array().cast("array<string>")),
         _codes(
@@ -381,10 +422,7 @@ def generic_events(traces: DataFrame) -> tuple[DataFrame, DataFrame]:
     Text that doesn't parse gives INVALID_JSON, JSON that is neither object nor array
     INVALID_TRACE_ROOT; a null text gives nothing.
     """
-    opened = open_traces(traces)
-    events, diagnostics = events_of_opened(opened.where("pos is not null").drop("code"), "generic")
-    roots = opened.where("pos is null").select("trace_id", "code", F.lit(None).cast("long").alias("pos"), F.lit("$").alias("path"), F.lit(None).cast("array<string>").alias("event_ids"))
-    return events, diagnostics.unionByName(roots)
+    return events_of_opened(open_traces(traces), "generic")
 
 
 def graded(diagnostics: DataFrame) -> DataFrame:
