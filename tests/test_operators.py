@@ -1,8 +1,10 @@
 """Exact values, fixtures and brute force for the trace and dataset operators."""
 
 import json
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -330,3 +332,34 @@ def test_score_stream_equals_batch(spark, tmp_path):
     q = jobs.score_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("scores").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(str, spark.table("scores").collect())) == sorted(map(str, jobs.score_stream(df).collect()))
+
+
+def test_near_sets_share_a_signature():
+    """Any two sets at the threshold share a part or, where parts are few, a prefix gram, whatever counts as frequent; prefixes of all sets aren't needed."""
+    rng = np.random.default_rng(3)
+    for threshold in (0.5, 0.82, 1.0):
+        for m in [*range(1, 40), 97, 400, 1501]:
+            for often in (0.0, 0.3, 0.97):
+                whole = np.unique(rng.integers(-(2**63), 2**63 - 1, 2 * m))
+                a, spare = whole[rng.permutation(len(whole))[:m]], None
+                spare = np.setdiff1d(whole, a)
+                less = rng.integers(0, m - math.ceil(threshold * m) + 1)
+                b = rng.permutation(a)[less:]
+                more = 0
+                while more < len(spare) and len(b) / (m + more + 1) >= threshold:
+                    more += 1
+                b = np.concatenate([b, spare[: rng.integers(0, more + 1)]])
+                frequent = np.sort(whole[rng.random(len(whole)) < often])
+                signs = [similarity._parts_of(np.sort(x), threshold, frequent) for x in (a, b)]
+                assert np.intersect1d(*signs).size
+    one = similarity._parts_of(np.sort(rng.integers(-(2**63), 2**63 - 1, 1000)), 0.82, np.array([], np.int64))
+    assert len(one) < 650
+
+
+def test_near_duplicates_write_their_grams_once(spark, tmp_path):
+    df = spark.createDataFrame([(f"c{i}", " ".join(f"w{i % 7}x{k}" for k in range(60)) + f" end{i % 3}") for i in range(60)], "case_id string, trace string")
+    before = len(getattr(spark, "_wayline_tables", []))
+    pairs, members = similarity.near_duplicates(df, exclude_same_group=False)
+    tables = [spark.read.parquet(p) for p in spark._wayline_tables[before:]]
+    assert sum(any(t == "array<bigint>" for _, t in x.dtypes) and x.count() >= 60 for x in tables) == 1
+    assert members.count() == 60 and members.select("class").distinct().count() == 21 and pairs.where("left_class <> right_class").count() == 21

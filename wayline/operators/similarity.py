@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayline.operators.integrity import normal_trace
 from wayline.plans.storage import materialize
@@ -19,6 +23,72 @@ def grams(tokens: str, n: int) -> Column:
     return F.array_distinct(F.when(F.size(t) == 0, F.array().cast("array<bigint>")).when(F.size(t) < n, F.transform(t, lambda x: F.xxhash64(x))).otherwise(joined))
 
 
+#: Classes looked at for frequent grams, in how many of them a gram is frequent, and how many grams may be.
+LOOKED_AT, OFTEN, MOST_FREQUENT = 20_000, 10, 65_536
+
+
+def _frequent(rows: DataFrame, n: int) -> np.ndarray:
+    """Grams that occur often, by a share of the classes dealt by hash.  They only steer which parts are formed: results don't depend on them."""
+    share = rows.where(F.pmod("k", F.lit(max(1, n // LOOKED_AT))) == 0).dropDuplicates(["k"])
+    found = share.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "g").limit(MOST_FREQUENT).select("g").collect()
+    return np.array(sorted(r["g"] for r in found), np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _parts_of(grams: np.ndarray, threshold: float, frequent: np.ndarray) -> np.ndarray:
+    """The signatures of a set of grams, sorted; see :func:`part_signatures`."""
+    m, out, poor = len(grams), [], False
+    rare = grams
+    if len(frequent):
+        rare = grams[frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] != grams]
+    mixed = _mixed(rare.view(np.uint64))
+    band = math.floor(math.log(m) / -math.log(threshold) + 1e-9) if threshold < 1 else 0
+    for b in (band, band - 1) if threshold < 1 else (0,):
+        longest = math.ceil(threshold ** -(b + 1) * (1 + 1e-6)) if threshold < 1 else m
+        differ = math.floor((1 - threshold) / threshold * longest + 1e-6)
+        parts = differ + 3 + differ // 3
+        at = (mixed % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        own, first = np.unique(at[order], return_index=True)
+        poor |= len(own) <= differ
+        if len(own):
+            sums = np.add.reduceat(_mixed(mixed[order]), first)
+            out.append(_mixed(sums + _mixed(own.astype(np.uint64) + np.uint64((b + 2) << 40))))
+    if poor:  # too many empty parts: the prefix of the set as well, frequent grams last
+        last = np.isin(grams, frequent)
+        ordered = np.concatenate([grams[~last], grams[last]])
+        out.append(_mixed(ordered[: m - math.ceil(threshold * m - 1e-9) + 1].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def part_signatures(sets: DataFrame, threshold: float, frequent: np.ndarray) -> DataFrame:
+    """(sig, k, m) of sets (k, grams: sorted): two sets with a Jaccard similarity of at least ``threshold`` share a signature.
+
+    Sizes fall into bands that grow by 1 / threshold, so two such sets meet in the band of the smaller, in which
+    at most d grams differ.  Grams are dealt to more than d parts by hash, so some part is the same in
+    both; its hash is a signature.  Empty parts have none: a set with so many that an equal part might be empty gives
+    its prefix too (of two such sets the first grams in one order, of which they must share one); if only one is
+    such a set, the other has few enough empty parts.  Parts are formed without ``frequent`` grams, as what differs only gets less by that.
+    """
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            step = 256
+            for at in range(0, len(lists), step):
+                sizes = np.diff(offsets[at : at + step + 1])
+                made = [_parts_of(flat[i:j], threshold, frequent) for i, j in zip(offsets[at : at + step], offsets[at + 1 : at + step + 1])]
+                n = [len(x) for x in made]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.repeat(b.column(0)[at : at + step].to_numpy(), n)), pa.array(np.repeat(sizes, n).astype(np.int32))], names=["sig", "k", "m"])
+
+    return sets.select("k", "grams").mapInArrow(run, "sig bigint, k bigint, m int")
+
+
 def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross_split_only: bool = False, exclude_same_group: bool = True, id_col: str = "case_id", text: str = "trace") -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of cases with a Jaccard similarity of at least ``threshold``.
 
@@ -28,10 +98,7 @@ def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross
     members on both sides for pairs of cases.  With ``cross_split_only`` or
     ``exclude_same_group`` a pair of classes stays if some of its pairs of members qualifies.
 
-    Candidates share a gram of their prefixes, in an order of rising frequency: two sets of
-    that similarity must (prefix filter), their sizes may differ by the threshold only, and
-    what stands behind their last shared prefix gram must leave room for the overlap that
-    they need (positional filter).  Only pairs that pass meet their grams.
+    Candidates share a part: see :func:`part_signatures`.  Only they meet their grams.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
@@ -39,25 +106,23 @@ def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross
     base = cases.select(F.col(id_col).alias("id"), (F.col("split") if "split" in has else F.lit(None).cast("string")).alias("split"), (F.col("group_id") if "group_id" in has else F.lit(None).cast("string")).alias("group_id"), tokens_of(F.col(text)).alias("tokens"))
     # The tokens are a column of their own, or each n-gram would cut the text again.
     base = base.select("id", "split", "group_id", F.array_sort(grams("tokens", n)).alias("grams"))
-    rows = materialize(base.withColumn("key", F.sha2(F.array_join(F.col("grams").cast("array<string>"), ","), 256)), "grams")
-    classes = materialize(rows.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.first("grams").alias("grams"), F.array_sort(F.collect_set("split")).alias("splits"), F.min("group_id").alias("group_min"), F.max("group_id").alias("group_max")), "classes")
-    members = rows.join(classes.select("key", "class"), "key").select("id", "class", "split", "group_id")
-    sized = classes.select("class", "grams", F.size("grams").alias("m")).where("m > 0")
-    each = sized.select("class", "m", F.explode("grams").alias("gram"))
-    ranked = each.join(each.groupBy("gram").agg(F.count("*").alias("f")).where("f > 1"), "gram").groupBy("class", "m").agg(F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("order"))
-    # Grams of one class alone come first in the order and meet nothing, so they only shorten the prefix.
-    keep = F.col("m") - F.ceil(threshold * F.col("m") - 1e-9) + 1 - (F.col("m") - F.size("order"))
-    lone = F.col("m") - F.size("order")
-    placed = F.transform(F.slice("order", 1, F.col("keep")), lambda x, i: F.struct(x["gram"].alias("gram"), (lone + i + 1).alias("at")))
-    prefix = materialize(ranked.withColumn("keep", keep.cast("int")).where("keep > 0").select("class", "m", F.explode(placed).alias("p")).select("class", "m", "p.gram", "p.at"), "prefixes")
-    a, b = prefix.select(F.col("class").alias("a"), F.col("m").alias("ma"), "gram", F.col("at").alias("pa")), prefix.select(F.col("class").alias("b"), F.col("m").alias("mb"), "gram", F.col("at").alias("pb"))
-    near = a.join(b, "gram").where("a < b").where((F.least("ma", "mb") >= threshold * F.greatest("ma", "mb") - 1e-9))
-    # All shared grams up to the last one in both prefixes are counted; of the rest at most the shorter remainder is shared.
-    room = F.count("*") + F.least(F.min("ma") - F.max("pa"), F.min("mb") - F.max("pb"))
-    met = near.groupBy("a", "b").agg(room.alias("room"), (F.min("ma") + F.min("mb")).alias("sizes")).where(F.col("room") >= F.col("sizes") * (threshold / (1 + threshold)) - 1e-9).select("a", "b")
-    ga, gb = classes.select(F.col("class").alias("a"), F.col("grams").alias("ga")), classes.select(F.col("class").alias("b"), F.col("grams").alias("gb"))
-    both = met.join(ga, "a").join(gb, "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
-    far = both.select(F.col("a").alias("left_class"), F.col("b").alias("right_class"), (F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
+    digest = F.sha2(F.array_join(F.col("grams").cast("array<string>"), ","), 256)
+    rows = materialize(base.withColumn("key", digest).withColumn("k", F.xxhash64("key")), "grams")
+    classes = materialize(rows.groupBy("key", "k").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.array_sort(F.collect_set("split")).alias("splits"), F.min("group_id").alias("group_min"), F.max("group_id").alias("group_max")), "classes")
+    members = rows.select("id", "split", "group_id", "key").join(classes.select("key", "class"), "key").select("id", "class", "split", "group_id")
+    signed = part_signatures(rows.where("size(grams) > 0").select("k", "grams"), threshold, _frequent(rows, classes.count()))
+    # Copies sign alike; one exchange brings all that have a part together, and parts of one class alone go.
+    met = signed.repartition("sig").dropDuplicates(["sig", "k"]).withColumn("_n", F.count("*").over(Window.partitionBy("sig"))).where("_n > 1").drop("_n")
+    met = materialize(met, "parts")
+    a, b = met.select("sig", F.col("k").alias("a"), F.col("m").alias("ma")), met.select("sig", F.col("k").alias("b"), F.col("m").alias("mb"))
+    near = materialize(a.join(b, "sig").where("a < b").where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb") - 1e-9).select("a", "b").distinct(), "near")
+    # Grams are read once, for both sides of all candidates.
+    ends = near.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    held = materialize(rows.select("k", "grams").join(ends, "k", "left_semi").dropDuplicates(["k"]).join(classes.select("k", "class"), "k"), "candidates")
+    side = lambda s: held.select(F.col("k").alias(s), F.col("grams").alias(f"g{s}"), F.col("class").alias(f"class_{s}"))
+    both = near.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
+    similarity = F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))
+    far = both.select(F.least("class_a", "class_b").alias("left_class"), F.greatest("class_a", "class_b").alias("right_class"), similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     own = classes.where("n > 1").select(F.col("class").alias("left_class"), F.col("class").alias("right_class"), F.lit(1.0).alias("similarity"))
     pairs = far.unionByName(own)
     if cross_split_only or exclude_same_group:
