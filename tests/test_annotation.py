@@ -184,3 +184,17 @@ def test_responses_that_break_several_rules_equal_their_sql(spark, tmp_path):
         got = job_queries.QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({job_queries.ORACLE_SQL[name]})").fetchall()
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_places_are_found_without_lines_and_keep_repeats(spark, items, monkeypatch):
+    seen = []
+    monkeypatch.setattr(artifacts, "running_sum", lambda df, *a, f=artifacts.running_sum: seen.append(df.columns) or f(df, *a))
+    odd = spark.createDataFrame([(None, None, None, None, [])], items.schema)
+    _, listed = artifacts.build_packets(items.unionByName(items.where("item_id = 'item-2'")).unionByName(odd), "set", DATASET, "seed", ("annotator-a", "annotator-b"), "v1", "2026-01-01T00:00:00Z")
+    assert seen and "lines" not in seen[0]
+    rows = listed.collect()
+    want = {r.item_id: (r.trace_sha256, r.lines) for r in items.collect()} | {None: (None, None)}
+    for a in ("annotator-a", "annotator-b"):
+        own = [r for r in rows if r.annotator_id == a]
+        assert sorted(r.pos for r in own) == list(range(5)) and sorted(str(r.item_id) for r in own) == ["None", "item-1", "item-2", "item-2", "item-3"]
+        assert all((r.trace_sha256, r.lines) == want[r.item_id] for r in own)

@@ -47,19 +47,26 @@ def swaps_of(cases: DataFrame) -> Column:
     return F.transform(by_length, lambda x: F.struct(x["source"].alias("source"), x["replacement"].alias("replacement")))
 
 
+#: Texts that are Python objects at a time; all others of a batch stay in Arrow.
+_AT_ONCE = 64
+
+
 @F.arrow_udf(T.StringType())
 def swapped(text: pa.Array, swaps: pa.Array) -> pa.Array:
     """The text with every source replaced in one pass; of sources that begin at one place the first in the list counts."""
-    out, recent = [], {}
-    for t, pairs in zip(text.to_pylist(), swaps.to_pylist()):
-        key = tuple(p["source"] for p in pairs or [])
-        if t and key:
-            if key not in recent:
-                recent = {key: re.compile("|".join(map(re.escape, key)))}
-            by = {p["source"]: p["replacement"] for p in reversed(pairs)}
-            t = recent[key].sub(lambda m, by=by: by[m[0]], t)
-        out.append(t)
-    return pa.array(out, pa.string())
+    recent, done = {}, []
+    for at in range(0, len(text), _AT_ONCE):
+        out = []
+        for t, pairs in zip(text[at : at + _AT_ONCE].to_pylist(), swaps[at : at + _AT_ONCE].to_pylist()):
+            key = tuple(p["source"] for p in pairs or [])
+            if t and key:
+                if key not in recent:
+                    recent = {key: re.compile("|".join(map(re.escape, key)))}
+                by = {p["source"]: p["replacement"] for p in reversed(pairs)}
+                t = recent[key].sub(lambda m, by=by: by[m[0]], t)
+            out.append(t)
+        done.append(pa.array(out, pa.string()))
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def turned(swaps: Column) -> Column:
@@ -103,10 +110,13 @@ def build_packets(items: DataFrame, dataset_id: str, dataset_sha256: str, seed:
     heads = spark.createDataFrame([(VERSION, dataset_id, dataset_sha256, codebook_version, a, created_at) for a in annotators], "version string, dataset_id string, dataset_sha256 string, codebook_version string, annotator_id string, created_at string")
     packet = sha_parts(F.lit(VERSION), F.col("dataset_sha256"), F.col("codebook_version"), F.col("annotator_id"), F.col("created_at"), F.lit(seed))
     heads = heads.withColumn("packet_id", F.concat(F.lit("packet-"), F.substring(packet, 1, 24)))
-    dealt = items.select("item_id", "trace_sha256", "lines", F.explode(F.array(*[F.lit(a) for a in annotators])).alias("annotator_id"))
+    # Places are found without the lines, which join them by what they are the lines of; repeated items stay repeated.
+    own = ["item_id", "trace_sha256"]
+    dealt = items.select(*own, F.explode(F.array(*[F.lit(a) for a in annotators])).alias("annotator_id"))
     dealt = dealt.withColumn("place", sha_parts(F.lit(seed), F.col("annotator_id"), F.col("item_id"))).withColumn("one", F.lit(1).cast("long"))
-    placed = running_sum(dealt.select("annotator_id", "place", "item_id", "trace_sha256", "lines", "one"), ["annotator_id", "place", "item_id"], "one", "annotator_id", "pos")
-    listed = placed.select("annotator_id", "pos", "item_id", "trace_sha256", "lines").withColumn("digest", _item_digest())
+    placed = running_sum(dealt.select("annotator_id", "place", *own, "one"), ["annotator_id", "place", "item_id"], "one", "annotator_id", "pos")
+    digested = items.select(*[F.col(c).alias(f"_{c}") for c in own], *own, "lines").dropDuplicates(own).withColumn("digest", _item_digest()).drop(*own)
+    listed = placed.join(digested, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own]).select("annotator_id", "pos", *own, "lines", "digest")
     return _headed(heads, listed, _PACKET, "annotator_id"), listed.drop("digest")
 
 
