@@ -3,12 +3,15 @@
 import json
 import math
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wayline.operators import analysis, annotation, batch, bootstrap, coverage, episodes, generic, integrity, legacy, metrics, pairing, redact, scoring, similarity
+from wayline.plans import case_queries
 from wayline.sources.io import read_traces, render_readiness
 from wayline.streaming import jobs
 
@@ -363,3 +366,20 @@ def test_near_duplicates_write_their_grams_once(spark, tmp_path):
     tables = [spark.read.parquet(p) for p in spark._wayline_tables[before:]]
     assert sum(any(t == "array<bigint>" for _, t in x.dtypes) and x.count() >= 60 for x in tables) == 1
     assert members.count() == 60 and members.select("class").distinct().count() == 21 and pairs.where("left_class <> right_class").count() == 21
+
+
+def test_readiness_reads_the_traces_once(spark):
+    got = case_queries.readiness(spark, "/root/testdata/sf0.001")
+    assert "text" not in {c for p in got._jdf.queryExecution().optimizedPlan().toString().split("Relation")[1:] for c in re.findall(r"(\w+)#\d+", p.split("]")[0])} and got.count() == 19
+
+
+def test_signatures_that_several_sets_have():
+    """Repeated signatures of one set don't count as met, in one batch or over several, and in any order."""
+    rng = random.Random(5)
+    rows = [(b, rng.randrange(40), rng.randrange(6)) for b in range(3) for _ in range(60)]
+    pack = lambda part: np.array([(s + 100 * b, k, 7) for b, s, k in part], similarity._SIGNED).tobytes()
+    parts = [(b, pack(own[i : i + 20])) for b in range(3) for own in [[r for r in rows if r[0] == b]] for i in range(0, 60, 20)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in x], pa.int32()), pa.array([p for _, p in x], pa.binary())], names=["bucket", "signed"]) for x in (parts[:2], parts[2:7], parts[7:])]
+    got = [tuple(r.values()) for b in similarity._meeting(batches) for r in b.to_pylist()]
+    sets = {(100 * b + s, k) for b, s, k in rows}
+    assert sorted(got) == sorted((s, k, 7) for s, k in sets if any(t == s and j != k for t, j in sets))

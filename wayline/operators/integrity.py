@@ -21,9 +21,14 @@ def trace_sha(c: Column) -> Column:
     return F.sha2(normal_trace(c), 256)
 
 
-def check_hashes(cases: DataFrame, trace: str = "trace", stored: str = "trace_sha256") -> DataFrame:
+def _actual(trace: str, sha: str | None) -> Column:
+    """The hash of a trace, or the column ``sha`` that holds it already."""
+    return F.col(sha) if sha else trace_sha(F.col(trace))
+
+
+def check_hashes(cases: DataFrame, trace: str = "trace", stored: str = "trace_sha256", sha: str | None = None) -> DataFrame:
     """(case_id, stored, actual) of cases whose stored hash differs (null counts as different)."""
-    actual = trace_sha(F.col(trace))
+    actual = _actual(trace, sha)
     return cases.where(~actual.eqNullSafe(F.col(stored))).select("case_id", F.col(stored).alias("stored"), actual.alias("actual"))
 
 
@@ -78,19 +83,19 @@ def check_pairs(cases: DataFrame, columns: tuple[str, ...] = ("counterfactual_pa
     return rows.where("wrong_size or crosses_splits or crosses_groups")
 
 
-def find_duplicates(cases: DataFrame, trace: str = "trace") -> DataFrame:
+def find_duplicates(cases: DataFrame, trace: str = "trace", sha: str | None = None) -> DataFrame:
     """(trace_sha256, n, first_case): traces that several cases share, after line ends."""
-    return cases.groupBy(trace_sha(F.col(trace)).alias("trace_sha256")).agg(F.count("*").alias("n"), F.min("case_id").alias("first_case")).where("n > 1")
+    return cases.groupBy(_actual(trace, sha).alias("trace_sha256")).agg(F.count("*").alias("n"), F.min("case_id").alias("first_case")).where("n > 1")
 
 
-def find_leakage(cases: DataFrame, trace: str = "trace") -> DataFrame:
+def find_leakage(cases: DataFrame, trace: str = "trace", sha: str | None = None) -> DataFrame:
     """(kind, key, splits): case ids, traces, groups and pairs that occur in several splits (ids: several times)."""
 
     def across(key: Column, kind: str, repeated: bool = False) -> DataFrame:
         rows = cases.select(key.alias("key"), "split").where("key is not null").groupBy("key").agg(_values("split").alias("splits"), F.countDistinct("split").alias("_k"), F.count("*").alias("_n"))
         return rows.where("_n > 1" if repeated else "_k > 1").select(F.lit(kind).alias("kind"), "key", "splits")
 
-    out = across(F.col("case_id"), "case_id", True).unionByName(across(trace_sha(F.col(trace)), "trace")).unionByName(across(F.col("group_id"), "group"))
+    out = across(F.col("case_id"), "case_id", True).unionByName(across(_actual(trace, sha), "trace")).unionByName(across(F.col("group_id"), "group"))
     for c in ("counterfactual_pair_id", "style_pair_id"):
         out = out.unionByName(across(F.col(c), c))
     return out
@@ -106,7 +111,7 @@ def join_cases(cases: DataFrame, labels: DataFrame) -> DataFrame:
     return cases.join(labels, "case_id")
 
 
-def check_cases(cases: DataFrame) -> DataFrame:
+def check_cases(cases: DataFrame, sha: str | None = None) -> DataFrame:
     """(case_id, rule) of cases that break a rule of the input schema; columns that are absent aren't checked."""
     has = set(cases.columns)
     rules: dict[str, Column] = {"case_id_pattern": ~F.coalesce(F.col("case_id").rlike(IDENTIFIER) & (F.length("case_id") <= 128), F.lit(False))}
@@ -117,7 +122,7 @@ def check_cases(cases: DataFrame) -> DataFrame:
     if "style_tags" in has:
         rules["style_tags_unique"] = F.size(F.array_distinct("style_tags")) < F.size("style_tags")
     if "trace_sha256" in has:
-        rules["trace_sha256"] = ~trace_sha(F.col("trace")).eqNullSafe(F.col("trace_sha256"))
+        rules["trace_sha256"] = ~_actual("trace", sha).eqNullSafe(F.col("trace_sha256"))
     if {"file_split", "split"} <= has:
         rules["file_split"] = ~F.col("split").eqNullSafe(F.col("file_split"))
     repeated = cases.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select("case_id", F.lit("case_id_repeated").alias("rule"))
@@ -149,12 +154,17 @@ def check_labels(labels: DataFrame) -> DataFrame:
     return violations(labels, ["case_id"], rules).unionByName(repeated)
 
 
+def anchored(trace: Column, start: Column, end: Column, quote: Column) -> Column:
+    """Whether a quote is in the lines from ``start`` to ``end`` of a trace; lines count from 1."""
+    n = F.greatest(end - start + 1, F.lit(0)).cast("int")
+    span = F.array_join(F.slice(F.split(normal_trace(trace), "\n"), F.greatest(start, F.lit(1)).cast("int"), n), "\n")
+    return F.coalesce(span.contains(quote), F.lit(False))
+
+
 def check_anchors(cases: DataFrame, evidence: DataFrame) -> DataFrame:
     """(case_id, line_start, line_end, quote) of evidence whose quote isn't in its lines.
 
     ``evidence``: (case_id, line_start, line_end, quote), a row per span; lines count from 1.
     """
-    lines = F.split(normal_trace(F.col("trace")), "\n")
-    n = F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0)).cast("int")
-    span = F.array_join(F.slice(lines, F.greatest("line_start", F.lit(1)).cast("int"), n), "\n")
-    return evidence.join(cases.select("case_id", "trace"), "case_id").where(~F.coalesce(span.contains(F.col("quote")), F.lit(False))).select("case_id", "line_start", "line_end", "quote")
+    holds = anchored(F.col("trace"), F.col("line_start"), F.col("line_end"), F.col("quote"))
+    return evidence.join(cases.select("case_id", "trace"), "case_id").where(~holds).select("case_id", "line_start", "line_end", "quote")

@@ -2,25 +2,68 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from wayline.operators.integrity import normal_trace
 from wayline.plans.storage import materialize
 
 
 def tokens_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(normal_trace(text)), F.lit(r"[a-z0-9./:_\-]+"), 0)
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9./:_\-]+"), 0)
 
 
-def grams(tokens: str, n: int) -> Column:
-    """The distinct hashes of the n-grams of a column of tokens; of single tokens if there are fewer than n."""
-    t = F.col(tokens)
-    joined = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(t, i, n), " ")))
-    return F.array_distinct(F.when(F.size(t) == 0, F.array().cast("array<bigint>")).when(F.size(t) < n, F.transform(t, lambda x: F.xxhash64(x))).otherwise(joined))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+#: The grams of a text that is null: one that stands for that.
+_NONE = np.array([42], np.int64)
+
+
+def _grams(tokens: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
+    """The distinct hashes, sorted, of the n-grams of sequences of token hashes; of single tokens if there are fewer than n."""
+    t = tokens.view(np.uint64)
+    single, joined = _mixed(t ^ np.uint64(0xD6E8FEB86659FD93)), t[: max(len(t) - n + 1, 0)]
+    for i in range(1, n):
+        joined = _mixed(joined) + t[i : i + len(joined)]
+    single, joined = single.view(np.int64), _mixed(joined).view(np.int64)
+    return [np.unique(single[i:j] if j - i < n else joined[i : j - n + 1]) for i, j in zip(offsets[:-1], offsets[1:])]
+
+
+#: Rows whose lists are held as arrays at once.
+_STEP = 256
+
+
+def gram_sets(cases: DataFrame, n: int = 3, text: str = "trace") -> DataFrame:
+    """``cases`` without ``text``, with grams (distinct hashes of its word n-grams, sorted), key (hash of these) and k (its first 64 bits); written once.
+
+    Tokens are hashed by an expression; only hashes go to the tasks' Python, beside the other columns.
+    """
+    # The tokens are a column of their own, or each hash would cut the text again.
+    hashed = cases.withColumn("_tokens", tokens_of(F.col(text))).withColumn("_tokens", F.transform("_tokens", lambda x: F.xxhash64(x)))
+    kept = [c for c in cases.columns if c != text]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                b = batch.slice(at, _STEP)
+                lists = b.column(len(kept))
+                offsets, none = lists.offsets.to_numpy().astype(np.int64), lists.is_null().to_numpy(zero_copy_only=False)
+                made = _grams(lists.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0], n)
+                made = [_NONE if x else g for x, g in zip(none, made)]
+                keys = [hashlib.sha256(g.tobytes()) for g in made]
+                ends = np.cumsum([0, *map(len, made)]).astype(np.int32)
+                new = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made))), pa.array([x.hexdigest() for x in keys]), pa.array(np.array([int.from_bytes(x.digest()[:8], "little", signed=True) for x in keys], np.int64))]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *new], names=[*kept, "grams", "key", "k"])
+
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in cases.select(*kept).schema], T.StructField("grams", T.ArrayType(T.LongType())), T.StructField("key", T.StringType()), T.StructField("k", T.LongType())])
+    return materialize(hashed.select(*kept, "_tokens").mapInArrow(run, schema), "grams")
 
 
 #: Classes looked at for frequent grams, in how many of them a gram is frequent, and how many grams may be.
@@ -34,59 +77,127 @@ def _frequent(rows: DataFrame, n: int) -> np.ndarray:
     return np.array(sorted(r["g"] for r in found), np.int64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+@lru_cache(65_536)
+def _band(b: int, threshold: float) -> tuple[int, int]:
+    """How many grams may differ in a band of sizes, and the number of its parts."""
+    longest = math.ceil(threshold ** -(b + 1) * (1 + 1e-6))
+    differ = math.floor((1 - threshold) / threshold * longest + 1e-6)
+    return differ, differ + 3 + differ // 8
+
+
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of 64-bit values by place, modulo 2^64: halves add up exactly as doubles."""
+    low, high = (np.bincount(at, v.astype(np.float64), n).astype(np.uint64) for v in (values & np.uint64(0xFFFFFFFF), values >> np.uint64(32)))
+    return low + (high << np.uint64(32))
+
+
+def _parts(grams: np.ndarray, sizes: np.ndarray, threshold: float, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, number of the set) of sets of grams, each sorted, one after another; see :func:`shared_parts`."""
+    n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    often = frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] == grams if len(frequent) else np.zeros(len(grams), bool)
+    mixed, own, poor, out = _mixed(grams[~often].view(np.uint64)), owner[~often], np.zeros(n, bool), []
+    again = _mixed(mixed)
+    band = np.floor(np.log(np.maximum(sizes, 1)) / -math.log(threshold) + 1e-9).astype(np.int64) if threshold < 1 else np.zeros(n, np.int64)
+    for b in (band, band - 1) if threshold < 1 else (band,):
+        values, which = np.unique(b, return_inverse=True)
+        differ, parts = np.array([_band(int(x), threshold) for x in values], np.int64).reshape(-1, 2)[which].T
+        start = np.cumsum(parts) - parts
+        at = start[own] + (mixed % parts.astype(np.uint64)[own]).astype(np.int64)
+        total = int(parts.sum())
+        filled = np.flatnonzero(np.bincount(at, minlength=total))
+        of = np.repeat(np.arange(n), parts)[filled]
+        poor |= np.bincount(of, minlength=n) <= differ
+        name = (filled - start[of]).astype(np.uint64) + ((b[of] + 2).astype(np.uint64) << np.uint64(40))
+        out.append((_mixed(_sums(at, again, total)[filled] + _mixed(name)), of))
+    poor &= sizes > 0
+    if poor.any():  # too many empty parts: the prefix of the set as well, frequent grams last
+        held = np.flatnonzero(poor[owner])
+        held = held[np.argsort(owner[held] * 2 + often[held], kind="stable")]
+        m = sizes[poor]
+        rank = np.arange(len(held)) - np.repeat(np.cumsum(m) - m, m)
+        held = held[rank < np.repeat(m - np.ceil(threshold * m - 1e-9).astype(np.int64) + 1, m)]
+        out.append((_mixed(grams[held].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)), owner[held]))
+    return np.concatenate([x for x, _ in out]).view(np.int64), np.concatenate([x for _, x in out])
 
 
 def _parts_of(grams: np.ndarray, threshold: float, frequent: np.ndarray) -> np.ndarray:
-    """The signatures of a set of grams, sorted; see :func:`part_signatures`."""
-    m, out, poor = len(grams), [], False
-    rare = grams
-    if len(frequent):
-        rare = grams[frequent[np.minimum(np.searchsorted(frequent, grams), len(frequent) - 1)] != grams]
-    mixed = _mixed(rare.view(np.uint64))
-    band = math.floor(math.log(m) / -math.log(threshold) + 1e-9) if threshold < 1 else 0
-    for b in (band, band - 1) if threshold < 1 else (0,):
-        longest = math.ceil(threshold ** -(b + 1) * (1 + 1e-6)) if threshold < 1 else m
-        differ = math.floor((1 - threshold) / threshold * longest + 1e-6)
-        parts = differ + 3 + differ // 3
-        at = (mixed % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        own, first = np.unique(at[order], return_index=True)
-        poor |= len(own) <= differ
-        if len(own):
-            sums = np.add.reduceat(_mixed(mixed[order]), first)
-            out.append(_mixed(sums + _mixed(own.astype(np.uint64) + np.uint64((b + 2) << 40))))
-    if poor:  # too many empty parts: the prefix of the set as well, frequent grams last
-        last = np.isin(grams, frequent)
-        ordered = np.concatenate([grams[~last], grams[last]])
-        out.append(_mixed(ordered[: m - math.ceil(threshold * m - 1e-9) + 1].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate(out)).view(np.int64)
-
-
-def part_signatures(sets: DataFrame, threshold: float, frequent: np.ndarray) -> DataFrame:
-    """(sig, k, m) of sets (k, grams: sorted): two sets with a Jaccard similarity of at least ``threshold`` share a signature.
+    """The signatures of one set of grams, sorted."""
+    return np.unique(_parts(grams, np.array([len(grams)]), threshold, frequent)[0])
+
+
+_SIGNED = np.dtype([("sig", "<i8"), ("k", "<i8"), ("m", "<i4")])
+#: Sets whose signatures are dealt to buckets at once, and sets per bucket, on average.
+_DEALT, _PER_BUCKET = 2_048, 4_096
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = x[np.lexsort((x["k"], x["sig"]))]
+    return x[np.concatenate([[True], (x["sig"][1:] != x["sig"][:-1]) | (x["k"][1:] != x["k"][:-1])])] if len(x) else x
+
+
+def _met(x: np.ndarray) -> pa.RecordBatch:
+    """Those of distinct signatures, sorted, that several sets have."""
+    same = x["sig"][1:] == x["sig"][:-1]
+    x = x[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(x) else x
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[c])) for c in ("sig", "k", "m")], names=["sig", "k", "m"])
+
+
+def _meeting(batches):
+    """Of rows (bucket, signed) in order of bucket: the signatures that several sets have.  Repeated ones go before they pile up."""
+    at, held, n, limit = None, [], 0, 1 << 20
+    for b in batches:
+        for bucket, signed in zip(b.column(0).to_numpy(), b.column(1)):
+            if at is not None and bucket != at:
+                yield _met(_distinct(np.concatenate(held)))
+                held, n, limit = [], 0, 1 << 20
+            at = bucket
+            held.append(np.frombuffer(signed.as_buffer(), _SIGNED))
+            n += len(held[-1])
+            if n > limit:
+                held = [_distinct(np.concatenate(held))]
+                n, limit = len(held[0]), max(limit, 2 * len(held[0]))
+    if held:
+        yield _met(_distinct(np.concatenate(held)))
+
+
+def shared_parts(sets: DataFrame, threshold: float, frequent: np.ndarray, n: int) -> DataFrame:
+    """(sig, k, m) of ``n`` sets (k, grams: sorted), of signatures that several have: two sets with a Jaccard similarity of at least ``threshold`` share one.
 
     Sizes fall into bands that grow by 1 / threshold, so two such sets meet in the band of the smaller, in which
     at most d grams differ.  Grams are dealt to more than d parts by hash, so some part is the same in
     both; its hash is a signature.  Empty parts have none: a set with so many that an equal part might be empty gives
     its prefix too (of two such sets the first grams in one order, of which they must share one); if only one is
     such a set, the other has few enough empty parts.  Parts are formed without ``frequent`` grams, as what differs only gets less by that.
+
+    Signatures are most of the rows of the join, so they are exchanged many to a row, by buckets that hold some
+    thousand sets' share each; only those that several sets have become rows of their own.
     """
+    buckets = max(64, n // _PER_BUCKET)
 
     def run(batches):
-        for b in batches:
-            lists = b.column(1)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            step = 256
-            for at in range(0, len(lists), step):
-                sizes = np.diff(offsets[at : at + step + 1])
-                made = [_parts_of(flat[i:j], threshold, frequent) for i, j in zip(offsets[at : at + step], offsets[at + 1 : at + step + 1])]
-                n = [len(x) for x in made]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made)), pa.array(np.repeat(b.column(0)[at : at + step].to_numpy(), n)), pa.array(np.repeat(sizes, n).astype(np.int32))], names=["sig", "k", "m"])
-
-    return sets.select("k", "grams").mapInArrow(run, "sig bigint, k bigint, m int")
+        for batch in batches:
+            done, made = 0, []
+            while done < batch.num_rows:
+                b = batch.slice(done, _STEP)
+                done += _STEP
+                offsets = b.column(1).offsets.to_numpy().astype(np.int64)
+                sizes = np.diff(offsets)
+                sigs, of = _parts(b.column(1).values.to_numpy()[offsets[0] : offsets[-1]], sizes, threshold, frequent)
+                signed = np.empty(len(sigs), _SIGNED)
+                signed["sig"], signed["k"], signed["m"] = sigs, b.column(0).to_numpy()[of], sizes[of]
+                made.append(signed)
+                if done % _DEALT and done < batch.num_rows:
+                    continue
+                signed, made = np.concatenate(made), []
+                to = (signed["sig"].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(to, kind="stable")
+                own, first = np.unique(to[order], return_index=True)
+                ends = np.append(first, len(to)).astype(np.int64) * _SIGNED.itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(signed[order])])
+                yield pa.RecordBatch.from_arrays([pa.array(own), packed.cast(pa.binary())], names=["bucket", "signed"])
+
+    dealt = sets.select("k", "grams").mapInArrow(run, "bucket int, signed binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meeting, "sig bigint, k bigint, m int")
 
 
 def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross_split_only: bool = False, exclude_same_group: bool = True, id_col: str = "case_id", text: str = "trace") -> tuple[DataFrame, DataFrame]:
@@ -98,22 +209,22 @@ def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross
     members on both sides for pairs of cases.  With ``cross_split_only`` or
     ``exclude_same_group`` a pair of classes stays if some of its pairs of members qualifies.
 
-    Candidates share a part: see :func:`part_signatures`.  Only they meet their grams.
+    Candidates share a part: see :func:`shared_parts`.  Only they meet their grams.
     """
+    has = set(cases.columns)
+    base = cases.select(F.col(id_col).alias("id"), (F.col("split") if "split" in has else F.lit(None).cast("string")).alias("split"), (F.col("group_id") if "group_id" in has else F.lit(None).cast("string")).alias("group_id"), F.col(text).alias("text"))
+    return near_sets(gram_sets(base, n, "text"), threshold, cross_split_only, exclude_same_group)
+
+
+def near_sets(rows: DataFrame, threshold: float = 0.82, cross_split_only: bool = False, exclude_same_group: bool = True) -> tuple[DataFrame, DataFrame]:
+    """What :func:`near_duplicates` gives, of rows (id, split, group_id, grams, key, k) of :func:`gram_sets`."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
-    has = set(cases.columns)
-    base = cases.select(F.col(id_col).alias("id"), (F.col("split") if "split" in has else F.lit(None).cast("string")).alias("split"), (F.col("group_id") if "group_id" in has else F.lit(None).cast("string")).alias("group_id"), tokens_of(F.col(text)).alias("tokens"))
-    # The tokens are a column of their own, or each n-gram would cut the text again.
-    base = base.select("id", "split", "group_id", F.array_sort(grams("tokens", n)).alias("grams"))
-    digest = F.sha2(F.array_join(F.col("grams").cast("array<string>"), ","), 256)
-    rows = materialize(base.withColumn("key", digest).withColumn("k", F.xxhash64("key")), "grams")
     classes = materialize(rows.groupBy("key", "k").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.array_sort(F.collect_set("split")).alias("splits"), F.min("group_id").alias("group_min"), F.max("group_id").alias("group_max")), "classes")
     members = rows.select("id", "split", "group_id", "key").join(classes.select("key", "class"), "key").select("id", "class", "split", "group_id")
-    signed = part_signatures(rows.where("size(grams) > 0").select("k", "grams"), threshold, _frequent(rows, classes.count()))
-    # Copies sign alike; one exchange brings all that have a part together, and parts of one class alone go.
-    met = signed.repartition("sig").dropDuplicates(["sig", "k"]).withColumn("_n", F.count("*").over(Window.partitionBy("sig"))).where("_n > 1").drop("_n")
-    met = materialize(met, "parts")
+    n = classes.count()
+    # Copies sign alike; one exchange brings all that have a part together.
+    met = materialize(shared_parts(rows.where("size(grams) > 0"), threshold, _frequent(rows, n), n), "parts")
     a, b = met.select("sig", F.col("k").alias("a"), F.col("m").alias("ma")), met.select("sig", F.col("k").alias("b"), F.col("m").alias("mb"))
     near = materialize(a.join(b, "sig").where("a < b").where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb") - 1e-9).select("a", "b").distinct(), "near")
     # Grams are read once, for both sides of all candidates.
