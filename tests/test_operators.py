@@ -383,3 +383,12 @@ def test_signatures_that_several_sets_have():
     got = [tuple(r.values()) for b in similarity._meeting(batches) for r in b.to_pylist()]
     sets = {(100 * b + s, k) for b, s, k in rows}
     assert sorted(got) == sorted((s, k, 7) for s, k in sets if any(t == s and j != k for t, j in sets))
+
+
+def test_lexical_counts_keep_to_ascii(spark):
+    """Phrases count once per place, on ASCII word boundaries, without case, and without letters that only fold to ASCII ones."""
+    texts = ["Done, DONE. undone donedone done_ édoneé", "ſaved saved looK log", "Next I'm going to; next i am going to. I'll", "did not open\ndid not  open", "", None]
+    got = {r.i: r for r in scoring.lexical_features(spark.createDataFrame(list(enumerate(texts)), "i int, raw string")).collect()}
+    assert [(got[i].promises, got[i].completions, got[i].evidence, got[i].unverified, got[i].contradiction) for i in range(6)] == [(0, 3, 0, 0, 0), (0, 1, 1, 0, 0), (3, 0, 0, 0, 0), (0, 0, 0, 1, 0), (0, 0, 0, 0, 0), (None,) * 5]
+    plan = scoring.lexical_features(spark.createDataFrame([("x",)], "raw string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_counted(") == 1 and "regexp" not in plan

@@ -82,3 +82,19 @@ def test_written_tables_can_be_dropped(spark, tmp_path):
     table = storage.materialize(cases(spark), "cases")
     folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert table.count() == 6 and os.path.isdir(folder) and storage.drop_tables(spark) == 1 and not os.path.exists(folder) and storage.drop_tables(spark) == 0
+
+
+def test_what_is_left_is_found_without_traces(spark, tmp_path):
+    """The tables of pending cases hold no traces; and a run of a few of many cases takes these only, also where most are done."""
+    path, plans = f"file://{tmp_path}/run", []
+
+    def evaluator(pending):
+        plans.append(sorted(r.case_id for r in pending.collect()))
+        return batch.evaluate_lexical(pending)
+
+    before = len(getattr(spark, "_wayline_tables", []))
+    for most in (4, 1, None, 3):
+        got, _ = runs.resume_run(cases(spark), path, MANIFEST, evaluator, max_cases=most)
+    tables = [spark.read.parquet(p) for p in spark._wayline_tables[before:]]
+    assert plans == [["c0", "c1", "c2", "c3"], ["c4"], ["c5"]] and got.count() == 6
+    assert [(sorted(t.columns), t.count()) for t in tables] == [(["case_id", "pos"], n) for n in (4, 1, 1, 0)]

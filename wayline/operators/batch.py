@@ -18,10 +18,14 @@ def run_manifest(cases: DataFrame, config: dict[str, str]) -> DataFrame:
     return out.withColumn("run_id", F.concat(F.lit("run-"), F.substring(F.sha2(F.concat_ws("|", *[c for c in out.columns if c.endswith("sha256")]), 256), 1, 16)))
 
 
+def done_cases(records: DataFrame, retry_failed: bool = False) -> DataFrame:
+    """(case_id) of the records that need no other try."""
+    return (records.where("status = 'succeeded'") if retry_failed else records).select("case_id")
+
+
 def pending_cases(cases: DataFrame, records: DataFrame, retry_failed: bool = False, max_cases: int | None = None) -> DataFrame:
     """Cases without a record (or with a failed one, if asked), the first ``max_cases`` in order of position."""
-    done = records.where("status = 'succeeded'") if retry_failed else records
-    left = cases.join(done.select("case_id"), "case_id", "left_anti")
+    left = cases.join(done_cases(records, retry_failed), "case_id", "left_anti")
     return left.orderBy("pos").limit(max_cases) if max_cases is not None else left
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayline.operators import batch
+from wayline.plans.storage import materialize
 
 RECORD = f"{batch.RESULT}, run_id string, input_hash string, pos bigint, batch bigint"
 
@@ -55,6 +56,12 @@ def claim_run(spark: SparkSession, path: str, manifest: dict[str, str]) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
 
 
+def _chosen(cases: DataFrame, left: DataFrame) -> DataFrame:
+    """The cases of (case_id, pos); what is null counts as equal."""
+    left = left.select(F.col("case_id").alias("_id"), F.col("pos").alias("_pos"))
+    return cases.join(left, F.col("case_id").eqNullSafe(F.col("_id")) & F.col("pos").eqNullSafe(F.col("_pos")), "left_semi")
+
+
 def resume_run(cases: DataFrame, path: str, manifest: dict[str, str], evaluate: Callable[[DataFrame], DataFrame], retry_failed: bool = False, max_cases: int | None = None) -> tuple[DataFrame, int | None]:
     """(records, batch): evaluate what ``path`` has no record of yet, commit it, and read all records.
 
@@ -69,9 +76,13 @@ def resume_run(cases: DataFrame, path: str, manifest: dict[str, str], evaluate:
     wrong = batch.check_records(earlier, cases, {"run_id": manifest["run_id"]}).limit(5).collect()
     if wrong:
         raise ValueError("earlier records don't match: " + ", ".join(f"{r['case_id']} {r['rule']}" for r in wrong))
-    pending = batch.pending_cases(cases, earlier, retry_failed, max_cases)
-    if pending.isEmpty():
+    # Which cases are left is found without their traces.
+    ids = cases.select("case_id", "pos")
+    left = materialize(batch.pending_cases(ids, earlier, retry_failed, max_cases), "pending")
+    n_left = left.count()
+    if not n_left:
         return earlier, None
+    pending = _chosen(cases, left) if max_cases is not None or 2 * n_left <= ids.count() else cases.join(batch.done_cases(earlier, retry_failed), "case_id", "left_anti")
     number = max(committed_batches(spark, path), default=-1) + 1
     known = cases.select("case_id", F.col("trace_sha256").alias("input_hash"), F.col("pos").cast("long").alias("pos"))
     results = evaluate(pending).join(known, "case_id").withColumn("run_id", F.lit(manifest["run_id"]))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wayline.functions import lexicons as lex
-from wayline.functions.text import clamp, count, has, trim
+from wayline.functions.text import clamp, has, phrases, trim
 
 FEATURES = {"promises": lex.PROMISE, "completions": lex.DONE, "evidence": lex.EVIDENCE, "uncertain": lex.UNCERTAIN, "confident": lex.CONFIDENT, "evasive": lex.EVASIVE, "unverified": lex.UNVERIFIED}
 DIMENSIONS = ["instruction", "consistency", "promise_risk", "hallucination_risk", "alignment", "masking_risk"]
@@ -13,9 +17,21 @@ DIMENSIONS = ["instruction", "consistency", "promise_risk", "hallucination_risk"
 MODES = {"standard": {}, "research": {"consistency": -4, "hallucination_risk": 4}, "ops": {"instruction": -3, "promise_risk": 7, "masking_risk": 4}}
 
 
+def _counted(texts: pa.Array) -> pa.Array:
+    """A struct of the counts of all lexicons; null for a null text.
+
+    RE2 runs over each text in time linear in its length, whatever the number of phrases.  Its word boundaries are those
+    of ASCII; letters are spelled in both cases, as its own folding would also take letters beyond ASCII.
+    """
+    both = lambda item: re.sub("[a-z]", lambda x: f"[{x[0]}{x[0].upper()}]", item)
+    found = [pc.count_substring_regex(texts, rf"\b(?:{phrases([both(x) for x in items])})\b").cast(pa.int64()) for items in FEATURES.values()]
+    return pa.StructArray.from_arrays(found, names=list(FEATURES))
+
+
 def lexical_features(traces: DataFrame, text: str = "raw") -> DataFrame:
     """``traces`` with a count per lexicon, and contradiction: "did not" beside a completion word."""
-    out = traces.select("*", *[count(F.col(text), items).alias(name) for name, items in FEATURES.items()])
+    counts = F.arrow_udf(_counted, T.StructType([T.StructField(name, T.LongType()) for name in FEATURES]))
+    out = traces.withColumn("_counts", counts(F.col(text))).select(*traces.columns, "_counts.*")
     return out.withColumn("contradiction", (F.col(text).contains("did not") & (F.col("completions") > 0)).cast("long"))
 
 
