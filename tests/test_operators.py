@@ -392,3 +392,10 @@ def test_lexical_counts_keep_to_ascii(spark):
     assert [(got[i].promises, got[i].completions, got[i].evidence, got[i].unverified, got[i].contradiction) for i in range(6)] == [(0, 3, 0, 0, 0), (0, 1, 1, 0, 0), (3, 0, 0, 0, 0), (0, 0, 0, 1, 0), (0, 0, 0, 0, 0), (None,) * 5]
     plan = scoring.lexical_features(spark.createDataFrame([("x",)], "raw string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("_counted(") == 1 and "regexp" not in plan
+
+
+def test_common_values_of_sorted_sets():
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(-30, 30), rng.randrange(0, 40))) for _ in range(60)]
+    left, right = (pa.array(x, pa.list_(pa.int64())).slice(1) for x in (sets, sets[::-1]))
+    assert similarity._common(left, right).to_pylist() == [len(set(a) & set(b)) for a, b in list(zip(sets, sets[::-1]))[1:]]

@@ -200,6 +200,17 @@ def shared_parts(sets: DataFrame, threshold: float, frequent: np.ndarray, n: int
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meeting, "sig bigint, k bigint, m int")
 
 
+def _common(left: pa.Array, right: pa.Array) -> pa.Array:
+    """How many values the sets of each row, both sorted, have in common."""
+    (a, i), (b, j) = ((x.values.to_numpy(), x.offsets.to_numpy()) for x in (left, right))
+    out = np.empty(len(left), np.int32)
+    for r in range(len(left)):
+        both = np.concatenate([a[i[r] : i[r + 1]], b[j[r] : j[r + 1]]])
+        both.sort(kind="stable")  # two runs are merged
+        out[r] = np.count_nonzero(both[1:] == both[:-1])
+    return pa.array(out)
+
+
 def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross_split_only: bool = False, exclude_same_group: bool = True, id_col: str = "case_id", text: str = "trace") -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of cases with a Jaccard similarity of at least ``threshold``.
 
@@ -231,7 +242,7 @@ def near_sets(rows: DataFrame, threshold: float = 0.82, cross_split_only: bool =
     ends = near.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     held = materialize(rows.select("k", "grams").join(ends, "k", "left_semi").dropDuplicates(["k"]).join(classes.select("k", "class"), "k"), "candidates")
     side = lambda s: held.select(F.col("k").alias(s), F.col("grams").alias(f"g{s}"), F.col("class").alias(f"class_{s}"))
-    both = near.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.size(F.array_intersect("ga", "gb")))
+    both = near.join(side("a"), "a").join(side("b"), "b").withColumn("both", F.arrow_udf(_common, T.IntegerType())("ga", "gb"))
     similarity = F.col("both") / (F.size("ga") + F.size("gb") - F.col("both"))
     far = both.select(F.least("class_a", "class_b").alias("left_class"), F.greatest("class_a", "class_b").alias("right_class"), similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     own = classes.where("n > 1").select(F.col("class").alias("left_class"), F.col("class").alias("right_class"), F.lit(1.0).alias("similarity"))
