@@ -12,6 +12,9 @@ from wayline.plans.storage import materialize
 
 RECORD = f"{batch.RESULT}, run_id string, input_hash string, pos bigint, batch bigint"
 
+#: Fixed value: so many case ids are sent to all tasks.
+FEW = 100_000
+
 
 def _files(spark: SparkSession, path: str):
     """The file system of a path and the path in its terms; whatever Spark can read."""
@@ -79,10 +82,12 @@ def resume_run(cases: DataFrame, path: str, manifest: dict[str, str], evaluate:
     # Which cases are left is found without their traces.
     ids = cases.select("case_id", "pos")
     left = materialize(batch.pending_cases(ids, earlier, retry_failed, max_cases), "pending")
-    n_left = left.count()
+    n_left, n_done = left.count(), earlier.count()
     if not n_left:
         return earlier, None
-    pending = _chosen(cases, left) if max_cases is not None or 2 * n_left <= ids.count() else cases.join(batch.done_cases(earlier, retry_failed), "case_id", "left_anti")
+    # The traces stay where they are if the cases to take, or those to leave out, are few.
+    few = lambda df, n: F.broadcast(df) if n <= FEW else df
+    pending = _chosen(cases, few(left, n_left)) if max_cases is not None or n_left <= n_done else cases.join(few(batch.done_cases(earlier, retry_failed), n_done), "case_id", "left_anti")
     number = max(committed_batches(spark, path), default=-1) + 1
     known = cases.select("case_id", F.col("trace_sha256").alias("input_hash"), F.col("pos").cast("long").alias("pos"))
     results = evaluate(pending).join(known, "case_id").withColumn("run_id", F.lit(manifest["run_id"]))
