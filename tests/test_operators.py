@@ -399,3 +399,64 @@ def test_common_values_of_sorted_sets():
     sets = [sorted(rng.sample(range(-30, 30), rng.randrange(0, 40))) for _ in range(60)]
     left, right = (pa.array(x, pa.list_(pa.int64())).slice(1) for x in (sets, sets[::-1]))
     assert similarity._common(left, right).to_pylist() == [len(set(a) & set(b)) for a, b in list(zip(sets, sets[::-1]))[1:]]
+
+
+def _shuffled(spark):
+    """Bytes that the session's stages have written for exchanges."""
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_copies_send_their_grams_once_per_block(spark, monkeypatch):
+    """In a family of near copies each pair is found, over several blocks too, without an exchange of grams for each."""
+    text = lambda i: " ".join(f"w{k}" if k not in (i, i + 1) else f"x{i}y{k}" for k in range(300))
+    df = spark.createDataFrame([(f"c{i}", text(i), f"s{i % 2}", f"g{i % 3}") for i in range(240)] + [("d", text(7), None, None)], "case_id string, trace string, split string, group_id string")
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.set(name, "-1")
+    before = _shuffled(spark)
+    pairs, _ = similarity.near_duplicates(df, exclude_same_group=False)
+    found = {(r.left_class, r.right_class): r.similarity for r in pairs.collect()}
+    for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        spark.conf.unset(name)
+    assert _shuffled(spark) - before < 2.5e6
+    sets = {f"c{i}": shingles(text(i)) for i in range(240)}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert found == want | {("c7", "c7"): 1.0} and len(want) == 240 * 239 / 2
+    monkeypatch.setattr(similarity, "_BLOCK", 40_000)
+    crossing, _ = similarity.near_duplicates(df, cross_split_only=True)
+    got = {(r.left_class, r.right_class) for r in crossing.collect()}
+    # c7 has a copy without split or group: its splits are one, as nulls aren't counted.
+    assert got == {(a, b) for a, b in want if int(a[1:]) % 2 != int(b[1:]) % 2 and int(a[1:]) % 3 != int(b[1:]) % 3}
+
+
+def test_similar_sets_share_many_signatures():
+    """Two sets at the threshold share as many signatures as is asked of the smaller one, and each as many of some tag as it needs."""
+    rng = np.random.default_rng(4)
+    for threshold in (0.5, 0.82, 1.0):
+        for m in [1, 2, 3, 5, 9, 17, 33, 64, 97, 150, 400, 1501]:
+            for often in (0.0, 0.3):
+                whole = np.unique(rng.integers(-(2**63), 2**63 - 1, 3 * m + 3))
+                a = whole[rng.permutation(len(whole))[:m]]
+                spare, less = np.setdiff1d(whole, a), rng.integers(0, m - math.ceil(threshold * m) + 1)
+                b, more = rng.permutation(a)[less:], 0
+                while len(b) / (m + more + 1) >= threshold:
+                    more += 1
+                b = np.concatenate([b, spare[:more]])
+                frequent, (a, b) = np.sort(whole[rng.random(len(whole)) < often]), sorted((a, b), key=len)
+                made = [similarity._parts(np.sort(x), np.array([len(x)]), threshold, frequent) for x in (a, b)]
+                shared = np.intersect1d(made[0][0], made[1][0])
+                assert len(shared) >= max(1, made[0][3][0] - similarity._differ(np.array([len(a)]), np.array([len(b)]), threshold)[0])
+                for sigs, _, need, _ in made:
+                    assert any((shared & 3 == t).sum() >= need[sigs & 3 == t].max() for t in np.unique(shared & 3))
+    packed = np.array([(5, -7, 3), (2**40 - 1, 2**62, 70_000)], similarity._SIGNED)
+    got = next(similarity._unpacked([pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([similarity._pack(packed)], pa.binary())], names=["bucket", "signed"])]))
+    assert np.frombuffer(got.column(1)[0].as_buffer(), similarity._SIGNED).tolist() == [(5, -7, 3), (2**40 - 1, 2**62, 65_535)]
+
+
+def test_near_duplicates_of_no_texts(spark):
+    df = spark.createDataFrame([], "case_id string, trace string")
+    pairs, members = similarity.near_duplicates(df)
+    assert pairs.count() == 0 and members.count() == 0
+    odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "..."), ("d", None), ("e", "\u00e9")], "case_id string, trace string")
+    pairs, members = similarity.near_duplicates(odd, exclude_same_group=False)
+    assert {(r.left_class, r.right_class) for r in pairs.collect()} == {("a", "a"), ("b", "b")} and members.count() == 5

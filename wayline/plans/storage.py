@@ -51,5 +51,10 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose tables are written: Spark deletes them once their plans are collected, and the driver may not do that for long."""
+    spark._jvm.System.gc()
+
+
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
