@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -460,3 +461,24 @@ def test_near_duplicates_of_no_texts(spark):
     odd = spark.createDataFrame([("a", None), ("b", ""), ("c", "..."), ("d", None), ("e", "\u00e9")], "case_id string, trace string")
     pairs, members = similarity.near_duplicates(odd, exclude_same_group=False)
     assert {(r.left_class, r.right_class) for r in pairs.collect()} == {("a", "a"), ("b", "b")} and members.count() == 5
+
+
+@pytest.mark.parametrize("query", ["cross_split_near_duplicates", "near_duplicates", "readiness_checks"])
+def test_texts_stay_out_of_exchanges(spark, tmp_path, query):
+    """Long texts of few words aren't sent anywhere, and labels given twice still make two rows (which readiness counts as a rule broken, unlike its SQL)."""
+    rng = random.Random(8)
+    docs = [(i, f"w{i % 49} a b c " + "".join(chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(4000)), "en", f"src{i % 3}", 4000) for i in range(200)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2, 0) for i in [*range(100), *([] if query == "readiness_checks" else [5])]], "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    before = _shuffled(spark)
+    got = sorted(str(tuple(r)) for r in case_queries.QUERIES[query](spark, str(tmp_path)).collect())
+    for name in names:
+        spark.conf.unset(name)
+    assert _shuffled(spark) - before < 1e6
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert got == sorted(str(x) for x in con.sql(case_queries.ORACLE_SQL[query]).fetchall()) and len(got) >= 19

@@ -374,23 +374,26 @@ def near_duplicates(cases: DataFrame, threshold: float = 0.82, n: int = 3, cross
     return near_sets(gram_sets(base, n, "text"), threshold, cross_split_only, exclude_same_group, n)
 
 
-def near_sets(rows: DataFrame, threshold: float = 0.82, cross_split_only: bool = False, exclude_same_group: bool = True, n: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_sets(rows: DataFrame, threshold: float = 0.82, cross_split_only: bool = False, exclude_same_group: bool = True, n: int = 3, words: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """What :func:`near_duplicates` gives, of rows (id, split, group_id, words, m, key, k) of :func:`gram_sets`.
 
+    ``words`` has (k, words) where the rows themselves don't, as after a join that words needn't go through.
+
     Classes with enough shared signatures are laid out so that those that share the commonest ones are neighbours, and cut into
     blocks.  Each goes to the pairs of blocks in which it shares a signature, so grams are sent once per block and not once per pair.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is above 0 and at most 1")
+    words = rows if words is None else words
     only = lambda c, one: F.when(one, c)
     classes = rows.groupBy("key", "k").agg(F.min("id").alias("class"), F.count("*").alias("n"), F.max("m").alias("m"), F.array_sort(F.collect_set("split")).alias("splits"), F.min("group_id").alias("least"), F.max("group_id").alias("most"))
     classes = materialize(classes.select("key", "k", "class", "n", "m", only(F.get("splits", F.lit(0)), F.size("splits") == 1).alias("split"), only(F.col("least"), F.col("least") == F.col("most")).alias("group")), "classes")
     members = rows.select("id", "split", "group_id", "key").join(classes.select("key", "class"), "key").select("id", "class", "split", "group_id")
     count = classes.count()
-    frequent = _frequent(rows, n, count)
+    frequent = _frequent(words, n, count)
     release(rows.sparkSession)
     # Copies sign alike; one exchange brings all that have a part together.
-    met = materialize(shared_parts(rows, n, threshold, frequent, count), "parts")
+    met = materialize(shared_parts(words, n, threshold, frequent, count), "parts")
     release(rows.sparkSession)
     enough = met.groupBy("k", F.col("sig").bitwiseAND(F.lit(3)).alias("tag")).agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("k").distinct()
     met = met.select("sig", "k").join(enough, "k", "left_semi")
@@ -402,7 +405,7 @@ def near_sets(rows: DataFrame, threshold: float = 0.82, cross_split_only: bool =
     tiles = on.join(others, "sig").where("block <> other or c > 1").select("k", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).distinct()
     wanted = materialize(tiles.join(classes.select("k", "class", "split", "group"), "k"), "tiles")
     release(rows.sparkSession)
-    sets = _picked(rows, wanted, n).dropDuplicates(["k"]).join(wanted, "k").select("low", "high", "block", "class", "split", "group", "grams")
+    sets = _picked(words, wanted, n).dropDuplicates(["k"]).join(wanted, "k").select("low", "high", "block", "class", "split", "group", "grams")
     kind = classes.schema["class"].dataType
     schema = T.StructType([T.StructField("left_class", kind), T.StructField("right_class", kind), T.StructField("similarity", T.DoubleType())])
     far = materialize(sets.groupBy("low", "high").applyInArrow(_compared(n, threshold, frequent, cross_split_only, exclude_same_group), schema), "pairs")

@@ -112,6 +112,12 @@ def cs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {CS} SELECT * FROM cs")
 
 
+def cs_of(documents: DataFrame) -> DataFrame:
+    """The cases of a table of documents whose text may be anything that stands for it; labels are those last registered."""
+    documents.createOrReplaceTempView("documents")
+    return documents.sparkSession.sql(f"WITH {CS} SELECT * FROM cs")
+
+
 #: A user's events as the actions of an episode: reads, writes (some to bad paths), test runs and submissions.
 AC = """
 ac AS (
