@@ -482,3 +482,14 @@ def test_texts_stay_out_of_exchanges(spark, tmp_path, query):
     for t in ("documents", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert got == sorted(str(x) for x in con.sql(case_queries.ORACLE_SQL[query]).fetchall()) and len(got) >= 19
+
+
+def test_words_are_written_as_numbers_of_a_dictionary(spark):
+    """Of 300,000 words that repeat, a written one takes less than half of its hash's 8 bytes, so less than a gram."""
+    n, rng = 300_000, random.Random(6)
+    df = spark.createDataFrame([(f"c{i}", " ".join(f"w{rng.randrange(i % 100 * 3000, i % 100 * 3000 + 3000)}" for _ in range(6000))) for i in range(400)], "case_id string, trace string").coalesce(1)
+    similarity.gram_sets(df)
+    path = spark._wayline_tables[-1].removeprefix("file://")
+    con = duckdb.connect()
+    size = con.sql(f"SELECT sum(total_compressed_size) FROM parquet_metadata('{path}/*.parquet') WHERE path_in_schema LIKE 'words%'").fetchall()[0][0]
+    assert n / 2 < con.sql(f"SELECT count(DISTINCT w) FROM (SELECT unnest(words) AS w FROM '{path}/*.parquet')").fetchall()[0][0] and size < 400 * 6000 * 4

@@ -42,6 +42,10 @@ def _grams(tokens: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
 _STEP = 256
 
 
+#: Words of a file are mostly numbers in its dictionary if that may hold a million of them.
+_LARGE_DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
+
+
 def _sets(lists: pa.Array, n: int) -> list[np.ndarray]:
     """The grams of lists of token hashes."""
     offsets, none = lists.offsets.to_numpy().astype(np.int64), lists.is_null().to_numpy(zero_copy_only=False)
@@ -72,7 +76,7 @@ def gram_sets(cases: DataFrame, n: int = 3, text: str = "trace") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*kept, "words", "m", "key", "k"])
 
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in cases.select(*kept).schema], T.StructField("words", T.ArrayType(T.LongType())), T.StructField("m", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("k", T.LongType())])
-    return materialize(hashed.select(*kept, "words").mapInArrow(run, schema), "words")
+    return materialize(hashed.select(*kept, "words").mapInArrow(run, schema), "words", _LARGE_DICTIONARY)
 
 
 #: Classes looked at for frequent grams, in how many of them a gram is frequent, and how many grams may be.

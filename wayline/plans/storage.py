@@ -43,11 +43,11 @@ def drop_tables(spark: SparkSession) -> int:
     return len(paths)
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; cuts the lineage durably."""
     spark = df.sparkSession
     path = new_table_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
